@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sentpiece, shard
-from .common import table
+from . import decontam, html_extract, lang_id, neardup, pii, quality, sentpiece, shard, substring
+from .common import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -28,3 +28,53 @@ def op9_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentpiece.digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    rows = written(quality.features(docs), "features")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    cutoffs = written(quality.thresholds(rows.join(labels, "doc_id"), "lang"), "cutoffs")
+    out = quality.verdicts(rows, cutoffs, "lang")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.removals(docs)
+
+
+def held_out(modulus: int) -> Column:
+    """crc32 of doc_id as text has remainder 2; a null id is never held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == 2, F.lit(False))
+
+
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = lang_id.train(docs, ~held_out(4))
+    rows = docs.select("doc_id", held_out(4).alias("held_out"), "text")
+    return lang_id.predicted(rows, model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+@query
+def op8_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.found(docs, pii.fitted(docs))
