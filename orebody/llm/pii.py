@@ -25,8 +25,8 @@ KINDS = ("email", "ip", "card", "phone")
 WINDOW = 64
 #: Texts that the tagger is trained on, at most, the least by a hash.
 SAMPLE = 400
-#: Least probability of a decoded span, by its characters' marginals.
-SURE = 0.98
+#: Least marginal probability that every character of a decoded span must have.
+SURE = 0.8
 
 # The base patterns.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -258,7 +258,7 @@ def _written(kind: str, rng: np.random.Generator) -> str:
     return pick(f"+1 ({a}) {b}-{c}", f"+1 {a} {b} {c}", f"({a}) {b}-{c}", f"+{digits(2)} {a} {b}{c}", f"{a}-{b}-{c}", f"+1-{a}-{b}-{c}")
 
 
-def train(texts: list[str], steps: int = 250, batch: int = 64, seed: int = 9) -> Tagger:
+def train(texts: list[str], steps: int = 600, batch: int = 64, seed: int = 9) -> Tagger:
     """Fit on windows of the texts with their base spans, and with written spans put between words."""
     rng, tagger, adam = np.random.default_rng(seed), Tagger(), {}
     texts = [t for t in texts if t.strip()] or ["a b c d e f"]
@@ -295,7 +295,7 @@ def train(texts: list[str], steps: int = 250, batch: int = 64, seed: int = 9) ->
                 tags[j, a : min(b, len(part))] = inside
                 if a < len(part):
                     tags[j, a] = inside - 1
-        tagger.step(codes, tags, adam, 0.02 if i < steps * 2 // 3 else 0.004)
+        tagger.step(codes, tags, adam, 0.015 if i < steps // 2 else 0.005 if i < steps * 5 // 6 else 0.0015)
     return tagger
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, lang_id, neardup, pii, quality, sentpiece, shard, substring
+from . import decontam, html_extract, lang_id, lm_score, neardup, pii, quality, sentpiece, shard, substring
 from .common import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,8 @@ def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.found(docs, pii.fitted(docs))
+
+
+@query
+def op1_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), held_out(7))
