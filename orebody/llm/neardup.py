@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Hasher, chunks, mixed, parts, text_keys, texts, written
+from .common import WORD, Hasher, chunks, mixed, parts, text_keys, texts, written
 
 TREES, LEAST, LEVELS = 32, 5, 8
 HASHES = TREES * LEAST
@@ -310,10 +310,31 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     are classes of their own. kept: doc_id is the component_id (null counts as equal to null),
     so repeated rows of the least doc_id are all kept. An empty table gives an empty table.
     """
-    rows, nodes, found = links(docs, doc_id, text, percent, most)
-    least = rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("low"))
-    label = nodes.select("sid", "idx").join(least, "sid").join(found.withColumnRenamed("node", "idx"), "idx", "left").withColumn("component", F.coalesce("component", "idx"))
-    lowest = label.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = label.join(lowest, "component").select("sid", "component_id")
+    rows, named = _named(docs, doc_id, text, percent, most)
     out = rows.join(named, "sid", "left").withColumn("component_id", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _named(docs: DataFrame, doc_id: str, text: str, percent: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """(rows; sid, component, component_id and the one row of the component that stays)."""
+    rows, nodes, found = links(docs, doc_id, text, percent, most)
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk1", "tk2")
+    least = rows.where("sid is not null").groupBy("sid").agg(F.min(row).alias("low"))
+    label = nodes.select("sid", "idx").join(least, "sid").join(found.withColumnRenamed("node", "idx"), "idx", "left").withColumn("component", F.coalesce("component", "idx"))
+    lowest = label.groupBy("component").agg(F.min("low").alias("stays"))
+    return rows, label.join(lowest, "component").select("sid", "component", F.col("stays.doc_id").alias("component_id"), "stays")
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, most: int = MOST) -> DataFrame:
+    """The rows of docs that stay: one of each class, that of the least doc_id (null last, then the least hash of the text), and all without words.
+
+    Of repeated rows with one id and one text that stay, one does.
+    """
+    rows, named = _named(docs, doc_id, text, percent, most)
+    stays = named.select("stays").distinct().select(F.col("stays.doc_id").alias("__id"), F.col("stays.tk1").alias("__k1"), F.col("stays.tk2").alias("__k2"))
+    wordy = F.coalesce(F.col(text).rlike(WORD), F.lit(False))
+    k1, k2 = text_keys(F.col(text))
+    keyed = docs.withColumns({"__tk1": k1, "__tk2": k2})
+    one = keyed.where(wordy).join(stays, keyed[doc_id].eqNullSafe(stays["__id"]) & (keyed["__tk1"] == stays["__k1"]) & (keyed["__tk2"] == stays["__k2"]), "left_semi")
+    one = one.dropDuplicates([doc_id, "__tk1", "__tk2"])
+    return one.union(keyed.where(~wordy)).drop("__tk1", "__tk2")
