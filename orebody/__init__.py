@@ -1,0 +1 @@
+"""A graph-and-provenance analytics engine on Spark DataFrames."""
