@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +30,9 @@ def nodes(edges: DataFrame) -> DataFrame:
 
 
 def _small(edges: DataFrame, limit: int) -> pd.DataFrame | None:
-    return edges.toPandas() if edges.limit(limit + 1).count() <= limit else None
+    """The edges, if there are no more than ``limit``."""
+    found = edges.limit(limit + 1).toArrow()
+    return found.to_pandas() if found.num_rows <= limit else None
 
 
 class Indexed:
@@ -98,8 +101,8 @@ def strong_components(edges: DataFrame, limit: int = KERNEL_EDGES) -> DataFrame:
 
 
 def _made(spark: SparkSession, columns: dict, schema: str) -> DataFrame:
-    frame = pd.DataFrame(columns)
-    return spark.createDataFrame(frame, schema) if len(frame) else spark.createDataFrame([], schema)
+    found = pa.table(columns)
+    return spark.createDataFrame(found, schema) if found.num_rows else spark.createDataFrame([], schema)
 
 
 def _coloured(e: DataFrame) -> DataFrame:
