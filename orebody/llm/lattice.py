@@ -46,6 +46,21 @@ def load(path: str) -> Vocabulary:
     return Vocabulary(pieces, np.array([sp.get_score(i) for i in range(n)]), byte_ids, usable)
 
 
+#: A rank r weighs 1 / (r + FLAT), as in Zipf's law flattened at its head.
+FLAT = 50
+
+
+def log_scores(vocabulary: Vocabulary) -> np.ndarray:
+    """Log probability of each piece: a unigram model's own scores, or, where the scores are whole numbers (a BPE model's merge ranks), those of the ranks' order; unusable pieces NONE."""
+    usable = np.flatnonzero(vocabulary.usable)
+    own, out = vocabulary.scores[usable], np.full(len(vocabulary.pieces), NONE)
+    if len(own) and (own == np.round(own)).all():
+        own = np.empty(len(usable))
+        own[np.argsort(-vocabulary.scores[usable], kind="stable")] = -np.log(np.arange(len(usable)) + FLAT)
+    out[usable] = own - np.log(np.exp(own).sum()) if len(own) else own
+    return out
+
+
 class DoubleArray:
     """A double-array trie: child of node s by byte b is base[s] + b + 1 where check there is s; value: the piece that ends there, or -1.
 

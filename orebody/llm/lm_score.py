@@ -4,7 +4,7 @@ A text is its words in order (A-Z lower-cased) and one end. Its probability is t
 its segmentations into pieces of an existing vocabulary, found by a forward recursion in log
 space. No piece crosses a word's start, so it is the product over the words, times that of the
 end. Piece weights start from the vocabulary's own scores (the file at hand is a BPE model whose
-scores are ranks: rank r weighs 1 / (r + 50)) and are fitted by ROUNDS of expectation
+scores are merge ranks: see lattice.log_scores) and are fitted by ROUNDS of expectation
 maximisation over all segmentations, with the starting weights as a prior. A character without
 a piece is spelled in bytes, which share a fixed BYTES of the mass. Beside its segmentations,
 each training word has one edge over the whole word, which weighs its count less a discount
@@ -45,12 +45,8 @@ _SEED = 7
 
 
 def prior(vocabulary: lattice.Vocabulary) -> np.ndarray:
-    """Starting probability of each piece, from the order of the vocabulary's scores; unusable pieces 0."""
-    p = np.zeros(len(vocabulary.pieces))
-    usable = np.flatnonzero(vocabulary.usable)
-    order = usable[np.argsort(-vocabulary.scores[usable], kind="stable")]
-    p[order] = 1 / (np.arange(len(order)) + 50)
-    return p / p.sum()
+    """Starting probability of each piece from the vocabulary's scores; unusable pieces 0."""
+    return np.exp(lattice.log_scores(vocabulary))
 
 
 def _logs(p: np.ndarray) -> np.ndarray:

@@ -1,6 +1,7 @@
 """SentencePiece encoding and decoding: unigram Viterbi over a double-array trie, byte fallback, white-space marker.
 
-The vocabulary is read, never trained; its scores are taken as log scores as they stand. No
+The vocabulary is read, never trained. A unigram model's scores are log scores as they stand; a
+BPE model's are merge ranks, and its pieces get the log scores of those ranks under Zipf's law. No
 piece has the marker after another character or holds a newline, so the best path of a text is
 the best paths of its runs "spaces, then word" one after another; Codec checks that.
 Runs are segmented once for each task and kept in a bounded memo. Text is not normalised: a
@@ -34,7 +35,8 @@ class Codec:
         usable = [v.pieces[i] for i in np.flatnonzero(v.usable)]
         if any(b"\n" in p or b" " in p.replace(_MARK, b" ").lstrip(b" ") for p in usable):
             raise ValueError("a piece crosses a word start or a newline; runs can't be cut there")
-        self.unknown = float(v.scores[v.usable].min()) - 10.0
+        self.scores = lattice.log_scores(v)
+        self.unknown = float(self.scores[v.usable].min()) - 10.0
         plain = [p.replace(_MARK, b" ") for p in v.pieces]
         for b, i in enumerate(v.byte_ids):
             plain[i] = bytes([b])
@@ -55,7 +57,7 @@ class Codec:
             some = todo[at : at + 50_000]
             marked = [r.replace(b" ", _MARK) for r in some]
             g = lattice.build(v, marked)
-            paths, _ = lattice.viterbi(g, v.scores, self.unknown)
+            paths, _ = lattice.viterbi(g, self.scores, self.unknown)
             data = b"".join(marked)
             for run, path in zip(some, paths, strict=True):
                 ids = g.piece[path]
