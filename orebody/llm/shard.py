@@ -42,7 +42,8 @@ def assign(docs: DataFrame, shards: int = 40, text: str = "text", overhead: int
     """
     spark = docs.sparkSession
     raw = F.col(text)
-    rows = docs.drop(*[c for c in ("size", "text_crc32", "shard", "slot") if c in docs.columns]).withColumns({
+    docs = docs.drop("size", "text_crc32", "shard", "slot")
+    rows = docs.withColumns({
         "size": F.coalesce(F.octet_length(raw), F.lit(0)).cast("long") + overhead,
         "text_crc32": F.crc32(F.coalesce(raw, F.lit("")).cast("binary")),
         "__k1": F.xxhash64(raw), "__k2": F.xxhash64(F.lit("second"), raw, raw.isNull()),
