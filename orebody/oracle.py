@@ -104,4 +104,40 @@ ORACLE: dict[str, str] = {
         SELECT campaign, issue, count(*) AS n FROM i GROUP BY 1, 2""",
     "qualification": "WITH g AS (SELECT user_id, bool_or(event_type = 'error' AND value > 60) AS f, bool_or(event_type = 'error' AND value <= 60) AS d, bool_or(value < 1) AS e FROM events GROUP BY 1) SELECT user_id, CASE WHEN f THEN 'fatal' WHEN d THEN 'degraded' WHEN e THEN 'allowed-empty' ELSE 'qualified' END AS status, (CASE WHEN f THEN 1 WHEN d THEN 2 ELSE 0 END)::INT AS exit_code FROM g",
     "lifecycle_states": "WITH o AS (SELECT CASE WHEN o_orderstatus = 'F' AND o_totalprice > 100000 AND o_orderkey % 4 = 0 THEN 'reconciled' WHEN o_orderstatus = 'F' AND o_totalprice > 100000 THEN 'verified' WHEN o_orderstatus = 'F' THEN 'applied' WHEN o_orderkey % 9 = 0 THEN 'stale' WHEN o_orderstatus = 'P' THEN 'dirty' ELSE 'planned' END AS state FROM orders) SELECT state, count(*) AS n FROM o GROUP BY 1",
+    "symbol_edges": f"WITH {_L} SELECT l_partkey AS src, nxt AS dst, CASE WHEN bool_and(l_returnflag = 'A') THEN 'type' WHEN bool_or(l_returnflag = 'A') THEN 'both' ELSE 'value' END AS space, count(*) AS n FROM l WHERE l_quantity >= 40 AND nxt IS NOT NULL AND l_partkey <> nxt GROUP BY 1, 2",
+    "keyed_symbol_edges": f"WITH {_L}, {_M} SELECT l_partkey AS src, nxt AS dst, CASE WHEN l_returnflag = 'A' THEN 'type' ELSE 'value' END AS space, count(*) AS n FROM l JOIN m a ON a.path = l_partkey JOIN m b ON b.path = nxt WHERE l_quantity >= 40 AND l_partkey <> nxt AND a.domain <> b.domain GROUP BY 1, 2, 3",
+    "declaration_groups": "SELECT p_brand AS file, p_name AS name, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_size, p_partkey) AS ids FROM part GROUP BY 1, 2",
+    "external_consumers": 'SELECT l_partkey AS "group", l_suppkey AS path, l_returnflag AS affinity, count(*) AS n FROM lineitem GROUP BY 1, 2, 3',
+    "most_references": 'SELECT "group", path, max(n) AS n FROM (SELECT l_partkey AS "group", l_suppkey AS path, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2, 3) GROUP BY 1, 2',
+    "split_candidates": f"""WITH {_e()}, a AS (SELECT l_partkey AS g, l_returnflag AS affinity, count(*) AS n FROM lineitem GROUP BY 1, 2), t AS (SELECT *, sum(n) OVER (PARTITION BY g) AS total FROM a QUALIFY row_number() OVER (PARTITION BY g ORDER BY n DESC, affinity) = 1), k AS (SELECT l_partkey AS g, count(DISTINCT l_suppkey) AS consumers FROM lineitem GROUP BY 1), x AS (SELECT t.*, consumers, (SELECT count(*) FROM e WHERE dst = t.g) AS inside, (SELECT count(*) FROM e WHERE src = t.g) AS outside FROM t JOIN k USING (g))
+        SELECT g AS "group", consumers, affinity AS dominant, round(n / total, 9) AS concentration, inside, outside, (floor(n / total * 1000 + 0.5) + 10 * consumers - inside - outside)::BIGINT AS score FROM x""",
+    "seam_crossings": f"WITH {_e()}, {_M} SELECT src, dst, CASE WHEN a.owner = 'PROMO' THEN 'moved-to-retained' ELSE 'retained-to-moved' END AS direction FROM e JOIN m a ON a.path = src JOIN m b ON b.path = dst WHERE (a.owner = 'PROMO') <> (b.owner = 'PROMO')",
+    "compatibility_shims": f"WITH {_e(45)}, o AS (SELECT l_partkey AS path, min(l_suppkey) AS package FROM lineitem WHERE l_quantity >= 45 GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 1) SELECT path, package, count(*) AS inbound FROM o JOIN e ON e.dst = path GROUP BY 1, 2",
+    "evaluation_reach": f"WITH RECURSIVE {_e()}, {_M}, s AS (SELECT path AS id FROM m WHERE domain = 'Brand#1' UNION SELECT e.dst FROM s JOIN e ON e.src = s.id AND NOT e.type_only) SELECT id FROM s",
+    "bounded_union": f"""WITH RECURSIVE {_e(48)}, {_C}, {_M}, sel AS (SELECT c.* FROM c JOIN m ON m.path = c.id WHERE m.line_count > 47), w AS (SELECT c.*, c.id IN (SELECT id FROM sel) AS s, c.comp IN (SELECT comp FROM c WHERE id % 97 = 0) AS held FROM c WHERE comp IN (SELECT comp FROM sel))
+        SELECT id, CASE WHEN held THEN 'retained' WHEN s THEN 'selected' ELSE 'absorbed' END AS role FROM w UNION ALL SELECT DISTINCT e.dst, 'dependency' FROM e JOIN w ON w.id = e.src AND NOT w.held WHERE e.dst NOT IN (SELECT id FROM w)""",
+    "boundary_cuts": f"WITH {_e()} SELECT src, dst, CASE WHEN dst % 97 = 0 THEN 'composition' WHEN dst % 5 = 0 THEN 'retained' ELSE 'outside' END AS reason FROM e WHERE src % 2 = 0 AND dst % 2 = 1",
+    "retained_blockers": f"WITH {_e()}, {_M} SELECT a.owner AS cand, e.dst AS target, min(e.src) AS source FROM e JOIN m a ON a.path = e.src JOIN m b ON b.path = e.dst WHERE a.owner <> 'PROMO' AND b.owner = 'PROMO' GROUP BY 1, 2",
+    "travelling_tests": f"WITH RECURSIVE {_e()}, {_M}, s AS (SELECT dst AS id FROM e WHERE src % 3 = 2 AND dst % 3 = 0 UNION SELECT e.dst FROM s JOIN e ON e.src = s.id AND e.dst % 3 = 0) SELECT path AS id FROM m WHERE path % 3 = 0 AND path NOT IN (SELECT id FROM s)",
+    "promotion_cut": f"WITH RECURSIVE {_e(48)}, {_C}, top AS (SELECT comp FROM c GROUP BY 1 ORDER BY count(*) DESC, comp LIMIT 1), k AS (SELECT id FROM c WHERE comp IN (SELECT comp FROM top) AND id <> comp), e2 AS (SELECT src, dst FROM e WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)), r2 AS (SELECT src, dst FROM e2 UNION SELECT r2.src, e2.dst FROM r2 JOIN e2 ON r2.dst = e2.src) SELECT k.id, least(k.id, coalesce(min(x.dst), k.id)) AS comp FROM k LEFT JOIN (SELECT a.src, a.dst FROM r2 a JOIN r2 b ON a.src = b.dst AND a.dst = b.src) x ON x.src = k.id GROUP BY k.id",
+    "weak_clusters": f"WITH RECURSIVE {_e()}, u AS (SELECT src, dst FROM e WHERE NOT dynamic UNION SELECT dst, src FROM e WHERE NOT dynamic), s AS (SELECT src AS id, src AS r FROM u UNION SELECT s.id, u.dst FROM s JOIN u ON u.src = s.r) SELECT id, min(r) AS cluster FROM s GROUP BY 1",
+    "dependency_evidence": "SELECT l_partkey AS owner, l_suppkey AS package, CASE WHEN bool_or(l_linestatus = 'O') THEN 'runtime' ELSE 'dev' END AS section FROM lineitem GROUP BY 1, 2",
+    "version_resolution": "WITH d AS (SELECT p_name AS package, count(DISTINCT p_type) AS k, min(p_type) AS one, min(p_type) FILTER (p_brand = 'Brand#1') AS root FROM part GROUP BY 1) SELECT package, CASE WHEN k = 1 THEN one ELSE root END AS version, CASE WHEN k = 1 THEN 'declared' WHEN root IS NOT NULL THEN 'root' ELSE 'ambiguous' END AS source FROM d",
+    "donor_pruning": "SELECT l_partkey AS owner, l_suppkey AS package FROM lineitem GROUP BY 1, 2 HAVING NOT bool_or(l_returnflag = 'R') AND NOT bool_or(l_linestatus = 'O' AND l_quantity > 25) AND l_suppkey <> 7",
+    "missing_resolutions": "SELECT DISTINCT l_orderkey AS importer, l_partkey AS package, l_suppkey AS version FROM lineitem a WHERE l_orderkey % 10 = 0 AND NOT EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey % 2 = 1 AND b.l_partkey = a.l_partkey AND b.l_suppkey = a.l_suppkey)",
+    "target_collisions": "SELECT 'libs/' || lower(p_brand) || '/' || p_name AS target, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) AS sources FROM part GROUP BY 1 HAVING count(*) > 1",
+    "missing_rewrites": f"WITH {_e()} SELECT DISTINCT src AS path, './' || dst AS specifier FROM e WHERE dst % 3 = 0 AND src % 3 <> 0 AND src % 2 = 1",
+    "boundary_breaks": f"WITH {_e()} SELECT src, dst FROM e WHERE src % 5 = 0 AND dst % 5 <> 0 AND NOT dynamic",
+    "source_conservation": "SELECT lang AS category, count(*) FILTER (doc_id % 5 = 0) AS lost, count(*) FILTER (doc_id % 7 = 0) AS gained, count(*) FILTER (doc_id % 5 <> 0 AND doc_id % 7 <> 0 AND doc_id % 11 = 0) AS changed FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 7 <> 0 GROUP BY 1",
+    "postconditions": """WITH p AS (SELECT (c_custkey % 400)::VARCHAR AS name, c_custkey AS owner FROM customer WHERE c_custkey % 3 <> 0), d AS (SELECT o_custkey % 50 AS owner, (o_custkey % 900)::VARCHAR AS name, o_orderstatus = 'P' AS ws, CASE WHEN o_totalprice > 400000 THEN 'dev' ELSE 'runtime' END AS section FROM orders)
+        SELECT 'duplicate-name' AS rule, name FROM p GROUP BY 2 HAVING count(DISTINCT owner) > 1 UNION SELECT 'unresolved-workspace', name FROM d WHERE ws AND name NOT IN (SELECT name FROM p) UNION SELECT 'conflicting-sections', name FROM (SELECT owner, name FROM d GROUP BY 1, 2 HAVING count(DISTINCT section) > 1)""",
+    "accepted_overlay": "SELECT o_custkey AS path, o_orderkey AS idx, CASE WHEN row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1 AND c_acctbal < 0 THEN 'accepted' ELSE o_orderstatus END AS result_hash FROM orders LEFT JOIN customer ON c_custkey = o_custkey",
+    "declarative_edits": "WITH d AS (SELECT doc_id AS path, text, (length(text) - length(replace(text, ' with ', ''))) // 6 AS n FROM documents) SELECT path, CASE WHEN n = 1 THEN 'applied' WHEN n = 0 AND contains(text, ' WITH ') THEN 'already' ELSE 'refused' END AS status, sha256(CASE WHEN n = 1 THEN replace(text, ' with ', ' WITH ') ELSE text END) AS sha256 FROM d",
+    "input_inventory": "SELECT source, count(*) AS members, sum(strlen(text))::BIGINT AS bytes, sha256(string_agg(printf('%09d', doc_id) || ':' || sha256(text), chr(10) ORDER BY doc_id)) AS digest FROM documents GROUP BY 1",
+    "unbound_reports": "SELECT * FROM (SELECT o_orderkey, CASE WHEN c_custkey IS NULL THEN 'unbound' WHEN c_acctbal < 0 AND o_orderstatus = 'O' THEN 'drifted' END AS fault FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 20 <> 0) ON c_custkey = o_custkey) WHERE fault IS NOT NULL",
+    "graph_digests": f"WITH {_e()}, {_M} SELECT owner, sha256(string_agg(src || '>' || dst, ';' ORDER BY src, dst)) AS digest FROM e JOIN m ON m.path = e.src GROUP BY 1",
+    "canonical_props": "SELECT event_id, '{\"a\":{\"k\":' || json_extract(props, '$.k')::VARCHAR || '},\"z\":[1,2]}' AS json FROM events",
+    "spliced_texts": "SELECT doc_id, sha256('<a>' || substr(text, 2, 1) || '<b>' || substr(text, 4, 1) || substr(text, 6)) AS sha256 FROM documents WHERE length(text) >= 6",
+    "file_metrics": "SELECT path, functions, most, total, mean, round(ln(total + 1) * 10 + most, 6) AS score FROM (SELECT l_orderkey AS path, count(*) AS functions, max(l_quantity) AS most, sum(l_quantity) AS total, round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY 1)",
+    "levers": "WITH p AS (SELECT p_partkey AS id, p_type AS c, p_size AS a, floor(p_retailprice) AS b FROM part), q AS (SELECT id, count(*) OVER (PARTITION BY c) AS n, count(*) OVER () AS t, rank() OVER (PARTITION BY c ORDER BY a) - 1 + 0.5 * count(*) OVER (PARTITION BY c, a) AS xa, rank() OVER (PARTITION BY c ORDER BY b) - 1 + 0.5 * count(*) OVER (PARTITION BY c, b) AS xb, rank() OVER (ORDER BY a) - 1 + 0.5 * count(*) OVER (PARTITION BY a) AS ya, rank() OVER (ORDER BY b) - 1 + 0.5 * count(*) OVER (PARTITION BY b) AS yb FROM p), r AS (SELECT id, floor(CASE WHEN n < 8 THEN ya / t ELSE xa / n END * 100 + 0.5) AS a, floor(CASE WHEN n < 8 THEN yb / t ELSE xb / n END * 100 + 0.5) AS b FROM q) SELECT id, CASE WHEN greatest(a, b) < 75 THEN 'none' WHEN a >= b THEN 'size' ELSE 'price' END AS lever FROM r",
 }

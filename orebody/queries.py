@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from .bindings import edges, graph_modules, modules, occurrences, table
 from .config import Config, Weights
-from .functions import paths
-from .operators import graph, portfolio, reports, windows
-from .plans import conflicts, journal
+from .functions import documents, paths
+from .operators import dependencies, evacuation, graph, portfolio, reports, symbols, windows
+from .plans import audit, conflicts, journal
 from .session import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -584,3 +584,259 @@ def lifecycle_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("o_orderstatus")
     f = o.select("o_orderkey", (s == "F").alias("applied"), (F.col("o_totalprice") > 100000).alias("audited"), (F.col("o_orderkey") % 4 == 0).alias("reconciled"), (s == "P").alias("dirty"), (F.col("o_orderkey") % 9 == 0).alias("stale"), F.lit(False).alias("failed"), F.lit(True).alias("planned"))
     return journal.lifecycle(f).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Symbols and seams
+
+
+def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return occurrences(spark, sf_dir, 40).select("src", "dst", F.when(F.col("type_only"), "type").otherwise("value").alias("space"))
+
+
+def _uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    return l.select(F.col("l_partkey").alias("group"), F.col("l_suppkey").alias("path"), F.col("l_returnflag").alias("affinity"))
+
+
+@query
+def symbol_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return symbols.symbol_edges(_references(spark, sf_dir))
+
+
+@query
+def keyed_symbol_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return symbols.keyed_edges(_references(spark, sf_dir), modules(spark, sf_dir).select(F.col("path").alias("id"), F.col("domain").alias("file")))
+
+
+@query
+def declaration_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    g = symbols.groups(p.select(F.col("p_brand").alias("file"), F.col("p_name").alias("name"), F.col("p_size").alias("start"), F.col("p_partkey").alias("id")))
+    return g.select("file", "name", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
+@query
+def external_consumers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return symbols.external_consumers(_uses(spark, sf_dir))
+
+
+@query
+def most_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return symbols.most_references(symbols.external_consumers(_uses(spark, sf_dir)))
+
+
+@query
+def split_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = symbols.split_candidates(symbols.external_consumers(_uses(spark, sf_dir)), edges(spark, sf_dir))
+    return s.withColumn("concentration", F.round("concentration", 9))
+
+
+@query
+def seam_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = modules(spark, sf_dir).where("owner = 'PROMO'").select(F.col("path").alias("id"))
+    return symbols.seam_crossings(edges(spark, sf_dir).select("src", "dst"), moved)
+
+
+@query
+def compatibility_shims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that one supplier alone sells, imported often enough."""
+    l = table(spark, sf_dir, "lineitem").where("l_quantity >= 45")  # noqa: E741
+    return symbols.shims(l.select(F.col("l_partkey").alias("path"), F.col("l_suppkey").alias("package")), edges(spark, sf_dir, 45), 1)
+
+
+# Moves
+
+
+@query
+def evaluation_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = edges(spark, sf_dir)
+    return evacuation.evaluation_reach(e, modules(spark, sf_dir).where("domain = 'Brand#1'").select(F.col("path").alias("id")))
+
+
+@query
+def bounded_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = cut(edges(spark, sf_dir, 48))
+    m = modules(spark, sf_dir)
+    return evacuation.bounded_union(cut(graph.strong_components(e)), e, m.where("line_count > 47").select(F.col("path").alias("id")), m.where("path % 97 = 0").select(F.col("path").alias("id")))
+
+
+@query
+def boundary_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = modules(spark, sf_dir).where("application = 'web'").select(F.col("path").alias("id"))
+    return evacuation.boundary_cuts(edges(spark, sf_dir), moved, F.col("dst") % 97 == 0, F.col("dst") % 5 == 0)
+
+
+@query
+def retained_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = modules(spark, sf_dir)
+    files = m.where("owner <> 'PROMO'").select(F.col("owner").alias("cand"), "path")
+    return evacuation.retained_blockers(files, edges(spark, sf_dir), m.where("owner = 'PROMO'"))
+
+
+@query
+def travelling_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = modules(spark, sf_dir)
+    return evacuation.travelling_tests(m.where("path % 3 = 0").select(F.col("path").alias("id")), edges(spark, sf_dir), m.where("path % 3 = 1").select(F.col("path").alias("id")))
+
+
+@query
+def promotion_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest component without its least member."""
+    e = cut(edges(spark, sf_dir, 48))
+    comps = cut(graph.strong_components(e))
+    node = comps.groupBy("comp").count().orderBy(F.desc("count"), "comp").first()["comp"]
+    return evacuation.promotion_cut(e, comps, node)
+
+
+@query
+def connectivity_backbone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = condensed_view(spark, sf_dir)
+    return evacuation.spanning_forest(spark, v.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("n").alias("weight")))
+
+
+@query
+def weak_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evacuation.clusters(edges(spark, sf_dir).where("not dynamic"))
+
+
+@query
+def cohesion_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = table(spark, sf_dir, "lineitem").where("l_quantity >= 40")  # noqa: E741
+    return evacuation.cohesion_clusters(l.select(F.col("l_suppkey").alias("owner"), F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("field")))
+
+
+# Dependencies
+
+
+@query
+def dependency_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    return dependencies.evidence(l.select(F.col("l_partkey").alias("owner"), F.col("l_suppkey").alias("package"), F.when(F.col("l_linestatus") == "O", "runtime").otherwise("dev").alias("section")))
+
+
+@query
+def version_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "part").select(F.col("p_brand").alias("owner"), F.col("p_name").alias("package"), F.col("p_type").alias("version"))
+    return dependencies.versions(d, d.where("owner = 'Brand#1'"))
+
+
+@query
+def donor_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("owner"), F.col("l_suppkey").alias("package"), "l_returnflag", "l_linestatus", "l_quantity")  # noqa: E741
+    return dependencies.prunable(l.select("owner", "package").distinct(), l.where("l_returnflag = 'R'"), l.where("l_linestatus = 'O' and l_quantity > 25"), l.where("package = 7"))
+
+
+@query
+def missing_resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("importer"), F.col("l_partkey").alias("package"), F.col("l_suppkey").alias("version"))  # noqa: E741
+    return dependencies.missing_resolutions(l.where("importer % 10 = 0").distinct(), l.where("importer % 2 = 1"))
+
+
+# Audit and assessment
+
+
+@query
+def target_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    moves = p.select(F.col("p_partkey").alias("source"), F.concat_ws("/", F.lit("libs"), F.lower("p_brand"), "p_name").alias("target"))
+    return audit.target_collisions(moves).select("target", F.array_join(F.col("sources").cast("array<string>"), ",").alias("sources"))
+
+
+@query
+def missing_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = edges(spark, sf_dir)
+    refs = e.select(F.col("src").alias("path"), F.col("dst").alias("resolved"), F.concat(F.lit("./"), "dst").alias("specifier"))
+    return audit.missing_rewrites(refs, modules(spark, sf_dir).where("path % 3 = 0").select(F.col("path").alias("source")), refs.where("path % 2 = 0"))
+
+
+@query
+def boundary_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, m = edges(spark, sf_dir), modules(spark, sf_dir)
+    return audit.boundary_breaks(e, m.where("zone = 'package'"), m.where("zone = 'application'"), e.where("dynamic"))
+
+
+@query
+def source_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("lang").alias("category"), F.col("doc_id").alias("path"), F.sha2("text", 256).alias("sha256"))
+    return audit.conservation(d.where("path % 7 <> 0"), d.where("path % 5 <> 0").withColumn("sha256", F.when(F.col("path") % 11 == 0, F.lit("x")).otherwise(F.col("sha256"))))
+
+
+@query
+def postconditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    packages = c.where("c_custkey % 3 <> 0").select((F.col("c_custkey") % 400).cast("string").alias("name"), F.col("c_custkey").alias("owner"))
+    deps = o.select((F.col("o_custkey") % 50).alias("owner"), (F.col("o_custkey") % 900).cast("string").alias("name"), F.when(F.col("o_orderstatus") == "P", "workspace:*").otherwise("1").alias("range"), F.when(F.col("o_totalprice") > 400000, "dev").otherwise("runtime").alias("section"))
+    return audit.postconditions(packages, deps)
+
+
+@query
+def accepted_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    ops = o.select(F.col("o_custkey").alias("path"), F.col("o_orderkey").alias("idx"), F.col("o_orderstatus").alias("result_hash"))
+    accepted = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("path"), F.lit("accepted").alias("sha256"))
+    return audit.overlay(ops, accepted).select("path", "idx", "result_hash")
+
+
+@query
+def declarative_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A literal replaced in each document where it stands exactly once."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
+    out = audit.declarative_edits(d, d.select("path", F.lit(" with ").alias("before"), F.lit(" WITH ").alias("after")))
+    return out.select("path", "status", F.sha2("content", 256).alias("sha256"))
+
+
+@query
+def input_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of their source's folder: members, bytes, and a digest of the folder."""
+    d = table(spark, sf_dir, "documents").select("source", F.format_string("%09d", "doc_id").alias("name"), F.sha2("text", 256).alias("sha256"), F.octet_length("text").alias("size"))
+    g = d.groupBy("source").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("bytes"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "sha256"))), lambda x: F.concat_ws(":", x["name"], x["sha256"])), "\n"), 256).alias("digest"))
+    return g
+
+
+@query
+def unbound_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders, as reports, bound to customers, as inputs: without one, or with another state."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").where("c_custkey % 20 <> 0")
+    j = o.join(c, o["o_custkey"] == c["c_custkey"], "left")
+    fault = F.when(F.col("c_custkey").isNull(), "unbound").when((F.col("c_acctbal") < 0) & (F.col("o_orderstatus") == "O"), "drifted")
+    return j.select("o_orderkey", fault.alias("fault")).where("fault is not null")
+
+
+@query
+def graph_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A digest of each owner's outgoing edges in order."""
+    e = edges(spark, sf_dir).join(modules(spark, sf_dir).select(F.col("path").alias("src"), "owner"), "src")
+    text = F.transform(F.array_sort(F.collect_list(F.struct("src", "dst"))), lambda x: F.concat_ws(">", x["src"], x["dst"]))
+    return e.groupBy("owner").agg(F.sha2(F.array_join(text, ";"), 256).alias("digest"))
+
+
+@query
+def canonical_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events")
+    return ev.select("event_id", documents.canonical_json(F.concat(F.lit('{"z": [1.0, 2], "a": '), "props", F.lit("}"))).alias("json"))
+
+
+@query
+def spliced_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first and third characters of each text replaced, and the fifth taken out."""
+    d = table(spark, sf_dir, "documents").where(F.length("text") >= 6)
+    put = F.array(F.struct(F.lit(0).alias("start"), F.lit(1).alias("end"), F.lit("<a>").alias("text")), F.struct(F.lit(4).alias("start"), F.lit(5).alias("end"), F.lit("").alias("text")), F.struct(F.lit(2).alias("start"), F.lit(3).alias("end"), F.lit("<b>").alias("text")))
+    return d.select("doc_id", F.sha2(documents.splice(F.col("text"), put), 256).alias("sha256"))
+
+
+@query
+def file_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole-file metrics over line items as functions of an order."""
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    g = l.groupBy(F.col("l_orderkey").alias("path")).agg(F.count(F.lit(1)).alias("functions"), F.max("l_quantity").alias("most"), F.sum("l_quantity").alias("total"), F.round(F.avg("l_quantity"), 6).alias("mean"))
+    return g.withColumn("score", F.round(F.log(F.col("total") + 1) * 10 + F.col("most"), 6))
+
+
+@query
+def levers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of two percentiles of each part stands out: the higher, size before price on a tie."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("cohort"), F.col("p_size").cast("long").alias("size"), F.floor("p_retailprice").alias("price"))
+    one = windows.percentile(p.select("id", "cohort", "size"), "cohort", "size").select("id", F.col("percentile").alias("by_size"))
+    two = windows.percentile(p.select("id", "cohort", "price"), "cohort", "price").select("id", F.col("percentile").alias("by_price"))
+    j = one.join(two, "id")
+    return j.select("id", F.when(F.greatest("by_size", "by_price") < 75, "none").when(F.col("by_size") >= F.col("by_price"), "size").otherwise("price").alias("lever"))

@@ -155,3 +155,97 @@ def test_multiset_and_ratchet(spark):
     m = lambda rows: spark.createDataFrame(rows, "path string, metric string, value long")
     got = {r.path: r.verdict for r in windows.ratchet(m([("w", "l", 1), ("i", "l", 3), ("e", "l", 2), ("s", "l", 1)]), m([("w", "l", 2), ("i", "l", 1), ("e", "l", 2), ("n", "l", 1)])).collect()}
     assert got == {"w": "worse", "i": "improved", "e": "accepted", "s": "stale", "n": "new"}
+
+
+def test_json_and_text_functions(spark):
+    from orebody.functions import documents as d
+
+    assert d.canonical({"b": 1.0, "a": [{"d": 1, "c": "é "}]}) == '{"a":[{"c":"é ","d":1}],"b":1}'
+    assert d.pointer({"a/b": {"~c": [1, 2]}}, "/a~1b/~0c/1") == 2
+    assert '"new"' in d.relocate_keys('{"m": {"old": 1, "k": 2}}', "/m", {"old": "new"})
+    with pytest.raises(ValueError):
+        d.relocate_keys('{"m": {"old": 1, "k": 2}}', "/m", {"old": "k"})
+    assert d.registry_values('{"r": {"x": {"m": "./a"}, "y": {"m": "./b"}}}', "/r/*/m") == [("/r/x/m", "./a"), ("/r/y/m", "./b")]
+    assert d.css_rules("/* c */ a, b { color: red; top: 1px } @media print { p { x: y } }") == [("a", "color:red;top:1px"), ("b", "color:red;top:1px"), ("@media print p", "x:y")]
+    exports = {"exports": {".": {"types": "./t.d.ts", "import": "./i.js"}, "./f/*": "./src/f/*.js", "./f/x/*": "./src/x/*.js", "./no": None}}
+    assert [d.exports_target(exports, s) for s in (".", "./f/a", "./f/x/b", "./no", "./other")] == ["./i.js", "./src/f/a.js", "./src/x/b.js", None, None]
+    df = spark.createDataFrame([("abcdef", [(1, 2, "X"), (4, 6, "")])], "t string, r array<struct<start:int,end:int,text:string>>")
+    assert df.select(d.splice(df.t, df.r)).first()[0] == "aXcd"
+
+
+def test_sinks(spark, tmp_path):
+    from orebody import sinks
+
+    df = spark.createDataFrame([("b", 2), ("a", 1)], "k string, v int")
+    assert sinks.json_report(df, ["k"]) == '[{"k":"a","v":1},{"k":"b","v":2}]\n'
+    assert sinks.text_table(df, ["k"]) == "k  v\na  1\nb  2\n"
+    target = str(tmp_path / "bundle")
+    sinks.write_bundle(target, {"a.json": "1", "b.md": "x"}, budget=10)
+    assert sinks.bundle_faults(target) == []
+    (tmp_path / "bundle" / "a.json").write_text("2")
+    (tmp_path / "bundle" / "c").write_text("")
+    assert sinks.bundle_faults(target) == [("a.json", "differs"), ("c", "unexpected")]
+    for bad in ({"../x": "1"}, {"big": "x" * 99}):
+        with pytest.raises(ValueError):
+            sinks.write_bundle(str(tmp_path / "other"), bad, budget=10)
+    sinks.write_text(str(tmp_path / "t"), "one")
+    with pytest.raises(FileExistsError):
+        sinks.write_text(str(tmp_path / "t"), "two", exclusive=True)
+
+
+def test_workspace_globs_and_provenance(spark):
+    from orebody.sources import workspace
+
+    folders = spark.createDataFrame([("libs/a",), ("libs/b",), ("libs/b/x",), ("apps/w",)], "path string")
+    hit, missed = workspace.resolve_globs(folders, ["libs/*", "tools/*", "!**/b"])
+    assert [r.path for r in hit.collect()] == ["libs/a"] and missed == ["tools/*"]
+    with pytest.raises(ValueError):
+        workspace.resolve_globs(folders, ["libs/**"])
+    df = spark.createDataFrame([("// Generated from api/x.yaml\nconst a",), ("a\nb\nc\nd\ne\n// source: late",)], "t string")
+    assert [r[0] for r in df.select(workspace.provenance(df.t)).collect()] == ["api/x.yaml", None]
+
+
+def test_read_tree(spark, tmp_path):
+    for p, text in (("a.ts", "1\n"), ("d/b.ts", "22"), ("node_modules/c.ts", "x")):
+        (tmp_path / p).parent.mkdir(exist_ok=True)
+        (tmp_path / p).write_text(text)
+    got = {(r.path, r.sha256, r.size) for r in scan.read_tree(spark, str(tmp_path)).collect()}
+    assert got == {("a.ts", sha("1\n"), 2), ("d/b.ts", sha("22"), 2)}
+    assert [r.path for r in scan.read_tree(spark, str(tmp_path), most_bytes=1).collect()] == []
+
+
+def test_audit_rules(spark):
+    from orebody.plans import audit
+
+    f = lambda *p: spark.createDataFrame([(x,) for x in p], "path string")
+    blobs = spark.createDataFrame([("a", sha("a")), ("b", "XY")], "path string, sha256 string")
+    got = [(r.rule, r.path) for r in audit.source_issues(f("a", "b", "b", "c"), f("a", "b", "d"), blobs).collect()]
+    assert got == [("duplicate-file", "b"), ("not-partitioned", "c"), ("not-partitioned", "d"), ("missing-blob", "c"), ("malformed-digest", "b")]
+    assert {tuple(r) for r in audit.entry_closure(f("a", "b", "c"), f("a", "d"), f("b"), f("a")).collect()} == {("c", "undeclared"), ("d", "not-produced")}
+    report = audit.proof_report(spark.createDataFrame([("x",), ("x",)], "proof string"), ["x", "y"])
+    assert {tuple(r) for r in report.collect()} == {("x", 2, False), ("y", 0, True)}
+    disc = spark.createDataFrame([("a", "differs"), ("b", "missing"), ("g", "missing")], "path string, fault string")
+    ops = spark.createDataFrame([(1, "write", "a", "h1"), (2, "write", "a", "h2"), (1, "write", "b", "h"), (1, "generate", "g", "h")], "idx long, kind string, path string, result_hash string")
+    assert {tuple(r) for r in audit.reconcilable(disc, ops).collect()} == {("a", "differs", "h2", True), ("b", "missing", "h", False), ("g", "missing", "h", True)}
+    edits = audit.declarative_edits(spark.createDataFrame([("a", "x y"), ("b", "x x"), ("c", "z")], "path string, content string"), spark.createDataFrame([(p, "x", "z") for p in "abc"], "path string, before string, after string"))
+    assert {tuple(r) for r in edits.collect()} == {("a", "z y", "applied"), ("b", "x x", "refused"), ("c", "z", "already")}
+
+
+def test_moves(spark):
+    from orebody.operators import evacuation
+
+    e = spark.createDataFrame([(1, 2, True), (2, 3, True), (3, 4, False)], "src long, dst long, type_only boolean")
+    start = spark.createDataFrame([(1,)], "id long")
+    with pytest.raises(ValueError, match="value edge 3 -> 4"):
+        evacuation.type_only_closure(e, start)
+    assert {r.id for r in evacuation.type_only_closure(e.where("src < 3"), start).collect()} == {1, 2, 3}
+    assert {r.id for r in evacuation.evaluation_reach(e, spark.createDataFrame([(3,)], "id long"), spark.createDataFrame([(3, 4, 9)], "src long, dst long, to long")).collect()} == {3, 9}
+    nodes = spark.createDataFrame([("a/x", "web"), ("a/y", "web"), ("b/z", "api")], "path string, application string")
+    assert evacuation.select_files(nodes, ["a"]).count() == 2
+    for bad in (["none"], ["a", "b"]):
+        with pytest.raises(ValueError):
+            evacuation.select_files(nodes, bad)
+    w = spark.createDataFrame([("a", "b", 1), ("b", "c", 5), ("a", "c", 3)], "a string, b string, weight long")
+    assert {tuple(r) for r in evacuation.spanning_forest(spark, w).collect()} == {("b", "c", 5), ("a", "c", 3)}
+    uses = spark.createDataFrame([("o", m, f) for m, f in (("m1", "f1"), ("m2", "f1"), ("m2", "f2"), ("m3", "f2"), ("m4", "f3"))] + [("o", m, "all") for m in ("m1", "m2", "m3", "m4")], "owner string, id string, field string")
+    assert {(r.id, r.cluster) for r in evacuation.cohesion_clusters(uses).collect()} == {("m1", "m1"), ("m2", "m1"), ("m3", "m1"), ("m4", "m4")}
