@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +31,17 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{folder}/orebody-cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once for each application, so that Python functions find it wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_orebody_sent", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = os.path.join(tempfile.mkdtemp(prefix="orebody-"), "orebody_package.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(Path("orebody") / p.relative_to(root)))
+    sc.addPyFile(target)
+    sc._orebody_sent = True
