@@ -192,3 +192,70 @@ def bounded(report: DataFrame, order: list[Column], limit: int) -> DataFrame:
     """The first ``limit`` rows beside the total and what was left out."""
     total = report.agg(F.count(F.lit(1)).alias("total"))
     return report.orderBy(*order).limit(limit).crossJoin(F.broadcast(total)).withColumn("omitted", F.greatest(F.col("total") - limit, F.lit(0)))
+
+
+def recipe_steps(files: DataFrame, boundaries: DataFrame, promotions: DataFrame) -> DataFrame:
+    """(path, step, id): a boundary for exactly this path (least id), else a promotion for a folder above it (least id), else unconfigured.
+
+    boundaries and promotions: (id, path). A promotion meets its files by their ancestors, an equality join.
+    """
+    exact = files.join(boundaries, "path").groupBy("path").agg(F.min("id").alias("b"))
+    parts = F.split("path", "/")
+    above = files.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("root"))
+    prefix = above.join(promotions.withColumnRenamed("path", "root"), "root").groupBy("path").agg(F.min("id").alias("p"))
+    j = files.select("path").distinct().join(exact, "path", "left").join(prefix, "path", "left")
+    return j.select("path", F.when(F.col("b").isNotNull(), "boundary").when(F.col("p").isNotNull(), "promotion").otherwise("unconfigured").alias("step"), F.coalesce("b", "p").alias("id"))
+
+
+def hotspot_actions(rows: DataFrame, config: Config) -> DataFrame:
+    """rows of hotspots with ``actions``, those whose threshold is met, in order."""
+    c = F.col
+    rules = [("stabilise-inbound", c("inbound") >= config.fan_in_action), ("reduce-fan-out", c("fan_out") >= config.fan_out_action), ("cut-cross-domain", c("cross_domain") > 0)]
+    return rows.withColumn("actions", F.array_compact(F.array(*[F.when(r, n) for n, r in rules])))
+
+
+def target_options(candidates: DataFrame, packages: DataFrame, uses: DataFrame) -> DataFrame:
+    """(id, package, option, fit): packages that a candidate (id, suggested) already uses can be extended; the suggested one is extended if it is there, else created. uses: (id, package)."""
+    here = packages.select("package").distinct()
+    used = uses.join(here, "package", "left_semi").select("id", "package", F.lit("extend").alias("option"), F.lit("medium").alias("fit")).distinct()
+    own = candidates.join(here.select(F.col("package").alias("suggested"), F.lit(True).alias("__is")), "suggested", "left")
+    own = own.select("id", F.col("suggested").alias("package"), F.when(F.col("__is"), "extend").otherwise("create").alias("option"), F.lit("high").alias("fit"))
+    return used.join(own.select("id", "package"), ["id", "package"], "left_anti").union(own)
+
+
+def rewritable(escapes: DataFrame, surface: DataFrame) -> DataFrame:
+    """escapes (source, target, package, bindings) with ``rewritable``: the package's surface (package, target, name) offers every binding; * offers all but default."""
+    offered = surface.groupBy("package", "target").agg(F.collect_set("name").alias("names"))
+    j = escapes.join(offered, ["package", "target"], "left")
+    star = F.array_contains("names", "*")
+    missing = F.filter("bindings", lambda b: ~F.array_contains("names", b) & ~(star & (b != "default")))
+    return j.select("source", "target", "package", F.coalesce(F.size(missing) == 0, F.lit(False)).alias("rewritable"))
+
+
+def campaign_targets(candidates: DataFrame, groups: DataFrame, top: int) -> DataFrame:
+    """The first ``top`` representatives by lines for each review unit, then lines, then id. groups: (id, representative)."""
+    own = candidates.join(groups.where("id = representative").select("id"), "id", "left_semi")
+    rate = own.withColumn("rate", F.col("line_count") / F.col("review_units"))
+    return rate.orderBy(F.desc("rate"), F.desc("line_count"), "id").limit(top)
+
+
+def gates(owners: DataFrame, templates: DataFrame) -> DataFrame:
+    """(tier, command): project templates for each owner ({owner} filled in), others once; repeated commands once. templates: (tier, command), a handful."""
+    each = owners.select("owner").distinct().crossJoin(F.broadcast(templates.where("tier = 'project'"))).select("tier", F.replace("command", F.lit("{owner}"), "owner").alias("command"))
+    return each.union(templates.where("tier <> 'project'").select("tier", "command")).distinct()
+
+
+def stop_condition(rows: DataFrame, conditions: list[tuple[str, Column]]) -> DataFrame:
+    """rows with ``stop``, the first condition that holds, only after an applied extraction."""
+    out = F.lit(None).cast("string")
+    for name, rule in reversed(conditions):
+        out = F.when(rule, F.lit(name)).otherwise(out)
+    return rows.withColumn("stop", F.when((F.col("status") == "applied") & (F.col("kind") == "extraction"), out))
+
+
+def coverage(production: DataFrame, configured: DataFrame, scanned: DataFrame) -> DataFrame:
+    """(path, fault): production files that the settings or the scan leave out, paths configured twice, unsafe paths."""
+    out = production.select("path").distinct().join(configured, "path", "left_anti").select("path", F.lit("not-configured").alias("fault"))
+    out = out.union(production.select("path").distinct().join(scanned, "path", "left_anti").select("path", F.lit("not-scanned")))
+    out = out.union(configured.groupBy("path").count().where("count > 1").select("path", F.lit("configured-twice")))
+    return out.union(configured.where(F.col("path").startswith("/") | F.exists(F.split("path", "/"), lambda s: s == "..")).select("path", F.lit("unsafe")).distinct())

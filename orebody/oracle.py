@@ -140,4 +140,14 @@ ORACLE: dict[str, str] = {
     "spliced_texts": "SELECT doc_id, sha256('<a>' || substr(text, 2, 1) || '<b>' || substr(text, 4, 1) || substr(text, 6)) AS sha256 FROM documents WHERE length(text) >= 6",
     "file_metrics": "SELECT path, functions, most, total, mean, round(ln(total + 1) * 10 + most, 6) AS score FROM (SELECT l_orderkey AS path, count(*) AS functions, max(l_quantity) AS most, sum(l_quantity) AS total, round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY 1)",
     "levers": "WITH p AS (SELECT p_partkey AS id, p_type AS c, p_size AS a, floor(p_retailprice) AS b FROM part), q AS (SELECT id, count(*) OVER (PARTITION BY c) AS n, count(*) OVER () AS t, rank() OVER (PARTITION BY c ORDER BY a) - 1 + 0.5 * count(*) OVER (PARTITION BY c, a) AS xa, rank() OVER (PARTITION BY c ORDER BY b) - 1 + 0.5 * count(*) OVER (PARTITION BY c, b) AS xb, rank() OVER (ORDER BY a) - 1 + 0.5 * count(*) OVER (PARTITION BY a) AS ya, rank() OVER (ORDER BY b) - 1 + 0.5 * count(*) OVER (PARTITION BY b) AS yb FROM p), r AS (SELECT id, floor(CASE WHEN n < 8 THEN ya / t ELSE xa / n END * 100 + 0.5) AS a, floor(CASE WHEN n < 8 THEN yb / t ELSE xb / n END * 100 + 0.5) AS b FROM q) SELECT id, CASE WHEN greatest(a, b) < 75 THEN 'none' WHEN a >= b THEN 'size' ELSE 'price' END AS lever FROM r",
+    "recipe_steps": f"WITH {_M} SELECT file AS path, CASE WHEN path % 7 = 0 THEN 'boundary' WHEN owner IN ('PROMO', 'SMALL') THEN 'promotion' ELSE 'unconfigured' END AS step, CASE WHEN path % 7 = 0 THEN path WHEN owner = 'PROMO' THEN 1 WHEN owner = 'SMALL' THEN 3 END AS id FROM m",
+    "hotspot_actions": f"{_ALL}, p AS (SELECT DISTINCT path FROM f), q AS (SELECT p.path, (SELECT count(*) FROM e WHERE dst = p.path) AS i, (SELECT count(*) FROM e WHERE src = p.path) AS o, (SELECT count(*) FROM e JOIN m a ON a.path = e.src JOIN m b ON b.path = e.dst WHERE e.src = p.path AND a.domain <> b.domain) AS x FROM p) SELECT path, concat_ws(',', CASE WHEN i >= 2 THEN 'stabilise-inbound' END, CASE WHEN o >= 2 THEN 'reduce-fan-out' END, CASE WHEN x > 0 THEN 'cut-cross-domain' END) AS actions FROM q",
+    "target_options": "WITH l AS (SELECT * FROM lineitem WHERE l_quantity > 40), h AS (SELECT s_suppkey AS package FROM supplier WHERE s_acctbal > 0), c AS (SELECT l_orderkey AS id, min(l_suppkey) + max(l_linenumber) AS suggested FROM l GROUP BY 1) SELECT id, suggested AS package, CASE WHEN suggested IN (SELECT package FROM h) THEN 'extend' ELSE 'create' END AS option, 'high' AS fit FROM c UNION ALL SELECT DISTINCT l_orderkey, l_suppkey, 'extend', 'medium' FROM l JOIN c ON c.id = l_orderkey WHERE l_suppkey IN (SELECT package FROM h) AND l_suppkey <> c.suggested",
+    "rewritable_escapes": "WITH n AS (SELECT l_orderkey AS source, l_partkey AS target, l_suppkey AS package, list(DISTINCT CASE WHEN l_tax = 0 THEN 'default' ELSE l_returnflag END) AS b FROM lineitem WHERE l_quantity > 45 GROUP BY 1, 2, 3), s AS (SELECT l_suppkey AS package, l_partkey AS target, list(DISTINCT CASE WHEN l_discount = 0 THEN '*' ELSE l_returnflag END) AS names FROM lineitem WHERE l_quantity <= 45 GROUP BY 1, 2) SELECT source, target, package, coalesce(len(list_filter(b, lambda x: NOT list_contains(names, x) AND NOT (list_contains(names, '*') AND x <> 'default'))) = 0, false) AS rewritable FROM n LEFT JOIN s USING (package, target)",
+    "campaign_targets": f"{_ALL}, g AS (SELECT *, min(id) OVER (PARTITION BY first_domain, line_count) AS rep FROM j) SELECT id, line_count, round(line_count / review_units, 6) AS rate FROM g WHERE id = rep ORDER BY line_count / review_units DESC, line_count DESC, id LIMIT 15",
+    "gate_commands": f"WITH {_M} SELECT DISTINCT 'project' AS tier, t || ' ' || owner AS command FROM m, (VALUES ('test'), ('lint')) v(t) UNION ALL VALUES ('package', 'build'), ('workspace', 'check')",
+    "stop_conditions": "SELECT * FROM (SELECT o_orderkey, CASE WHEN o_totalprice > 450000 THEN 'budget' WHEN o_totalprice < 20000 THEN 'no-progress' WHEN o_orderkey % 100 = 0 THEN 'milestone' END AS stop FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 2 = 0) WHERE stop IS NOT NULL",
+    "workspace_coverage": "WITH p AS (SELECT p_partkey AS k, lower(p_brand) || '/' || CASE WHEN p_size = 50 THEN '..' ELSE lower(p_type) END || '/' || replace(p_name, ' ', '-') AS path FROM part), c AS (SELECT path FROM p WHERE k % 3 = 0) SELECT DISTINCT path, 'not-configured' AS fault FROM p WHERE k % 2 = 0 AND path NOT IN (SELECT path FROM c) UNION ALL SELECT DISTINCT path, 'not-scanned' FROM p WHERE k % 2 = 0 AND path NOT IN (SELECT path FROM p WHERE k % 5 <> 0) UNION ALL SELECT path, 'configured-twice' FROM c GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT DISTINCT path, 'unsafe' FROM c WHERE contains(path, '/../')",
+    "portfolio_totals": f"{_ALL} SELECT count(*) AS candidates, count(*) FILTER (eligible) AS eligible, count(*) FILTER (NOT eligible) AS blocked, count(*) FILTER (len(codes) = 0) AS recommended, count(*) FILTER (list_has_any(codes, ['too-large', 'composition-root'])) AS discouraged, sum(CASE WHEN eligible THEN line_count ELSE 0 END)::BIGINT AS eligible_lines FROM j",
+    "ratchet_summary": "WITH a AS (SELECT l_partkey AS path, count(*) AS v FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), b AS (SELECT l_partkey AS path, count(*) AS v FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) SELECT 'lines' AS metric, CASE WHEN a.v IS NULL THEN 'new' WHEN b.v IS NULL THEN 'stale' WHEN b.v > a.v THEN 'worse' WHEN b.v < a.v THEN 'improved' ELSE 'accepted' END AS verdict, count(*) AS n FROM a FULL JOIN b ON a.path = b.path GROUP BY 2",
 }

@@ -840,3 +840,76 @@ def levers(spark: SparkSession, sf_dir: str) -> DataFrame:
     two = windows.percentile(p.select("id", "cohort", "price"), "cohort", "price").select("id", F.col("percentile").alias("by_price"))
     j = one.join(two, "id")
     return j.select("id", F.when(F.greatest("by_size", "by_price") < 75, "none").when(F.col("by_size") >= F.col("by_price"), "size").otherwise("price").alias("lever"))
+
+
+# More of candidates and assessment
+
+
+@query
+def recipe_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = modules(spark, sf_dir).select(F.col("file").alias("path"), F.col("path").alias("k"))
+    promotions = spark.createDataFrame([(2, "src/promo"), (1, "src/promo"), (3, "src/small")], "id long, path string")
+    return portfolio.recipe_steps(m.select("path"), m.where("k % 7 = 0").select(F.col("k").alias("id"), "path"), promotions)
+
+
+@query
+def hotspot_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = portfolio.hotspot_actions(hotspots(spark, sf_dir), Config(fan_in_action=2, fan_out_action=2))
+    return h.select("path", F.array_join("actions", ",").alias("actions"))
+
+
+@query
+def target_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as candidates, suppliers as packages."""
+    l = table(spark, sf_dir, "lineitem").where("l_quantity > 40")  # noqa: E741
+    uses = l.select(F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("package"))
+    c = l.groupBy(F.col("l_orderkey").alias("id")).agg((F.min("l_suppkey") + F.max("l_linenumber")).alias("suggested"))
+    return portfolio.target_options(c, table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("package")), uses)
+
+
+@query
+def rewritable_escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What orders need of a supplier's parts, against what its surface offers."""
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    needed = l.where("l_quantity > 45").groupBy(F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("target"), F.col("l_suppkey").alias("package")).agg(F.array_sort(F.collect_set(F.when(F.col("l_tax") == 0, "default").otherwise(F.col("l_returnflag")))).alias("bindings"))
+    surface = l.where("l_quantity <= 45").select(F.col("l_suppkey").alias("package"), F.col("l_partkey").alias("target"), F.when(F.col("l_discount") == 0, "*").otherwise(F.col("l_returnflag")).alias("name"))
+    return portfolio.rewritable(needed, surface)
+
+
+@query
+def campaign_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = cut(_judged(_candidates(spark, sf_dir)[3]).select("id", "line_count", F.col("review_units").cast("long").alias("review_units"), "first_domain"))
+    groups = j.withColumn("representative", F.min("id").over(Window.partitionBy("first_domain", "line_count"))).select("id", "representative")
+    return portfolio.campaign_targets(j, groups, 15).select("id", "line_count", F.round("rate", 6).alias("rate"))
+
+
+@query
+def gate_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    templates = spark.createDataFrame([("project", "test {owner}"), ("project", "lint {owner}"), ("package", "build"), ("workspace", "check"), ("workspace", "check")], "tier string, command string")
+    return portfolio.gates(modules(spark, sf_dir), templates)
+
+
+@query
+def stop_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "applied").otherwise("planned").alias("status"), F.when(F.col("o_orderkey") % 2 == 0, "extraction").otherwise("preparation").alias("kind"), "o_totalprice")
+    rules = [("budget", F.col("o_totalprice") > 450000), ("no-progress", F.col("o_totalprice") < 20000), ("milestone", F.col("o_orderkey") % 100 == 0)]
+    return portfolio.stop_condition(o, rules).where("stop is not null").select("o_orderkey", "stop")
+
+
+@query
+def workspace_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    name = lambda d: d.select(F.concat_ws("/", F.lower("p_brand"), F.when(F.col("p_size") == 50, "..").otherwise(F.lower("p_type")), F.replace("p_name", F.lit(" "), F.lit("-"))).alias("path"))
+    return portfolio.coverage(name(p.where("p_partkey % 2 = 0")), name(p.where("p_partkey % 3 = 0")), name(p.where("p_partkey % 5 <> 0")))
+
+
+@query
+def portfolio_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = _judged(_candidates(spark, sf_dir)[3])
+    status = portfolio.recommendation(F.col("codes"), ["too-large", "composition-root"])
+    return j.agg(F.count(F.lit(1)).alias("candidates"), F.count_if("eligible").alias("eligible"), F.count_if(~F.col("eligible")).alias("blocked"), F.count_if(status == "recommended").alias("recommended"), F.count_if(status == "discouraged").alias("discouraged"), F.sum(F.when(F.col("eligible"), F.col("line_count")).otherwise(0)).alias("eligible_lines"))
+
+
+@query
+def ratchet_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_ratchet(spark, sf_dir).groupBy("metric", "verdict").agg(F.count(F.lit(1)).alias("n"))
