@@ -150,4 +150,14 @@ ORACLE: dict[str, str] = {
     "workspace_coverage": "WITH p AS (SELECT p_partkey AS k, lower(p_brand) || '/' || CASE WHEN p_size = 50 THEN '..' ELSE lower(p_type) END || '/' || replace(p_name, ' ', '-') AS path FROM part), c AS (SELECT path FROM p WHERE k % 3 = 0) SELECT DISTINCT path, 'not-configured' AS fault FROM p WHERE k % 2 = 0 AND path NOT IN (SELECT path FROM c) UNION ALL SELECT DISTINCT path, 'not-scanned' FROM p WHERE k % 2 = 0 AND path NOT IN (SELECT path FROM p WHERE k % 5 <> 0) UNION ALL SELECT path, 'configured-twice' FROM c GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT DISTINCT path, 'unsafe' FROM c WHERE contains(path, '/../')",
     "portfolio_totals": f"{_ALL} SELECT count(*) AS candidates, count(*) FILTER (eligible) AS eligible, count(*) FILTER (NOT eligible) AS blocked, count(*) FILTER (len(codes) = 0) AS recommended, count(*) FILTER (list_has_any(codes, ['too-large', 'composition-root'])) AS discouraged, sum(CASE WHEN eligible THEN line_count ELSE 0 END)::BIGINT AS eligible_lines FROM j",
     "ratchet_summary": "WITH a AS (SELECT l_partkey AS path, count(*) AS v FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), b AS (SELECT l_partkey AS path, count(*) AS v FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) SELECT 'lines' AS metric, CASE WHEN a.v IS NULL THEN 'new' WHEN b.v IS NULL THEN 'stale' WHEN b.v > a.v THEN 'worse' WHEN b.v < a.v THEN 'improved' ELSE 'accepted' END AS verdict, count(*) AS n FROM a FULL JOIN b ON a.path = b.path GROUP BY 2",
+    "relative_resolution": f"WITH {_e()}, {_M} SELECT a.file || '.ts' AS source, '../' || lower(b.owner) || '/./' || b.path AS specifier, CASE b.path % 4 WHEN 0 THEN b.file || '.ts' WHEN 1 THEN b.file || '/index.ts' WHEN 2 THEN b.file || '.js' END AS resolved FROM e JOIN m a ON a.path = e.src JOIN m b ON b.path = e.dst",
+    "triggered_artifacts": "SELECT * FROM (VALUES ('docs'), ('promo'), ('tens')) v(name)",
+    "ambiguous_rewrites": "WITH p AS (SELECT url, string_split(regexp_replace(url, '^https?://', ''), '/') AS s FROM pages), i AS (SELECT url, s, unnest(range(1, len(s))) AS i FROM p) SELECT array_to_string(s[i:], '/') AS key, count(DISTINCT url) AS choices FROM i GROUP BY 1 HAVING count(DISTINCT url) > 1",
+    "rewrite_collisions": 'SELECT l_partkey AS file, l_linenumber AS "to", count(DISTINCT l_suppkey) AS donors FROM lineitem WHERE l_quantity > 40 GROUP BY 1, 2 HAVING count(DISTINCT l_suppkey) > 1',
+    "rewrite_replay": 'SELECT l_orderkey AS path, l_linenumber AS start, l_partkey AS "from", l_suppkey AS "to" FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY 1, 2, 3, 4 HAVING max(l_quantity) <= 5',
+    "chain_breaks": "WITH c AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS bf FROM (SELECT DISTINCT conv_id, turn FROM conversations)) SELECT conv_id AS chain, turn AS seq, conv_id || ':' || turn AS id FROM c WHERE bf IS NOT NULL AND bf <> turn - CASE WHEN (conv_id + turn) % 7 = 0 THEN 2 ELSE 1 END",
+    "unclosed_selection": f"WITH {_e()}, {_M} SELECT src, dst FROM e JOIN m a ON a.path = src JOIN m b ON b.path = dst WHERE a.owner IN ('PROMO', 'SMALL') AND b.owner NOT IN ('PROMO', 'SMALL')",
+    "seam_blockers": f"WITH {_e()}, {_M} SELECT 'exact' AS certainty, 'no-exports' AS code, path AS id FROM m WHERE owner = 'PROMO' AND NOT has_exports UNION SELECT 'exact', 'cycle', src FROM e WHERE EXISTS (SELECT 1 FROM e f WHERE f.src = e.dst AND f.dst = e.src) UNION SELECT 'heuristic', 'large', path FROM m WHERE owner = 'PROMO' AND line_count > 45",
+    "batch_targets": f"{_ALL}, p AS (SELECT f.path, max(facts.line_count) AS big, count(*) FILTER (facts.files > 20) AS dis FROM f JOIN facts USING (cand) GROUP BY 1), q AS (SELECT p.path, big + 100 * (SELECT count(*) FROM e WHERE dst = p.path) + 50 * (SELECT count(*) FROM e WHERE src = p.path) + 250 * (SELECT count(*) FROM e JOIN m a ON a.path = e.src JOIN m b ON b.path = e.dst WHERE e.src = p.path AND a.domain <> b.domain) + 100 * dis AS pressure FROM p) SELECT path, pressure FROM q ORDER BY pressure DESC, path LIMIT 10",
+    "canonical_paths": f"WITH {_M} SELECT path, file FROM m",
 }

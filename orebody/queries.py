@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .bindings import edges, graph_modules, modules, occurrences, table
 from .config import Config, Weights
 from .functions import documents, paths
-from .operators import dependencies, evacuation, graph, portfolio, reports, symbols, windows
+from .operators import dependencies, evacuation, graph, portfolio, references, reports, symbols, windows
 from .plans import audit, conflicts, journal
 from .session import cut
 
@@ -913,3 +913,74 @@ def portfolio_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def ratchet_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_ratchet(spark, sf_dir).groupBy("metric", "verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
+# References
+
+
+@query
+def relative_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = modules(spark, sf_dir).select("path", "file", F.lower("owner").alias("folder"))
+    tree = m.select(F.concat("file", F.when(F.col("path") % 4 == 0, ".ts").when(F.col("path") % 4 == 1, "/index.ts").when(F.col("path") % 4 == 2, ".js").otherwise(".css")).alias("path"))
+    e = edges(spark, sf_dir).join(m.select(F.col("path").alias("src"), F.concat("file", F.lit(".ts")).alias("source")), "src").join(m.select(F.col("path").alias("dst"), "folder"), "dst")
+    refs = e.select("source", F.concat(F.lit("../"), "folder", F.lit("/./"), "dst").alias("specifier"))
+    return references.resolve_relative(refs, tree)
+
+
+@query
+def triggered_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = spark.createDataFrame([("docs", None), ("promo", "^src/promo/"), ("none", "^lib/"), ("tens", "0$")], "name string, pattern string")
+    return references.triggered(a, modules(spark, sf_dir).select(F.col("file").alias("path")))
+
+
+@query
+def ambiguous_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suffixes of pages' URLs that more than one page has."""
+    k = suffix_keys(spark, sf_dir)
+    p = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("to"))
+    return references.ambiguous(k.join(p, "page_id").select(F.lit("index").alias("file"), F.col("key").alias("start"), F.col("key").alias("end"), "to")).select(F.col("start").alias("key"), "choices")
+
+
+@query
+def rewrite_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = table(spark, sf_dir, "lineitem").where("l_quantity > 40")  # noqa: E741
+    return references.collisions(l.select(F.col("l_partkey").alias("file"), F.col("l_linenumber").alias("to"), F.col("l_suppkey").alias("donor")))
+
+
+@query
+def rewrite_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("start"), F.col("l_partkey").alias("from"), F.col("l_suppkey").alias("to"), "l_quantity").where("path % 20 = 0")  # noqa: E741
+    return references.unreplayed(l.drop("l_quantity").distinct(), l.where("l_quantity > 5"))
+
+
+@query
+def chain_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as commits whose parent should be the turn before; every seventh turn names another."""
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("t"))
+    return references.chain_breaks(c.select(F.col("conv_id").alias("chain"), F.col("turn").alias("seq"), F.concat_ws(":", "conv_id", "turn").alias("id"), F.concat_ws(":", "conv_id", F.col("turn") - F.when((F.col("conv_id") + F.col("turn")) % 7 == 0, 2).otherwise(1)).alias("parent")))
+
+
+@query
+def unclosed_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return references.unclosed(modules(spark, sf_dir).where("owner in ('PROMO', 'SMALL')").select(F.col("path").alias("id")), edges(spark, sf_dir))
+
+
+@query
+def seam_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = modules(spark, sf_dir).where("owner = 'PROMO'")
+    e = edges(spark, sf_dir)
+    cyc = e.join(e.select(F.col("src").alias("d"), F.col("dst").alias("s")), (F.col("dst") == F.col("d")) & (F.col("src") == F.col("s")), "left_semi").select(F.col("src").alias("id"))
+    return references.seam_blockers(("exact", "no-exports", m.where("not has_exports").select(F.col("path").alias("id"))), ("exact", "cycle", cyc), ("heuristic", "large", m.where("line_count > 45").select(F.col("path").alias("id"))))
+
+
+@query
+def batch_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten files under most pressure, for a batch of declarations."""
+    return hotspots(spark, sf_dir).orderBy(F.desc("pressure"), "path").limit(10).select("path", "pressure")
+
+
+@query
+def canonical_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report paths without the machine's root."""
+    m = modules(spark, sf_dir)
+    return m.select("path", F.regexp_replace(F.concat(F.when(F.col("path") % 2 == 0, "/home/u/work/").otherwise(""), "file"), "^/home/u/work/", "").alias("file"))

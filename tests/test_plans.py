@@ -249,3 +249,21 @@ def test_moves(spark):
     assert {tuple(r) for r in evacuation.spanning_forest(spark, w).collect()} == {("b", "c", 5), ("a", "c", 3)}
     uses = spark.createDataFrame([("o", m, f) for m, f in (("m1", "f1"), ("m2", "f1"), ("m2", "f2"), ("m3", "f2"), ("m4", "f3"))] + [("o", m, "all") for m in ("m1", "m2", "m3", "m4")], "owner string, id string, field string")
     assert {(r.id, r.cluster) for r in evacuation.cohesion_clusters(uses).collect()} == {("m1", "m1"), ("m2", "m1"), ("m3", "m1"), ("m4", "m4")}
+
+
+def test_style_changes(spark):
+    from orebody.functions.documents import css_rules
+    from orebody.operators import references
+
+    f = lambda sheet: spark.createDataFrame(css_rules(sheet), "selector string, declarations string")
+    got = references.css_changes(f("a{x:1;y:2} b{z:1} c{q:1} d{m:1}"), f("a{y:2;x:1} b{z:2} d{m:1} e{n:1}"))
+    assert {tuple(r) for r in got.collect()} == {("a", "reordered"), ("b", "changed"), ("c", "missing"), ("e", "added")}
+
+
+def test_relative_resolution_order(spark):
+    from orebody.operators import references
+
+    tree = spark.createDataFrame([("a/b.ts",), ("a/b/index.ts",), ("c.ts",), ("a/d.ts",)], "path string")
+    refs = spark.createDataFrame([("a/x.ts", "./b"), ("a/x.ts", "../c"), ("a/x.ts", "./d.js"), ("a/x.ts", "./none"), ("c.ts", "../../c")], "source string, specifier string")
+    got = {r.specifier: r.resolved for r in references.resolve_relative(refs, tree).collect()}
+    assert got == {"./b": "a/b.ts", "../c": "c.ts", "./d.js": "a/d.ts", "./none": None, "../../c": "c.ts"}
