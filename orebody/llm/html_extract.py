@@ -27,6 +27,7 @@ BLOCKS = frozenset("address article aside blockquote body button caption center
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
 NEVER = frozenset("nav header footer aside form head script style noscript template iframe object svg canvas dialog menu button select option search fieldset".split())
 NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup share sharing social related recommended sidebar sidenav aside widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager paging footer footers header masthead topbar comment comments disqus replies respond login search toolbar skip copyright disclaimer alert hidden outbrain taboola".split())
+ABOUT = frozenset("no has with without below above after before".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 WHOLE = frozenset("html body article main".split())
 VOID = frozenset("hr".split())
@@ -59,7 +60,8 @@ def _named(tag: str, attrs: str) -> bool:
         if name in ("class", "id"):
             for whole in value.split():
                 words = [w.lower() for w in _PART.findall(whole)]
-                if not NAMES.isdisjoint(words):
+                # "has-sidebar" or "no-ads" is said of what holds, or lacks, the thing.
+                if any(w in NAMES and (i == 0 or words[i - 1] not in ABOUT) for i, w in enumerate(words)):
                     return True
         elif name == "role" and value.lower() in ROLES or name == "aria-hidden" and value.lower() == "true":
             return True

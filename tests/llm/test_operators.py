@@ -263,6 +263,8 @@ PAGES = [
     (None, ""), ("", ""), ("just text", "just text"), ("<p>unclosed <b>bold<br>next<p>second &amp; third&nbsp;x", "unclosed bold next\nsecond & third x"),
     (page("<nav><a href=x>Home</a></nav><article><h1>T</h1><p>One,  two\n three.</p><script>var a='</p>';</script><p>Four.</p></article><footer>f</footer>"), "T\nOne, two three.\nFour."),
     (page("<div class='cookie-notice'>We use cookies, many of them, really a lot</div><div id=main><div class=post><p>Long enough paragraph, with commas, and more.</p><p>Another paragraph, also good.</p></div><div class=comments><p>I disagree, strongly, with all of this, dear author.</p></div></div><aside>side</aside>"), "Long enough paragraph, with commas, and more.\nAnother paragraph, also good."),
+    (page("<div class='layout has-sidebar'><div class='post'><p>Kept text, of some length, here.</p></div><div class='right-sidebar'><p>Dropped text, of some length too, yes.</p></div></div>"), "Kept text, of some length, here."),
+    (page("<article><p>Text one.<p>See <a href=x>a link</a> in text.</p><div class='share-buttons'>Share</div></article><section id='comments'><p>Nice post, thanks, really.</p></section><p>stray"), "Text one.\nSee a link in text."),
     (page("<form><p>Name, please</p></form><main><p>Main text.</p><ul><li>point one</li><li>point two</li></ul><!-- <p>no</p> --></main>"), "Main text.\npoint one\npoint two"),
 ]
 
