@@ -22,11 +22,6 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
-def _longs(df: DataFrame) -> DataFrame:
-    """Integers as long, so that both engines' types agree."""
-    return df.select(*[F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes])
-
-
 # Graph
 
 
@@ -277,12 +272,6 @@ def marginal_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portfolio.marginal_blockers(cands)
 
 
-def _nation_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers and what priorities and statuses their orders have."""
-    o = table(spark, sf_dir, "orders")
-    return o.select(F.col("o_custkey").alias("id"), F.concat_ws("/", F.substring("o_orderpriority", 1, 1), "o_orderstatus").alias("item"))
-
-
 @query
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("item"))
