@@ -27,8 +27,8 @@ from .common import chunks, texts
 BITS = 16
 DIM = 16
 #: Rows a language, at most, that the model is fitted and calibrated on.
-FIT = 500
-CALIBRATE = 500
+FIT = 300
+CALIBRATE = 400
 #: Share of texts in a learned language that may be rejected.
 ALPHA = 0.001
 LETTER = r"\p{L}"
@@ -88,8 +88,8 @@ def _features(some: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     out = []
     for t in some:
         bucket, _ = subwords(*padded([t]))
-        ids, n = np.unique(bucket, return_counts=True)
-        out.append((ids, n / max(1, n.sum())))
+        ids, n = np.unique(bucket.astype(np.uint16), return_counts=True)
+        out.append((ids, (n / max(1, n.sum())).astype(np.float32)))
     return out
 
 
@@ -110,7 +110,7 @@ def fit(rows: list[tuple[bytes, str]], calibrate: list[tuple[bytes, str]], epoch
         some += cuts
         labels += [index[lang]] * len(cuts)
     features = _features(some)
-    embed = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM))
+    embed = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
     weight, bias = np.zeros((len(langs), DIM)), np.zeros(len(langs))
     share = len(langs) / len(some) * np.bincount(labels, minlength=len(langs))
     steps = epochs * len(some)
@@ -131,8 +131,14 @@ def fit(rows: list[tuple[bytes, str]], calibrate: list[tuple[bytes, str]], epoch
                 embed[ids] -= np.outer(part * len(ids) ** 0.5, back)
             done += 1
     model = Model(langs, (embed @ weight.T).astype(np.float32), bias)
+    del features
     held = [(t, index[lang]) for t, lang in calibrate or rows if lang in index]
-    p = model.probabilities(*padded([t for t, _ in held]))
+
+    def probabilities() -> np.ndarray:
+        """One text at a time, so that the driver holds the subwords of one."""
+        return np.concatenate([model.probabilities(*padded([t])) for t, _ in held])
+
+    p = probabilities()
     logits, truth = np.log(np.maximum(p, 1e-300)), np.array([k for _, k in held])
 
     def loss(t: float) -> float:
@@ -141,7 +147,7 @@ def fit(rows: list[tuple[bytes, str]], calibrate: list[tuple[bytes, str]], epoch
         return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(z)), truth]).mean())
 
     model.temperature = min(np.geomspace(0.2, 20, 60), key=loss)
-    right = np.sort(model.probabilities(*padded([t for t, _ in held]))[np.arange(len(truth)), truth])
+    right = np.sort(probabilities()[np.arange(len(truth)), truth])
     model.threshold = float(right[int(alpha * (len(right) + 1))]) if alpha * (len(right) + 1) >= 1 else 0.0
     model.threshold = min(model.threshold, 1 / len(langs) + 0.25 * (1 - 1 / len(langs)))
     return model
