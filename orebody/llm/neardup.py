@@ -182,23 +182,32 @@ def _screened(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component) of every node of edges (a, b): component is the least node reachable. Large-star and small-star rounds, each cut off as a written table."""
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    last = None
-    for _ in range(most_rounds):
-        both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        now = written(small.where("u <> v").distinct(), "edges")
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == last:
-            break
-        last = state
-    leaves = now.groupBy("u").agg(F.min("v").alias("v"))
-    return leaves.select(F.col("u").alias("node"), F.col("v").alias("component")).union(leaves.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node of edges (a, b): component is the least node reachable.
+
+    Contraction: each node points to its least neighbour, pointers are doubled until they end at
+    roots, and edges between different roots go to the next round. A dense group's edges are gone
+    after the first. Every round is cut off as a written table.
+    """
+    now = written(edges.where("a <> b").select("a", "b").distinct(), "edges")
+    labels = None
+    while True:
+        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        up = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("p")), "pointers")
+        while True:
+            further = up.select(F.col("u").alias("p"), F.col("p").alias("q"))
+            jumped = written(up.join(further, "p").select("u", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved")), "pointers")
+            up = jumped.select("u", "p")
+            if not jumped.where("moved").limit(1).collect():
+                break
+        if labels is None:
+            labels = up.select(F.col("u").alias("node"), F.col("p").alias("component"))
+        else:
+            labels = written(labels.join(up.withColumnRenamed("u", "component"), "component", "left").select("node", F.coalesce("p", "component").alias("component")), "labels")
+        ends = now.join(up.select(F.col("u").alias("a"), F.col("p").alias("ra")), "a").join(up.select(F.col("u").alias("b"), F.col("p").alias("rb")), "b")
+        now = written(ends.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        if not now.limit(1).collect():
+            return labels
 
 
 def classes(sets: list[np.ndarray], sigs: np.ndarray, percent: int = PERCENT) -> np.ndarray:
