@@ -162,12 +162,11 @@ def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang"
         return fit([], [])
     cut = F.create_map(*[x for r in counts for x in (F.lit(r["l"]), F.lit(int(ring * min(1.0, 1.3 * (bound + 20) / r["count"]))))])
     hashed = rows.withColumn("h", F.pmod(F.xxhash64("t"), F.lit(ring)))
+    # Each text once: copies of a text that falls below the cut are added up where they are read.
+    once = hashed.where(F.col("h") < cut[F.col("l")]).dropDuplicates(["l", "h"])
     sample: dict[str, list[tuple[int, bytes]]] = {}
-    seen: set[tuple[str, int]] = set()
-    for r in hashed.where(F.col("h") < cut[F.col("l")]).toLocalIterator():
-        if (r["l"], r["h"]) not in seen:
-            seen.add((r["l"], r["h"]))
-            sample.setdefault(r["l"], []).append((r["h"], r["t"].encode()))
+    for r in once.toLocalIterator():
+        sample.setdefault(r["l"], []).append((r["h"], r["t"].encode()))
     fitted, held = [], []
     for name, found in sorted(sample.items()):
         found = sorted(found)[:bound]
