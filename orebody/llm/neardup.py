@@ -3,8 +3,8 @@
 1. Each text's set of distinct 2-word shingles gets a 128-bit name (sid) and a MinHash signature.
    Texts with one set are one node from here on, so exact copies cost one node.
 2. Forest: each of TREES orders sorts all nodes by a label of LEVELS hashes (a range partition, so
-   a crowded prefix is split like any other). A node's candidates are its WIDTH neighbours before
-   it and the first of its region, as long as the common prefix has LEAST hashes or more: in a
+   a crowded prefix is split like any other). A node's candidates are the WIDTH (one) before
+   it, which has the longest common prefix, and the first of its region, as long as the common prefix has LEAST hashes or more: in a
    crowded region the neighbours' common prefix, hence the depth, is longer, and elsewhere it is
    shorter. Sets of similarity 0.8 share LEAST hashes in one of the trees but for 3 in a million.
 3. Candidates whose signatures agree on SCREEN of all hashes join nodes into groups; a pair of
@@ -30,7 +30,7 @@ from .common import WORD, Hasher, chunks, mixed, parts, text_keys, texts, writte
 
 TREES, LEAST, LEVELS = 32, 5, 8
 HASHES = TREES * LEAST
-WIDTH = 4
+WIDTH = 1
 SCREEN = 0.6
 MOST = 5000
 PIVOTS = 8
@@ -123,6 +123,7 @@ def _numbered(df: DataFrame) -> DataFrame:
 
 def _forest(nodes: DataFrame) -> DataFrame:
     """Candidate pairs (a < b) of nodes' idx from all trees."""
+    spark, width = nodes.sparkSession, WIDTH
 
     def labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,7 +148,7 @@ def _forest(nodes: DataFrame) -> DataFrame:
             same = (tree[1:] == tree[:-1]) & (l1[1:] == l1[:-1]) & (top[1:] == top[:-1])
             region = np.concatenate([[0], np.cumsum(~same)])
             pairs = []
-            for k in range(1, WIDTH + 1):
+            for k in range(1, width + 1):
                 i = np.arange(max(old, k), len(idx))
                 i = i[region[i] == region[i - k]]
                 pairs.append((idx[i - k], idx[i]))
@@ -160,9 +161,8 @@ def _forest(nodes: DataFrame) -> DataFrame:
             good = a != b
             both = np.unique(np.stack([np.minimum(a, b)[good], np.maximum(a, b)[good]], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-            head, held = int(first[-1]), [c[-WIDTH:] for c in cols]
+            head, held = int(first[-1]), [c[-width:] for c in cols]
 
-    spark = nodes.sparkSession
     trees = nodes.select("idx", "sig").mapInArrow(labels, "tree int, l1 long, l2 long, idx long")
     order = trees.repartitionByRange(parts(spark), "tree", "l1", "l2", "idx").sortWithinPartitions("tree", "l1", "l2", "idx")
     return order.mapInArrow(neighbours, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).select("a", "b")
