@@ -1,6 +1,6 @@
 """Near-duplicate classes by an LSH forest over MinHash signatures, confirmed on full shingle sets.
 
-1. Each text's set of distinct 2-word shingles gets a 128-bit name (sid) and a MinHash signature.
+1. Each text's set of distinct shingles of SHINGLE words (op8_lsh_forest: two) gets a 128-bit name (sid) and a MinHash signature.
    Texts with one set are one node from here on, so exact copies cost one node.
 2. Forest: each of TREES orders sorts all nodes by a label of LEVELS hashes (a range partition, so
    a crowded prefix is split like any other). A node's candidates are the WIDTH (one) before
@@ -35,6 +35,9 @@ SCREEN = 0.6
 MOST = 5000
 PIVOTS = 8
 PERCENT = 80
+#: Words in a shingle, where nothing else is asked for; the contract of op8_lsh_forest is PAIRS.
+SHINGLE = 5
+PAIRS = 2
 
 _RNG = np.random.default_rng(20)
 _XOR = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2)
@@ -43,17 +46,19 @@ _ODD = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.ui
 _LABELS = np.array([[(t * LEAST + i) % HASHES for i in range(LEVELS)] for t in range(TREES)])
 
 
-def shingles(hasher: Hasher, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted distinct shingle hashes of each row, where each row begins); rows without a word are empty, those with one have it as their shingle."""
+def shingles(hasher: Hasher, data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct hashes of each row's shingles of ``size`` words, where each row begins); rows without a word are empty, those with fewer words have all of them as their one shingle."""
     words, at, _, _ = hasher.of_words(data, offsets, lower=True)
     counts = np.diff(at)
-    pairs = mixed(words * np.uint64(0x9E3779B97F4A7C15) + np.append(words[1:], np.uint64(0)) * np.uint64(0xC2B2AE3D27D4EB4F)) if len(words) else words
-    last = at[1:][counts > 1] - 1
-    single = at[:-1][counts == 1]
-    pairs[single] = mixed(words[single] + np.uint64(1))
-    keep = np.ones(len(words), bool)
-    keep[last] = False
-    row = np.repeat(np.arange(len(counts)), counts)[keep]
+    row = np.repeat(np.arange(len(counts)), counts)
+    place, end = np.arange(len(words)), at[1:][row]
+    pairs = np.zeros(len(words), np.uint64)
+    for k in range(size):
+        # Past the end of its row a word counts as 0.
+        next_word = np.append(words[k:], np.zeros(min(k, len(words)), np.uint64))
+        pairs = mixed(pairs * np.uint64(0x9E3779B97F4A7C15) + np.where(place + k < end, next_word, np.uint64(0)) * np.uint64(0xC2B2AE3D27D4EB4F))
+    keep = (place + size <= end) | (place == at[:-1][row])
+    row = row[keep]
     pairs = pairs[keep]
     # Sorting the hashes with the row in place of their top bits would lose bits: sort by row apart.
     order = np.lexsort((pairs, row))
@@ -76,7 +81,7 @@ def signatures(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _read(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _read(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
     """(doc_id, tk1, tk2, n_shingles, sid, sig); sig only where the task meets the sid for the first time."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), *text_keys(F.col(text)), F.col(text).alias("text"))
 
@@ -85,7 +90,7 @@ def _read(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         for batch in batches:
             sizes, sids, sigs = [], [], []
             for _, _, data, offsets in chunks(*texts(batch.column(3))):
-                sets, at = shingles(hasher, data, offsets)
+                sets, at = shingles(hasher, data, offsets, size)
                 n = np.diff(at)
                 one, two = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
                 full = np.flatnonzero(n)
@@ -242,13 +247,13 @@ def classes(sets: list[np.ndarray], sigs: np.ndarray, percent: int = PERCENT) ->
     return root
 
 
-def _resolve(percent: int):
+def _resolve(percent: int, size: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("idx")
         data, offsets = texts(pa.array(frame["text"], pa.large_string()))
         hasher, sets = Hasher(5), []
         for a, b, some, at in chunks(data, offsets):
-            flat, cuts = shingles(hasher, some, at)
+            flat, cuts = shingles(hasher, some, at, size)
             sets += [flat[cuts[i] : cuts[i + 1]] for i in range(b - a)]
         sigs = np.frombuffer(b"".join(frame["sig"]), np.uint16).reshape(len(frame), HASHES)
         idx = frame["idx"].to_numpy()
@@ -258,10 +263,10 @@ def _resolve(percent: int):
     return run
 
 
-def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, most: int = MOST) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows: doc_id, n_shingles, sid; nodes: sid, idx; classes: node, component by idx) of documents linked at percent / 100 or more."""
+def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, most: int = MOST, size: int = SHINGLE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows: doc_id, n_shingles, sid; nodes: sid, idx; classes: node, component by idx) of documents linked at percent / 100 or more on shingles of ``size`` words."""
     spark = docs.sparkSession
-    rows = written(_read(docs, doc_id, text), "rows")
+    rows = written(_read(docs, doc_id, text, size), "rows")
     sets = rows.where("sid is not null").groupBy("sid").agg(F.max("sig").alias("sig"), F.min(F.struct("tk1", "tk2")).alias("tk"))
     nodes = written(_numbered(sets.select("sid", "sig", "tk.tk1", "tk.tk2")), "nodes")
     pairs = _screened(_forest(nodes), nodes)
@@ -285,7 +290,7 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
     found = first.join(wanted, ["tk1", "tk2"]).dropDuplicates(["tk1", "tk2"]).select("idx", "grp", "text", "sig")
     large = sizes.where(F.col("count") > most)
     if not large.limit(1).collect():
-        out = found.groupBy("grp").applyInPandas(_resolve(percent), "a long, b long")
+        out = found.groupBy("grp").applyInPandas(_resolve(percent, size), "a long, b long")
         return rows, nodes, written(out.withColumnsRenamed({"a": "node", "b": "component"}), "classes")
     found = written(found.join(sizes, "grp").withColumn("part", F.pmod(F.xxhash64("idx"), F.ceil(F.col("count") / most)).cast("int")), "found")
     parts_of = found.select("grp", "part").distinct()
@@ -297,7 +302,7 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
     shared = found.drop("part").join(pivots, ["grp", "idx"], "left_semi").join(parts_of, "grp")
     cols = ["idx", "grp", "text", "sig", "part"]
     round_one = found.select(*cols).union(shared.select(*cols)).dropDuplicates(["grp", "part", "idx"])
-    edges = written(round_one.groupBy("grp", "part").applyInPandas(_resolve(percent), "a long, b long"), "links")
+    edges = written(round_one.groupBy("grp", "part").applyInPandas(_resolve(percent, size), "a long, b long"), "links")
     one = components(edges)
     # The largest class of each group needs no more comparisons within itself; all other nodes get theirs.
     main = one.join(found.select(F.col("idx").alias("node"), "grp"), "node").groupBy("grp", "component").count()
@@ -307,11 +312,11 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
     spread = rest.drop("part").join(parts_of, "grp").select(*cols, "block")
     members = found.select(*cols).join(rest.select("grp", "block").distinct(), "grp").select(*cols, "block")
     round_two = members.union(spread).dropDuplicates(["grp", "part", "block", "idx"])
-    more = round_two.groupBy("grp", "part", "block").applyInPandas(_resolve(percent), "a long, b long")
+    more = round_two.groupBy("grp", "part", "block").applyInPandas(_resolve(percent, size), "a long, b long")
     return rows, nodes, written(components(edges.union(more)), "classes")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, most: int = MOST) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, most: int = MOST, size: int = PAIRS) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept.
 
     component_id is the least doc_id of the class; rows whose doc_id is null take part but give
@@ -319,14 +324,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     are classes of their own. kept: doc_id is the component_id (null counts as equal to null),
     so repeated rows of the least doc_id are all kept. An empty table gives an empty table.
     """
-    rows, named = _named(docs, doc_id, text, percent, most)
+    rows, named = _named(docs, doc_id, text, percent, most, size)
     out = rows.join(named, "sid", "left").withColumn("component_id", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _named(docs: DataFrame, doc_id: str, text: str, percent: int, most: int) -> tuple[DataFrame, DataFrame]:
+def _named(docs: DataFrame, doc_id: str, text: str, percent: int, most: int, size: int) -> tuple[DataFrame, DataFrame]:
     """(rows; sid, component, component_id and the one row of the component that stays)."""
-    rows, nodes, found = links(docs, doc_id, text, percent, most)
+    rows, nodes, found = links(docs, doc_id, text, percent, most, size)
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk1", "tk2")
     least = rows.where("sid is not null").groupBy("sid").agg(F.min(row).alias("low"))
     label = nodes.select("sid", "idx").join(least, "sid").join(found.withColumnRenamed("node", "idx"), "idx", "left").withColumn("component", F.coalesce("component", "idx"))
@@ -334,12 +339,12 @@ def _named(docs: DataFrame, doc_id: str, text: str, percent: int, most: int) ->
     return rows, label.join(lowest, "component").select("sid", "component", F.col("stays.doc_id").alias("component_id"), "stays")
 
 
-def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, most: int = MOST) -> DataFrame:
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, most: int = MOST, size: int = SHINGLE) -> DataFrame:
     """The rows of docs that stay: one of each class, that of the least doc_id (null last, then the least hash of the text), and all without words.
 
     Of repeated rows with one id and one text that stay, one does.
     """
-    rows, named = _named(docs, doc_id, text, percent, most)
+    rows, named = _named(docs, doc_id, text, percent, most, size)
     stays = named.select("stays").distinct().select(F.col("stays.doc_id").alias("__id"), F.col("stays.tk1").alias("__k1"), F.col("stays.tk2").alias("__k2"))
     wordy = F.coalesce(F.col(text).rlike(WORD), F.lit(False))
     k1, k2 = text_keys(F.col(text))

@@ -385,3 +385,29 @@ def test_pipeline_keeps_clean_documents(spark, docs):
         masks = Counter(re.findall("<(EMAIL|IP|CARD|PHONE)>", r.text))
         assert sum(masks.values()) >= (1 if brute.personal(rows[d]) else 0)
         assert not brute.personal(r.text) and r.n_pieces == len(r.pieces)
+
+
+def test_pipeline_near_duplicates_are_on_five_words(spark, docs):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+
+    def five(t):
+        w = brute.WORD.findall(brute.lower(t or ""))
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    # A word changed every 25th: 0.85 on two words, 0.67 on five. Texts of fewer than five words are one shingle.
+    base = [f"s{j}" for j in range(200)]
+    apart = [(9000, " ".join(base)), (9001, " ".join(w if j % 25 != 12 else "x" for j, w in enumerate(base)))]
+    short = [(9002, "a b c"), (9003, "A b  c"), (9004, "a b d"), (9005, "a b c d"), (9006, "b a c"), (9007, "a b c d e")]
+    for rows in (pairs(docs), apart + short):
+        root = {d: d for d, _ in rows}
+        sets = sorted(((d, five(t)) for d, t in rows if five(t)), key=lambda x: len(x[1]))
+        for i, (a, s) in enumerate(sets):
+            for b, t in sets[i + 1 :]:
+                if len(t) * 80 > 100 * len(s):
+                    break
+                if root[a] != root[b] and 100 * len(s & t) >= 80 * len(s | t):
+                    low, high = sorted((root[a], root[b]))
+                    root = {d: low if r == high else r for d, r in root.items()}
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()}
+        assert got == {d for d, r in root.items() if d == r}
