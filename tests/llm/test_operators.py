@@ -411,3 +411,25 @@ def test_pipeline_near_duplicates_are_on_five_words(spark, docs):
         df = spark.createDataFrame(rows, "doc_id long, text string")
         got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()}
         assert got == {d for d, r in root.items() if d == r}
+
+
+def test_op3_every_accepted_stretch_has_a_seed(spark):
+    # Up to its 12th equal word, every part from the start of an accepted stretch scores above 0.
+    patterns, open_ends = [], [((1,), 1)]
+    while open_ends:
+        p, score = open_ends.pop()
+        if sum(p) == 12:
+            patterns.append(p)
+            continue
+        open_ends.append((p + (1,), score + decontam.EQUAL))
+        if score + decontam.UNEQUAL > 0:
+            open_ends.append((p + (0,), score + decontam.UNEQUAL))
+    seeded = lambda p: any(all(p[i + j] for j in m) for m in decontam.MASKS for i in range(len(p) - m[-1]))
+    assert len(patterns) == 728 and all(map(seeded, patterns))
+    # As texts: the item in each pattern with nothing beside it, and a long one with every sixth word changed.
+    ends_best = lambda p: all(sum(3 * x - 2 for x in p[i:]) > 0 for i in range(1, len(p)))
+    some = [p for p in patterns if ends_best(p)] + [tuple(int(i % 6 != 5) for i in range(60))]
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(len(p)))) for i, p in enumerate(some)]
+    worn = [(i, " ".join(f"i{i}w{j}" if x else "changed" for j, x in enumerate(p))) for i, p in enumerate(some)]
+    got = decontam.overlaps(spark.createDataFrame(worn, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.matched) for r in got} == {(i, i, sum(p)) for i, p in enumerate(some)}
