@@ -6,9 +6,11 @@ in it. As both are linear, prediction needs only one row of class scores per buc
 costs a few numpy operations a byte. It is fitted on the driver from a bounded sample of
 labelled rows (FIT whole texts a language, the least by hash), with short excerpts of them
 beside, so that short texts are learned too. CALIBRATE other rows a language then fix a
-temperature and the rejection threshold: the ALPHA quantile of the calibrated probability of
-the right language (split conformal), so about ALPHA of texts in a learned language are
-rejected.
+temperature. The rejection threshold is split conformal over every distinct labelled text that
+wasn't fitted on, which are scored where they lie and only counted: with n of them, it is the
+score of the right language that is the floor(ALPHA * (n + 1))th from below, so at most about
+ALPHA of texts in a learned language are rejected. With fewer than 1 / ALPHA - 1 of them (999)
+no threshold keeps to ALPHA, so only texts without a letter are rejected (``und``).
 """
 
 from __future__ import annotations
@@ -26,11 +28,13 @@ from .common import chunks, texts
 
 BITS = 16
 DIM = 16
-#: Rows a language, at most, that the model is fitted and calibrated on.
+#: Rows a language, at most, that the model is fitted on, and that its temperature is.
 FIT = 300
 CALIBRATE = 400
 #: Share of texts in a learned language that may be rejected.
 ALPHA = 0.001
+#: Parts of the probability scale in which calibration scores are counted.
+BINS = 1 << 16
 LETTER = r"\p{L}"
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -46,6 +50,7 @@ class Model:
     bias: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.0
+    calibrated: int = 0  # texts that the threshold comes from
 
     def probabilities(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Calibrated probabilities of each text; data holds each text between two blanks."""
@@ -93,8 +98,8 @@ def _features(some: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def fit(rows: list[tuple[bytes, str]], calibrate: list[tuple[bytes, str]], epochs: int = 4, rate: float = 2.0, alpha: float = ALPHA, seed: int = 7) -> Model:
-    """Train on rows, calibrate on the others (on rows if there are none)."""
+def fit(rows: list[tuple[bytes, str]], calibrate: list[tuple[bytes, str]], epochs: int = 4, rate: float = 2.0, seed: int = 7) -> Model:
+    """Train on rows, fix the temperature on the others (on rows if there are none); the threshold is 0."""
     langs = sorted({lang for _, lang in rows})
     if not langs:
         return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0))
@@ -124,7 +129,9 @@ def fit(rows: list[tuple[bytes, str]], calibrate: list[tuple[bytes, str]], epoch
                 p = np.exp(z - z.max())
                 p /= p.sum()
                 p[labels[i]] -= 1
-                p *= rate * (1 - done / steps) / share[labels[i]]
+                # No step goes further than the text's own curvature allows: short texts and rare languages else run away.
+                step = rate * (1 - done / steps) / share[labels[i]]
+                p *= step / max(1.0, step * (hidden @ hidden + (part @ part) * len(ids) ** 0.5 * (weight * weight).sum()))
                 back = p @ weight
                 weight -= np.outer(p, hidden)
                 bias -= 0.01 * p
@@ -147,14 +154,45 @@ def fit(rows: list[tuple[bytes, str]], calibrate: list[tuple[bytes, str]], epoch
         return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(z)), truth]).mean())
 
     model.temperature = min(np.geomspace(0.2, 20, 60), key=loss)
-    right = np.sort(probabilities()[np.arange(len(truth)), truth])
-    model.threshold = float(right[int(alpha * (len(right) + 1))]) if alpha * (len(right) + 1) >= 1 else 0.0
-    model.threshold = min(model.threshold, 1 / len(langs) + 0.25 * (1 - 1 / len(langs)))
+    return model
+
+
+def threshold(counts: dict[int, int], alpha: float = ALPHA) -> float:
+    """Split conformal threshold from counts of scores by their part of BINS: the lower edge of the part that holds the floor(alpha * (n + 1))th score from below; 0 where that is none."""
+    rank = int(alpha * (sum(counts.values()) + 1) + 1e-9)
+    if rank < 1:
+        return 0.0
+    for part in sorted(counts):
+        rank -= counts[part]
+        if rank <= 0:
+            return part / BINS
+    return 0.0
+
+
+def calibrated(rows: DataFrame, model: Model, fitted: dict[str, int], alpha: float = ALPHA) -> Model:
+    """model with the threshold of the distinct texts of rows (t, l, h) whose h is above that of the last fitted text of their language."""
+    index, shared = {x: i for i, x in enumerate(model.langs)}, rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            truth, score = np.array([index[x] for x in batch.column(1).to_pylist()], np.int64), np.zeros(len(batch))
+            spaced = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), batch.column(0).cast(pa.large_string()), pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string()))
+            for a, b, data, offsets in chunks(*texts(spaced)):
+                score[a:b] = shared.value.probabilities(data, offsets)[np.arange(b - a), truth[a:b]]
+            part = np.minimum((score * BINS).astype(np.int32), BINS - 1)
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(part)], names=["l", "h", "part"])
+
+    last = F.create_map(*[x for name, h in fitted.items() for x in (F.lit(name), F.lit(h))])
+    # A text without a letter is und whatever its score.
+    others = rows.where((F.col("h") > last[F.col("l")]) & F.col("t").rlike(LETTER)).select("t", "l", "h")
+    once = others.mapInArrow(run, "l string, h long, part int").groupBy("l", "h").agg(F.min("part").alias("part"))
+    counts = {r["part"]: r["count"] for r in once.groupBy("part").count().collect()}
+    model.threshold, model.calibrated = threshold(counts, alpha), sum(counts.values())
     return model
 
 
 def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", per_lang: int = FIT, calibrate: int = CALIBRATE, alpha: float = ALPHA) -> Model:
-    """Fit on the rows where ``learn`` holds and text and lang are there: per_lang + calibrate rows a language, at most, the least by a hash of the text."""
+    """Fit on the rows where ``learn`` holds and text and lang are there: per_lang + calibrate rows a language, at most, the least by a hash of the text; then set the threshold by all that weren't fitted on."""
     rows = docs.where(learn & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"))
     counts = rows.groupBy("l").count().collect()
     bound, ring = per_lang + calibrate, 1 << 40
@@ -167,13 +205,15 @@ def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang"
     sample: dict[str, list[tuple[int, bytes]]] = {}
     for r in once.toLocalIterator():
         sample.setdefault(r["l"], []).append((r["h"], r["t"].encode()))
-    fitted, held = [], []
+    fitted, held, last = [], [], {}
     for name, found in sorted(sample.items()):
         found = sorted(found)[:bound]
         to = min(per_lang, max(1, len(found) * 2 // 3))
         fitted += [(t, name) for _, t in found[:to]]
         held += [(t, name) for _, t in found[to:]]
-    return fit(fitted, held, alpha=alpha)
+        last[name] = found[to - 1][0]
+    model = fit(fitted, held)
+    return calibrated(hashed, model, last, alpha) if model.langs else model
 
 
 def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -433,3 +434,28 @@ def test_op3_every_accepted_stretch_has_a_seed(spark):
     worn = [(i, " ".join(f"i{i}w{j}" if x else "changed" for j, x in enumerate(p))) for i, p in enumerate(some)]
     got = decontam.overlaps(spark.createDataFrame(worn, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id, r.matched) for r in got} == {(i, i, sum(p)) for i, p in enumerate(some)}
+
+
+def test_op2_threshold_is_the_conformal_quantile(spark):
+    # 1,998 scores: the first from below; 1,999: the second. No constant bounds it, and 998 are too few.
+    high = {50_000: 1, 60_000: 1}
+    assert lang_id.threshold(high | {65_000: 1996}) == 50_000 / lang_id.BINS and lang_id.threshold(high | {65_000: 1997}) == 60_000 / lang_id.BINS
+    assert lang_id.threshold({60_000: 998}) == 0.0 and lang_id.threshold({60_000: 999}) == 60_000 / lang_id.BINS and lang_id.threshold({}) == 0.0
+
+
+def test_op2_calibrates_on_all_texts_that_were_not_fitted(spark):
+    # Two languages, more texts than FIT and CALIBRATE hold, each text three times; then too few.
+    words = {"aa": ["bana", "kolo", "mite", "sura", "pelo"], "bb": ["thrx", "wyzz", "krqw", "jhgf", "zzxv"]}
+    rows = [(" ".join([words[x][i % 5], words[x][i // 5 % 5], words[x][i // 25 % 5], f"n{i}"]), x) for x in words for i in range(1000)]
+    df = spark.createDataFrame(rows * 3, "text string, lang string")
+    model = lang_id.train(df, F.lit(True))
+    assert model.calibrated >= 999 and model.threshold > 0
+    out = lang_id.predicted(df.distinct(), model).where("rejected or score < 0").count()
+    assert out <= 2
+    few = lang_id.train(df.where(F.col("text").rlike("n[0-9]{1,2}$")), F.lit(True))
+    assert few.calibrated < 999 and few.threshold == 0.0
+
+
+def test_op2_training_does_not_run_away(spark):
+    model = lang_id.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), ~held_out(4))
+    assert np.abs(model.scores).max() < 1e4 and 0 < model.threshold < 1 and 0.2 < model.temperature < 20
