@@ -194,12 +194,13 @@ def calibrated(rows: DataFrame, model: Model, fitted: dict[str, int], alpha: flo
 def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", per_lang: int = FIT, calibrate: int = CALIBRATE, alpha: float = ALPHA) -> Model:
     """Fit on the rows where ``learn`` holds and text and lang are there: per_lang + calibrate rows a language, at most, the least by a hash of the text; then set the threshold by all that weren't fitted on."""
     rows = docs.where(learn & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"))
-    counts = rows.groupBy("l").count().collect()
     bound, ring = per_lang + calibrate, 1 << 40
+    hashed = rows.withColumn("h", F.pmod(F.xxhash64("t"), F.lit(ring)))
+    # The cut is set by distinct texts, so that copies take no text's place.
+    counts = hashed.select("l", "h").distinct().groupBy("l").count().collect()
     if not counts:
         return fit([], [])
     cut = F.create_map(*[x for r in counts for x in (F.lit(r["l"]), F.lit(int(ring * min(1.0, 1.3 * (bound + 20) / r["count"]))))])
-    hashed = rows.withColumn("h", F.pmod(F.xxhash64("t"), F.lit(ring)))
     # Each text once: copies of a text that falls below the cut are added up where they are read.
     once = hashed.where(F.col("h") < cut[F.col("l")]).dropDuplicates(["l", "h"])
     sample: dict[str, list[tuple[int, bytes]]] = {}

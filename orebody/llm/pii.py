@@ -369,14 +369,14 @@ def all_spans(tagger: Tagger, some: list[str]) -> list[tuple[list[tuple[str, int
 def fitted(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Tagger:
     """A tagger trained on up to ``sample`` texts with a digit or an at sign, about the least by a hash of the text.
 
-    The texts are counted first, and only those with a hash below the cut that leaves about that
+    The distinct texts are counted first, and only those with a hash below the cut that leaves about that
     many come to the driver, each once.
     """
     some = docs.where(F.col(text).rlike("[0-9@]")).select(F.col(text).alias("t"))
     ring = 1 << 40
-    cut = int(ring * min(1.0, 1.5 * (sample + 20) / max(1, some.count())))
-    hashed = some.withColumn("h", F.pmod(F.xxhash64("t"), F.lit(ring))).where(F.col("h") < cut)
-    rows = sorted((r["h"], r["t"]) for r in hashed.dropDuplicates(["h"]).collect())
+    hashed = some.withColumn("h", F.pmod(F.xxhash64("t"), F.lit(ring)))
+    cut = int(ring * min(1.0, 1.5 * (sample + 20) / max(1, hashed.select("h").distinct().count())))
+    rows = sorted((r["h"], r["t"]) for r in hashed.where(F.col("h") < cut).dropDuplicates(["h"]).collect())
     return train([t for _, t in rows[:sample]])
 
 

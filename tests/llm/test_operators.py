@@ -459,3 +459,17 @@ def test_op2_calibrates_on_all_texts_that_were_not_fitted(spark):
 def test_op2_training_does_not_run_away(spark):
     model = lang_id.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), ~held_out(4))
     assert np.abs(model.scores).max() < 1e4 and 0 < model.threshold < 1 and 0.2 < model.temperature < 20
+
+
+def test_samples_are_not_starved_by_copies(spark, monkeypatch):
+    # 300 texts of the language stand beside 200,000 copies of one; all are fitted on or calibrate.
+    copies = spark.range(0, 200_000).selectExpr("'the same text 5 again' AS text", "'en' AS lang")
+    rest = spark.range(0, 300).selectExpr("concat('text number ', id) AS text", "'en' AS lang")
+    other = spark.range(0, 300).selectExpr("concat('autre texte ', id) AS text", "'fr' AS lang")
+    df = copies.union(rest).union(other)
+    seen = []
+    monkeypatch.setattr(lang_id, "fit", lambda rows, held: seen.append(Counter(x for _, x in rows + held)) or lang_id.Model([], np.zeros((1, 0), np.float32), np.zeros(0)))
+    lang_id.train(df, F.lit(True))
+    assert seen == [Counter({"en": 301, "fr": 300})]
+    monkeypatch.setattr(pii, "train", lambda texts: len(texts))
+    assert pii.fitted(df) == pii.SAMPLE
