@@ -4,10 +4,12 @@ Base spans come from the patterns. The tagger is trained on the driver from labe
 base spans of a bounded sample of texts, and spans written into excerpts of the same texts in
 forms that the patterns miss (SAMPLE texts at most). It reads windows of WINDOW characters that
 overlap by half, of which only those with a digit or an at sign can hold a span, as every kind
-needs one; the others are not run. Each window is decoded by Viterbi. Decoded spans compete
-globally in their text: those cut by a window's edge lose to ones that are whole in the window
-beside it, then higher confidence wins, and a span that overlaps a base span is dropped, so
-base spans stay as they are.
+needs one; of the others only those are run into which a span runs from the window beside. Each
+window is decoded by Viterbi. A span that runs out of a window is joined with what the next
+windows have of it, so a span may be of any length; of each character the best confidence counts.
+Decoded spans compete globally in their text: other spans cut by a window's edge are dropped,
+joined ones go first, then higher confidence wins, and a span that overlaps a base span is
+dropped, so base spans stay as they are.
 """
 
 from __future__ import annotations
@@ -307,32 +309,69 @@ def _windows(text: str) -> list[int]:
     return [c * half for c in starts if c * half <= last or c == 0]
 
 
+def _joined(windows: dict[int, list[tuple[int, int, int, np.ndarray]]], size: int) -> list[tuple[float, int, int, int]]:
+    """(confidence, start, end, kind) of spans in several windows of a text: windows has by start the pieces (kind, start, end, sureness of each character) of each."""
+    half, out = WINDOW // 2, []
+    for s, pieces in windows.items():
+        for kind, low, high, sure in pieces:
+            # What begins in the second half of a window begins in the next one too.
+            if low == s > 0 or low >= s + half or high < min(s + WINDOW, size) or high == size:
+                continue
+            parts, at = [(low, high, sure)], s
+            while high == at + WINDOW < size:
+                at += half
+                on = [x for x in windows.get(at, []) if x[0] == kind and x[1] <= high and x[2] > low]
+                if not on:
+                    break
+                _, a, high, sure = max(on, key=lambda x: x[2])
+                parts.append((a, high, sure))
+            else:
+                best = np.zeros(high - low)
+                for a, b, sure in parts:
+                    a, sure = max(a, low), sure[max(0, low - a) :][: high - max(a, low)]
+                    best[a - low : a - low + len(sure)] = np.maximum(best[a - low : a - low + len(sure)], sure)
+                out.append((float(best.min()), low, high, kind))
+    return out
+
+
 def model_spans(tagger: Tagger, some: list[str]) -> list[list[tuple[str, int, int]]]:
     """Spans of the tagger in each text, reconciled over its windows; base spans play no part here."""
     half = WINDOW // 2
     places = [(i, s) for i, t in enumerate(some) for s in _windows(t)]
-    found: list[list[tuple[bool, float, int, int, int]]] = [[] for _ in some]
-    for lo in range(0, len(places), 1024):
-        part = places[lo : lo + 1024]
-        codes = np.full((len(part), WINDOW), PAD)
-        for j, (i, s) in enumerate(part):
-            piece = some[i][s : s + WINDOW]
-            codes[j, : len(piece)] = _codes(piece)
-        tags, sure = tagger.decode(codes)
-        for j in np.flatnonzero(tags.any(axis=1)).tolist():
-            i, s = part[j]
-            row, size = tags[j], min(WINDOW, len(some[i]) - s)
-            for a in np.flatnonzero(row[:size] % 2 == 1).tolist():
-                b = a + 1
-                while b < size and row[b] == row[a] + 1:
-                    b += 1
-                cut = a == 0 and s > 0 or b == size and s + size < len(some[i])
-                found[i].append((cut, -float(sure[j, a:b].min()), s + a, s + b, int(row[a]) // 2))
+    run = set(places)
+    found: list[dict[int, list[tuple[int, int, int, np.ndarray]]]] = [{} for _ in some]
+    while places:
+        beside = set()
+        for lo in range(0, len(places), 1024):
+            part = places[lo : lo + 1024]
+            codes = np.full((len(part), WINDOW), PAD)
+            for j, (i, s) in enumerate(part):
+                piece = some[i][s : s + WINDOW]
+                codes[j, : len(piece)] = _codes(piece)
+            tags, sure = tagger.decode(codes)
+            for j in np.flatnonzero(tags.any(axis=1)).tolist():
+                i, s = part[j]
+                row, size = tags[j], min(WINDOW, len(some[i]) - s)
+                for a in np.flatnonzero(row[:size] % 2 == 1).tolist():
+                    b = a + 1
+                    while b < size and row[b] == row[a] + 1:
+                        b += 1
+                    before, after = a == 0 and s > 0, b == size and s + size < len(some[i])
+                    found[i].setdefault(s, []).append((int(row[a]) // 2, s + a, s + b, sure[j, a:b]))
+                    beside |= {(i, s - half)} if before else set()
+                    beside |= {(i, s + half)} if after else set()
+        # A span that runs out of a window is followed into the next one.
+        places = sorted(beside - run)
+        run |= beside
     out = []
-    for spans in found:
+    for text, windows in zip(some, found, strict=True):
+        spans = {(0, -p, a, b, k) for p, a, b, k in _joined(windows, len(text))}
+        for s, pieces in windows.items():
+            spans |= {(1, -float(p.min()), a, b, k) for k, a, b, p in pieces if (a > s or s == 0) and (b < s + WINDOW or b == len(text))}
         taken: list[tuple[str, int, int]] = []
-        for cut, minus, a, b, kind in sorted(set(spans)):
-            if not cut and -minus >= SURE and b - a <= half and all(b <= x or a >= y for _, x, y in taken):
+        for whole, minus, a, b, kind in sorted(spans):
+            # A joined span that can't be one hides none of its parts.
+            if -minus >= SURE and (whole or _plausible(KINDS[kind], text[a:b])) and all(b <= x or a >= y for _, x, y in taken):
                 taken.append((KINDS[kind], a, b))
         out.append(taken)
     return out

@@ -473,3 +473,21 @@ def test_samples_are_not_starved_by_copies(spark, monkeypatch):
     assert seen == [Counter({"en": 301, "fr": 300})]
     monkeypatch.setattr(pii, "train", lambda texts: len(texts))
     assert pii.fitted(df) == pii.SAMPLE
+
+
+def test_op4_spans_longer_than_half_a_window(docs):
+    texts = sorted({t for _, t in pairs(docs) if t and pii._TRIGGER.search(t)})
+    tagger, rng = pii.train(texts), random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 10)))
+    blank = [w for _, t in pairs(docs) if t for w in t.split() if w.isalpha()]
+    around = lambda: " ".join(rng.choice(blank) for _ in range(rng.randint(5, 20)))
+    for low, high in ((33, 45), (46, 64), (65, 90)):
+        some, want = [], []
+        while len(some) < 100:
+            mail = f"{'.'.join(word() for _ in range(rng.randint(1, 4)))} @ {'.'.join(word() for _ in range(rng.randint(1, 6)))}.example.org"
+            if low <= len(mail) <= high:
+                before = around() + " "
+                some.append(f"{before}{mail} {around()}")
+                want.append(("email", len(before), len(before) + len(mail)))
+        every = [x for _, x in pii.all_spans(tagger, some)]
+        assert sum(x in spans for x, spans in zip(want, every, strict=True)) >= 75
