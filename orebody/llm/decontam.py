@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, text_keys
 
 #: Least words of an item.
 SPAN = 12
@@ -47,15 +47,24 @@ def overlaps(docs: DataFrame, tests: DataFrame, doc_id: str = "doc_id", item_id:
 
     Null or short texts (fewer than 12 words) and items of fewer than 12 words overlap with
     nothing. Rows with a null id give a row with a null id. Documents with one id are
-    taken together (best stretch). An empty benchmark gives no row.
+    taken together (best stretch), but each is verified by itself. An empty benchmark gives no row.
     """
+    found = _stretches(docs, tests, doc_id, item_id, text, least)
+    best = F.max(F.struct(F.col("s.best_equal").alias("matched"), (-F.col("__start") - F.col("s.best_from")).alias("neg"), (F.col("s.best_to") - F.col("s.best_from") + 1).alias("span"), "item_words"))
+    out = found.groupBy("doc_id", "item_id").agg(best.alias("b"))
+    return out.select("doc_id", "item_id", F.col("b.matched").cast("long").alias("matched"), F.col("b.item_words").cast("long").alias("item_words"), (-F.col("b.neg")).cast("long").alias("start"), F.col("b.span").cast("long").alias("span"))
+
+
+def _stretches(docs: DataFrame, tests: DataFrame, doc_id: str, item_id: str, text: str, least: int) -> DataFrame:
+    """Accepted stretches of each row: its key (doc_id, tk1, tk2: the id and the hash of the text), item_id, __start, item_words, s."""
+    row = ["doc_id", "tk1", "tk2"]
     items = tests.select(F.col(item_id).alias("item_id"), _hashes(text).alias("__ih")).where(F.size("__ih") >= SPAN)
     seeds = items.select("item_id", "__ih", F.posexplode_outer("__ih").alias("__ip", "__w")).where("__ip is not null")
     seeds = seeds.select("item_id", "__ip", F.explode(F.array(*_keys(F.col("__ih"), F.col("__ip")))).alias("__key")).where("__key is not null")
     small = seeds.count() <= BROADCAST_ROWS
     hint = F.broadcast if small else (lambda x: x)
-    words = docs.select(F.col(doc_id).alias("doc_id"), _hashes(text).alias("__dh"))
-    at = words.select("doc_id", "__dh", F.posexplode_outer("__dh").alias("__dp", "__w")).where("__dp is not null")
+    words = docs.select(F.col(doc_id).alias("doc_id"), *text_keys(F.col(text)), _hashes(text).alias("__dh"))
+    at = words.select(*row, "__dh", F.posexplode_outer("__dh").alias("__dp", "__w")).where("__dp is not null")
     keyed = at.withColumns({f"__k{m}": k for m, k in enumerate(_keys(F.col("__dh"), F.col("__dp")))})
     if small:
         keys = seeds.select("__key").distinct()
@@ -68,20 +77,17 @@ def overlaps(docs: DataFrame, tests: DataFrame, doc_id: str = "doc_id", item_id:
     # A slice of the text around the hit is all that an item of some length can be laid on.
     longest = items.agg(F.max(F.size("__ih"))).first()[0] or SPAN
     low = F.greatest(F.col("__dp") - longest, F.lit(0))
-    around = keyed.select("doc_id", "__dp", low.alias("__low"), F.slice("__dh", low + 1, 2 * longest).alias("__part"), F.explode(F.array(*kept)).alias("__key")).where("__key is not null")
+    around = keyed.select(*row, "__dp", low.alias("__low"), F.slice("__dh", low + 1, 2 * longest).alias("__part"), F.explode(F.array(*kept)).alias("__key")).where("__key is not null")
     hits = around.join(hint(seeds), "__key").withColumn("__start", F.col("__dp") - F.col("__ip"))
-    hits = hits.dropDuplicates(["doc_id", "item_id", "__start"]).join(hint(items), "item_id")
+    hits = hits.dropDuplicates([*row, "item_id", "__start"]).join(hint(items), "item_id")
     laid = F.transform("__ih", lambda w, i: F.when(F.coalesce(F.get("__part", F.col("__start") - F.col("__low") + i) == w, F.lit(False)), F.lit(EQUAL)).otherwise(F.lit(UNEQUAL)))
     stretch = F.aggregate(
         laid,
         F.struct(*[F.lit(0).alias(c) for c in ("run", "equal", "from", "i", "best", "best_equal", "best_from", "best_to")]),
         _step,
     )
-    found = hits.select("doc_id", "item_id", "__start", F.size("__ih").alias("item_words"), stretch.alias("s"))
-    found = found.where(F.col("s.best_equal") >= F.least(F.lit(least), F.col("item_words")))
-    best = F.max(F.struct(F.col("s.best_equal").alias("matched"), (-F.col("__start") - F.col("s.best_from")).alias("neg"), (F.col("s.best_to") - F.col("s.best_from") + 1).alias("span"), "item_words"))
-    out = found.groupBy("doc_id", "item_id").agg(best.alias("b"))
-    return out.select("doc_id", "item_id", F.col("b.matched").cast("long").alias("matched"), F.col("b.item_words").cast("long").alias("item_words"), (-F.col("b.neg")).cast("long").alias("start"), F.col("b.span").cast("long").alias("span"))
+    found = hits.select(*row, "item_id", "__start", F.size("__ih").alias("item_words"), stretch.alias("s"))
+    return found.where(F.col("s.best_equal") >= F.least(F.lit(least), F.col("item_words")))
 
 
 def _step(a: Column, score: Column) -> Column:
@@ -99,6 +105,10 @@ def _step(a: Column, score: Column) -> Column:
 
 
 def clean(docs: DataFrame, tests: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 12) -> DataFrame:
-    """docs without those that overlap with a benchmark item; rows with a null id stay only if no null-id row overlaps."""
-    bad = overlaps(docs, tests, doc_id, text=text, least=least).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("__bad")), "left_anti")
+    """docs without those that overlap with a benchmark item; each row by itself, whatever ids it shares with others."""
+    found = _stretches(docs, tests, doc_id, "item_id", text, least)
+    bad = found.select(F.col("doc_id").alias("__bad"), F.col("tk1").alias("__tk1"), F.col("tk2").alias("__tk2")).distinct()
+    k1, k2 = text_keys(F.col(text))
+    keyed = docs.withColumns({"__k1": k1, "__k2": k2})
+    same = F.col(doc_id).eqNullSafe(F.col("__bad")) & (F.col("__k1") == F.col("__tk1")) & (F.col("__k2") == F.col("__tk2"))
+    return keyed.join(bad, same, "left_anti").drop("__k1", "__k2")

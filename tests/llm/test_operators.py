@@ -491,3 +491,13 @@ def test_op4_spans_longer_than_half_a_window(docs):
                 want.append(("email", len(before), len(before) + len(mail)))
         every = [x for _, x in pii.all_spans(tagger, some)]
         assert sum(x in spans for x, spans in zip(want, every, strict=True)) >= 75
+
+
+def test_op3_rows_that_share_an_id_stand_alone(spark):
+    item = [f"item{i}" for i in range(40)]
+    whole, weak = " ".join(item), " ".join(w if i in range(7) else f"other{i}" for i, w in enumerate(item))
+    d = spark.createDataFrame([(x, t) for x in (None, 1) for t in (weak, whole, "clean text of few words", None)] + [(2, weak)], "doc_id long, text string").repartition(1)
+    t = spark.createDataFrame([(7, whole)], "item_id long, text string")
+    assert {(r.doc_id, r.matched, r.start) for r in decontam.overlaps(d, t).collect()} == {(None, 40, 0), (1, 40, 0)}
+    kept = [(r.doc_id, r.text) for r in decontam.clean(d, t).collect()]
+    assert key(kept) == key([(x, t) for x in (None, 1) for t in (weak, "clean text of few words", None)] + [(2, weak)])
