@@ -3,8 +3,9 @@
 Counts come from the whole text. Cutoffs are learned from labelled rows (quality 1: good): for
 each stratum, feature and cutoff of a fixed grid, the number of good holdout rows that the
 cutoff would reject is tested against the allowed false-rejection rate with the exact binomial
-tail, at a level divided by the number of all tests (Bonferroni); the strictest cutoff that
-passes is taken, and where none passes the feature rejects nothing in that stratum. Each
+tail. The cutoffs of a stratum and feature are tested in a fixed sequence from loose to strict,
+each at delta divided by the number of strata and features, up to the first that fails; the last
+that passes is taken, and where none passes the feature rejects nothing in that stratum. Each
 feature has an equal part of alpha, so with probability 1 - delta no stratum's learned rules
 together reject more than alpha of its good rows.
 """
@@ -106,9 +107,13 @@ def thresholds(labelled: DataFrame, stratum: str, good: str = "quality", alpha:
     counts = strata.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.sum((F.col(f) > c).cast("long")).alias(f"{f}:{i}") for f, cs in grid.items() for i, c in enumerate(cs)])
     cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(c).alias("cutoff"), F.col(f"`{f}:{i}`").alias("k")) for f, cs in grid.items() for i, c in enumerate(cs)])
     tests = counts.select("stratum", "n", F.inline(cells))
-    # One test for each stratum and grid cell: delta is shared equally among all of them.
-    tests = tests.withColumn("tests", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
-    proven = F.when((F.col("k") <= F.col("n") * part) & (binomial_tail(F.col("k"), F.col("n"), part) <= delta / F.col("tests")), F.col("cutoff"))
+    # One sequence for each stratum and feature: delta is shared equally among all of them.
+    cells_each = sum(len(cs) for cs in grid.values())
+    tests = tests.withColumn("sequences", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))) / cells_each * len(grid))
+    passes = (F.col("k") <= F.col("n") * part) & (binomial_tail(F.col("k"), F.col("n"), part) <= delta / F.col("sequences"))
+    looser = Window.partitionBy("stratum", "feature").orderBy(F.desc("cutoff")).rowsBetween(Window.unboundedPreceding, 0)
+    proven = F.when(F.col("unbroken"), F.col("cutoff"))
+    tests = tests.withColumn("passes", passes).withColumn("unbroken", F.min("passes").over(looser))
     return tests.groupBy("stratum", "feature").agg(F.coalesce(F.min(proven), F.lit(float("inf"))).alias("cutoff"))
 
 

@@ -501,3 +501,12 @@ def test_op3_rows_that_share_an_id_stand_alone(spark):
     assert {(r.doc_id, r.matched, r.start) for r in decontam.overlaps(d, t).collect()} == {(None, 40, 0), (1, 40, 0)}
     kept = [(r.doc_id, r.text) for r in decontam.clean(d, t).collect()]
     assert key(kept) == key([(x, t) for x in (None, 1) for t in (weak, "clean text of few words", None)] + [(2, weak)])
+
+
+def test_op7_cutoffs_are_tested_in_a_fixed_sequence(spark):
+    # 2,500 good rows in each of four strata: too few for delta over 160 tests, enough for 16 sequences.
+    rows = spark.range(0, 10_000).selectExpr("concat('s', id % 4) AS lang", "100L AS n_words", "500L AS word_chars", "0L AS n_symbols", "0L AS n_dup_lines", "0L AS n_repeat_words", "1 AS quality")
+    cut = {(x.stratum, x.feature): x.cutoff for x in quality.thresholds(rows, "lang").collect()}
+    assert len(cut) == 16 and all(cut[x, f] == min(c) for (x, f) in cut for c in [quality.GRID[f]])
+    short = quality.thresholds(rows.where("lang = 's1'").limit(2000).union(rows.where("lang <> 's1'")), "lang").collect()
+    assert {x.cutoff for x in short if x.stratum == "s1"} == {math.inf}
