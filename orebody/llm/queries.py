@@ -35,7 +35,7 @@ def op7_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     rows = written(quality.features(docs), "features")
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    cutoffs = written(quality.thresholds(rows.join(labels, "doc_id"), "lang"), "cutoffs")
+    cutoffs = written(quality.thresholds(rows.join(labels, "doc_id"), "lang", key="doc_id"), "cutoffs")
     out = quality.verdicts(rows, cutoffs, "lang")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 

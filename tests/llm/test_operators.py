@@ -503,10 +503,69 @@ def test_op3_rows_that_share_an_id_stand_alone(spark):
     assert key(kept) == key([(x, t) for x in (None, 1) for t in (weak, "clean text of few words", None)] + [(2, weak)])
 
 
+def _plain_cutoffs(rows, alpha=quality.ALPHA, delta=quality.DELTA):
+    """{stratum: {feature: cutoff}} from rows (stratum, tune, {feature: value}) of good rows."""
+    from math import comb
+
+    out, features = {}, list(quality.GRID)
+    strata = {s for s, tune, _ in rows if not tune}
+    for s in strata:
+        part = {t: [v for x, tune, v in rows if x == s and tune == t] for t in (True, False)}
+        least = {f: next((i for i, c in enumerate(quality.GRID[f]) if sum(v[f] > c for v in part[True]) <= alpha / len(features) * len(part[True])), 10) for f in features}
+        best = None
+        for t in range(9, -1, -1):
+            cut = {f: quality.GRID[f][max(t, least[f])] if max(t, least[f]) < 10 else math.inf for f in features}
+            n, k = len(part[False]), sum(any(v[f] > cut[f] for f in features) for v in part[False])
+            if k > alpha * n or sum(comb(n, i) * alpha**i * (1 - alpha) ** (n - i) for i in range(k + 1)) > delta / len(strata):
+                break
+            best = cut
+        out[s] = best or dict.fromkeys(features, math.inf)
+    return out
+
+
+def test_op7_verdicts_on_the_tables(spark):
+    """Cutoffs and verdicts at sf0.1 against a plain version; the method rejects, and good rows are left alone."""
+    sf = "/root/testdata/sf0.1"
+    got = QUERIES["op7_risk_controlled_quality"](spark, sf)
+    extra = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").join(spark.read.parquet(f"{sf}/labels.parquet").groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id", "left")
+    tune = F.pmod(F.xxhash64("doc_id", F.lit("tune")), F.lit(quality.TUNE)) == 0
+    rows = got.join(extra, "doc_id").withColumn("tune", tune).collect()
+
+    def value(r):
+        n = max(1, r.n_words)
+        return {"symbol_share": r.n_symbols / max(1, r.word_chars), "dup_line_share": r.n_dup_lines * 8 / n, "repeat_share": r.n_repeat_words / n, "mean_word": r.word_chars / n}
+
+    cut = _plain_cutoffs([(r.lang, r.tune, value(r)) for r in rows if r.quality == 1])
+    assert sum(min(c.values()) < math.inf for c in cut.values()) >= 3
+    for r in rows:
+        want = not r.base_failed and all(x <= cut.get(r.lang, {}).get(f, math.inf) for f, x in value(r).items())
+        assert r.kept == want
+    by_method = [r for r in rows if not r.base_failed and not r.kept]
+    assert len(by_method) > 100
+    for lang in cut:
+        good = [r for r in rows if r.lang == lang and r.quality == 1]
+        assert sum(not r.kept and not r.base_failed for r in good) <= quality.ALPHA * len(good)
+    bad = [r for r in rows if r.quality == 0]
+    assert sum(not r.kept for r in bad) >= 0.9 * len(bad)
+
+
 def test_op7_cutoffs_are_tested_in_a_fixed_sequence(spark):
-    # 2,500 good rows in each of four strata: too few for delta over 160 tests, enough for 16 sequences.
-    rows = spark.range(0, 10_000).selectExpr("concat('s', id % 4) AS lang", "100L AS n_words", "500L AS word_chars", "0L AS n_symbols", "0L AS n_dup_lines", "0L AS n_repeat_words", "1 AS quality")
+    # 400 good rows in each of four strata, one null: (1 - alpha) ** 400 is below delta / 4; 200 are too few.
+    rows = spark.range(0, 1600).selectExpr("nullif(concat('s', id % 4), 's3') AS lang", "100L AS n_words", "500L AS word_chars", "0L AS n_symbols", "0L AS n_dup_lines", "0L AS n_repeat_words", "1 AS quality")
     cut = {(x.stratum, x.feature): x.cutoff for x in quality.thresholds(rows, "lang").collect()}
-    assert len(cut) == 16 and all(cut[x, f] == min(c) for (x, f) in cut for c in [quality.GRID[f]])
-    short = quality.thresholds(rows.where("lang = 's1'").limit(2000).union(rows.where("lang <> 's1'")), "lang").collect()
-    assert {x.cutoff for x in short if x.stratum == "s1"} == {math.inf}
+    assert len(cut) == 16 and (None, "mean_word") in cut and all(cut[x, f] == min(c) for (x, f) in cut for c in [quality.GRID[f]])
+    short = quality.thresholds(rows.where("lang = 's1'").limit(200).union(rows.where("lang is distinct from 's1'")), "lang").collect()
+    assert {x.cutoff for x in short if x.stratum == "s1"} == {math.inf} and all(x.cutoff < math.inf for x in short if x.stratum != "s1")
+    # Bad luck at one level stops the sequence there: 30 of 1,000 good rows have symbols, so stricter levels fail.
+    some = spark.range(0, 1000).selectExpr("'a' AS lang", "100L AS n_words", "500L AS word_chars", "IF(id < 30, 45L, 0L) AS n_symbols", "0L AS n_dup_lines", "0L AS n_repeat_words", "1 AS quality")
+    got = {x.feature: (x.cutoff, x.n, x.rejected) for x in quality.thresholds(some, "lang").collect()}
+    assert got["symbol_share"] == (0.12, 1000, 0) and got["mean_word"][0] == quality.GRID["mean_word"][5]
+
+
+def test_op7_edges(spark, empty):
+    rows = quality.features(spark.createDataFrame([(1, None, None), (1, "w " * 30, None), (1, "w " * 30, None), (2, "", "")], "doc_id long, text string, lang string"))
+    none = quality.thresholds(rows.withColumn("quality", F.lit(1)).limit(0), "lang")
+    assert none.count() == 0
+    out = quality.verdicts(rows, none, "lang").collect()
+    assert len(out) == 4 and not any(r.kept for r in out)
+    assert quality.verdicts(quality.features(empty), none, "lang").count() == 0
