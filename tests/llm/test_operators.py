@@ -275,6 +275,57 @@ def test_op6_pages(source, want):
     assert html_extract.main_text(source) == want
 
 
+ARTICLE = "<h1>Title here</h1><p>The first paragraph, which is long enough, says something.</p><p>The second one, shorter, too.</p>"
+ARTICLE_TEXT = "Title here\nThe first paragraph, which is long enough, says something.\nThe second one, shorter, too."
+
+
+@pytest.mark.parametrize("name", ["overflow-hidden", "text-search", "post-header", "article-comment", "site ads-free", "has-sidebar", "comments", "content banner"])
+def test_op6_a_name_does_not_lose_the_article(name):
+    assert html_extract.main_text(page(f"<nav>Menu</nav><div class='{name}'>{ARTICLE}</div><div class='sidebar'>Other things, of no matter.</div>")) == ARTICLE_TEXT
+    assert html_extract.main_text(page(f"<div class='{name}'><article>{ARTICLE}</article></div><div class='ad'>Buy, buy, buy now</div>")) == ARTICLE_TEXT
+
+
+@pytest.mark.parametrize("name", ["comments", "post-comments", "sidebar", "right-sidebar", "cookie-banner", "ad", "related", "visually-hidden", "newsletter-signup"])
+def test_op6_names_still_take_out(name):
+    assert html_extract.main_text(page(f"<div id='main'><div class='post'>{ARTICLE}</div><div class='{name}'><p>Something else, of some length, yes.</p></div></div>")) == ARTICLE_TEXT
+    assert html_extract.main_text(page(f"<article>{ARTICLE}<div class='{name}'>Something else, of some length, yes.</div></article>")) == ARTICLE_TEXT
+
+
+def test_op6_time_is_in_proportion_to_the_page():
+    import time
+
+    hostile = lambda n: ["<div>" * n + "text" + "</p>" * n, "<a \"" * n, "<a =\">\" " * n, "<p class=" + "a" * n, "<li>" * n + "x", "<div " + "b" * n + ">" + "y" * 9, "<" * n, "<!" * n, "<ul><li>" * n + "<p>t</ul>" * n]
+    for small, large in zip(hostile(2_000), hostile(32_000), strict=True):
+        began = time.process_time()
+        html_extract.main_text(small)
+        middle = time.process_time()
+        html_extract.main_text(large)
+        assert time.process_time() - middle < 64 * max(middle - began, 0.005), small[:20]
+
+
+def test_op6_articles_come_through_what_surrounds_them():
+    """Pages written around known paragraphs, in several layouts: each article comes back whole."""
+    r = random.Random(6)
+    sentence = lambda: " ".join(r.choice(["stone", "river", "garden", "window", "quiet", "market", "winter"]) for _ in range(r.randrange(6, 18))) + r.choice([", and more.", ".", ", it was said."])
+    for i in range(60):
+        paragraphs = [" ".join(sentence() for _ in range(r.randrange(1, 5))) for _ in range(r.randrange(3, 9))]
+        body = "".join(f"<p>{p.replace('river', '<b>river</b>')}</p>" for p in paragraphs)
+        links = "<ul>" + "".join(f"<li><a href='/{j}'>{sentence()}</a></li>" for j in range(r.randrange(2, 9))) + "</ul>"
+        wrapper = r.choice(["article", "main", "div class='post-body'", "div id='content'", "section", "div class='no-ads wide'", "td"])
+        inner = f"<{wrapper}>{body}</{wrapper.split()[0]}>"
+        inner = f"<table><tr><td>{links}</td>{inner}</tr></table>" if wrapper == "td" else inner
+        text = page(f"<div class='top-menu'>{links}</div><div class='wrap'>{inner}<div class='{r.choice(['sidebar', 'related-posts', 'comments'])}'><p>{sentence()}</p></div>{links}</div><footer>{sentence()}</footer>")
+        assert html_extract.main_text(text) == "\n".join(paragraphs), i
+
+
+def test_op6_edges(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html_extract.extracted(none).count() == 0
+    long = "<p>" + "word, " * 200_000 + "</p>"
+    got = html_extract.extracted(spark.createDataFrame([(1, long), (1, long), (None, None)], "page_id long, html string")).collect()
+    assert sorted(r.n_chars for r in got) == [0, 1_199_999, 1_199_999]
+
+
 def test_op6_query(spark):
     rows = QUERIES["op6_html_extract"](spark, SF).collect()
     assert len(rows) == spark.read.parquet(f"{SF}/pages.parquet").count() and all(r.n_chars == len(r.text) for r in rows)
