@@ -2,21 +2,21 @@
 
 A text is its words in order (A-Z lower-cased) and one end. Its probability is the sum over all
 its segmentations into pieces of an existing vocabulary, found by a forward recursion in log
-space. No piece crosses a word's start, so it is the product over the words, times that of the
-end. Piece weights start from the vocabulary's own scores (the file at hand is a BPE model whose
-scores are merge ranks: see lattice.log_scores) and are fitted by ROUNDS of expectation
-maximisation over all segmentations, with the starting weights as a prior. A character without
-a piece is spelled in bytes, which share a fixed BYTES of the mass. Beside its segmentations,
-each training word has one edge over the whole word, which weighs its count less a discount
-(from the counts of counts, as in modified Kneser-Ney) over all tokens; what the discounts save
-is the weight of the pieces, which are fitted to the words in proportion to it. All words'
-probabilities and the end's add up to at most 1.
+space: each piece, and the end, by its weight. No piece crosses a word's start, so it is the
+product over the words, times that of the end. Piece weights start from the vocabulary's own
+scores (the file at hand is a BPE model whose scores are merge ranks: see lattice.log_scores) and
+are fitted to all training words by ROUNDS of expectation maximisation over all segmentations,
+with the starting weights as a prior. A character without a piece is spelled in bytes, which
+share a fixed BYTES of the mass. That is ``score``. ``prior_score`` is the same sum with the
+vocabulary's scores as they stand. Beside both, ``word_score`` gives each training word one more
+edge over the whole word, which weighs its count less a discount (from the counts of counts, as
+in modified Kneser-Ney) over all tokens; what the discounts save goes to the segmentations.
 
 At scale: words are counted in each task, then by a shuffle on the word; the lattice runs once
-for each distinct word. Words more frequent than a threshold, at most FREQUENT of them, are
-broadcast as (hash, count, score); each text adds those up where it is read, and only the
-occurrences of rarer words are shuffled to theirs and back. No key in that shuffle is hot, as
-the hot words are the broadcast ones.
+for each distinct word. The most frequent words, at most FREQUENT of them, are broadcast as
+(hash, count, scores); each text adds those up where it is read, and only the occurrences of
+rarer words are shuffled to theirs and back. No key in that shuffle is hot: a word that is not
+among the FREQUENT most frequent has at most 1 / FREQUENT of all occurrences.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ ROUNDS = 3
 #: Pseudo-count of the prior weights, in pieces.
 PRIOR = 1000.0
 BYTES = 1e-5
-#: Words that are broadcast, at most (24 bytes each).
+#: Words that are broadcast, at most (40 bytes each).
 FREQUENT = 400_000
 _MARK = lattice.MARK.encode()
 _SEED = 7
@@ -68,16 +68,16 @@ def word_logs(vocabulary: lattice.Vocabulary, p: np.ndarray, words: list[str]) -
 
 
 def count_words(docs: DataFrame, learn: str, text: str) -> DataFrame:
-    """(word, n): every distinct word of docs and its count where ``learn`` holds."""
+    """(word, n, m): every distinct word of docs, its count where ``learn`` holds, and its count in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
-        other: set[bytes] = set()
+        other: Counter[bytes] = Counter()
 
         def out() -> Iterator[pa.RecordBatch]:
-            words = [*counts, *(other - counts.keys())]
-            n = [*counts.values()] + [0] * (len(words) - len(counts))
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names=["word", "n"])
+            words = [*counts, *(other.keys() - counts.keys())]
+            n = [counts[w] for w in words]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array([c + other[w] for w, c in zip(words, n, strict=True)], pa.int64())], names=["word", "n", "m"])
 
         for batch in batches:
             for yes, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -90,7 +90,7 @@ def count_words(docs: DataFrame, learn: str, text: str) -> DataFrame:
         if counts or other:
             yield from out()
 
-    return docs.select(learn, text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(learn, text).mapInArrow(run, "word string, n long, m long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
 def discounts(of_counts: dict[int, int]) -> np.ndarray:
@@ -100,10 +100,11 @@ def discounts(of_counts: dict[int, int]) -> np.ndarray:
     return np.array([0.0] + [min(max(c - (c + 1) * y * n[c + 1] / n[c] if n[c] else 0.5 * c, 0.1), c - 0.1) for c in (1, 2, 3)])
 
 
-def fit(words: DataFrame, discount: np.ndarray, model: str = MODEL, rounds: int = ROUNDS) -> np.ndarray:
-    """Probability of each piece from (word, n), over all rows, each word by its discount."""
+def fit(words: DataFrame, ends: int, model: str = MODEL, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """(probability of each piece, that of the end) from (word, n), over all rows; they and BYTES add up to 1."""
     vocabulary = lattice.load(model)
-    p = start = prior(vocabulary)
+    start = prior(vocabulary)
+    p, end = start * (1 - BYTES) / 2, 0.5
     size, spark = len(start), words.sparkSession
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(p)
@@ -114,27 +115,48 @@ def fit(words: DataFrame, discount: np.ndarray, model: str = MODEL, rounds: int
             for batch in batches:
                 if len(batch):
                     g, unknown = _lattice(v, batch.column(0).to_pylist())
-                    total += lattice.expected(g, logs, unknown, discount[np.minimum(batch.column(1).to_numpy(), 3)], size)[0]
+                    total += lattice.expected(g, logs, unknown, batch.column(1).to_numpy().astype(float), size)[0]
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["piece", "count"])
 
         counts = np.zeros(size)
-        for r in words.where("n > 0").mapInArrow(run, "piece int, count double").groupBy("piece").agg(F.sum("count").alias("count")).collect():
+        for r in words.where("n > 0").select("word", "n").mapInArrow(run, "piece int, count double").groupBy("piece").agg(F.sum("count").alias("count")).collect():
             counts[r["piece"]] = r["count"]
-        p = (counts + PRIOR * start) / (counts.sum() + PRIOR) * (1 - BYTES)
+        counts += PRIOR * start
+        end = (ends + 0.5) / (counts.sum() + ends + 0.5) * (1 - BYTES)
+        p = counts / (counts.sum() + ends + 0.5) * (1 - BYTES)
         shared.unpersist()
-    return p
+    return p, end
+
+
+#: Counts up to EXACT are told apart one by one, greater ones by factors of 1.002.
+EXACT = 1000
+
+
+def _least(logs: DataFrame, frequent: int) -> int:
+    """The least count of a word, over all texts, such that at most ``frequent`` words have it or more."""
+    size = F.when(F.col("m") <= EXACT, F.col("m")).otherwise(EXACT + F.ceil(F.log(F.col("m") / EXACT) * 500))
+    least, total = 1 << 62, 0
+    for r in sorted(logs.groupBy(size.cast("long").alias("bin")).agg(F.min("m").alias("least"), F.count(F.lit(1)).alias("k")).collect(), key=lambda r: -r["bin"]):
+        total += r["k"]
+        if total > frequent:
+            break
+        least = r["least"]
+    return least
+
+
+SUMS = ("__known", "__base", "__lp", "__pp", "__wp")
 
 
 def scored(docs: DataFrame, held_out: Column, text: str = "text", model: str = MODEL, rounds: int = ROUNDS, frequent: int = FREQUENT) -> DataFrame:
-    """docs (without the text) with held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """docs (without the text) with held_out, n_tokens, n_known, train_tokens, base_score, score, prior_score, word_score.
 
     A null text is empty: one token, the end. Each row is scored, repeated rows alike and each
     counted in training. With nothing to learn from, counts are 0 and the base and the model
-    keep their priors. Columns with the new names are replaced.
+    keep their priors. An empty table stays empty. Columns with the new names are replaced.
     """
     spark = docs.sparkSession
-    new = ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    new = ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "prior_score", "word_score"]
     names = [c for c in docs.columns if c != text and c not in new]
     rows = docs.select(*[F.col(f"`{c}`") for c in names], held_out.alias("__held"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     words = written(count_words(rows.withColumn("__learn", ~F.col("__held")), "__learn", "__text"), "words")
@@ -146,40 +168,35 @@ def scored(docs: DataFrame, held_out: Column, text: str = "text", model: str = M
     saved = float(words.agg(F.coalesce(F.sum(F.element_at(F.array(*map(F.lit, discount.tolist())), (F.least("n", F.lit(3)) + 1).cast("int"))), F.lit(0.0))).first()[0])
     # One more token than there are: the end and the pieces keep some weight even when nothing is learned.
     tokens = train_tokens + 1.0
-    gamma, end = (saved + 0.5) / tokens, (ends + 0.5) / tokens
-    p = fit(words, discount, model, rounds)
+    gamma = (saved + 0.5) / tokens
+    p, end = fit(words, ends, model, rounds)
     weights = spark.sparkContext.broadcast(p)
     norm = float(np.log10(train_tokens + distinct + 1))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, hasher = lattice.load(model), Hasher(_SEED)
+        first = prior(v) * (1 - BYTES) / 2
         for batch in batches:
             if len(batch):
                 raw, offsets = texts(batch.column(0))
                 h = hasher.of_words(raw, offsets, lower=False)[0]
                 count = batch.column(1).to_numpy()
+                g, unknown = _lattice(v, batch.column(0).to_pylist())
+                lp, pp = (lattice.forward(g, _logs(x), unknown)[g.last] for x in (weights.value, first))
                 whole = _logs((count - discount[np.minimum(count, 3)]) / tokens)
-                lp = np.logaddexp(whole, np.log(gamma) + word_logs(v, weights.value, batch.column(0).to_pylist())) / np.log(10)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(1), pa.array(lp)], names=["h", "n", "lp"])
+                cols = [lp, pp, np.logaddexp(whole, np.log(gamma) + lp)]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(1), batch.column(2), *[pa.array(x / np.log(10)) for x in cols]], names=["h", "n", "m", "lp", "pp", "wp"])
 
-    logs = written(words.mapInArrow(score, "h long, n long, lp double"), "logs")
-    # The least count of a broadcast word, so that there are at most ``frequent`` of them.
-    least, total = 1 << 62, 0
-    for c, k in sorted(map(tuple, logs.where("n > 0").groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True):
-        total += k
-        if total > frequent:
-            break
-        least = c
-    top = logs.where(F.col("n") >= least).toPandas().sort_values("h")
-    table = spark.sparkContext.broadcast((top["h"].to_numpy(np.int64), top["n"].to_numpy(np.int64), top["lp"].to_numpy(float)))
-    end_count = ends
-    end_base, end_log = float(np.log10(end_count + 1)) - norm, float(np.log10(end))
-    schema = rows.drop("__text").withColumns({"uid": F.lit(0).cast("long"), "n_tokens": F.lit(0).cast("long"), "known": F.lit(0).cast("long"), "base": F.lit(0.0), "lp": F.lit(0.0), "rare": F.lit(None).cast("array<bigint>")}).schema
+    logs = written(words.mapInArrow(score, "h long, n long, m long, lp double, pp double, wp double"), "logs")
+    least = _least(logs, frequent)
+    top = logs.where(F.col("m") >= least).select("h", "n", "lp", "pp", "wp").toPandas().sort_values("h")
+    table = spark.sparkContext.broadcast((top["h"].to_numpy(np.int64), top["n"].to_numpy(np.int64), *[top[c].to_numpy(float) for c in ("lp", "pp", "wp")]))
+    schema = rows.drop("__text").withColumns({"__uid": F.lit(0).cast("long"), "__size": F.lit(0).cast("long"), "__known": F.lit(0).cast("long")} | {c: F.lit(0.0) for c in SUMS[1:]} | {"__rare": F.lit(None).cast("array<bigint>")}).schema
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(_SEED)
-        keys, counts, lps = table.value
-        bases = np.log10(counts + 1.0)
+        keys, counts, *lps = table.value
+        values = [(counts > 0).astype(float), np.log10(counts + 1.0), *lps]
         uid = TaskContext.get().partitionId() << 36
         for batch in batches:
             parts: list[tuple] = []
@@ -188,31 +205,34 @@ def scored(docs: DataFrame, held_out: Column, text: str = "text", model: str = M
                 h = h.view(np.int64)
                 k = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
                 hit = keys[k] == h if len(keys) else np.zeros(len(h), bool)
-                add = lambda x, hit=hit, at=at: np.diff(np.concatenate([[0], np.cumsum(np.where(hit, x, 0))])[at])
-                sums = (add(1), add(bases[k] if len(keys) else 0), add(lps[k] if len(keys) else 0))
+                sums = [np.diff(np.concatenate([[0], np.cumsum(np.where(hit, x[k], 0) if len(keys) else np.zeros(len(h)))])[at]) for x in values]
                 parts.append((np.diff(at), *sums, h[~hit], np.diff(np.concatenate([[0], np.cumsum(~hit)])[at])))
             if not parts:
                 continue
-            size, known, base, lp, rare, rares = (np.concatenate(x) for x in zip(*parts, strict=True))
+            size, known, base, lp, pp, wp, rare, rares = (np.concatenate(x) for x in zip(*parts, strict=True))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(rares)]).astype(np.int32)), pa.array(rare))
-            cols = [pa.array(uid + np.arange(len(size))), pa.array(size + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(lp), lists]
+            cols = [pa.array(uid + np.arange(len(size))), pa.array(size + 1), pa.array(known.astype(np.int64)), *map(pa.array, (base, lp, pp, wp)), lists]
             uid += len(size)
             fields = [batch.schema.field(i) for i in range(len(names) + 1)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(names) + 1)], *cols], schema=pa.schema([*fields, *[(x, c.type) for x, c in zip(("uid", "n_tokens", "known", "base", "lp", "rare"), cols, strict=True)]]))
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(names) + 1)], *cols], schema=pa.schema([*fields, *[(x, c.type) for x, c in zip(("__uid", "__size", *SUMS, "__rare"), cols, strict=True)]]))
 
     partial = written(rows.mapInArrow(read, schema), "partial")
-    rest = partial.select("uid", F.explode("rare").alias("h")).groupBy("uid", "h").agg(F.count(F.lit(1)).alias("m"))
-    rest = rest.join(logs.where(F.col("n") < least).dropDuplicates(["h"]), "h").groupBy("uid").agg(
-        F.sum(F.when(F.col("n") > 0, F.col("m")).otherwise(0)).alias("more_known"), F.sum(F.col("m") * F.log10(F.col("n") + 1.0)).alias("more_base"), F.sum(F.col("m") * F.col("lp")).alias("more_lp")
+    times = lambda x: F.sum(F.col("__times") * x)
+    rest = partial.select("__uid", F.explode("__rare").alias("h")).groupBy("__uid", "h").agg(F.count(F.lit(1)).alias("__times"))
+    rest = rest.join(logs.where(F.col("m") < least).dropDuplicates(["h"]), "h").groupBy("__uid").agg(
+        times((F.col("n") > 0).cast("long")).alias("more__known"), times(F.log10(F.col("n") + 1.0)).alias("more__base"), *[times(F.col(c)).alias(f"more__{c}") for c in ("lp", "pp", "wp")]
     )
-    out = partial.drop("rare").join(rest, "uid", "left")
-    plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
+    out = partial.drop("__rare").join(rest, "__uid", "left")
+    plus = lambda c: F.col(c) + F.coalesce(F.col(f"more{c}"), F.lit(0))
+    log = lambda x: F.lit(float(np.log10(x)))
     return out.select(
         *[F.col(f"`{c}`") for c in names],
         F.col("__held").alias("held_out"),
-        "n_tokens",
-        (plus("known", "more_known") + int(end_count > 0)).alias("n_known"),
+        F.col("__size").alias("n_tokens"),
+        (plus("__known") + int(ends > 0)).alias("n_known"),
         F.lit(train_tokens).cast("long").alias("train_tokens"),
-        (plus("base", "more_base") - (F.col("n_tokens") - 1) * F.lit(norm) + F.lit(end_base)).alias("base_score"),
-        (plus("lp", "more_lp") + F.lit(end_log)).alias("score"),
+        (plus("__base") - F.col("__size") * F.lit(norm) + log(ends + 1)).alias("base_score"),
+        (plus("__lp") + log(end)).alias("score"),
+        (plus("__pp") + log(0.5)).alias("prior_score"),
+        (plus("__wp") + log((ends + 0.5) / tokens)).alias("word_score"),
     )

@@ -57,7 +57,9 @@ def test_op1_base_and_model(docs, awkward, empty):
         c = Counter(x for d, w in rows if not out(d) for x in w)
         n, v = sum(c.values()), len(c)
         want = key((d, out(d), len(w), sum(c[x] > 0 for x in w), n, round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), 4)) for d, w in rows)
-        got = lm_score.scored(df.select("doc_id", "text"), held_out(7), frequent=50).collect()
+        clashing = df.select("doc_id", "text", *[F.lit(1).alias(c) for c in ("uid", "known", "base", "lp", "rare", "h", "n", "m", "score", "held_out")])
+        got = lm_score.scored(clashing, held_out(7), frequent=50).collect()
+        assert set(got[0].asDict()) > {"uid", "rare", "score", "word_score"}
         assert key((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
         assert all(r.score < 0 and math.isfinite(r.score) for r in got)
     assert lm_score.scored(empty.select("doc_id", "text"), held_out(7)).count() == 0
@@ -86,6 +88,74 @@ def test_op1_lattice_sums_all_segmentations(spark):
     assert math.isclose(sum(n * len(v.pieces[i]) for i, n in enumerate(counts)) + 0 * rest, sum(len(("▁" + w).encode()) for w in words), rel_tol=1e-6)
 
 
+def test_op1_scores_match_a_plain_model(spark, docs, awkward):
+    """Weights by expectation maximisation and marginals of whole texts, with dictionaries and recursion over characters."""
+    from orebody.llm import lattice
+
+    v = lattice.load(sentpiece.MODEL)
+    start = lm_score.prior(v)
+    pieces = {v.pieces[i]: i for i in range(len(start)) if v.usable[i]}
+    for df in (docs.where("doc_id < 40"), awkward):
+        rows = pairs(df)
+        out = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
+        words = {d: [] for d, _ in rows}
+        texts = [(d, brute.WORD.findall(brute.lower(t or ""))) for d, t in rows]
+        counts = Counter(w for d, ws in texts if not out(d) for w in ws)
+        ends = sum(not out(d) for d, _ in texts)
+        del words
+
+        def edges(word):
+            """(from, to, piece or None, log weight of an unknown character) of a word's lattice."""
+            raw = ("▁" + word.replace("▁", "\ue000")).encode()
+            heads = [i for i in range(len(raw)) if raw[i] & 0xC0 != 0x80] + [len(raw)]
+            found = []
+            for j, e in enumerate(heads[1:], 1):
+                for b in heads[max(0, j - 40) : j]:
+                    if raw[b:e] in pieces:
+                        found.append((b, e, pieces[raw[b:e]], 0.0))
+                if raw[heads[j - 1] : e] not in pieces:
+                    found.append((heads[j - 1], e, None, (e - heads[j - 1]) * math.log(lm_score.BYTES / 256)))
+            return found, len(raw)
+
+        some = {w: edges(w) for _, ws in texts for w in ws if len(w) < 200}
+
+        def total(word, p):
+            found, size = some[word]
+            ways = [0.0] * (size + 1)
+            ways[0] = 1.0
+            for b, e, i, u in found:
+                ways[e] += ways[b] * (p[i] if i is not None else math.exp(u))
+            return ways
+
+        p, end = start * (1 - lm_score.BYTES) / 2, 0.5
+        for _ in range(lm_score.ROUNDS):
+            uses = lm_score.PRIOR * start
+            for w, n in counts.items():
+                found, size = some[w]
+                ahead, back = total(w, p), [0.0] * (size + 1)
+                back[size] = 1.0
+                for b, e, i, u in sorted(found, reverse=True):
+                    back[b] += back[e] * (p[i] if i is not None else math.exp(u))
+                for b, e, i, _ in found:
+                    if i is not None:
+                        uses[i] += n * ahead[b] * p[i] * back[e] / ahead[size]
+            mass = uses.sum() + ends + 0.5
+            p, end = uses / mass * (1 - lm_score.BYTES), (ends + 0.5) / mass * (1 - lm_score.BYTES)
+        assert math.isclose(p.sum() + end + lm_score.BYTES, 1, rel_tol=1e-9)
+        log = {w: (math.log10(total(w, p)[-1]), math.log10(total(w, start * (1 - lm_score.BYTES) / 2)[-1])) for w in some}
+        want = key((d, round(sum(log[w][0] for w in ws) + math.log10(end), 3), round(sum(log[w][1] for w in ws) + math.log10(0.5), 3)) for d, ws in texts)
+        got = lm_score.scored(df.select("doc_id", "text"), held_out(7), frequent=30).collect()
+        assert key((r.doc_id, round(r.score, 3), round(r.prior_score, 3)) for r in got) == want
+        assert all(r.word_score < 0 for r in got)
+
+
+def test_op1_broadcasts_the_most_frequent_words_whatever_their_counts(spark):
+    logs = spark.range(1, 5001).selectExpr("id AS h", "id * 1000 AS m")
+    least = lm_score._least(logs, 100)
+    assert 50 <= logs.where(F.col("m") >= least).count() <= 100
+    assert lm_score._least(logs, 5000) == 1000 and lm_score._least(spark.range(0).selectExpr("id AS m"), 5) == 1 << 62
+
+
 def test_op2_held_out_accuracy_and_edges(spark, docs, awkward, empty):
     model = lang_id.train(docs, ~held_out(4))
     rows = lang_id.predicted(docs, model).where(held_out(4)).collect()
