@@ -27,9 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir); a local one only where it is unset and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         found = "file://" + tempfile.mkdtemp(prefix="orebody-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -47,6 +49,23 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left (a table that is cheap to read again) joined with right (one row a key), where a few keys may hold much of left.
+
+    A key is heavy if it holds more than 1 / (4 * partitions) of left's rows; there are at most
+    4 * partitions of those, whose rows of right are broadcast. The others' are shuffled.
+    """
+    spark, most = left.sparkSession, 4 * parts(left.sparkSession)
+    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    rows = left.count()
+    heavy = [r[0] for r in counts.where(F.col("__n") > max(1, rows // most)).collect()]
+    if not heavy:
+        return left.join(right, key, how)
+    keys = F.broadcast(spark.createDataFrame([(x,) for x in heavy], left.select(key).schema))
+    hot = left.join(keys, key, "left_semi").join(F.broadcast(right.join(keys, key, "left_semi")), key, how)
+    return hot.unionByName(left.join(keys, key, "left_anti").join(right, key, how))
+
+
 def text_keys(text: Column) -> list[Column]:
     """Two independent 64-bit hashes of a text: 128 bits name a distinct text."""
     return [F.xxhash64(text).alias("tk1"), F.xxhash64(F.lit("second"), text).alias("tk2")]

@@ -12,8 +12,11 @@
 4. In each group the full sets are compared: every pair that is not yet in one class, but those
    whose sizes rule out the similarity or whose signatures agree below SCREEN. So a group of
    near copies costs about one comparison a member rather than all pairs, and no link between
-   different classes goes untried. Groups above MOST nodes are split: all parts hold the same
-   few pivots, and what is left outside the largest class is compared with every part in blocks.
+   different classes goes untried. Groups above MOST nodes or BULK shingles are split: all parts
+   hold the same few pivots, and what is left outside the largest class is compared with every
+   part in blocks (as many comparisons as there are nodes left times nodes of the group).
+5. Joins on a group, a class or a pointer, any of which may hold a third of all nodes, go by
+   join_unique: heavy keys, of which there can only be a few, by broadcast.
 """
 
 from __future__ import annotations
@@ -26,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Hasher, chunks, mixed, parts, text_keys, texts, written
+from .common import WORD, Hasher, chunks, join_unique, mixed, parts, text_keys, texts, written
 
 TREES, LEAST, LEVELS = 32, 5, 8
 HASHES = TREES * LEAST
 WIDTH = 1
 SCREEN = 0.6
 MOST = 5000
+#: Shingles of a group that are compared in one task, at most, unless one text has more.
+BULK = 20_000_000
 PIVOTS = 8
 PERCENT = 80
 #: Words in a shingle, where nothing else is asked for; the contract of op8_lsh_forest is PAIRS.
@@ -113,12 +118,11 @@ def _read(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
                 sizes.append(n)
                 sids += names
                 sigs += held
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(i) for i in range(3)], pa.array(np.concatenate(sizes) if sizes else [], pa.int64()), pa.array(sids, pa.binary()), pa.array(sigs, pa.binary())],
-                names=["doc_id", "tk1", "tk2", "n_shingles", "sid", "sig"],
-            )
+            new = {"n_shingles": pa.array(np.concatenate(sizes) if sizes else [], pa.int64()), "sid": pa.array(sids, pa.binary()), "sig": pa.array(sigs, pa.binary())}
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], *new.values()], schema=pa.schema([*[batch.schema.field(i) for i in range(3)], *[(k, v.type) for k, v in new.items()]]))
 
-    return rows.mapInArrow(run, "doc_id long, tk1 long, tk2 long, n_shingles long, sid binary, sig binary")
+    schema = rows.drop("text").withColumns({"n_shingles": F.lit(None).cast("long"), "sid": F.lit(None).cast("binary"), "sig": F.lit(None).cast("binary")}).schema
+    return rows.mapInArrow(run, schema)
 
 
 def _numbered(df: DataFrame) -> DataFrame:
@@ -201,15 +205,16 @@ def components(edges: DataFrame) -> DataFrame:
         up = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("p")), "pointers")
         while True:
             further = up.select(F.col("u").alias("p"), F.col("p").alias("q"))
-            jumped = written(up.join(further, "p").select("u", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved")), "pointers")
+            jumped = written(join_unique(up, further, "p").select("u", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved")), "pointers")
             up = jumped.select("u", "p")
             if not jumped.where("moved").limit(1).collect():
                 break
         if labels is None:
-            labels = up.select(F.col("u").alias("node"), F.col("p").alias("component"))
+            labels = up.select(F.col("u").alias("node"), F.col("p").alias("component"))  # read from a table
         else:
-            labels = written(labels.join(up.withColumnRenamed("u", "component"), "component", "left").select("node", F.coalesce("p", "component").alias("component")), "labels")
-        ends = now.join(up.select(F.col("u").alias("a"), F.col("p").alias("ra")), "a").join(up.select(F.col("u").alias("b"), F.col("p").alias("rb")), "b")
+            labels = written(join_unique(labels, up.withColumnRenamed("u", "component"), "component", "left").select("node", F.coalesce("p", "component").alias("component")), "labels")
+        ends = written(join_unique(now, up.select(F.col("u").alias("a"), F.col("p").alias("ra")), "a"), "ends")
+        ends = join_unique(ends, up.select(F.col("u").alias("b"), F.col("p").alias("rb")), "b")
         now = written(ends.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
         if not now.limit(1).collect():
             return labels
@@ -263,16 +268,18 @@ def _resolve(percent: int, size: int):
     return run
 
 
-def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, most: int = MOST, size: int = SHINGLE) -> tuple[DataFrame, DataFrame, DataFrame]:
+def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, most: int = MOST, size: int = SHINGLE, bulk: int = BULK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows: doc_id, n_shingles, sid; nodes: sid, idx; classes: node, component by idx) of documents linked at percent / 100 or more on shingles of ``size`` words."""
     spark = docs.sparkSession
     rows = written(_read(docs, doc_id, text, size), "rows")
-    sets = rows.where("sid is not null").groupBy("sid").agg(F.max("sig").alias("sig"), F.min(F.struct("tk1", "tk2")).alias("tk"))
-    nodes = written(_numbered(sets.select("sid", "sig", "tk.tk1", "tk.tk2")), "nodes")
+    sets = rows.where("sid is not null").groupBy("sid").agg(F.max("sig").alias("sig"), F.max("n_shingles").alias("size"), F.min(F.struct("tk1", "tk2")).alias("tk"))
+    nodes = written(_numbered(sets.select("sid", "sig", "size", "tk.tk1", "tk.tk2")), "nodes")
     pairs = _screened(_forest(nodes), nodes)
     groups = written(components(pairs).withColumnsRenamed({"node": "idx", "component": "grp"}), "groups")
-    wanted = nodes.join(groups, "idx").select("idx", "grp", "tk1", "tk2", "sig")
-    sizes = groups.groupBy("grp").count()
+    wanted = nodes.join(groups, "idx")
+    pieces = F.ceil(F.greatest(F.count(F.lit(1)) / most, F.sum("size") / bulk)).cast("long")
+    large = written(wanted.groupBy("grp").agg(pieces.alias("pieces")).where("pieces > 1"), "large")
+    wanted = wanted.select("idx", "grp", "tk1", "tk2", "sig")
     keyed = docs.select(*text_keys(F.col(text)), F.col(text).alias("text"))
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,16 +295,15 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
 
     first = keyed.mapInArrow(once, keyed.schema)
     found = first.join(wanted, ["tk1", "tk2"]).dropDuplicates(["tk1", "tk2"]).select("idx", "grp", "text", "sig")
-    large = sizes.where(F.col("count") > most)
     if not large.limit(1).collect():
         out = found.groupBy("grp").applyInPandas(_resolve(percent, size), "a long, b long")
         return rows, nodes, written(out.withColumnsRenamed({"a": "node", "b": "component"}), "classes")
-    found = written(found.join(sizes, "grp").withColumn("part", F.pmod(F.xxhash64("idx"), F.ceil(F.col("count") / most)).cast("int")), "found")
+    found = written(join_unique(written(found, "texts"), large, "grp", "left").fillna(1, ["pieces"]).withColumn("part", F.pmod(F.xxhash64("idx"), F.col("pieces")).cast("int")), "found")
     parts_of = found.select("grp", "part").distinct()
     # Pivots: the nodes with most screened candidates, ties to the least; the same in all parts.
     degree = pairs.select(F.col("a").alias("idx")).union(pairs.select(F.col("b").alias("idx"))).groupBy("idx").count().withColumnRenamed("count", "degree")
     best = Window.partitionBy("grp").orderBy(F.desc("degree"), "idx")
-    ranked = found.where(F.col("count") > most).select("grp", "idx").join(degree, "idx").withColumn("rank", F.row_number().over(best))
+    ranked = found.where("pieces > 1").select("grp", "idx").join(degree, "idx").withColumn("rank", F.row_number().over(best))
     pivots = ranked.where(F.col("rank") <= PIVOTS).select("grp", "idx")
     shared = found.drop("part").join(pivots, ["grp", "idx"], "left_semi").join(parts_of, "grp")
     cols = ["idx", "grp", "text", "sig", "part"]
@@ -308,7 +314,7 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
     main = one.join(found.select(F.col("idx").alias("node"), "grp"), "node").groupBy("grp", "component").count()
     main = main.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("count"), "component"))).where("rank = 1")
     sure = one.join(main.select("component"), "component", "left_semi").select(F.col("node").alias("idx"))
-    rest = found.where(F.col("count") > most).join(sure, "idx", "left_anti").withColumn("block", F.pmod(F.xxhash64("idx", F.lit(3)), F.ceil(F.col("count") / most)).cast("int"))
+    rest = found.where("pieces > 1").join(sure, "idx", "left_anti").withColumn("block", F.pmod(F.xxhash64("idx", F.lit(3)), F.col("pieces")).cast("int"))
     spread = rest.drop("part").join(parts_of, "grp").select(*cols, "block")
     members = found.select(*cols).join(rest.select("grp", "block").distinct(), "grp").select(*cols, "block")
     round_two = members.union(spread).dropDuplicates(["grp", "part", "block", "idx"])
@@ -335,8 +341,9 @@ def _named(docs: DataFrame, doc_id: str, text: str, percent: int, most: int, siz
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk1", "tk2")
     least = rows.where("sid is not null").groupBy("sid").agg(F.min(row).alias("low"))
     label = nodes.select("sid", "idx").join(least, "sid").join(found.withColumnRenamed("node", "idx"), "idx", "left").withColumn("component", F.coalesce("component", "idx"))
+    label = written(label.select("sid", "component", "low"), "label")
     lowest = label.groupBy("component").agg(F.min("low").alias("stays"))
-    return rows, label.join(lowest, "component").select("sid", "component", F.col("stays.doc_id").alias("component_id"), "stays")
+    return rows, join_unique(label, lowest, "component").select("sid", "component", F.col("stays.doc_id").alias("component_id"), "stays")
 
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, most: int = MOST, size: int = SHINGLE) -> DataFrame:

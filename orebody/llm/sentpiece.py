@@ -136,9 +136,14 @@ def byte_pieces(ids: Column, model: str = MODEL) -> Column:
 
 
 def digests(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
-    """doc_id, n_pieces, n_byte_pieces, ids_sha256 (of little-endian int32 ids), decoded_sha256, exact: digests of what encoded() returns, made where the ids are."""
+    """doc_id, n_pieces, n_byte_pieces, ids_sha256 (of little-endian int32 ids), decoded_sha256, exact: digests of what encoded() returns, made where the ids are.
+
+    A null text has nulls beside its id, the empty text no ids; each row stands alone, repeated
+    ones alike; an empty table stays empty. doc_id may be of any type.
+    """
     rows = docs.select("doc_id", F.col(text).alias("text"))
-    schema = "doc_id long, n_pieces long, n_byte_pieces long, ids_sha256 string, decoded_sha256 string, exact boolean"
+    new = {"n_pieces": "long", "n_byte_pieces": "long", "ids_sha256": "string", "decoded_sha256": "string", "exact": "boolean"}
+    schema = rows.select("doc_id", *[F.lit(None).cast(t).alias(c) for c, t in new.items()]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import sha256
@@ -156,6 +161,6 @@ def digests(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFram
                     out.append((len(ids), int(codec.is_byte[ids].sum()), sha256(raw).hexdigest(), sha256(back).hexdigest(), back == t.encode()))
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["doc_id", "n_pieces", "n_byte_pieces", "ids_sha256", "decoded_sha256", "exact"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], schema=pa.schema([batch.schema.field(0), *zip(new, kinds, strict=True)]))
 
     return rows.mapInArrow(run, schema)

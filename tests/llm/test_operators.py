@@ -464,9 +464,8 @@ def test_op9_schedule_is_longest_first():
     assert shard.schedule([(0, 7), (1, 7), (2, 6), (3, 6), (4, 5)], 2) == {0: 0, 1: 1, 2: 0, 3: 1, 4: 0}
 
 
-def test_op9_near_equal_and_split(docs, monkeypatch):
+def test_op9_near_equal_and_split(docs):
     big = docs.select("doc_id", "text").union(docs.sparkSession.range(0, 300).selectExpr("id + 10000", "'same text'"))
-    monkeypatch.setattr(shard, "ROWS", 40)
     rows = shard.assign(big, 4).collect()
     load = Counter()
     for r in rows:
@@ -477,6 +476,56 @@ def test_op9_near_equal_and_split(docs, monkeypatch):
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
 
 
+def test_op9_rows_equal_in_everything_are_split(spark, tmp_path):
+    spark.range(0, 2000, 1, 4).selectExpr("1L AS doc_id", "'one text' AS text").write.parquet(f"{tmp_path}/same")
+    out = shard.assign(spark.read.parquet(f"{tmp_path}/same"), 3)
+    rows = out.collect()
+    assert {r.shard for r in rows} == {rows[0].shard} and sorted(r.slot for r in rows) == list(range(2000))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "__piece" in plan
+
+
+def test_op8_pairs_among_template_pages(spark):
+    """Texts of one template at similarity about 0.5, and pairs among them at 0.8 or a little more: every pair is linked, nothing else."""
+    r = random.Random(8)
+    head = [f"t{i}" for i in range(60)]
+    rows, pairs_of = [], []
+    for i in range(3000):
+        own = [f"p{i}w{j}" for j in range(30)]
+        rows.append((i, " ".join(head + own)))
+        if i < 150:
+            changed = list(own)
+            for j in r.sample(range(0, 30, 3), 4):
+                changed[j] = f"q{i}w{j}"
+            rows.append((10_000 + i, " ".join(head + changed)))
+            pairs_of.append((i, 10_000 + i))
+    a, b = brute.shingle_set(rows[0][1]), brute.shingle_set(rows[1][1])
+    assert 0.8 <= len(a & b) / len(a | b) < 0.85
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[y] == x for x, y in pairs_of) and all(got[d] == d for d, _ in rows if d < 10_000)
+
+
+def test_op8_ids_of_any_type_and_bulky_groups(spark, monkeypatch):
+    base = [f"w{j}" for j in range(200)]
+    rows = [(f"d{i:03}", " ".join(w if j != i else f"x{i}" for j, w in enumerate(base))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    links = neardup.links
+    monkeypatch.setattr(neardup, "links", lambda *a: links(*a, bulk=2_000))
+    assert {x.component_id for x in neardup.near_duplicates(df).collect()} == {"d000"}
+    assert [x.doc_id for x in neardup.representatives(df).collect()] == ["d000"]
+    assert sorted(x.doc_id for x in sentpiece.digests(df).collect()) == [d for d, _ in rows]
+
+
+def test_joins_on_heavy_keys(spark, tmp_path):
+    from orebody.llm.common import join_unique
+
+    spark.range(0, 1000).selectExpr("IF(id < 900, 7L, IF(id < 990, id, NULL)) AS k", "id").write.parquet(f"{tmp_path}/left")
+    left, right = spark.read.parquet(f"{tmp_path}/left"), spark.range(0, 980).selectExpr("id AS k", "id * 2 AS v")
+    for how in ("inner", "left"):
+        got, want = join_unique(left, right, "k", how), left.join(right, "k", how)
+        assert key(map(tuple, got.collect())) == key(map(tuple, want.select(got.columns).collect()))
+
+
 @pytest.mark.parametrize("length", [35, 3])
 def test_op10_removals(docs, awkward, empty, length):
     for df in (docs, awkward):
