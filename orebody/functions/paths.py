@@ -54,8 +54,8 @@ def tokens(text: Column) -> Column:
 
 
 def normalize_token(token: Column) -> Column:
-    """The token as a relative path; null if it has no slash or an empty, . or .. segment after a leading ./ or /."""
-    path = F.regexp_replace(F.translate(token, "\\", "/"), r"^(\./|/)", "")
+    """The token as a relative path; null if it has no slash or an empty, . or .. segment after a leading ./ or slashes."""
+    path = F.regexp_replace(F.translate(token, "\\", "/"), r"^(\./|/+)", "")
     bad = F.exists(F.split(path, "/"), lambda s: s.isin("", ".", ".."))
     return F.when(path.contains("/") & ~bad, path)
 

@@ -248,9 +248,9 @@ def hubs(edges: DataFrame, threshold: int) -> DataFrame:
 def local_move(pairs: list[tuple], passes: int = 100) -> dict:
     """The local-move phase of modularity clustering on undirected pairs: node -> community (its least member).
 
-    Nodes are visited in order, each moving at once to the neighbouring community of greatest
-    positive gain k_in / m - total * degree / (2 m^2) over staying; ties go to the community with
-    the least label. No coarsening.
+    Nodes are visited in order. Each is taken out of its community and put at once into the
+    neighbouring one, its own among them, of greatest gain k_in / m - total * degree / (2 m^2), if
+    that is above 0; ties go to the least label. Otherwise it stays. No coarsening.
     """
     near: dict = {}
     for a, b in pairs:
@@ -267,11 +267,11 @@ def local_move(pairs: list[tuple], passes: int = 100) -> dict:
             for w in near[v]:
                 links[label[w]] = links.get(label[w], 0) + 1
             total[own] -= degree
-            gain = lambda c: links.get(c, 0) / m - total[c] * degree / (2 * m * m)  # noqa: B023, E731
-            stay, best, pick = gain(own), 0.0, own
+            best, pick = 0.0, own
             for c in sorted(links):
-                if c != own and gain(c) - stay > best + 1e-12:
-                    best, pick = gain(c) - stay, c
+                gain = links[c] / m - total[c] * degree / (2 * m * m)
+                if gain > best or gain == best and gain > 0 and c < pick:
+                    best, pick = gain, c
             total[pick] += degree
             if pick != own:
                 label[v] = pick

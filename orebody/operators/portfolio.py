@@ -35,23 +35,95 @@ def consumers(files: DataFrame, edges: DataFrame, tests: DataFrame | None = None
 
 
 def reasons(candidates: DataFrame, config: Config) -> DataFrame:
-    """candidates with ``codes``, the rejections in rule order, from their facts: files, owners, unresolved, composition, unsupported, declarations, exporting, inbound, tests, escapes, protected."""
+    """candidates with ``codes``, the rejections in rule order, from their facts.
+
+    Facts: files, owners, unresolved, stale_generated (generated files whose source is gone),
+    composition, unsupported, declarations, exporting, inbound, tests, escapes, uninstalled,
+    unmovable, protected, collisions (files that would land on one target).
+    """
     c = F.col
     rules = [
         ("multiple-owners", c("owners") != 1),
         ("closure-escapes-app-code", c("escapes") > 0),
         ("unresolved-imports", c("unresolved") > 0),
+        ("generated-source-missing", c("stale_generated") > 0),
         ("composition-root", c("composition") > 0),
         ("unsupported-module-reference", c("unsupported") > 0),
         ("declaration-only", c("declarations") == c("files")),
         ("no-exports", (c("inbound") == 0) & (c("tests") == 0) & (c("exporting") == 0)),
+        ("uninstalled-package", c("uninstalled") > 0),
+        ("unmovable-asset", c("unmovable") > 0),
         ("too-small", c("files") < config.min_files),
         ("too-large", c("files") > config.max_files),
         ("protected-path", c("protected") > 0),
+        ("unplannable", c("collisions") > 0),
     ]
     return candidates.withColumn("codes", F.array_compact(F.array(*[F.when(F.coalesce(rule, F.lit(False)), code) for code, rule in rules])))
 
 
+#: Reasons that discourage a candidate; any other only asks for review.
+DISCOURAGING = ("generic-target", "composition-adjacent", "compatibility-shim", "large-review")
+
+
+def recommendation_reasons(candidates: DataFrame, config: Config) -> DataFrame:
+    """candidates with ``advice``, the reasons against a plain recommendation in order, ``status`` and ``cohesion``.
+
+    Facts: segment (last part of the suggested name), adjacent (files beside the composition),
+    shims, domains, high_inbound and high_fan_out (files over the thresholds), files, line_count,
+    effectful (files that do work when evaluated). A review limit that isn't set doesn't count.
+    """
+    c = F.col
+    over = F.lit(False)
+    if config.max_recommended_files is not None:
+        over = over | (c("files") > config.max_recommended_files)
+    if config.max_recommended_lines is not None:
+        over = over | (c("line_count") > config.max_recommended_lines)
+    rules = [
+        ("generic-target", c("segment").isin(*config.generic_segments) if config.generic_segments else F.lit(False)),
+        ("composition-adjacent", c("adjacent") > 0),
+        ("compatibility-shim", c("shims") > 0),
+        ("cross-domain", c("domains") > 1),
+        ("high-inbound", c("high_inbound") > 0),
+        ("high-fan-out", c("high_fan_out") > 0),
+        ("large-review", over),
+        ("evaluation-effects", c("effectful") > 0),
+    ]
+    out = candidates.withColumn("advice", F.array_compact(F.array(*[F.when(F.coalesce(rule, F.lit(False)), code) for code, rule in rules])))
+    cohesion = F.when(c("domains") <= 1, "high").when(c("domains") == 2, "medium").otherwise("low")
+    return out.withColumns({"status": recommendation(c("advice"), list(DISCOURAGING)), "cohesion": cohesion})
+
+
+def risk() -> Column:
+    """high for a rejected or discouraged candidate, medium for one with warnings or to be reviewed, else low; needs codes, status and warnings."""
+    return F.when((F.size("codes") > 0) | (F.col("status") == "discouraged"), "high").when((F.col("warnings") > 0) | (F.col("status") == "review-required"), "medium").otherwise("low")
+
+
+def classification(blockers: Column, domains: Column, only: Column, root: str, forbid_root: bool) -> Column:
+    """preparation if retained code blocks it, or if its one domain is the application's own root and that may not be a target; else extraction."""
+    alone = (domains == 1) & (only == root) if forbid_root else F.lit(False)
+    return F.when((blockers > 0) | alone, "preparation").otherwise("extraction")
+
+
+def first_reasons(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Of the reasons (key, code, detail) of a candidate, the first of each code and detail."""
+    w = Window.partitionBy(key, "code", "detail").orderBy(*order)
+    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def detail_view(claims: DataFrame) -> DataFrame:
+    """(cand, files, tests, assets, closure): the claims (cand, path, role) of a candidate as sorted arrays without repeats."""
+    of = lambda role: F.array_sort(F.collect_set(F.when(F.col("role") == role, F.col("path"))))
+    return claims.groupBy("cand").agg(of("file").alias("files"), of("test").alias("tests"), of("asset").alias("assets"), F.array_sort(F.collect_set("path")).alias("closure"))
+
+
+def claiming(claims: DataFrame, path: str) -> DataFrame:
+    """(cand) of the candidates that claim the path or something below it; the path must stay in the workspace."""
+    clean = path.replace("\\", "/").removeprefix("./").rstrip("/")
+    if not clean or any(s in ("", "..") for s in clean.split("/")):
+        raise ValueError(f"candidate path must be relative to the workspace: {path}")
+    return claims.where((F.col("path") == clean) | F.col("path").startswith(clean + "/")).select("cand").distinct()
+
+
 def score(w: Weights) -> Column:
     """Weighted sum over line_count (less shim lines), consumers, dependencies, crossings, assets and tests."""
     lines = F.col("line_count") - F.col("shim_lines")

@@ -15,8 +15,8 @@ _LY = "d AS (SELECT DISTINCT comp, 0 AS depth FROM c UNION SELECT ce.src, d.dept
 _G = f"WITH RECURSIVE {_e()}, {_C}"
 _GM = f"{_G}, {_M}, gm AS (SELECT m.* FROM m WHERE path IN (SELECT id FROM n))"
 _CLOSED = "dm AS (SELECT DISTINCT c.comp, gm.domain FROM gm JOIN c ON c.id = gm.path), one AS (SELECT comp, min(domain) AS domain FROM dm GROUP BY comp HAVING count(*) = 1), rc AS (SELECT DISTINCT x.comp src, y.comp dst FROM r JOIN c x ON x.id = r.src JOIN c y ON y.id = r.dst WHERE x.comp <> y.comp), broken AS (SELECT DISTINCT rc.src AS comp FROM rc JOIN one ON one.comp = rc.src JOIN dm ON dm.comp = rc.dst WHERE dm.domain <> one.domain), cf AS (SELECT c.id AS path FROM c WHERE c.comp IN (SELECT comp FROM one) AND c.comp NOT IN (SELECT comp FROM broken))"
-_CAND = "f AS (SELECT DISTINCT cand, id AS path FROM (SELECT comp AS cand, id FROM c UNION ALL SELECT x.comp, y.id FROM r JOIN c x ON x.id = r.src JOIN c z ON z.id = r.dst JOIN c y ON y.comp = z.comp)), con AS (SELECT f.cand, count(DISTINCT e.src) AS consumers FROM f JOIN e ON e.dst = f.path WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.cand = f.cand AND g.path = e.src) GROUP BY 1), dy AS (SELECT f.cand, count(*) AS unsupported FROM f JOIN e ON e.src = f.path WHERE e.dynamic GROUP BY 1), fa AS (SELECT f.cand, count(*) AS files, sum(line_count)::BIGINT AS line_count, count(DISTINCT owner) AS owners, count(DISTINCT domain) AS domains, count(*) FILTER (has_exports) AS exporting, count(*) FILTER (f.path % 97 = 0) AS composition, count(*) FILTER (f.path % 89 = 0) AS protected, min(domain) AS first_domain FROM f JOIN gm ON gm.path = f.path GROUP BY 1), facts AS (SELECT fa.*, coalesce(consumers, 0) AS consumers, coalesce(unsupported, 0) AS unsupported FROM fa LEFT JOIN con USING (cand) LEFT JOIN dy USING (cand))"
-_JUDGED = "codes AS (SELECT *, list_filter([CASE WHEN owners <> 1 THEN 'multiple-owners' END, CASE WHEN composition > 0 THEN 'composition-root' END, CASE WHEN unsupported > 0 THEN 'unsupported-module-reference' END, CASE WHEN files = 0 THEN 'declaration-only' END, CASE WHEN consumers = 0 AND exporting = 0 THEN 'no-exports' END, CASE WHEN files < 2 THEN 'too-small' END, CASE WHEN files > 20 THEN 'too-large' END, CASE WHEN protected > 0 THEN 'protected-path' END], lambda x: x IS NOT NULL) AS codes FROM facts), j AS (SELECT *, cand AS id, len(codes) = 0 AS eligible, 1.0 * line_count + 50 * consumers - 25 * (domains - 1) - 800 * (CASE WHEN domains > 1 THEN 1 ELSE 0 END) AS score, greatest(1, files + domains - 1 + 5 * len(codes)) AS review_units FROM codes)"
+_CAND = "gi AS (SELECT dst AS path, count(*) AS fan_in FROM e GROUP BY 1), go AS (SELECT src AS path, count(*) AS fan_out FROM e GROUP BY 1), gd AS (SELECT gm.*, coalesce(fan_in, 0) AS fan_in, coalesce(fan_out, 0) AS fan_out FROM gm LEFT JOIN gi USING (path) LEFT JOIN go USING (path)), f AS (SELECT DISTINCT cand, id AS path FROM (SELECT comp AS cand, id FROM c UNION ALL SELECT x.comp, y.id FROM r JOIN c x ON x.id = r.src JOIN c z ON z.id = r.dst JOIN c y ON y.comp = z.comp)), con AS (SELECT f.cand, count(DISTINCT e.src) AS consumers FROM f JOIN e ON e.dst = f.path WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.cand = f.cand AND g.path = e.src) GROUP BY 1), dy AS (SELECT f.cand, count(*) AS unsupported FROM f JOIN e ON e.src = f.path WHERE e.dynamic GROUP BY 1), fa AS (SELECT f.cand, count(*) AS files, sum(line_count)::BIGINT AS line_count, count(DISTINCT owner) AS owners, count(DISTINCT domain) AS domains, count(*) FILTER (has_exports) AS exporting, count(*) FILTER (f.path % 97 = 0) AS composition, count(*) FILTER (f.path % 89 = 0) AS protected, min(domain) AS first_domain, count(*) FILTER (f.path % 71 = 0) AS escapes, count(*) FILTER (f.path % 83 = 0) AS unresolved, count(*) FILTER (f.path % 59 = 0) AS stale_generated, count(*) FILTER (f.path % 3 = 0) AS declarations, count(*) FILTER (f.path % 67 = 0) AS uninstalled, count(*) FILTER (f.path % 73 = 0) AS unmovable, count(*) FILTER (f.path % 10 = 3) AS tests, count(*) FILTER (f.path % 10 = 7) AS assets, count(*) FILTER (f.path % 61 = 0) AS warnings, count(*) FILTER (f.path % 41 = 0) AS adjacent, count(*) FILTER (f.path % 37 = 0) AS effectful, count(*) FILTER (f.path % 53 = 0 AND fan_in > 0) AS shims, coalesce(sum(line_count) FILTER (f.path % 53 = 0 AND fan_in > 0), 0)::BIGINT AS shim_lines, count(*) FILTER (fan_in >= 3) AS high_inbound, count(*) FILTER (fan_out >= 3) AS high_fan_out, count(*) - count(DISTINCT f.path % 500) AS collisions FROM f JOIN gd AS gm ON gm.path = f.path GROUP BY 1), facts AS (SELECT fa.*, coalesce(consumers, 0) AS consumers, coalesce(unsupported, 0) AS unsupported FROM fa LEFT JOIN con USING (cand) LEFT JOIN dy USING (cand))"
+_JUDGED = "codes AS (SELECT *, list_filter([CASE WHEN owners <> 1 THEN 'multiple-owners' END, CASE WHEN escapes > 0 THEN 'closure-escapes-app-code' END, CASE WHEN unresolved > 0 THEN 'unresolved-imports' END, CASE WHEN stale_generated > 0 THEN 'generated-source-missing' END, CASE WHEN composition > 0 THEN 'composition-root' END, CASE WHEN unsupported > 0 THEN 'unsupported-module-reference' END, CASE WHEN declarations = files THEN 'declaration-only' END, CASE WHEN consumers = 0 AND tests = 0 AND exporting = 0 THEN 'no-exports' END, CASE WHEN uninstalled > 0 THEN 'uninstalled-package' END, CASE WHEN unmovable > 0 THEN 'unmovable-asset' END, CASE WHEN files < 2 THEN 'too-small' END, CASE WHEN files > 20 THEN 'too-large' END, CASE WHEN protected > 0 THEN 'protected-path' END, CASE WHEN collisions > 0 THEN 'unplannable' END], lambda x: x IS NOT NULL) AS codes, list_filter([CASE WHEN regexp_replace(lower(first_domain), '[^a-z0-9]+', '-', 'g') IN ('brand-7', 'brand-11') THEN 'generic-target' END, CASE WHEN adjacent > 0 THEN 'composition-adjacent' END, CASE WHEN shims > 0 THEN 'compatibility-shim' END, CASE WHEN domains > 1 THEN 'cross-domain' END, CASE WHEN high_inbound > 0 THEN 'high-inbound' END, CASE WHEN high_fan_out > 0 THEN 'high-fan-out' END, CASE WHEN files > 12 OR line_count > 400 THEN 'large-review' END, CASE WHEN effectful > 0 THEN 'evaluation-effects' END], lambda x: x IS NOT NULL) AS advice FROM facts), js AS (SELECT *, CASE WHEN list_has_any(advice, ['generic-target', 'composition-adjacent', 'compatibility-shim', 'large-review']) THEN 'discouraged' WHEN len(advice) > 0 THEN 'review-required' ELSE 'recommended' END AS status FROM codes), j AS (SELECT *, cand AS id, len(codes) = 0 AS eligible, CASE WHEN domains <= 1 THEN 'high' WHEN domains = 2 THEN 'medium' ELSE 'low' END AS cohesion, CASE WHEN len(codes) > 0 OR status = 'discouraged' THEN 'high' WHEN warnings > 0 OR status = 'review-required' THEN 'medium' ELSE 'low' END AS risk, 1.0 * (line_count - shim_lines) + 50 * consumers - 25 * (domains - 1) - 800 * (CASE WHEN domains > 1 THEN 1 ELSE 0 END) - 10 * assets + 5 * tests AS score, greatest(1, files + tests + assets + 3 * consumers + 2 * escapes + domains - 1 + 2 * warnings + 5 * len(codes) + 2 * len(advice)) AS review_units FROM js)"
 _ALL = f"{_GM}, {_CAND}, {_JUDGED}"
 _OPS = "big AS (SELECT o_orderkey FROM orders WHERE o_totalprice > 480000), ops AS (SELECT l_orderkey AS plan_id, CASE WHEN l_returnflag = 'A' THEN 'structured' WHEN l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity > 45 THEN 'delete-tree' ELSE 'write' END AS kind, m.file, l_suppkey FROM lineitem JOIN m ON m.path = l_partkey WHERE l_orderkey IN (SELECT o_orderkey FROM big)), op AS (SELECT plan_id, kind, CASE WHEN kind = 'delete-tree' THEN regexp_extract(file, '^(src/[a-z]+)', 1) ELSE file END AS path, CASE WHEN kind = 'structured' THEN l_suppkey END AS key FROM ops)"
 _TREE = "tr AS (SELECT c_custkey, 'c/' || c_custkey AS path, c_name AS content, c_custkey % 10 AS k FROM customer), landed AS (SELECT CASE WHEN k = 1 THEN 'moved/' || c_custkey ELSE path END AS path, CASE WHEN k = 2 THEN content || '!' ELSE content END AS content FROM tr WHERE k <> 3)"
@@ -51,24 +51,24 @@ ORACLE: dict[str, str] = {
     "condensed_view": f"WITH {_e()}, {_M}, k AS (SELECT src, dst, CASE WHEN dynamic THEN 'dynamic' WHEN type_only THEN 'type-only' ELSE 'static' END AS kind FROM e) SELECT a.domain AS a, b.domain AS b, count(*) AS n, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM k JOIN m a ON a.path = k.src JOIN m b ON b.path = k.dst WHERE a.domain <> b.domain GROUP BY 1, 2",
     "view_backbone": f"WITH {_e()}, {_M}, v AS (SELECT a.domain AS src, b.domain AS dst, count(*) AS weight FROM e JOIN m a ON a.path = e.src JOIN m b ON b.path = e.dst WHERE a.domain <> b.domain GROUP BY 1, 2) SELECT src, dst, weight FROM v QUALIFY row_number() OVER (PARTITION BY src ORDER BY weight DESC, src, dst) = 1 UNION SELECT src, dst, weight FROM v QUALIFY row_number() OVER (PARTITION BY dst ORDER BY weight DESC, src, dst) = 1",
     "candidate_facts": f"{_GM}, {_CAND} SELECT cand, files, line_count, owners, domains, exporting, composition, protected, consumers, unsupported FROM facts",
-    "candidate_scores": f"{_ALL} SELECT id, array_to_string(codes, ',') AS codes, eligible, score::DOUBLE AS score, review_units, round(line_count / review_units, 6) AS lines_per_unit, '@engine/' || regexp_replace(lower(first_domain), '[^a-z0-9]+', '-', 'g') AS package, CASE WHEN list_has_any(codes, ['too-large', 'composition-root']) THEN 'discouraged' WHEN len(codes) > 0 THEN 'review-required' ELSE 'recommended' END AS status FROM j",
+    "candidate_scores": f"{_ALL} SELECT id, array_to_string(codes, ',') AS codes, eligible, score::DOUBLE AS score, review_units, round(line_count / review_units, 6) AS lines_per_unit, '@engine/' || regexp_replace(lower(first_domain), '[^a-z0-9]+', '-', 'g') AS package, status, cohesion, risk, array_to_string(advice, ',') AS advice FROM j",
     "rejection_counts": f"{_ALL} SELECT code, count(*) AS n FROM (SELECT unnest(codes) AS code FROM j) GROUP BY 1",
     "closure_escapes": f"WITH {_e()}, {_M} SELECT a.owner AS cand, CASE WHEN a.owner = b.owner THEN 'internal' ELSE 'escape' END AS class, count(*) AS n FROM e JOIN m a ON a.path = e.src JOIN m b ON b.path = e.dst GROUP BY 1, 2",
     "owner_consumers": f"WITH {_e()}, {_M} SELECT b.owner AS cand, e.src AS importer, string_agg(DISTINCT './' || e.dst, ',' ORDER BY './' || e.dst) AS specifiers FROM e JOIN m a ON a.path = e.src JOIN m b ON b.path = e.dst WHERE a.owner <> b.owner GROUP BY 1, 2",
     "marginal_blockers": f"WITH {_e()}, {_M}, x AS (SELECT DISTINCT e.src, b.domain AS b, a.line_count FROM e JOIN m a ON a.path = e.src JOIN m b ON b.path = e.dst WHERE a.domain <> b.domain), k AS (SELECT *, count(*) OVER (PARTITION BY src) AS edges FROM x) SELECT 'crosses-domain' AS code, b AS edge, count(*) AS occurrences, count(*) FILTER (edges = 1) AS freed, coalesce(sum(line_count) FILTER (edges = 1), 0)::BIGINT AS freed_lines FROM k GROUP BY 2",
     "jaccard_pairs": "WITH s AS (SELECT DISTINCT l_orderkey AS id, l_suppkey AS item FROM lineitem), n AS (SELECT id, count(*) AS n FROM s GROUP BY 1), x AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM s a JOIN s b ON a.item = b.item AND a.id < b.id GROUP BY 1, 2) SELECT a, b, round(k / (p.n + q.n - k), 9) AS similarity FROM x JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE k / (p.n + q.n - k) >= 0.8",
-    "best_candidate": f"{_ALL} SELECT id, score::DOUBLE AS score FROM j WHERE eligible ORDER BY score DESC, id LIMIT 1",
+    "best_candidate": f"{_ALL} SELECT id, score::DOUBLE AS score FROM j WHERE eligible AND status = 'recommended' ORDER BY score DESC, id LIMIT 1",
     "hotspots": f"""{_ALL}, p AS (SELECT f.path, count(*) AS closures, max(facts.line_count) AS largest_lines, count(*) FILTER (facts.files > 20) AS discouraged FROM f JOIN facts USING (cand) GROUP BY 1),
         q AS (SELECT p.*, (SELECT count(*) FROM e WHERE dst = p.path) AS inbound, (SELECT count(*) FROM e WHERE src = p.path) AS fan_out, (SELECT count(*) FROM e JOIN m a ON a.path = e.src JOIN m b ON b.path = e.dst WHERE e.src = p.path AND a.domain <> b.domain) AS cross_domain FROM p)
         SELECT *, largest_lines + 100 * inbound + 50 * fan_out + 250 * cross_domain + 100 * discouraged AS pressure FROM q""",
     "lazy_registry": f"WITH {_e()}, {_M} SELECT e.src, e.dst, coalesce(string_agg(DISTINCT m.domain, ',' ORDER BY m.domain), '') AS candidates FROM e LEFT JOIN m ON m.path = e.dst AND m.has_exports WHERE e.dynamic GROUP BY 1, 2",
-    "strategy_orders": f"""{_ALL}, o AS (SELECT 'cohesive' AS strategy, id, row_number() OVER (ORDER BY domains, score DESC, id) AS place FROM j UNION ALL SELECT 'campaign', id, row_number() OVER (ORDER BY score DESC, id) FROM j UNION ALL SELECT 'preparation', id, row_number() OVER (ORDER BY score DESC, id) FROM j UNION ALL SELECT 'low-risk', id, row_number() OVER (ORDER BY review_units, score DESC, id) FROM j UNION ALL SELECT 'max-loc', id, row_number() OVER (ORDER BY line_count DESC, id) FROM j) SELECT * FROM o WHERE place <= 20""",
+    "strategy_orders": f"""{_ALL}, o AS (SELECT 'cohesive' AS strategy, id, row_number() OVER (ORDER BY domains, score DESC, id) AS place FROM j UNION ALL SELECT 'campaign', id, row_number() OVER (ORDER BY score DESC, id) FROM j UNION ALL SELECT 'preparation', id, row_number() OVER (ORDER BY escapes, score DESC, id) FROM j UNION ALL SELECT 'low-risk', id, row_number() OVER (ORDER BY review_units, score DESC, id) FROM j UNION ALL SELECT 'max-loc', id, row_number() OVER (ORDER BY line_count DESC, id) FROM j) SELECT * FROM o WHERE place <= 20""",
     "bounded_report": f"WITH {_M} SELECT path, line_count, (SELECT count(*) FROM m) AS total, greatest((SELECT count(*) FROM m) - 25, 0) AS omitted FROM m ORDER BY line_count DESC, path LIMIT 25",
     "percentile_ranks": """WITH p AS (SELECT p_partkey AS id, p_type || '/' || p_brand AS cohort, p_size::BIGINT AS metric FROM part), q AS (SELECT *, count(*) OVER (PARTITION BY cohort) AS cohort_size, count(*) OVER () AS n, rank() OVER (PARTITION BY cohort ORDER BY metric) - 1 AS b1, count(*) OVER (PARTITION BY cohort, metric) AS e1, rank() OVER (ORDER BY metric) - 1 AS b2, count(*) OVER (PARTITION BY metric) AS e2 FROM p)
         SELECT id, cohort, metric, cohort_size, CASE WHEN cohort_size < 8 THEN 'repo' ELSE 'cohort' END AS source, CASE WHEN cohort_size < 8 THEN CASE WHEN n <= 1 THEN 50 ELSE floor((b2 + 0.5 * e2) / n * 100 + 0.5) END ELSE floor((b1 + 0.5 * e1) / cohort_size * 100 + 0.5) END::BIGINT AS percentile FROM q""",
     "dominant_affinity": "WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) SELECT user_id, event_type AS dominant, round(n / sum(n) OVER (PARTITION BY user_id), 9) AS concentration FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) = 1",
     "capability_partitions": "WITH p AS (SELECT o_custkey, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS labels FROM orders WHERE o_totalprice > 400000 GROUP BY 1) SELECT labels, count(*) AS members, min(o_custkey) AS first FROM p GROUP BY 1",
-    "unused_properties": "SELECT c_custkey AS property FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "unused_properties": "SELECT c_custkey AS property FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)",
     "multiset_delta": "WITH a AS (SELECT l_partkey, l_linenumber FROM lineitem WHERE l_returnflag = 'A'), b AS (SELECT l_partkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R') SELECT 'added' AS change, l_linenumber, count(*) AS n FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) GROUP BY 2 UNION ALL SELECT 'removed', l_linenumber, count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) GROUP BY 2",
     "last_writer": "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
     "adjacent_checks": "SELECT user_id, event_id, event_type FROM events QUALIFY lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) = event_type",
@@ -79,7 +79,7 @@ ORACLE: dict[str, str] = {
     "metric_ratchet": "WITH a AS (SELECT l_partkey AS path, count(*) AS v FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), b AS (SELECT l_partkey AS path, count(*) AS v FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) SELECT coalesce(a.path, b.path) AS path, 'lines' AS metric, CASE WHEN a.v IS NULL THEN 'new' WHEN b.v IS NULL THEN 'stale' WHEN b.v > a.v THEN 'worse' WHEN b.v < a.v THEN 'improved' ELSE 'accepted' END AS verdict FROM a FULL JOIN b ON a.path = b.path",
     "preparation_delta": "SELECT *, rows_after - rows_before AS rows_delta, good_after - good_before AS good_delta FROM (SELECT count(*) AS rows_before, sum(quality)::BIGINT AS good_before, count(*) FILTER (toxic = 0) AS rows_after, sum(quality) FILTER (toxic = 0)::BIGINT AS good_after FROM labels)",
     "url_paths": r"WITH p AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS u FROM pages) SELECT page_id, u AS normal, CASE WHEN contains(u, '/') THEN '@' || split_part(u, '/', 1) || '/' || split_part(u, '/', 2) ELSE '@' || u END AS package, '@types/' || replace(u, '/', '__') AS types, regexp_replace(u, '(\.d)?\.[A-Za-z0-9]+$', '') AS stem, len(string_split(u, '/')) AS segments, regexp_matches(u, '^[^/]*\.example\.com/.*$') AS globbed FROM p",
-    "token_index": r"WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '[A-Za-z0-9_@.\-\\/]+')) AS token FROM pages), k AS (SELECT page_id, regexp_replace(replace(token, '\', '/'), '^(\./|/)', '') AS path FROM t) SELECT path, count(*) AS n, count(DISTINCT page_id) AS pages FROM k WHERE contains(path, '/') AND NOT list_has_any(string_split(path, '/'), ['', '.', '..']) GROUP BY 1",
+    "token_index": r"WITH t AS (SELECT page_id, unnest(regexp_extract_all(html || ' ' || url, '[A-Za-z0-9_@.\-\\/]+')) AS token FROM pages), k AS (SELECT page_id, regexp_replace(replace(token, '\', '/'), '^(\./|/+)', '') AS path FROM t) SELECT path, count(*) AS n, count(DISTINCT page_id) AS pages FROM k WHERE contains(path, '/') AND NOT list_has_any(string_split(path, '/'), ['', '.', '..']) GROUP BY 1",
     "suffix_keys": "WITH p AS (SELECT page_id, string_split(regexp_replace(url, '^https?://', ''), '/') AS s FROM pages), i AS (SELECT page_id, s, unnest(range(1, len(s))) AS i FROM p) SELECT page_id, array_to_string(s[i:], '/') AS key FROM i",
     "line_counts": "SELECT doc_id, length(text) - length(replace(text, chr(10), '')) AS newlines, length(text) - length(replace(text, chr(10), '')) + CASE WHEN text = '' OR suffix(text, chr(10)) THEN 0 ELSE 1 END AS lines, sha256(text) AS sha256 FROM documents",
     "closest_names": "WITH p AS (SELECT DISTINCT p_name FROM part), d AS (SELECT p_name, o, levenshtein(p_name, o) AS d FROM p, (VALUES ('small ring'), ('red widget'), ('large bolt'), ('blue gear')) v(o)), b AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY d, o) = 1) SELECT p_name, levenshtein(p_name, 'small ring') AS distance, CASE WHEN d <= greatest(2, length(p_name) // 3) THEN o END AS closest FROM b",
@@ -148,7 +148,7 @@ ORACLE: dict[str, str] = {
     "gate_commands": f"WITH {_M} SELECT DISTINCT 'project' AS tier, t || ' ' || owner AS command FROM m, (VALUES ('test'), ('lint')) v(t) UNION ALL VALUES ('package', 'build'), ('workspace', 'check')",
     "stop_conditions": "SELECT * FROM (SELECT o_orderkey, CASE WHEN o_totalprice > 450000 THEN 'budget' WHEN o_totalprice < 20000 THEN 'no-progress' WHEN o_orderkey % 100 = 0 THEN 'milestone' END AS stop FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 2 = 0) WHERE stop IS NOT NULL",
     "workspace_coverage": "WITH p AS (SELECT p_partkey AS k, lower(p_brand) || '/' || CASE WHEN p_size = 50 THEN '..' ELSE lower(p_type) END || '/' || replace(p_name, ' ', '-') AS path FROM part), c AS (SELECT path FROM p WHERE k % 3 = 0) SELECT DISTINCT path, 'not-configured' AS fault FROM p WHERE k % 2 = 0 AND path NOT IN (SELECT path FROM c) UNION ALL SELECT DISTINCT path, 'not-scanned' FROM p WHERE k % 2 = 0 AND path NOT IN (SELECT path FROM p WHERE k % 5 <> 0) UNION ALL SELECT path, 'configured-twice' FROM c GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT DISTINCT path, 'unsafe' FROM c WHERE contains(path, '/../')",
-    "portfolio_totals": f"{_ALL} SELECT count(*) AS candidates, count(*) FILTER (eligible) AS eligible, count(*) FILTER (NOT eligible) AS blocked, count(*) FILTER (len(codes) = 0) AS recommended, count(*) FILTER (list_has_any(codes, ['too-large', 'composition-root'])) AS discouraged, sum(CASE WHEN eligible THEN line_count ELSE 0 END)::BIGINT AS eligible_lines FROM j",
+    "portfolio_totals": f"{_ALL} SELECT count(*) AS candidates, count(*) FILTER (eligible) AS eligible, count(*) FILTER (NOT eligible) AS blocked, count(*) FILTER (status = 'recommended') AS recommended, count(*) FILTER (status = 'discouraged') AS discouraged, sum(CASE WHEN eligible THEN line_count ELSE 0 END)::BIGINT AS eligible_lines FROM j",
     "ratchet_summary": "WITH a AS (SELECT l_partkey AS path, count(*) AS v FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), b AS (SELECT l_partkey AS path, count(*) AS v FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) SELECT 'lines' AS metric, CASE WHEN a.v IS NULL THEN 'new' WHEN b.v IS NULL THEN 'stale' WHEN b.v > a.v THEN 'worse' WHEN b.v < a.v THEN 'improved' ELSE 'accepted' END AS verdict, count(*) AS n FROM a FULL JOIN b ON a.path = b.path GROUP BY 2",
     "relative_resolution": f"WITH {_e()}, {_M} SELECT a.file || '.ts' AS source, '../' || lower(b.owner) || '/./' || b.path AS specifier, CASE b.path % 4 WHEN 0 THEN b.file || '.ts' WHEN 1 THEN b.file || '/index.ts' WHEN 2 THEN b.file || '.js' END AS resolved FROM e JOIN m a ON a.path = e.src JOIN m b ON b.path = e.dst",
     "triggered_artifacts": "SELECT * FROM (VALUES ('docs'), ('promo'), ('tens')) v(name)",

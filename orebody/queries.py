@@ -205,9 +205,17 @@ def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     reach = graph.closure(graph.condensed(e, comps))
     whole = comps.select(F.col("comp").alias("cand"), F.col("comp")).distinct().union(reach.select(F.col("src").alias("cand"), F.col("dst").alias("comp")))
     files = cut(whole.join(comps, "comp").select("cand", F.col("id").alias("path")))
-    facts = files.join(nodes, "path").groupBy("cand").agg(
+    into, out = (e.groupBy(F.col(side).alias("path")).agg(F.count(F.lit(1)).alias(n)) for side, n in (("dst", "fan_in"), ("src", "fan_out")))
+    some = nodes.join(into, "path", "left").join(out, "path", "left").fillna(0, ["fan_in", "fan_out"])
+    every = lambda k, n: F.count_if(F.col("path") % k == 0).alias(n)
+    facts = files.join(some, "path").groupBy("cand").agg(
         F.count(F.lit(1)).alias("files"), F.sum("line_count").alias("line_count"), F.countDistinct("owner").alias("owners"), F.countDistinct("domain").alias("domains"),
-        F.count_if("has_exports").alias("exporting"), F.count_if(F.col("path") % 97 == 0).alias("composition"), F.count_if(F.col("path") % 89 == 0).alias("protected"), F.min("domain").alias("first_domain"),
+        F.count_if("has_exports").alias("exporting"), every(97, "composition"), every(89, "protected"), F.min("domain").alias("first_domain"),
+        every(71, "escapes"), every(83, "unresolved"), every(59, "stale_generated"), every(3, "declarations"), every(67, "uninstalled"), every(73, "unmovable"),
+        F.count_if(F.col("path") % 10 == 3).alias("tests"), F.count_if(F.col("path") % 10 == 7).alias("assets"), every(61, "warnings"), every(41, "adjacent"), every(37, "effectful"),
+        F.count_if((F.col("path") % 53 == 0) & (F.col("fan_in") > 0)).alias("shims"), F.sum(F.when((F.col("path") % 53 == 0) & (F.col("fan_in") > 0), F.col("line_count")).otherwise(0)).alias("shim_lines"),
+        F.count_if(F.col("fan_in") >= CONFIG.high_inbound).alias("high_inbound"), F.count_if(F.col("fan_out") >= CONFIG.high_fan_out).alias("high_fan_out"),
+        (F.count(F.lit(1)) - F.countDistinct(F.col("path") % 500)).alias("collisions"),
     )
     seen = portfolio.consumers(files, e.withColumn("specifier", F.col("dst").cast("string"))).groupBy("cand").agg(F.count(F.lit(1)).alias("consumers"))
     dyn = e.where("dynamic").join(files.select("cand", F.col("path").alias("src")), "src").groupBy("cand").agg(F.count(F.lit(1)).alias("unsupported"))
@@ -215,14 +223,14 @@ def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     return e, nodes, files, facts
 
 
-CONFIG = Config(min_files=2, max_files=20)
+CONFIG = Config(min_files=2, max_files=20, generic_segments=("brand-7", "brand-11"), max_recommended_files=12, max_recommended_lines=400, high_inbound=3, high_fan_out=3)
 
 
 def _judged(facts: DataFrame) -> DataFrame:
-    zero = F.lit(0)
-    full = facts.withColumns({"escapes": zero, "unresolved": zero, "declarations": zero, "tests": zero, "inbound": F.col("consumers"), "assets": zero, "shim_lines": zero, "dependencies": F.col("domains") - 1, "churn": zero, "warnings": zero})
-    judged = portfolio.reasons(full, CONFIG).withColumn("rejections", F.size("codes")).withColumn("reasons", zero)
-    return judged.withColumns({"score": portfolio.score(Weights()), "review_units": portfolio.review_units(), "eligible": F.size("codes") == 0, "id": F.col("cand")})
+    """Facts with codes, advice, status, cohesion, score, effort and risk."""
+    full = facts.withColumns({"inbound": F.col("consumers"), "dependencies": F.col("domains") - 1, "churn": F.col("consumers"), "segment": portfolio.suggested_name(F.col("first_domain"), F.col("cand").cast("string"))})
+    judged = portfolio.recommendation_reasons(portfolio.reasons(full, CONFIG), CONFIG).withColumns({"rejections": F.size("codes"), "reasons": F.size("advice")})
+    return judged.withColumns({"score": portfolio.score(Weights()), "review_units": portfolio.review_units(), "risk": portfolio.risk(), "eligible": F.size("codes") == 0, "id": F.col("cand")})
 
 
 @query
@@ -234,7 +242,7 @@ def candidate_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = _judged(_candidates(spark, sf_dir)[3])
     name = portfolio.suggested_name(F.col("first_domain"), F.col("cand").cast("string"), "@engine")
-    return j.select("id", F.array_join("codes", ",").alias("codes"), "eligible", "score", F.col("review_units").cast("long").alias("review_units"), F.round(F.col("line_count") / F.col("review_units"), 6).alias("lines_per_unit"), name.alias("package"), portfolio.recommendation(F.col("codes"), ["too-large", "composition-root"]).alias("status"))
+    return j.select("id", F.array_join("codes", ",").alias("codes"), "eligible", "score", F.col("review_units").cast("long").alias("review_units"), F.round(F.col("line_count") / F.col("review_units"), 6).alias("lines_per_unit"), name.alias("package"), "status", "cohesion", "risk", F.array_join("advice", ",").alias("advice"))
 
 
 @query
@@ -288,7 +296,7 @@ def equivalence_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return portfolio.ranked(_judged(_candidates(spark, sf_dir)[3]).where("eligible"), "campaign", 1).select("id", "score")
+    return portfolio.ranked(_judged(_candidates(spark, sf_dir)[3]).where("eligible and status = 'recommended'"), "campaign", 1).select("id", "score")
 
 
 @query
@@ -351,7 +359,7 @@ def capability_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def unused_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").where("o_totalprice > 300000")
     return c.join(o, c["c_custkey"] == o["o_custkey"], "left_anti").select(F.col("c_custkey").alias("property"))
 
 
@@ -433,8 +441,8 @@ def url_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Path-like tokens of the pages' markup, normalised, and how many there are."""
-    p = table(spark, sf_dir, "pages").select("page_id", F.explode(paths.tokens(F.col("html"))).alias("token"))
+    """Path-like tokens of the pages' markup and addresses, normalised, and how many there are."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.explode(paths.tokens(F.concat_ws(" ", "html", "url"))).alias("token"))
     return p.select("page_id", paths.normalize_token(F.col("token")).alias("path")).where("path is not null").groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("page_id").alias("pages"))
 
 
@@ -895,7 +903,7 @@ def workspace_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def portfolio_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = _judged(_candidates(spark, sf_dir)[3])
-    status = portfolio.recommendation(F.col("codes"), ["too-large", "composition-root"])
+    status = F.col("status")
     return j.agg(F.count(F.lit(1)).alias("candidates"), F.count_if("eligible").alias("eligible"), F.count_if(~F.col("eligible")).alias("blocked"), F.count_if(status == "recommended").alias("recommended"), F.count_if(status == "discouraged").alias("discouraged"), F.sum(F.when(F.col("eligible"), F.col("line_count")).otherwise(0)).alias("eligible_lines"))
 
 
