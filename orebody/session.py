@@ -21,18 +21,22 @@ def session(name: str = "orebody", master: str | None = None, **conf: str) -> Sp
     return builder.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written in the shared folder (spark.checkpoint.dir) and read again: the lineage ends, and no executor's loss undoes it."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir); a local one only where it is unset and all runs on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="orebody-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/orebody-cut-{uuid.uuid4().hex}"
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written in the shared folder and read again: the lineage ends, and no executor's loss undoes it."""
+    path = f"{shared_dir(df.sparkSession)}/orebody-cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> None:

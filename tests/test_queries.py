@@ -12,8 +12,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 import oracles  # noqa: E402
 
-from orebody.oracle import ORACLE  # noqa: E402
-from orebody.queries import QUERIES  # noqa: E402
+from orebody.catalog import ORACLE, QUERIES  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
