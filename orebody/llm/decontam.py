@@ -6,15 +6,21 @@ of the documents are joined; a hit fixes an item and a diagonal (where in the te
 first word would stand), and the item is then laid along that diagonal and compared word for
 word: the best stretch counts +1 for an equal and -2 for an unequal word, so substituted words
 are tolerated but unrelated text around a passage isn't taken in. A text is contaminated by an
-item if such a stretch has at least ``least`` equal words, or the whole item if it is shorter.
+item if such a stretch has at least ``least`` equal words, or is the whole item, word for word,
+if it has fewer. Items of fewer than SHORTEST words say nothing and are left out.
 
 A stretch that is accepted starts with 12 equal words among at most 5 unequal ones, such that
 equal words outweigh unequal ones 2 to 1 in every part from its start. MASKS are seven of 7
 words each, of which at least one falls on equal words only in every such pattern (a test
 enumerates all 728), so with ``least`` of 12 or more no stretch that alignment accepts goes
-without a key. A mask needs no more words than it spans. The documents are read once and never
-shuffled: the benchmark's keys are broadcast when they are at most BROADCAST_ROWS rows, else
-joined by a shuffle on the key.
+without a key; a shorter item, taken whole, has one of the plain mask. A mask needs no more words
+than it spans.
+
+At scale: documents are never shuffled. Up to BROADCAST_ROWS keys of the benchmark are broadcast, each mask's to
+its own join. Beyond, bits of the keys in BITMAP_ROWS words at most are broadcast, and the
+document's keys that they let through (all that match, and a share of the others that the bits'
+load sets) are shuffled alone, without text, to the benchmark's. Only documents with a hit are
+then read again and aligned.
 """
 
 from __future__ import annotations
@@ -22,13 +28,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, text_keys
+from .common import SPACE, text_keys, written
 
 #: Least words of an item.
-SPAN = 12
+SHORTEST = 7
 MASKS = ((0, 1, 2, 4, 5, 8, 10), (0, 1, 2, 4, 6, 7, 11), (0, 1, 2, 3, 7, 10, 13), (0, 1, 2, 4, 5, 7, 9), (0, 1, 2, 3, 4, 8, 9), (0, 1, 2, 3, 5, 7, 11), (0, 1, 2, 3, 4, 5, 6))
-#: A key row is 24 bytes and an item's words 8 bytes each: at most some 100 MB are broadcast.
+#: Keys that are broadcast as they are, 24 bytes each; items of as many words at most, 8 bytes each.
 BROADCAST_ROWS = 500_000
+#: Words of 64 bits in the broadcast bitmap of more keys, 24 bytes each with their places.
+BITMAP_ROWS = 1 << 22
 EQUAL, UNEQUAL = 1, -2
 
 
@@ -45,8 +53,7 @@ def _keys(h: Column, at: Column) -> list[Column]:
 def overlaps(docs: DataFrame, tests: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", least: int = 12) -> DataFrame:
     """One row for each document and item that overlap: doc_id, item_id, matched (equal words), item_words, start (word of the text where the best stretch begins), span (its words).
 
-    Null or short texts (fewer than 12 words) and items of fewer than 12 words overlap with
-    nothing. Rows with a null id give a row with a null id. Documents with one id are
+    Null texts and items, and those of fewer than SHORTEST (7) words, overlap with nothing. Rows with a null id give a row with a null id. Documents with one id are
     taken together (best stretch), but each is verified by itself. An empty benchmark gives no row.
     """
     found = _stretches(docs, tests, doc_id, item_id, text, least)
@@ -58,28 +65,37 @@ def overlaps(docs: DataFrame, tests: DataFrame, doc_id: str = "doc_id", item_id:
 def _stretches(docs: DataFrame, tests: DataFrame, doc_id: str, item_id: str, text: str, least: int) -> DataFrame:
     """Accepted stretches of each row: its key (doc_id, tk1, tk2: the id and the hash of the text), item_id, __start, item_words, s."""
     row = ["doc_id", "tk1", "tk2"]
-    items = tests.select(F.col(item_id).alias("item_id"), _hashes(text).alias("__ih")).where(F.size("__ih") >= SPAN)
+    items = written(tests.select(F.col(item_id).alias("item_id"), _hashes(text).alias("__ih")).where(F.size("__ih") >= SHORTEST), "items")
     seeds = items.select("item_id", "__ih", F.posexplode_outer("__ih").alias("__ip", "__w")).where("__ip is not null")
-    seeds = seeds.select("item_id", "__ip", F.explode(F.array(*_keys(F.col("__ih"), F.col("__ip")))).alias("__key")).where("__key is not null")
-    small = seeds.count() <= BROADCAST_ROWS
-    hint = F.broadcast if small else (lambda x: x)
+    seeds = seeds.select("item_id", "__ip", F.posexplode(F.array(*_keys(F.col("__ih"), F.col("__ip")))).alias("__mask", "__key")).where("__key is not null")
+    seeds = written(seeds, "seeds")
     words = docs.select(F.col(doc_id).alias("doc_id"), *text_keys(F.col(text)), _hashes(text).alias("__dh"))
     at = words.select(*row, "__dh", F.posexplode_outer("__dh").alias("__dp", "__w")).where("__dp is not null")
-    keyed = at.withColumns({f"__k{m}": k for m, k in enumerate(_keys(F.col("__dh"), F.col("__dp")))})
-    if small:
-        keys = seeds.select("__key").distinct()
+    if seeds.count() <= BROADCAST_ROWS:
+        keyed = at.withColumns({f"__k{m}": k for m, k in enumerate(_keys(F.col("__dh"), F.col("__dp")))})
         for m in range(len(MASKS)):
-            keyed = keyed.join(F.broadcast(keys.select(F.col("__key").alias(f"__m{m}"))), F.col(f"__k{m}") == F.col(f"__m{m}"), "left")
-        keyed = keyed.where(F.greatest(*[F.when(F.col(f"__m{m}").isNotNull(), 1).otherwise(0) for m in range(len(MASKS))]) > 0)
+            keys = seeds.where(F.col("__mask") == m).select(F.col("__key").alias(f"__m{m}")).distinct()
+            keyed = keyed.join(F.broadcast(keys), F.col(f"__k{m}") == F.col(f"__m{m}"), "left")
         kept = [F.col(f"__m{m}") for m in range(len(MASKS))]
+        keyed = keyed.where(F.coalesce(*kept).isNotNull())
+        # A slice of the text around the hit is all that an item of some length can be laid on.
+        longest = items.agg(F.max(F.size("__ih"))).first()[0] or SHORTEST
+        low = F.greatest(F.col("__dp") - longest, F.lit(0))
+        around = keyed.select(*row, "__dp", low.alias("__low"), F.slice("__dh", low + 1, 2 * longest).alias("__part"), F.explode(F.array(*kept)).alias("__key")).where("__key is not null")
+        hits = around.join(F.broadcast(seeds.select("item_id", "__ip", "__key")), "__key").withColumn("__start", F.col("__dp") - F.col("__ip"))
+        hits = hits.dropDuplicates([*row, "item_id", "__start"]).join(F.broadcast(items), "item_id")
     else:
-        kept = [F.col(f"__k{m}") for m in range(len(MASKS))]
-    # A slice of the text around the hit is all that an item of some length can be laid on.
-    longest = items.agg(F.max(F.size("__ih"))).first()[0] or SPAN
-    low = F.greatest(F.col("__dp") - longest, F.lit(0))
-    around = keyed.select(*row, "__dp", low.alias("__low"), F.slice("__dh", low + 1, 2 * longest).alias("__part"), F.explode(F.array(*kept)).alias("__key")).where("__key is not null")
-    hits = around.join(hint(seeds), "__key").withColumn("__start", F.col("__dp") - F.col("__ip"))
-    hits = hits.dropDuplicates([*row, "item_id", "__start"]).join(hint(items), "item_id")
+        bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(k, F.lit(64)).cast("int"))
+        place = lambda k: F.pmod(F.shiftright(k, 6), F.lit(BITMAP_ROWS)).cast("int")
+        bits = seeds.groupBy(place(F.col("__key")).alias("__place")).agg(F.bit_or(bit(F.col("__key"))).alias("__bits"))
+        asked = at.select(*row, "__dp", F.explode(F.array(*_keys(F.col("__dh"), F.col("__dp")))).alias("__key")).where("__key is not null")
+        asked = asked.withColumn("__place", place(F.col("__key"))).join(F.broadcast(bits), "__place").where(F.col("__bits").bitwiseAND(bit(F.col("__key"))) != 0)
+        hits = asked.select(*row, "__dp", "__key").join(seeds.select("item_id", "__ip", "__key"), "__key")
+        # One row for each document, item and diagonal; then only what hit anything is read again.
+        hits = written(hits.select(*row, "item_id", (F.col("__dp") - F.col("__ip")).alias("__start")).distinct(), "hits")
+        texts = words.select(*row, "__dh").join(hits.select(*[F.col(c).alias(f"__{c}") for c in row]).distinct(), _same(row, "__"), "left_semi")
+        texts = texts.dropDuplicates(row).select(*[F.col(c).alias(f"__{c}") for c in row], F.col("__dh").alias("__part"), F.lit(0).alias("__low"))
+        hits = hits.join(texts, _same(row, "__")).join(items, "item_id")
     laid = F.transform("__ih", lambda w, i: F.when(F.coalesce(F.get("__part", F.col("__start") - F.col("__low") + i) == w, F.lit(False)), F.lit(EQUAL)).otherwise(F.lit(UNEQUAL)))
     stretch = F.aggregate(
         laid,
@@ -90,6 +106,14 @@ def _stretches(docs: DataFrame, tests: DataFrame, doc_id: str, item_id: str, tex
     return found.where(F.col("s.best_equal") >= F.least(F.lit(least), F.col("item_words")))
 
 
+def _same(row: list[str], mark: str) -> Column:
+    """Equal keys of rows; null ids are equal to each other."""
+    out = F.lit(True)
+    for c in row:
+        out = out & F.col(c).eqNullSafe(F.col(mark + c))
+    return out
+
+
 def _step(a: Column, score: Column) -> Column:
     """Best-scoring stretch (running maximum of sums), with its equal words and ends."""
     fresh = a["run"] <= 0

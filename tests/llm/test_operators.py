@@ -188,7 +188,7 @@ def test_op3_finds_passages_and_substitutions(spark, docs, awkward, empty):
     worn = [("changed" if i % 9 == 4 else w) for i, w in enumerate(item)]
     rows = [(1, "before " * 30 + " ".join(item) + " after"), (2, "before " + " ".join(worn).upper()), (3, " ".join(item[:11])), (4, " ".join(item[::-1])), (5, None), (6, ""), (None, " ".join(item))]
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    t = spark.createDataFrame([(7, " ".join(item)), (8, None), (9, "short item")], "item_id long, text string")
+    t = spark.createDataFrame([(7, " ".join(item)), (8, None), (9, "short item"), (10, " ".join(item[:6]))], "item_id long, text string")
     found = {r.doc_id: r for r in decontam.overlaps(d, t).collect()}
     assert set(found) == {1, 2, None} and (found[1].matched, found[1].start, found[1].span) == (40, 30, 40) and found[2].matched == sum(i % 9 != 4 for i in range(40))
     assert {r.doc_id for r in decontam.clean(d, t).collect()} == {3, 4, 5, 6}
@@ -235,6 +235,40 @@ def test_op4_tagger(spark, docs, awkward, empty):
     assert pii.found(empty, tagger).count() == 0
 
 
+HARD = {
+    "email": ["jane.doe at example dot org", "k_miller [at] mail3 [dot] example [dot] com", "info (at) shop (dot) example (dot) net", "peter @ example . org", "first.last @ department.example.org"],
+    "ip": ["10 . 20 . 30 . 40", "192 . 168 . 7 . 1"],
+    "card": ["4111.1111.1111.1111", "5500.0000.0000.0004"],
+    "phone": ["(212) 555-0100", "212-555-0100", "(030) 123-4567"],
+}
+
+
+def test_op4_adds_hard_spans_and_little_else(docs):
+    """What the patterns miss, planted into texts of the table; and the same texts without it."""
+    tagger = pii.fitted(docs)
+    rng = random.Random(4)
+    plain = [t for _, t in pairs(docs) if t and not pii._TRIGGER.search(t) and len(t.split()) > 60]
+    found, planted = Counter(), Counter()
+    some, want = [], []
+    for kind, forms in HARD.items():
+        for form in forms:
+            assert not any(k == kind and b - a == len(form) for k, a, b in pii.base_spans(form))
+            for _ in range(20):
+                words = rng.choice(plain).split()
+                at = rng.randrange(10, 50)
+                before = " ".join(words[:at]) + " "
+                some.append(before + form + " " + " ".join(words[at:]))
+                want.append((kind, form, len(before), len(before) + len(form)))
+    for (kind, form, a, b), (_, every) in zip(want, pii.all_spans(tagger, some), strict=True):
+        planted[kind] += 1
+        found[kind] += any(k == kind and min(y, b) - max(x, a) >= 0.8 * (b - a) for k, x, y in every)
+    print({k: f"{found[k]}/{planted[k]}" for k in planted})
+    assert sum(found.values()) >= 0.75 * sum(planted.values())
+    assert all(not every for _, every in pii.all_spans(tagger, plain))
+    numbers = [" ".join(w if rng.random() > 0.1 else str(rng.randrange(10_000)) for w in t.split()) for t in plain]
+    assert sum(len(every) - len(base) for base, every in pii.all_spans(tagger, numbers)) <= 0.01 * sum(map(len, map(str.split, numbers)))
+
+
 def test_op4_gradients_match_differences():
     import numpy as np
 
@@ -663,6 +697,56 @@ def test_op4_spans_longer_than_half_a_window(docs):
         assert sum(x in spans for x, spans in zip(want, every, strict=True)) >= 75
 
 
+def _plain_overlaps(docs, items, least=12):
+    """{(doc, item): most equal words of an accepted stretch}: every item laid on every diagonal of every text."""
+    out = {}
+    cut = lambda t: brute.WORD.findall((t or "").lower())
+    for i, x in items:
+        item = cut(x)
+        if len(item) < decontam.SHORTEST:
+            continue
+        where = {}
+        for j, w in enumerate(item):
+            where.setdefault(w, []).append(j)
+        for d, t in docs:
+            text = cut(t)
+            equal = Counter(p - j for p, w in enumerate(text) for j in where.get(w, ()))
+            for start, n in equal.items():
+                if n < min(least, len(item)):
+                    continue
+                run, count, best, found = 0, 0, 0, 0
+                for j, w in enumerate(item):
+                    same = 0 <= start + j < len(text) and text[start + j] == w
+                    if run <= 0:
+                        run, count = 0, 0
+                    run, count = run + (1 if same else -2), count + same
+                    if run > best:
+                        best, found = run, count
+                if found >= min(least, len(item)):
+                    out[d, i] = max(out.get((d, i), 0), found)
+    return out
+
+
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_op3_matches_a_plain_search(spark, docs, monkeypatch, limit):
+    """Both forms, with short items and worn passages, against every item on every diagonal."""
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(decontam, "BITMAP_ROWS", 1 << 10)
+    r = random.Random(3)
+    tests = spark.read.parquet(f"{SF}/benchmark.parquet")
+    items = [(x.item_id, x.text) for x in tests.select("item_id", "text").collect()] + [(900 + n, " ".join(f"s{n}w{j}" for j in range(n))) for n in range(4, 15)]
+    rows = pairs(docs)
+    for k in range(120):
+        words = r.choice(items)[1].split()
+        worn = [("other" if r.random() < 0.12 else w) for w in words]
+        lo = r.randrange(0, max(1, len(worn) - 8))
+        rows.append((5000 + k, " ".join(["so", "it", "goes"] * r.randrange(4) + worn[lo:] + ["and", "on"])))
+    want = _plain_overlaps(rows, items)
+    some = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = decontam.overlaps(some, spark.createDataFrame(items, "item_id long, text string"))
+    assert {(x.doc_id, x.item_id): x.matched for x in got.collect()} == want and len(want) > 60
+
+
 def test_op3_rows_that_share_an_id_stand_alone(spark):
     item = [f"item{i}" for i in range(40)]
     whole, weak = " ".join(item), " ".join(w if i in range(7) else f"other{i}" for i, w in enumerate(item))
