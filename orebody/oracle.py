@@ -160,4 +160,16 @@ ORACLE: dict[str, str] = {
     "seam_blockers": f"WITH {_e()}, {_M} SELECT 'exact' AS certainty, 'no-exports' AS code, path AS id FROM m WHERE owner = 'PROMO' AND NOT has_exports UNION SELECT 'exact', 'cycle', src FROM e WHERE EXISTS (SELECT 1 FROM e f WHERE f.src = e.dst AND f.dst = e.src) UNION SELECT 'heuristic', 'large', path FROM m WHERE owner = 'PROMO' AND line_count > 45",
     "batch_targets": f"{_ALL}, p AS (SELECT f.path, max(facts.line_count) AS big, count(*) FILTER (facts.files > 20) AS dis FROM f JOIN facts USING (cand) GROUP BY 1), q AS (SELECT p.path, big + 100 * (SELECT count(*) FROM e WHERE dst = p.path) + 50 * (SELECT count(*) FROM e WHERE src = p.path) + 250 * (SELECT count(*) FROM e JOIN m a ON a.path = e.src JOIN m b ON b.path = e.dst WHERE e.src = p.path AND a.domain <> b.domain) + 100 * dis AS pressure FROM p) SELECT path, pressure FROM q ORDER BY pressure DESC, path LIMIT 10",
     "canonical_paths": f"WITH {_M} SELECT path, file FROM m",
+    "connectivity_backbone": f"""WITH RECURSIVE {_e()}, {_M}, d AS (SELECT a.domain AS a, b.domain AS b, count(*) AS n FROM e JOIN m a ON a.path = e.src JOIN m b ON b.path = e.dst WHERE a.domain <> b.domain GROUP BY 1, 2), w AS (SELECT least(a, b) AS a, greatest(a, b) AS b, sum(n)::BIGINT AS weight FROM d GROUP BY 1, 2), v AS (SELECT *, row_number() OVER (ORDER BY weight DESC, a, b) AS k FROM w), u AS (SELECT a AS x, b AS y, k FROM v UNION ALL SELECT b, a, k FROM v),
+        r AS (SELECT k, a AS x FROM v UNION SELECT r.k, u.y FROM r JOIN u ON u.x = r.x AND u.k < r.k) SELECT a, b, weight FROM v WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.k = v.k AND r.x = v.b)""",
+    "cohesion_clusters": """WITH RECURSIVE u AS (SELECT DISTINCT l_suppkey AS owner, l_orderkey AS id, l_partkey AS field FROM lineitem WHERE l_quantity >= 40), n AS (SELECT owner, count(DISTINCT id) AS n FROM u GROUP BY 1), k AS (SELECT owner, field, count(*) AS k, min(id) AS first FROM u GROUP BY 1, 2), ra AS (SELECT u.owner, u.id, k.first FROM u JOIN k USING (owner, field) JOIN n USING (owner) WHERE k.k < greatest(3, ceil(n.n * 0.4)) AND u.id <> k.first),
+        g AS (SELECT owner, id AS a, first AS b FROM ra UNION SELECT owner, first, id FROM ra), r AS (SELECT owner, a AS id, b AS x FROM g UNION SELECT r.owner, r.id, g.b FROM r JOIN g ON g.owner = r.owner AND g.a = r.x), c AS (SELECT owner, id, min(x::VARCHAR) AS low FROM r GROUP BY 1, 2)
+        SELECT DISTINCT u.owner::VARCHAR AS owner, u.id::VARCHAR AS id, least(u.id::VARCHAR, coalesce(low, u.id::VARCHAR)) AS cluster FROM u LEFT JOIN c USING (owner, id)""",
+    "greedy_selection": f"""{_ALL}, ca AS (SELECT j.id, row_number() OVER (ORDER BY score DESC, j.id) AS k, (SELECT list(path) FROM f WHERE f.cand = j.id) AS files FROM j WHERE eligible), st AS (SELECT 0 AS k, []::BIGINT[] AS taken, 0 AS n, NULL::BIGINT AS id, false AS pick UNION ALL SELECT ca.k, CASE WHEN list_has_any(taken, files) THEN taken ELSE list_concat(taken, files) END, CASE WHEN list_has_any(taken, files) THEN n ELSE n + 1 END, ca.id, NOT list_has_any(taken, files) FROM st JOIN ca ON ca.k = st.k + 1) SELECT id, n::INT AS rank FROM st WHERE pick""",
+    "equivalence_groups": f"""{_ALL}, ca AS (SELECT j.id, score, row_number() OVER (ORDER BY j.id) AS k FROM j WHERE files > 2), fs AS (SELECT ca.k, path FROM f JOIN ca ON ca.id = f.cand), sz AS (SELECT k, count(*) AS n FROM fs GROUP BY 1), pa AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM fs a JOIN fs b ON a.path = b.path AND a.k < b.k GROUP BY 1, 2), si AS (SELECT a, b, c / (x.n + y.n - c) AS s FROM pa JOIN sz x ON x.k = a JOIN sz y ON y.k = b WHERE c / (x.n + y.n - c) >= 0.8),
+        nb AS (SELECT k, coalesce(list(b), []) AS l FROM ca LEFT JOIN si ON si.a = ca.k GROUP BY 1), tot AS (SELECT count(*) AS n FROM ca), st AS (SELECT 0 AS k, list_transform(range(1, n + 1), lambda x: 0) AS own FROM tot UNION ALL SELECT nb.k, CASE WHEN own[nb.k] <> 0 THEN own ELSE list_transform(own, lambda o, i: CASE WHEN o = 0 AND (i = nb.k OR list_contains(nb.l, i)) THEN nb.k ELSE o END) END FROM st JOIN nb ON nb.k = st.k + 1),
+        fin AS (SELECT unnest(own) AS seed, unnest(range(1, len(own) + 1)) AS k FROM st WHERE st.k = (SELECT n FROM tot)), g AS (SELECT x.id, y.id AS seed, x.score, fin.k, fin.seed AS sk FROM fin JOIN ca x ON x.k = fin.k JOIN ca y ON y.k = fin.seed) SELECT id, seed, first_value(id) OVER (PARTITION BY seed ORDER BY score DESC, id) AS representative, coalesce((SELECT s FROM si WHERE si.a = g.sk AND si.b = g.k), 1.0)::DOUBLE AS similarity FROM g""",
+    "plan_waves": f"""WITH RECURSIVE {_M}, {_OPS}, ad AS (SELECT DISTINCT plan_id, kind, path, key FROM op WHERE kind <> 'delete-tree'), hx AS (SELECT l.plan_id AS l, r.plan_id AS r, l.path, bool_and(l.kind = 'structured' AND r.kind = 'structured' AND l.key <> r.key) AS ok FROM ad l JOIN ad r ON l.plan_id < r.plan_id AND l.path = r.path GROUP BY 1, 2, 3), hd AS (SELECT DISTINCT l, r FROM hx WHERE NOT ok), pl AS (SELECT plan_id, row_number() OVER (ORDER BY plan_id % 7 DESC, plan_id) AS k FROM (SELECT DISTINCT plan_id FROM op)),
+        ed AS (SELECT x.k AS a, y.k AS b FROM hd JOIN pl x ON x.plan_id = hd.l JOIN pl y ON y.plan_id = hd.r UNION SELECT y.k, x.k FROM hd JOIN pl x ON x.plan_id = hd.l JOIN pl y ON y.plan_id = hd.r), nb AS (SELECT pl.k, plan_id, coalesce(list(b) FILTER (b IS NOT NULL), []) AS l FROM pl LEFT JOIN ed ON ed.a = pl.k AND ed.b < pl.k GROUP BY 1, 2),
+        st AS (SELECT 0 AS k, []::BIGINT[] AS w UNION ALL SELECT nb.k, list_append(w, list_min(list_filter(range(0, len(nb.l) + 1), lambda x: NOT list_contains(list_transform(nb.l, lambda i: w[i]), x)))) FROM st JOIN nb ON nb.k = st.k + 1), fin AS (SELECT w FROM st WHERE k = (SELECT max(k) FROM pl)) SELECT plan_id, (SELECT w[pl.k] FROM fin)::INT AS wave FROM pl""",
 }
