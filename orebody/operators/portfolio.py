@@ -159,21 +159,31 @@ def marginal_blockers(candidates: DataFrame) -> DataFrame:
     return each.groupBy("code", F.coalesce("edge", "detail").alias("edge")).agg(F.count(F.lit(1)).alias("occurrences"), F.count_if("frees").alias("freed"), F.coalesce(F.sum(F.when(F.col("frees"), F.col("line_count"))), F.lit(0)).alias("freed_lines"))
 
 
-def jaccard_pairs(members: DataFrame, least: float) -> DataFrame:
-    """(a, b, similarity) of groups (id, item) whose Jaccard similarity is ``least`` or more.
+def equal_sets(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, same) and (id, s): the least id with the same set of items (id, item) as each id, and the distinct sets by that id."""
+    sets = members.groupBy("id").agg(F.array_sort(F.collect_set("item")).alias("s")).withColumn("k", F.sha2(F.to_json(F.struct("s")), 256))
+    distinct = sets.groupBy("k").agg(F.min("id").alias("same"), F.first("s").alias("s"))
+    return sets.select("id", "k").join(distinct.select("k", "same"), "k").select("id", "same"), distinct.select(F.col("same").alias("id"), "s")
+
+
+def jaccard_pairs(sets: DataFrame, least: float) -> DataFrame:
+    """(a, b, similarity) of different sets (id, s) whose Jaccard similarity is ``least`` or more.
 
     Prefix filtering: items are ordered by how rare they are, and two similar sets must share one
-    of the first n - ceil(least * n) + 1 of each; only sets that do are compared. So a common item
-    pairs few sets, unless it is among the rarest of them.
+    of the first n - ceil(least * n) + 1 of each. Sets meet by such an item and by size: a set is
+    only asked for sizes at which a different set can be as similar, so small sets ask for none,
+    and an item that many sets begin with is split by size.
     """
-    m = members.select("id", "item").distinct()
+    m = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("item"))
     weighed = m.join(m.groupBy("item").agg(F.count(F.lit(1)).alias("df")), "item")
-    order = Window.partitionBy("id").orderBy("df", "item")
-    sized = weighed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("id"))).withColumn("r", F.row_number().over(order))
+    sized = weighed.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("df", "item")))
     first = sized.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("id", "item", "n")
-    a, b = first.select(F.col("id").alias("a"), "item", F.col("n").alias("na")), first.select(F.col("id").alias("b"), "item", F.col("n").alias("nb"))
-    pairs = a.join(b, "item").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least)).select("a", "b").distinct()
-    sets = m.groupBy("id").agg(F.collect_set("item").alias("s"))
+    # Equal sizes differ in an item each way; a size m above n is the least set's share of the union at best.
+    alike = (F.col("n") - 1) >= (F.col("n") + 1) * least
+    sizes = F.filter(F.sequence(F.col("n"), F.floor(F.col("n") / least + 1e-9).cast("int")), lambda x: (x > F.col("n")) | alike)
+    a = first.select(F.col("id").alias("x"), "item", F.col("n").alias("na"), F.explode(sizes).alias("n"))
+    b = first.select(F.col("id").alias("y"), "item", "n")
+    pairs = a.join(b, ["item", "n"]).where((F.col("na") < F.col("n")) | (F.col("x") < F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     sim = F.size(F.array_intersect("sa", "sb")) / F.size(F.array_union("sa", "sb"))
     return both.select("a", "b", sim.alias("similarity")).where(F.col("similarity") >= least)
@@ -186,26 +196,33 @@ def _rows(df: DataFrame) -> list:
     return rows
 
 
-def equivalence_groups(candidates: DataFrame, pairs: DataFrame) -> DataFrame:
+def equivalence_groups(candidates: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, seed, representative, similarity): in order of id, the least free candidate takes in the free ones similar to it.
 
-    candidates: (id, score); pairs: (a, b, similarity) at the threshold or above. The
-    representative has the greatest score, then the least id.
+    candidates: (id, score); classes: (id, same), the candidates of equal sets; pairs: (a, b,
+    similarity) between different sets at the threshold or above. The representative has the
+    greatest score, then the least id.
     """
     spark = candidates.sparkSession
     near: dict = {}
     for r in _rows(pairs):
         near.setdefault(r["a"], {})[r["b"]] = r["similarity"]
         near.setdefault(r["b"], {})[r["a"]] = r["similarity"]
+    same = {r["id"]: r["same"] for r in _rows(classes)}
+    members: dict = {}
+    for x, c in sorted(same.items()):
+        members.setdefault(c, []).append(x)
     rows = sorted(_rows(candidates.select("id", "score")))
     scores, seen, out = dict(map(tuple, rows)), set(), []
     for seed, _ in rows:
         if seed in seen:
             continue
-        group = [seed, *(x for x in sorted(near.get(seed, {})) if x not in seen and x > seed and x in scores)]
-        seen.update(group)
-        best = min(group, key=lambda x: (-scores[x], x))
-        out += [(x, seed, best, 1.0 if x == seed else near[seed][x]) for x in group]
+        like = {seed: 1.0}
+        for c, similarity in [(same[seed], 1.0), *near.get(same[seed], {}).items()]:
+            like |= {x: similarity for x in members[c] if x > seed and x not in seen and x in scores}
+        seen.update(like)
+        best = min(like, key=lambda x: (-scores[x], x))
+        out += [(x, seed, best, s) for x, s in like.items()]
     kind = candidates.schema["id"].dataType.simpleString()
     return spark.createDataFrame(out, f"id {kind}, seed {kind}, representative {kind}, similarity double")
 
@@ -253,10 +270,10 @@ STRATEGIES = {
 }
 
 
-def ranked(candidates: DataFrame, strategy: str, top: int | None = None) -> DataFrame:
-    """candidates with their place under a strategy, the first ``top`` if given."""
+def ranked(candidates: DataFrame, strategy: str, top: int) -> DataFrame:
+    """The first ``top`` candidates under a strategy with their place; only those come to one task."""
     keys = [F.asc(c) if up else F.desc(c) for c, up in STRATEGIES[strategy]]
-    some = candidates.orderBy(*keys).limit(top) if top is not None else candidates
+    some = candidates.orderBy(*keys).limit(top)
     return some.withColumn("place", F.row_number().over(Window.orderBy(*keys)))
 
 

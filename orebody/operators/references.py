@@ -21,11 +21,20 @@ def resolve_relative(refs: DataFrame, tree: DataFrame) -> DataFrame:
     return refs.join(found, ["source", "specifier"], "left")
 
 
+#: Patterns that are tried on each file in one pass; settings of more are refused.
+PATTERNS = 1000
+
+
 def triggered(artifacts: DataFrame, files: DataFrame) -> DataFrame:
-    """(name) of artifacts (name, pattern) whose pattern some file matches, or that have none. The patterns are settings, a handful."""
-    always = artifacts.where("pattern is null").select("name")
-    hit = files.select("path").join(F.broadcast(artifacts.where("pattern is not null")), F.expr("path rlike pattern")).select("name")
-    return always.union(hit).distinct()
+    """(name) of artifacts (name, pattern) whose pattern some file matches, or that have none. The patterns are settings: they become one expression over the files, which are read once."""
+    rules = artifacts.where("pattern is not null").limit(PATTERNS + 1).collect()
+    if len(rules) > PATTERNS:
+        raise ValueError(f"at most {PATTERNS} patterns")
+    always = artifacts.where("pattern is null").select("name").distinct()
+    if not rules:
+        return always
+    hits = F.array_compact(F.array(*[F.when(F.col("path").rlike(r["pattern"]), F.lit(r["name"])) for r in rules]))
+    return always.union(files.select(F.explode(hits).alias("name")).distinct()).distinct()
 
 
 def ambiguous(matches: DataFrame) -> DataFrame:

@@ -5,23 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
+
+def below(counts: DataFrame, key: str, amount: str) -> DataFrame:
+    """counts (key, amount; one row a key) with ``below``: the sum of amount over all lesser keys.
+
+    A running sum in ranges: each range is one task, and only the ranges' totals, as many as
+    there are partitions, are added up on the driver.
+    """
+    spark = counts.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = cut(counts.repartitionByRange(n, key).withColumn("__range", F.spark_partition_id()))
+    start, starts = 0, []
+    for r in sorted(ranges.groupBy("__range").agg(F.sum(amount).alias("t")).collect()):
+        starts.append((r["__range"], start))
+        start += r["t"]
+    offsets = spark.createDataFrame(starts, "__range int, __start long")
+    w = Window.partitionBy("__range").orderBy(key)
+    return ranges.join(F.broadcast(offsets), "__range").withColumn("below", F.sum(amount).over(w) - F.col(amount) + F.col("__start")).drop("__range", "__start")
+
 
 def percentile(rows: DataFrame, cohort: str, metric: str, least: int = 8) -> DataFrame:
     """rows with cohort_size, source (cohort or repo) and percentile: round(100 (below + equal / 2) / n), 50 for a single row.
 
     A cohort of fewer than ``least`` rows is measured against all rows. Values are counted first,
-    so the windows run over distinct values, and the global one over no more than those.
+    so the windows run over distinct values; the one over all values is a running sum in ranges.
     """
     counted = rows.groupBy(cohort, metric).agg(F.count(F.lit(1)).alias("__eq"))
     own = Window.partitionBy(cohort)
     counted = counted.withColumns({"__n": F.sum("__eq").over(own), "__below": F.sum("__eq").over(own.orderBy(metric)) - F.col("__eq")})
-    every = rows.groupBy(metric).agg(F.count(F.lit(1)).alias("__all_eq"))
-    every = every.withColumn("__all_below", F.sum("__all_eq").over(Window.orderBy(metric)) - F.col("__all_eq"))
+    every = below(rows.groupBy(metric).agg(F.count(F.lit(1)).alias("__all_eq")), metric, "__all_eq").withColumnRenamed("below", "__all_below")
     total = rows.agg(F.count(F.lit(1)).alias("__total"))
     joined = rows.join(counted, [cohort, metric]).join(every, metric).crossJoin(F.broadcast(total))
     small = F.col("__n") < least
-    below, equal, n = (F.when(small, F.col(a)).otherwise(F.col(b)) for a, b in (("__all_below", "__below"), ("__all_eq", "__eq"), ("__total", "__n")))
-    pct = F.when(n <= 1, 50).otherwise(F.floor((below + 0.5 * equal) / n * 100 + 0.5)).cast("long")
+    under, equal, n = (F.when(small, F.col(a)).otherwise(F.col(b)) for a, b in (("__all_below", "__below"), ("__all_eq", "__eq"), ("__total", "__n")))
+    pct = F.when(n <= 1, 50).otherwise(F.floor((under + 0.5 * equal) / n * 100 + 0.5)).cast("long")
     return joined.select(*[F.col(f"`{c}`") for c in rows.columns], F.col("__n").alias("cohort_size"), F.when(small, "repo").otherwise("cohort").alias("source"), pct.alias("percentile"))
 
 
@@ -33,10 +52,10 @@ def dominant(counts: DataFrame, key: str, label: str, amount: str) -> DataFrame:
     return r.where("r = 1").select(key, F.col(label).alias("dominant"), (F.col("a") / F.col("total")).alias("concentration"))
 
 
-def partitions(uses: DataFrame, item: str, label: str) -> DataFrame:
-    """(labels, items): items grouped by the exact set of labels that use them."""
+def partitions(uses: DataFrame, item: str, label: str) -> tuple[DataFrame, DataFrame]:
+    """(item, labels) and (labels, members, first): the exact set of labels that use each item, and how many items share it, the least of them. No row holds a class's items."""
     per = uses.groupBy(item).agg(F.array_sort(F.collect_set(label)).alias("labels"))
-    return per.groupBy("labels").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    return per, per.groupBy("labels").agg(F.count(F.lit(1)).alias("members"), F.min(item).alias("first"))
 
 
 def last_writer(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:

@@ -19,6 +19,7 @@ _CAND = "gi AS (SELECT dst AS path, count(*) AS fan_in FROM e GROUP BY 1), go AS
 _JUDGED = "codes AS (SELECT *, list_filter([CASE WHEN owners <> 1 THEN 'multiple-owners' END, CASE WHEN escapes > 0 THEN 'closure-escapes-app-code' END, CASE WHEN unresolved > 0 THEN 'unresolved-imports' END, CASE WHEN stale_generated > 0 THEN 'generated-source-missing' END, CASE WHEN composition > 0 THEN 'composition-root' END, CASE WHEN unsupported > 0 THEN 'unsupported-module-reference' END, CASE WHEN declarations = files THEN 'declaration-only' END, CASE WHEN consumers = 0 AND tests = 0 AND exporting = 0 THEN 'no-exports' END, CASE WHEN uninstalled > 0 THEN 'uninstalled-package' END, CASE WHEN unmovable > 0 THEN 'unmovable-asset' END, CASE WHEN files < 2 THEN 'too-small' END, CASE WHEN files > 20 THEN 'too-large' END, CASE WHEN protected > 0 THEN 'protected-path' END, CASE WHEN collisions > 0 THEN 'unplannable' END], lambda x: x IS NOT NULL) AS codes, list_filter([CASE WHEN regexp_replace(lower(first_domain), '[^a-z0-9]+', '-', 'g') IN ('brand-7', 'brand-11') THEN 'generic-target' END, CASE WHEN adjacent > 0 THEN 'composition-adjacent' END, CASE WHEN shims > 0 THEN 'compatibility-shim' END, CASE WHEN domains > 1 THEN 'cross-domain' END, CASE WHEN high_inbound > 0 THEN 'high-inbound' END, CASE WHEN high_fan_out > 0 THEN 'high-fan-out' END, CASE WHEN files > 12 OR line_count > 400 THEN 'large-review' END, CASE WHEN effectful > 0 THEN 'evaluation-effects' END], lambda x: x IS NOT NULL) AS advice FROM facts), js AS (SELECT *, CASE WHEN list_has_any(advice, ['generic-target', 'composition-adjacent', 'compatibility-shim', 'large-review']) THEN 'discouraged' WHEN len(advice) > 0 THEN 'review-required' ELSE 'recommended' END AS status FROM codes), j AS (SELECT *, cand AS id, len(codes) = 0 AS eligible, CASE WHEN domains <= 1 THEN 'high' WHEN domains = 2 THEN 'medium' ELSE 'low' END AS cohesion, CASE WHEN len(codes) > 0 OR status = 'discouraged' THEN 'high' WHEN warnings > 0 OR status = 'review-required' THEN 'medium' ELSE 'low' END AS risk, 1.0 * (line_count - shim_lines) + 50 * consumers - 25 * (domains - 1) - 800 * (CASE WHEN domains > 1 THEN 1 ELSE 0 END) - 10 * assets + 5 * tests AS score, greatest(1, files + tests + assets + 3 * consumers + 2 * escapes + domains - 1 + 2 * warnings + 5 * len(codes) + 2 * len(advice)) AS review_units FROM js)"
 _ALL = f"{_GM}, {_CAND}, {_JUDGED}"
 _OPS = "big AS (SELECT o_orderkey FROM orders WHERE o_totalprice > 480000), ops AS (SELECT l_orderkey AS plan_id, CASE WHEN l_returnflag = 'A' THEN 'structured' WHEN l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity > 45 THEN 'delete-tree' ELSE 'write' END AS kind, m.file, l_suppkey FROM lineitem JOIN m ON m.path = l_partkey WHERE l_orderkey IN (SELECT o_orderkey FROM big)), op AS (SELECT plan_id, kind, CASE WHEN kind = 'delete-tree' THEN regexp_extract(file, '^(src/[a-z]+)', 1) ELSE file END AS path, CASE WHEN kind = 'structured' THEN l_suppkey END AS key FROM ops)"
+_SETS = "cl AS (SELECT *, min(id) OVER (PARTITION BY s) AS same FROM (SELECT l_orderkey AS id, list_sort(list(DISTINCT l_suppkey)) AS s FROM lineitem GROUP BY 1))"
 _TREE = "tr AS (SELECT c_custkey, 'c/' || c_custkey AS path, c_name AS content, c_custkey % 10 AS k FROM customer), landed AS (SELECT CASE WHEN k = 1 THEN 'moved/' || c_custkey ELSE path END AS path, CASE WHEN k = 2 THEN content || '!' ELSE content END AS content FROM tr WHERE k <> 3)"
 
 ORACLE: dict[str, str] = {
@@ -56,7 +57,8 @@ ORACLE: dict[str, str] = {
     "closure_escapes": f"WITH {_e()}, {_M} SELECT a.owner AS cand, CASE WHEN a.owner = b.owner THEN 'internal' ELSE 'escape' END AS class, count(*) AS n FROM e JOIN m a ON a.path = e.src JOIN m b ON b.path = e.dst GROUP BY 1, 2",
     "owner_consumers": f"WITH {_e()}, {_M} SELECT b.owner AS cand, e.src AS importer, string_agg(DISTINCT './' || e.dst, ',' ORDER BY './' || e.dst) AS specifiers FROM e JOIN m a ON a.path = e.src JOIN m b ON b.path = e.dst WHERE a.owner <> b.owner GROUP BY 1, 2",
     "marginal_blockers": f"WITH {_e()}, {_M}, x AS (SELECT DISTINCT e.src, b.domain AS b, a.line_count FROM e JOIN m a ON a.path = e.src JOIN m b ON b.path = e.dst WHERE a.domain <> b.domain), k AS (SELECT *, count(*) OVER (PARTITION BY src) AS edges FROM x) SELECT 'crosses-domain' AS code, b AS edge, count(*) AS occurrences, count(*) FILTER (edges = 1) AS freed, coalesce(sum(line_count) FILTER (edges = 1), 0)::BIGINT AS freed_lines FROM k GROUP BY 2",
-    "jaccard_pairs": "WITH s AS (SELECT DISTINCT l_orderkey AS id, l_suppkey AS item FROM lineitem), n AS (SELECT id, count(*) AS n FROM s GROUP BY 1), x AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM s a JOIN s b ON a.item = b.item AND a.id < b.id GROUP BY 1, 2) SELECT a, b, round(k / (p.n + q.n - k), 9) AS similarity FROM x JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE k / (p.n + q.n - k) >= 0.8",
+    "jaccard_pairs": f"WITH {_SETS}, s AS (SELECT DISTINCT same AS id, unnest(s) AS item FROM cl), n AS (SELECT id, count(*) AS n FROM s GROUP BY 1), x AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM s a JOIN s b ON a.item = b.item AND a.id < b.id GROUP BY 1, 2) SELECT a, b, round(k / (p.n + q.n - k), 9) AS similarity FROM x JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE k / (p.n + q.n - k) >= 0.8",
+    "jaccard_classes": f"WITH {_SETS} SELECT id, same FROM cl",
     "best_candidate": f"{_ALL} SELECT id, score::DOUBLE AS score FROM j WHERE eligible AND status = 'recommended' ORDER BY score DESC, id LIMIT 1",
     "hotspots": f"""{_ALL}, p AS (SELECT f.path, count(*) AS closures, max(facts.line_count) AS largest_lines, count(*) FILTER (facts.files > 20) AS discouraged FROM f JOIN facts USING (cand) GROUP BY 1),
         q AS (SELECT p.*, (SELECT count(*) FROM e WHERE dst = p.path) AS inbound, (SELECT count(*) FROM e WHERE src = p.path) AS fan_out, (SELECT count(*) FROM e JOIN m a ON a.path = e.src JOIN m b ON b.path = e.dst WHERE e.src = p.path AND a.domain <> b.domain) AS cross_domain FROM p)
@@ -67,7 +69,7 @@ ORACLE: dict[str, str] = {
     "percentile_ranks": """WITH p AS (SELECT p_partkey AS id, p_type || '/' || p_brand AS cohort, p_size::BIGINT AS metric FROM part), q AS (SELECT *, count(*) OVER (PARTITION BY cohort) AS cohort_size, count(*) OVER () AS n, rank() OVER (PARTITION BY cohort ORDER BY metric) - 1 AS b1, count(*) OVER (PARTITION BY cohort, metric) AS e1, rank() OVER (ORDER BY metric) - 1 AS b2, count(*) OVER (PARTITION BY metric) AS e2 FROM p)
         SELECT id, cohort, metric, cohort_size, CASE WHEN cohort_size < 8 THEN 'repo' ELSE 'cohort' END AS source, CASE WHEN cohort_size < 8 THEN CASE WHEN n <= 1 THEN 50 ELSE floor((b2 + 0.5 * e2) / n * 100 + 0.5) END ELSE floor((b1 + 0.5 * e1) / cohort_size * 100 + 0.5) END::BIGINT AS percentile FROM q""",
     "dominant_affinity": "WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) SELECT user_id, event_type AS dominant, round(n / sum(n) OVER (PARTITION BY user_id), 9) AS concentration FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) = 1",
-    "capability_partitions": "WITH p AS (SELECT o_custkey, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS labels FROM orders WHERE o_totalprice > 400000 GROUP BY 1) SELECT labels, count(*) AS members, min(o_custkey) AS first FROM p GROUP BY 1",
+    "capability_partitions": "WITH p AS (SELECT o_custkey, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS labels FROM orders GROUP BY 1) SELECT labels, count(*) AS members, min(o_custkey) AS first FROM p GROUP BY 1",
     "unused_properties": "SELECT c_custkey AS property FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)",
     "multiset_delta": "WITH a AS (SELECT l_partkey, l_linenumber FROM lineitem WHERE l_returnflag = 'A'), b AS (SELECT l_partkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R') SELECT 'added' AS change, l_linenumber, count(*) AS n FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) GROUP BY 2 UNION ALL SELECT 'removed', l_linenumber, count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) GROUP BY 2",
     "last_writer": "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
@@ -133,9 +135,9 @@ ORACLE: dict[str, str] = {
         SELECT 'duplicate-name' AS rule, name FROM p GROUP BY 2 HAVING count(DISTINCT owner) > 1 UNION SELECT 'unresolved-workspace', name FROM d WHERE ws AND name NOT IN (SELECT name FROM p) UNION SELECT 'conflicting-sections', name FROM (SELECT owner, name FROM d GROUP BY 1, 2 HAVING count(DISTINCT section) > 1)""",
     "accepted_overlay": "SELECT o_custkey AS path, o_orderkey AS idx, CASE WHEN row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1 AND c_acctbal < 0 THEN 'accepted' ELSE o_orderstatus END AS result_hash FROM orders LEFT JOIN customer ON c_custkey = o_custkey",
     "declarative_edits": "WITH d AS (SELECT doc_id AS path, text, (length(text) - length(replace(text, ' with ', ''))) // 6 AS n FROM documents) SELECT path, CASE WHEN n = 1 THEN 'applied' WHEN n = 0 AND contains(text, ' WITH ') THEN 'already' ELSE 'refused' END AS status, sha256(CASE WHEN n = 1 THEN replace(text, ' with ', ' WITH ') ELSE text END) AS sha256 FROM d",
-    "input_inventory": "SELECT source, count(*) AS members, sum(strlen(text))::BIGINT AS bytes, sha256(string_agg(printf('%09d', doc_id) || ':' || sha256(text), chr(10) ORDER BY doc_id)) AS digest FROM documents GROUP BY 1",
+    "input_inventory": "WITH b AS (SELECT source, doc_id // 1000 AS k, count(*) AS n, sum(octet_length(encode(text)))::BIGINT AS bytes, sha256(string_agg(concat_ws(':', doc_id, sha256(text)), chr(10) ORDER BY doc_id)) AS h FROM documents GROUP BY 1, 2) SELECT source, sum(n)::BIGINT AS members, sum(bytes)::BIGINT AS bytes, sha256(string_agg(h, chr(10) ORDER BY k)) AS digest FROM b GROUP BY 1",
     "unbound_reports": "SELECT * FROM (SELECT o_orderkey, CASE WHEN c_custkey IS NULL THEN 'unbound' WHEN c_acctbal < 0 AND o_orderstatus = 'O' THEN 'drifted' END AS fault FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 20 <> 0) ON c_custkey = o_custkey) WHERE fault IS NOT NULL",
-    "graph_digests": f"WITH {_e()}, {_M} SELECT owner, sha256(string_agg(src || '>' || dst, ';' ORDER BY src, dst)) AS digest FROM e JOIN m ON m.path = e.src GROUP BY 1",
+    "graph_digests": f"WITH {_e()}, {_M}, p AS (SELECT owner, src, string_agg(dst::VARCHAR, ';' ORDER BY dst) AS o FROM e JOIN m ON m.path = e.src GROUP BY 1, 2), b AS (SELECT owner, src // 1000 AS k, sha256(string_agg(src || ':' || o, chr(10) ORDER BY src)) AS h FROM p GROUP BY 1, 2) SELECT owner, sha256(string_agg(h, chr(10) ORDER BY k)) AS digest FROM b GROUP BY 1",
     "canonical_props": "SELECT event_id, '{\"a\":{\"k\":' || json_extract(props, '$.k')::VARCHAR || '},\"z\":[1,2]}' AS json FROM events",
     "spliced_texts": "SELECT doc_id, sha256('<a>' || substr(text, 2, 1) || '<b>' || substr(text, 4, 1) || substr(text, 6)) AS sha256 FROM documents WHERE length(text) >= 6",
     "file_metrics": "SELECT path, functions, most, total, mean, round(ln(total + 1) * 10 + most, 6) AS score FROM (SELECT l_orderkey AS path, count(*) AS functions, max(l_quantity) AS most, sum(l_quantity) AS total, round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY 1)",

@@ -38,7 +38,8 @@ def _ancestors(path: Column) -> Column:
 def conflicts(acc: DataFrame) -> DataFrame:
     """(l, r, path, mergeable): plans l < r whose accesses meet at a path, one of them writing.
 
-    An exact access meets a tree at or above it, and trees meet when one holds the other: each
+    Pairs of plans are what is asked for, so a path that n plans write gives n (n - 1) / 2 rows;
+    build.conflict_report says the same by path, in as many rows as there are paths. An exact access meets a tree at or above it, and trees meet when one holds the other: each
     access is keyed by its ancestors, so the prefix join is an equality join. Two structured
     writes with disjoint keys can merge; a path is mergeable if all its meetings are.
     """
@@ -71,7 +72,10 @@ def waves(plans: DataFrame, hard: DataFrame) -> DataFrame:
     if sum(map(len, near.values())) > 2 * FOLD_ROWS:
         raise ValueError("too many conflicts for an ordered fold")
     wave: dict = {}
-    for r in sorted(plans.select("plan_id", "priority").collect(), key=lambda r: (-r["priority"], r["plan_id"])):
+    rows = plans.select("plan_id", "priority").limit(FOLD_ROWS + 1).collect()
+    if len(rows) > FOLD_ROWS:
+        raise ValueError(f"an ordered fold takes at most {FOLD_ROWS} rows")
+    for r in sorted(rows, key=lambda r: (-r["priority"], r["plan_id"])):
         used = {wave[x] for x in near.get(r["plan_id"], ()) if x in wave}
         wave[r["plan_id"]] = next(i for i in range(len(used) + 1) if i not in used)
     return plans.sparkSession.createDataFrame(sorted(wave.items()), f"plan_id {plans.schema['plan_id'].dataType.simpleString()}, wave int")

@@ -13,6 +13,7 @@ from .functions import documents, paths
 from .operators import dependencies, evacuation, graph, portfolio, references, reports, symbols, windows
 from .plans import audit, conflicts, journal
 from .session import cut
+from .sources import records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -280,18 +281,27 @@ def marginal_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portfolio.marginal_blockers(cands)
 
 
+def _supplier_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("item"))
+
+
 @query
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("item"))
-    return portfolio.jaccard_pairs(sets, 0.8).select("a", "b", F.round("similarity", 9).alias("similarity"))
+    """Pairs of different sets of suppliers, each by the least order that has it (jaccard_classes: which orders do)."""
+    return portfolio.jaccard_pairs(cut(portfolio.equal_sets(_supplier_sets(spark, sf_dir))[1]), 0.8).select("a", "b", F.round("similarity", 9).alias("similarity"))
+
+
+@query
+def jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return portfolio.equal_sets(_supplier_sets(spark, sf_dir))[0]
 
 
 @query
 def equivalence_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, files, facts = _candidates(spark, sf_dir)
     large = facts.where("files > 2").select("cand")
-    pairs = cut(portfolio.jaccard_pairs(files.join(large, "cand").select(F.col("cand").alias("id"), F.col("path").alias("item")), 0.8))
-    return portfolio.equivalence_groups(_judged(facts).join(large, "cand").select("id", "score"), pairs)
+    classes, sets = portfolio.equal_sets(files.join(large, "cand").select(F.col("cand").alias("id"), F.col("path").alias("item")))
+    return portfolio.equivalence_groups(_judged(facts).join(large, "cand").select("id", "score"), classes, portfolio.jaccard_pairs(cut(sets), 0.8))
 
 
 @query
@@ -302,8 +312,10 @@ def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def greedy_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, files, facts = _candidates(spark, sf_dir)
-    claims = files.groupBy("cand").agg(F.collect_list("path").alias("files"))
-    return portfolio.greedy_selection(_judged(facts).where("eligible").join(claims.withColumnRenamed("files", "claimed"), "cand").select("id", "score", F.col("claimed").alias("files")))
+    # An eligible candidate has at most CONFIG.max_files files, so no list is longer.
+    some = _judged(facts).where("eligible").select("id", "score")
+    claims = files.join(some.select(F.col("id").alias("cand")), "cand", "left_semi").groupBy(F.col("cand").alias("id")).agg(F.collect_list("path").alias("files"))
+    return portfolio.greedy_selection(some.join(claims, "id"))
 
 
 @query
@@ -352,9 +364,9 @@ def dominant_affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def capability_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_totalprice > 400000")
-    p = windows.partitions(o.select("o_custkey", "o_orderpriority"), "o_custkey", "o_orderpriority")
-    return p.select(F.array_join("labels", ",").alias("labels"), F.size("items").cast("long").alias("members"), F.get("items", 0).alias("first"))
+    o = table(spark, sf_dir, "orders")
+    p = windows.partitions(o.select("o_custkey", "o_orderpriority"), "o_custkey", "o_orderpriority")[1]
+    return p.select(F.array_join("labels", ",").alias("labels"), "members", "first")
 
 
 @query
@@ -784,10 +796,10 @@ def declarative_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def input_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files of their source's folder: members, bytes, and a digest of the folder."""
-    d = table(spark, sf_dir, "documents").select("source", F.format_string("%09d", "doc_id").alias("name"), F.sha2("text", 256).alias("sha256"), F.octet_length("text").alias("size"))
-    g = d.groupBy("source").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("bytes"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "sha256"))), lambda x: F.concat_ws(":", x["name"], x["sha256"])), "\n"), 256).alias("digest"))
-    return g
+    """Documents as files of their source's folder: members, bytes, and a digest of the folder by bundles of 1,000 ids."""
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.sha2("text", 256).alias("sha"), F.octet_length("text").alias("size"))
+    size = d.groupBy("source").agg(F.sum("size").alias("bytes"))
+    return records.tree_hash(d, "source", "doc_id", "sha", 1000).select("source", F.col("files").alias("members"), "digest").join(size, "source")
 
 
 @query
@@ -801,10 +813,10 @@ def unbound_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def graph_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A digest of each owner's outgoing edges in order."""
+    """A digest of each owner's outgoing edges in order, by bundles of 1,000 sources."""
     e = edges(spark, sf_dir).join(modules(spark, sf_dir).select(F.col("path").alias("src"), "owner"), "src")
-    text = F.transform(F.array_sort(F.collect_list(F.struct("src", "dst"))), lambda x: F.concat_ws(">", x["src"], x["dst"]))
-    return e.groupBy("owner").agg(F.sha2(F.array_join(text, ";"), 256).alias("digest"))
+    per = e.groupBy("owner", "src").agg(F.array_join(F.array_sort(F.collect_list("dst")).cast("array<string>"), ";").alias("out"))
+    return records.tree_hash(per, "owner", "src", "out", 1000).select("owner", "digest")
 
 
 @query

@@ -136,7 +136,11 @@ def test_marginal_blockers(spark):
 def test_groups_and_selection_are_ordered_folds(spark):
     c = spark.createDataFrame([("a", 1.0), ("b", 5.0), ("c", 9.0)], "id string, score double")
     p = spark.createDataFrame([("a", "b", 0.9), ("b", "c", 0.9)], "a string, b string, similarity double")
-    assert {tuple(r)[:3] for r in portfolio.equivalence_groups(c, p).collect()} == {("a", "a", "b"), ("b", "a", "b"), ("c", "c", "c")}
+    alone = spark.createDataFrame([(x, x) for x in "abc"], "id string, same string")
+    assert {tuple(r)[:3] for r in portfolio.equivalence_groups(c, alone, p).collect()} == {("a", "a", "b"), ("b", "a", "b"), ("c", "c", "c")}
+    # b and c have one set: what is near to it is near to both.
+    both = spark.createDataFrame([("a", "a"), ("b", "b"), ("c", "b")], "id string, same string")
+    assert {tuple(r) for r in portfolio.equivalence_groups(c, both, p.where("a = 'a'")).collect()} == {("a", "a", "c", 1.0), ("b", "a", "c", 0.9), ("c", "a", "c", 0.9)}
     claims = spark.createDataFrame([("a", 1.0, [1, 2]), ("b", 5.0, [2, 3]), ("c", 5.0, [3])], "id string, score double, files array<long>")
     assert {tuple(r) for r in portfolio.greedy_selection(claims).collect()} == {("b", 1)}
 
