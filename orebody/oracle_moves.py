@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .oracle import _ALL, _C, _L, _M, _e
+from .oracle import ORACLE as _ENGINE
 from .oracle_plans import _OI, _P
 
 _A = "ad AS (SELECT page_id, regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') AS u FROM pages)"
@@ -108,4 +109,15 @@ ORACLE: dict[str, str] = {
     "baseline_tree": "WITH l AS (SELECT o_custkey AS path, arg_max(o_orderkey::VARCHAR, (o_orderdate, o_orderkey)) AS content, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS s FROM orders WHERE o_orderdate <= TIMESTAMP '1996-06-30' GROUP BY 1) SELECT path, content FROM l WHERE s <> 'P'",
     "config_digests": """SELECT n_nationkey, sha256('{"app":"' || n_regionkey || '","name":"' || n_name || '"}') AS digest FROM nation""",
     "build_identity": "WITH b AS (SELECT lang, doc_id // 1000 AS k, count(*) AS n, sha256(string_agg(doc_id || ':' || sha256(text), chr(10) ORDER BY doc_id)) AS h FROM documents WHERE text IS NOT NULL GROUP BY 1, 2) SELECT lang, sum(n)::BIGINT AS files, sha256(string_agg(h, chr(10) ORDER BY k)) AS digest FROM b GROUP BY 1",
+    "scanned_nodes": f"WITH {_M}, s AS (SELECT *, 'apps/' || application || '/' || file || '.ts' AS source FROM m WHERE path % 10 <> 3) SELECT application, 'application' AS zone, count(*) AS nodes, sum(length(source))::BIGINT AS lines FROM s GROUP BY 1",
+    "scanned_edges": f"WITH {_e()}, {_M} SELECT 'apps/' || a.application || '/' || a.file || '.ts' AS src, 'apps/' || b.application || '/' || b.file || '.ts' AS dst, CASE WHEN e.dynamic THEN 'dynamic' WHEN e.dst % 10 = 5 THEN 'type-only' ELSE 'static' END AS kind FROM e JOIN m a ON a.path = e.src JOIN m b ON b.path = e.dst WHERE e.src % 10 <> 3 AND e.dst % 10 <> 3 AND e.dst % 17 <> 0",
+    "scanned_leftovers": f"WITH {_e()}, {_M} SELECT 'unresolved' AS relation, 0::BIGINT AS n UNION ALL SELECT 'external_by_source', count(*) FROM e WHERE src % 10 <> 3 AND dst % 17 = 0 UNION ALL SELECT 'test_importers', count(*) FROM e WHERE src % 10 = 3 AND dst % 10 <> 3 AND dst % 17 <> 0 UNION ALL SELECT 'test_kinds', count(*) FROM m WHERE path % 10 = 3",
+    "scanned_tree": "WITH d AS (SELECT p_type, string_agg(DISTINCT p_name, chr(10) ORDER BY p_name) AS v FROM part GROUP BY 1) SELECT p_type, octet_length(encode(v)) + 1 AS size, true AS same FROM d",
+    "workspace_folders": "WITH p AS (SELECT DISTINCT lower(p_type) AS t, replace(p_name, ' ', '-') AS n FROM part) SELECT 'libs/' || t || '/' || n AS path FROM p WHERE (starts_with(n, 'small-') OR t = 'promo') AND NOT suffix(n, '-ring') AND t <> 'large'",
+    "workspace_packages": "SELECT coalesce('p' || n_nationkey, 'p' || s_suppkey) AS name, coalesce('own/' || n_name, 'libs/' || s_suppkey) AS owner FROM supplier FULL JOIN nation ON s_suppkey = n_nationkey",
+    "provenance_headers": "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'specs/' || p_partkey || '.json' WHEN 1 THEN 'tool-' || p_partkey % 9 END AS origin FROM part",
+    "style_changes": "SELECT '.c' || p_partkey AS selector, CASE WHEN p_partkey % 7 = 0 THEN 'added' WHEN p_partkey % 9 = 0 THEN 'missing' WHEN p_partkey % 5 = 0 THEN 'reordered' ELSE 'changed' END AS change FROM part WHERE p_partkey < 1000 AND NOT (p_partkey % 7 = 0 AND p_partkey % 9 = 0) AND (p_partkey % 7 = 0 OR p_partkey % 9 = 0 OR p_partkey % 5 = 0 OR p_partkey % 11 = 0)",
+    "type_only_refusals": f"WITH {_M} SELECT path AS id, concat_ws(',', CASE WHEN path % 3 = 0 THEN 'value-reference' END, CASE WHEN path % 5 = 0 THEN 'not-exported' END, CASE WHEN has_exports THEN 'has-surface' END, CASE WHEN line_count > 40 THEN 'too-large' END) AS refusals FROM m",
+    "proof_report": f"SELECT proof, coalesce(n, 0) AS failures, n IS NULL AS passed FROM (VALUES ('boundaries'), ('bytes'), ('consumers'), ('postconditions')) v(proof) LEFT JOIN (SELECT 'bytes' AS proof, count(*) AS n FROM ({_ENGINE['byte_fidelity']}) UNION ALL SELECT 'boundaries', count(*) FROM ({_ENGINE['boundary_breaks']}) UNION ALL SELECT 'postconditions', count(*) FROM ({_ENGINE['postconditions']})) f USING (proof)",
+    "report_bytes": """WITH j AS (SELECT '[' || string_agg('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || '}', ',' ORDER BY n_nationkey) || ']' || chr(10) AS t FROM nation), w AS (SELECT max(length(n_name)) AS w FROM nation), x AS (SELECT rpad('n_nationkey', 11, ' ') || '  n_name' || chr(10) || string_agg(rpad(n_nationkey::VARCHAR, 11, ' ') || '  ' || n_name, chr(10) ORDER BY n_nationkey) || chr(10) AS t FROM nation) SELECT 'json' AS kind, sha256(t) AS sha256, octet_length(encode(t)) AS bytes FROM j UNION ALL SELECT 'table', sha256(t), octet_length(encode(t)) FROM x UNION ALL SELECT 'lost', '', 0""",
 }

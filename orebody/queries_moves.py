@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bindings import edges, modules, occurrences, table
-from .functions import paths
-from .operators import evacuation, graph, portfolio, rewrites, symbols, windows
-from .plans import build, validation
+from . import sinks
+from .bindings import edges, modules, table
+from .config import Application, Config
+from .operators import evacuation, graph, portfolio, references, rewrites, symbols, windows
+from .plans import audit, build, validation
 from .queries import CONFIG, _candidates, _judged, _references, _uses
 from .queries_plans import operations, role
 from .session import cut, shared_dir
-from .sources import records
+from .sources import records, scan, workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -698,3 +700,124 @@ def build_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One hash for each language over its documents' names and hashes, by bundles of 1,000 ids."""
     d = table(spark, sf_dir, "documents").where("text is not null").select("lang", "doc_id", F.sha2("text", 256).alias("sha"))
     return records.tree_hash(d, "lang", "doc_id", "sha", 1000)
+
+
+# Scans and sinks
+
+
+def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts' imports as two applications' reports, written as JSON and read again as captured reports are."""
+    m = modules(spark, sf_dir).select("path", "application", F.concat(F.lit("apps/"), "application", F.lit("/"), "file", F.when(F.col("path") % 10 == 3, ".test.ts").otherwise(".ts")).alias("source"))
+    e = edges(spark, sf_dir).join(m.select(F.col("path").alias("dst"), F.col("source").alias("resolved")), "dst")
+    dep = F.struct(F.concat(F.when(F.col("dst") % 17 == 0, "pkg-").otherwise("./"), "dst").alias("module"), F.when(F.col("dst") % 17 != 0, F.col("resolved")).alias("resolved"), "dynamic", (F.col("dst") % 17 == 0).alias("couldNotResolve"))
+    per = e.groupBy(F.col("src").alias("path")).agg(F.array_sort(F.collect_list(dep)).alias("dependencies"))
+    rows = m.join(per, "path", "left").select("application", "source", F.coalesce("dependencies", F.array().cast(per.schema["dependencies"].dataType)).alias("dependencies"))
+    folder = f"{shared_dir(spark)}/orebody-reports-{uuid.uuid4().hex}"
+    reports = {}
+    for app in ("api", "web"):
+        # One object a line: a report in parts, as many as there are tasks.
+        rows.where(F.col("application") == app).select(F.array(F.struct("source", "dependencies")).alias("modules")).write.json(f"{folder}/{app}")
+        reports[app] = f"{folder}/{app}"
+    return scan.read_reports(spark, reports, lines=True)
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    s = cut(_scan(spark, sf_dir))
+    facts = s.select(F.col("source").alias("path"), F.explode("dependencies").alias("d")).select("path", F.col("d.module").alias("specifier"), F.col("d.module").endswith("5").alias("type_only"), F.lit(False).alias("dynamic"))
+    exports = s.select(F.col("source").alias("path"), F.lit(True).alias("has_exports"), F.length("source").cast("long").alias("line_count"))
+    config = Config(applications=(Application("web", "apps/web"), Application("api", "apps/api")))
+    return scan.build_graph(s, facts, exports, spark.createDataFrame([], "name string, owner string"), config)
+
+
+@query
+def scanned_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph(spark, sf_dir)["nodes"].groupBy("application", "zone").agg(F.count(F.lit(1)).alias("nodes"), F.sum("line_count").alias("lines"))
+
+
+@query
+def scanned_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph(spark, sf_dir)["edges"].select("src", "dst", "kind")
+
+
+@query
+def scanned_leftovers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What isn't an edge between production files: unresolved, external and test imports, and tests by kind."""
+    g = _graph(spark, sf_dir)
+    out = None
+    for name in ("unresolved", "external_by_source", "test_importers", "test_kinds"):
+        one = g[name].agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("relation"), "n")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query
+def scanned_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts written as files by language and read again as a tree: files, bytes and how many are the same bytes."""
+    folder = f"{shared_dir(spark)}/orebody-tree-{uuid.uuid4().hex}"
+    d = table(spark, sf_dir, "part").groupBy("p_type").agg(F.array_join(F.array_sort(F.collect_set("p_name")), "\n").alias("value"))
+    d.repartition("p_type").write.partitionBy("p_type").text(folder)
+    tree = scan.read_tree(spark, folder, 1_000_000, ("_temporary",)).where("path like '%.txt'")
+    found = tree.select(F.regexp_extract("path", "p_type=([^/]+)/", 1).alias("p_type"), "size", "sha256")
+    return found.join(d.select("p_type", F.sha2(F.concat("value", F.lit("\n")), 256).alias("want")), "p_type").select("p_type", F.col("size").cast("long").alias("size"), (F.col("sha256") == F.col("want")).alias("same"))
+
+
+@query
+def workspace_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders that workspace globs pick."""
+    p = table(spark, sf_dir, "part").select(F.concat_ws("/", F.lit("libs"), F.lower("p_type"), F.replace("p_name", F.lit(" "), F.lit("-"))).alias("path")).distinct()
+    return workspace.resolve_globs(p, ["libs/*/small-*", "libs/promo/*", "!**/*-ring", "!libs/large/**"])[0]
+
+
+@query
+def workspace_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages by name: configured entries override what is on disk."""
+    s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    disk = s.select(F.concat(F.lit("p"), F.col("s_suppkey")).alias("name"), F.concat(F.lit("libs/"), "s_suppkey").alias("owner"))
+    return scan.packages(disk, n.select(F.concat(F.lit("p"), F.col("n_nationkey")).alias("name"), F.concat(F.lit("own/"), "n_name").alias("owner")))
+
+
+@query
+def provenance_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    text = F.concat(F.when(k % 4 == 0, F.concat(F.lit("// Generated from specs/"), k, F.lit(".json\n"))).when(k % 4 == 1, F.concat(F.lit("\n/* Generated by tool-"), k % 9, F.lit(" */\n"))).when(k % 4 == 2, "a\nb\nc\nd\ne\n// source: late\n").otherwise("code\n"), "p_name")
+    return p.select("p_partkey", workspace.provenance(text).alias("origin"))
+
+
+@query
+def style_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of style sheets before and after: selectors lost, added, changed, or declared in another order."""
+    p = table(spark, sf_dir, "part").where("p_partkey < 1000")
+    k = F.col("p_partkey")
+    rule = lambda text: p.select(F.concat(F.lit(".c"), k).alias("selector"), text.alias("declarations"), k.alias("k"))
+    before = rule(F.concat(F.lit("color:"), F.col("p_size"), F.lit(";width:1"))).where("k % 7 <> 0").drop("k")
+    after = rule(F.when(k % 5 == 0, F.concat(F.lit("width:1;color:"), "p_size")).when(k % 11 == 0, F.lit("color:none")).otherwise(F.concat(F.lit("color:"), F.col("p_size"), F.lit(";width:1")))).where("k % 9 <> 0").drop("k")
+    return references.css_changes(before, after)
+
+
+@query
+def type_only_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = modules(spark, sf_dir)
+    k = F.col("path")
+    flags = m.select(k.alias("id"), (k % 3 == 0).alias("value_reference"), (k % 5 == 0).alias("not_exported"), F.col("has_exports").alias("has_surface"), (F.col("line_count") > 40).alias("too_large"))
+    return symbols.type_only_refusals(flags).select("id", F.array_join("refusals", ",").alias("refusals"))
+
+
+@query
+def proof_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All proofs with their failures: byte fidelity, boundaries, postconditions, and one that nothing fails."""
+    from .queries import boundary_breaks, byte_fidelity, postconditions
+
+    failures = byte_fidelity(spark, sf_dir).select(F.lit("bytes").alias("proof")).union(boundary_breaks(spark, sf_dir).select(F.lit("boundaries"))).union(postconditions(spark, sf_dir).select(F.lit("postconditions")))
+    return audit.proof_report(failures, ["boundaries", "bytes", "consumers", "postconditions"])
+
+
+@query
+def report_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports as the sinks render them: canonical JSON, a padded table, and a table written and read again."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    path = f"{shared_dir(spark)}/orebody-report-{uuid.uuid4().hex}"
+    sinks.write_table(n, path)
+    kept = spark.read.parquet(path).exceptAll(n).count() + n.exceptAll(spark.read.parquet(path)).count()
+    rows = [(kind, hashlib.sha256(text.encode()).hexdigest(), len(text.encode())) for kind, text in (("json", sinks.json_report(n, ["n_nationkey"])), ("table", sinks.text_table(n, ["n_nationkey"])))]
+    return spark.createDataFrame([*rows, ("lost", "", kept)], "kind string, sha256 string, bytes long")

@@ -13,11 +13,11 @@ SCAN = "app string, source string, dependencies array<struct<module:string,resol
 BUILTINS = "assert buffer child_process cluster console crypto dgram dns domain events fs http http2 https module net os path perf_hooks process punycode querystring readline repl stream string_decoder timers tls tty url util v8 vm worker_threads zlib".split()
 
 
-def read_reports(spark: SparkSession, reports: dict[str, str]) -> DataFrame:
-    """Captured JSON reports, one for each application, under an explicit schema; a malformed file fails."""
+def read_reports(spark: SparkSession, reports: dict[str, str], lines: bool = False) -> DataFrame:
+    """Captured JSON reports, one for each application, under an explicit schema; a malformed file fails. With lines, a report comes in objects of one line each, so that it is read in parts."""
     out = None
     for app, path in reports.items():
-        one = spark.read.schema("modules array<struct<source:string,dependencies:array<struct<module:string,resolved:string,dynamic:boolean,couldNotResolve:boolean>>>>").option("multiLine", True).option("mode", "FAILFAST").json(path)
+        one = spark.read.schema("modules array<struct<source:string,dependencies:array<struct<module:string,resolved:string,dynamic:boolean,couldNotResolve:boolean>>>>").option("multiLine", not lines).option("mode", "FAILFAST").json(path)
         one = one.select(F.explode("modules").alias("m")).select(F.lit(app).alias("app"), "m.source", "m.dependencies")
         out = one if out is None else out.unionByName(one)
     return out if out is not None else spark.createDataFrame([], SCAN)
