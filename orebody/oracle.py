@@ -18,7 +18,7 @@ _CLOSED = "dm AS (SELECT DISTINCT c.comp, gm.domain FROM gm JOIN c ON c.id = gm.
 _CAND = "gi AS (SELECT dst AS path, count(*) AS fan_in FROM e GROUP BY 1), go AS (SELECT src AS path, count(*) AS fan_out FROM e GROUP BY 1), gd AS (SELECT gm.*, coalesce(fan_in, 0) AS fan_in, coalesce(fan_out, 0) AS fan_out FROM gm LEFT JOIN gi USING (path) LEFT JOIN go USING (path)), f AS (SELECT DISTINCT cand, id AS path FROM (SELECT comp AS cand, id FROM c UNION ALL SELECT x.comp, y.id FROM r JOIN c x ON x.id = r.src JOIN c z ON z.id = r.dst JOIN c y ON y.comp = z.comp)), con AS (SELECT f.cand, count(DISTINCT e.src) AS consumers FROM f JOIN e ON e.dst = f.path WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.cand = f.cand AND g.path = e.src) GROUP BY 1), dy AS (SELECT f.cand, count(*) AS unsupported FROM f JOIN e ON e.src = f.path WHERE e.dynamic GROUP BY 1), fa AS (SELECT f.cand, count(*) AS files, sum(line_count)::BIGINT AS line_count, count(DISTINCT owner) AS owners, count(DISTINCT domain) AS domains, count(*) FILTER (has_exports) AS exporting, count(*) FILTER (f.path % 97 = 0) AS composition, count(*) FILTER (f.path % 89 = 0) AS protected, min(domain) AS first_domain, count(*) FILTER (f.path % 71 = 0) AS escapes, count(*) FILTER (f.path % 83 = 0) AS unresolved, count(*) FILTER (f.path % 59 = 0) AS stale_generated, count(*) FILTER (f.path % 3 = 0) AS declarations, count(*) FILTER (f.path % 67 = 0) AS uninstalled, count(*) FILTER (f.path % 73 = 0) AS unmovable, count(*) FILTER (f.path % 10 = 3) AS tests, count(*) FILTER (f.path % 10 = 7) AS assets, count(*) FILTER (f.path % 61 = 0) AS warnings, count(*) FILTER (f.path % 41 = 0) AS adjacent, count(*) FILTER (f.path % 37 = 0) AS effectful, count(*) FILTER (f.path % 53 = 0 AND fan_in > 0) AS shims, coalesce(sum(line_count) FILTER (f.path % 53 = 0 AND fan_in > 0), 0)::BIGINT AS shim_lines, count(*) FILTER (fan_in >= 3) AS high_inbound, count(*) FILTER (fan_out >= 3) AS high_fan_out, count(*) - count(DISTINCT f.path % 500) AS collisions FROM f JOIN gd AS gm ON gm.path = f.path GROUP BY 1), facts AS (SELECT fa.*, coalesce(consumers, 0) AS consumers, coalesce(unsupported, 0) AS unsupported FROM fa LEFT JOIN con USING (cand) LEFT JOIN dy USING (cand))"
 _JUDGED = "codes AS (SELECT *, list_filter([CASE WHEN owners <> 1 THEN 'multiple-owners' END, CASE WHEN escapes > 0 THEN 'closure-escapes-app-code' END, CASE WHEN unresolved > 0 THEN 'unresolved-imports' END, CASE WHEN stale_generated > 0 THEN 'generated-source-missing' END, CASE WHEN composition > 0 THEN 'composition-root' END, CASE WHEN unsupported > 0 THEN 'unsupported-module-reference' END, CASE WHEN declarations = files THEN 'declaration-only' END, CASE WHEN consumers = 0 AND tests = 0 AND exporting = 0 THEN 'no-exports' END, CASE WHEN uninstalled > 0 THEN 'uninstalled-package' END, CASE WHEN unmovable > 0 THEN 'unmovable-asset' END, CASE WHEN files < 2 THEN 'too-small' END, CASE WHEN files > 20 THEN 'too-large' END, CASE WHEN protected > 0 THEN 'protected-path' END, CASE WHEN collisions > 0 THEN 'unplannable' END], lambda x: x IS NOT NULL) AS codes, list_filter([CASE WHEN regexp_replace(lower(first_domain), '[^a-z0-9]+', '-', 'g') IN ('brand-7', 'brand-11') THEN 'generic-target' END, CASE WHEN adjacent > 0 THEN 'composition-adjacent' END, CASE WHEN shims > 0 THEN 'compatibility-shim' END, CASE WHEN domains > 1 THEN 'cross-domain' END, CASE WHEN high_inbound > 0 THEN 'high-inbound' END, CASE WHEN high_fan_out > 0 THEN 'high-fan-out' END, CASE WHEN files > 12 OR line_count > 400 THEN 'large-review' END, CASE WHEN effectful > 0 THEN 'evaluation-effects' END], lambda x: x IS NOT NULL) AS advice FROM facts), js AS (SELECT *, CASE WHEN list_has_any(advice, ['generic-target', 'composition-adjacent', 'compatibility-shim', 'large-review']) THEN 'discouraged' WHEN len(advice) > 0 THEN 'review-required' ELSE 'recommended' END AS status FROM codes), j AS (SELECT *, cand AS id, len(codes) = 0 AS eligible, CASE WHEN domains <= 1 THEN 'high' WHEN domains = 2 THEN 'medium' ELSE 'low' END AS cohesion, CASE WHEN len(codes) > 0 OR status = 'discouraged' THEN 'high' WHEN warnings > 0 OR status = 'review-required' THEN 'medium' ELSE 'low' END AS risk, 1.0 * (line_count - shim_lines) + 50 * consumers - 25 * (domains - 1) - 800 * (CASE WHEN domains > 1 THEN 1 ELSE 0 END) - 10 * assets + 5 * tests AS score, greatest(1, files + tests + assets + 3 * consumers + 2 * escapes + domains - 1 + 2 * warnings + 5 * len(codes) + 2 * len(advice)) AS review_units FROM js)"
 _ALL = f"{_GM}, {_CAND}, {_JUDGED}"
-_OPS = "big AS (SELECT o_orderkey FROM orders WHERE o_totalprice > 480000), ops AS (SELECT l_orderkey AS plan_id, CASE WHEN l_returnflag = 'A' THEN 'structured' WHEN l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity > 45 THEN 'delete-tree' ELSE 'write' END AS kind, m.file, l_suppkey FROM lineitem JOIN m ON m.path = l_partkey WHERE l_orderkey IN (SELECT o_orderkey FROM big)), op AS (SELECT plan_id, kind, CASE WHEN kind = 'delete-tree' THEN regexp_extract(file, '^(src/[a-z]+)', 1) ELSE file END AS path, CASE WHEN kind = 'structured' THEN l_suppkey END AS key FROM ops)"
+_OPS = "op AS (SELECT o_custkey AS plan_id, CASE WHEN l_returnflag = 'A' THEN 'structured' WHEN l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity > 49 THEN 'delete-tree' ELSE 'write' END AS kind, m.path AS part, CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity > 49 THEN m.file ELSE m.file || '/' || l_suppkey END AS path, CASE WHEN l_returnflag = 'A' THEN l_linenumber % 3 END AS key FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN m ON m.path = l_partkey)"
 _SETS = "cl AS (SELECT *, min(id) OVER (PARTITION BY s) AS same FROM (SELECT l_orderkey AS id, list_sort(list(DISTINCT l_suppkey)) AS s FROM lineitem GROUP BY 1))"
 _TREE = "tr AS (SELECT c_custkey, 'c/' || c_custkey AS path, c_name AS content, c_custkey % 10 AS k FROM customer), landed AS (SELECT CASE WHEN k = 1 THEN 'moved/' || c_custkey ELSE path END AS path, CASE WHEN k = 2 THEN content || '!' ELSE content END AS content FROM tr WHERE k <> 3)"
 
@@ -89,9 +89,9 @@ ORACLE: dict[str, str] = {
     "rendered_names": "SELECT p_partkey, lower(p_brand) || '/' || lower(p_type) || '-' || p_partkey AS name FROM part",
     "line_positions": "WITH d AS (SELECT doc_id, substr(text, 1, instr(text, 'the') - 1) AS head FROM documents WHERE contains(text, 'the')) SELECT doc_id, length(head) - length(replace(head, chr(10), '')) + 1 AS line, length(string_split(head, chr(10))[-1]) AS \"column\" FROM d",
     "event_keys": "SELECT json_extract(props, '$.k')::BIGINT AS k, count(*) AS n FROM events GROUP BY 1",
-    "plan_conflicts": f"""WITH {_M}, {_OPS}, a AS (SELECT DISTINCT plan_id, kind, path, key FROM op),
+    "plan_conflicts": f"""WITH {_M}, {_OPS}, a AS (SELECT DISTINCT plan_id, kind, path, part, key FROM op),
         x AS (SELECT l.plan_id AS l, r.plan_id AS r, CASE WHEN length(l.path) >= length(r.path) THEN l.path ELSE r.path END AS path, l.kind = 'structured' AND r.kind = 'structured' AND l.key <> r.key AS ok
-            FROM a l JOIN a r ON l.plan_id < r.plan_id AND (l.path = r.path OR (r.kind = 'delete-tree' AND starts_with(l.path, r.path || '/')) OR (l.kind = 'delete-tree' AND starts_with(r.path, l.path || '/'))))
+            FROM a l JOIN a r ON l.part = r.part AND l.plan_id < r.plan_id AND (l.path = r.path OR l.kind = 'delete-tree' OR r.kind = 'delete-tree'))
         SELECT l, r, path, bool_and(ok) AS mergeable FROM x GROUP BY 1, 2, 3""",
     "operation_counts": f"WITH {_M}, {_OPS} SELECT v.kind, count(op.kind) AS n FROM (VALUES ('move'), ('write'), ('rewrite'), ('delete'), ('delete-tree'), ('structured'), ('generate')) v(kind) LEFT JOIN op ON op.kind = v.kind GROUP BY 1",
     "duplicate_operations": f"WITH {_M}, {_OPS} SELECT kind, path, count(*) AS n FROM op GROUP BY 1, 2 HAVING count(*) > 1",
@@ -126,7 +126,7 @@ ORACLE: dict[str, str] = {
     "dependency_evidence": "SELECT l_partkey AS owner, l_suppkey AS package, CASE WHEN bool_or(l_linestatus = 'O') THEN 'runtime' ELSE 'dev' END AS section FROM lineitem GROUP BY 1, 2",
     "version_resolution": "WITH d AS (SELECT p_name AS package, count(DISTINCT p_type) AS k, min(p_type) AS one, min(p_type) FILTER (p_brand = 'Brand#1') AS root FROM part GROUP BY 1) SELECT package, CASE WHEN k = 1 THEN one ELSE root END AS version, CASE WHEN k = 1 THEN 'declared' WHEN root IS NOT NULL THEN 'root' ELSE 'ambiguous' END AS source FROM d",
     "donor_pruning": "SELECT l_partkey AS owner, l_suppkey AS package FROM lineitem GROUP BY 1, 2 HAVING NOT bool_or(l_returnflag = 'R') AND NOT bool_or(l_linestatus = 'O' AND l_quantity > 25) AND l_suppkey <> 7",
-    "missing_resolutions": "SELECT DISTINCT l_orderkey AS importer, l_partkey AS package, l_suppkey AS version FROM lineitem a WHERE l_orderkey % 10 = 0 AND NOT EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey % 2 = 1 AND b.l_partkey = a.l_partkey AND b.l_suppkey = a.l_suppkey)",
+    "missing_resolutions": "SELECT DISTINCT l_orderkey AS importer, l_partkey AS package, l_suppkey AS version FROM lineitem a WHERE NOT EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey % 2 = 1 AND b.l_partkey = a.l_partkey AND b.l_suppkey = a.l_suppkey)",
     "target_collisions": "SELECT 'libs/' || lower(p_brand) || '/' || p_name AS target, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) AS sources FROM part GROUP BY 1 HAVING count(*) > 1",
     "missing_rewrites": f"WITH {_e()} SELECT DISTINCT src AS path, './' || dst AS specifier FROM e WHERE dst % 3 = 0 AND src % 3 <> 0 AND src % 2 = 1",
     "boundary_breaks": f"WITH {_e()} SELECT src, dst FROM e WHERE src % 5 = 0 AND dst % 5 <> 0 AND NOT dynamic",
@@ -144,7 +144,7 @@ ORACLE: dict[str, str] = {
     "levers": "WITH p AS (SELECT p_partkey AS id, p_type AS c, p_size AS a, floor(p_retailprice) AS b FROM part), q AS (SELECT id, count(*) OVER (PARTITION BY c) AS n, count(*) OVER () AS t, rank() OVER (PARTITION BY c ORDER BY a) - 1 + 0.5 * count(*) OVER (PARTITION BY c, a) AS xa, rank() OVER (PARTITION BY c ORDER BY b) - 1 + 0.5 * count(*) OVER (PARTITION BY c, b) AS xb, rank() OVER (ORDER BY a) - 1 + 0.5 * count(*) OVER (PARTITION BY a) AS ya, rank() OVER (ORDER BY b) - 1 + 0.5 * count(*) OVER (PARTITION BY b) AS yb FROM p), r AS (SELECT id, floor(CASE WHEN n < 8 THEN ya / t ELSE xa / n END * 100 + 0.5) AS a, floor(CASE WHEN n < 8 THEN yb / t ELSE xb / n END * 100 + 0.5) AS b FROM q) SELECT id, CASE WHEN greatest(a, b) < 75 THEN 'none' WHEN a >= b THEN 'size' ELSE 'price' END AS lever FROM r",
     "recipe_steps": f"WITH {_M} SELECT file AS path, CASE WHEN path % 7 = 0 THEN 'boundary' WHEN owner IN ('PROMO', 'SMALL') THEN 'promotion' ELSE 'unconfigured' END AS step, CASE WHEN path % 7 = 0 THEN path WHEN owner = 'PROMO' THEN 1 WHEN owner = 'SMALL' THEN 3 END AS id FROM m",
     "hotspot_actions": f"{_ALL}, p AS (SELECT DISTINCT path FROM f), q AS (SELECT p.path, (SELECT count(*) FROM e WHERE dst = p.path) AS i, (SELECT count(*) FROM e WHERE src = p.path) AS o, (SELECT count(*) FROM e JOIN m a ON a.path = e.src JOIN m b ON b.path = e.dst WHERE e.src = p.path AND a.domain <> b.domain) AS x FROM p) SELECT path, concat_ws(',', CASE WHEN i >= 2 THEN 'stabilise-inbound' END, CASE WHEN o >= 2 THEN 'reduce-fan-out' END, CASE WHEN x > 0 THEN 'cut-cross-domain' END) AS actions FROM q",
-    "target_options": "WITH l AS (SELECT * FROM lineitem WHERE l_quantity > 40), h AS (SELECT s_suppkey AS package FROM supplier WHERE s_acctbal > 0), c AS (SELECT l_orderkey AS id, min(l_suppkey) + max(l_linenumber) AS suggested FROM l GROUP BY 1) SELECT id, suggested AS package, CASE WHEN suggested IN (SELECT package FROM h) THEN 'extend' ELSE 'create' END AS option, 'high' AS fit FROM c UNION ALL SELECT DISTINCT l_orderkey, l_suppkey, 'extend', 'medium' FROM l JOIN c ON c.id = l_orderkey WHERE l_suppkey IN (SELECT package FROM h) AND l_suppkey <> c.suggested",
+    "target_options": "WITH l AS (SELECT * FROM lineitem), h AS (SELECT s_suppkey AS package FROM supplier WHERE s_acctbal > 0), c AS (SELECT l_orderkey AS id, min(l_suppkey) + max(l_linenumber) AS suggested FROM l GROUP BY 1) SELECT id, suggested AS package, CASE WHEN suggested IN (SELECT package FROM h) THEN 'extend' ELSE 'create' END AS option, 'high' AS fit FROM c UNION ALL SELECT DISTINCT l_orderkey, l_suppkey, 'extend', 'medium' FROM l JOIN c ON c.id = l_orderkey WHERE l_suppkey IN (SELECT package FROM h) AND l_suppkey <> c.suggested",
     "rewritable_escapes": "WITH n AS (SELECT l_orderkey AS source, l_partkey AS target, l_suppkey AS package, list(DISTINCT CASE WHEN l_tax = 0 THEN 'default' ELSE l_returnflag END) AS b FROM lineitem WHERE l_quantity > 45 GROUP BY 1, 2, 3), s AS (SELECT l_suppkey AS package, l_partkey AS target, list(DISTINCT CASE WHEN l_discount = 0 THEN '*' ELSE l_returnflag END) AS names FROM lineitem WHERE l_quantity <= 45 GROUP BY 1, 2) SELECT source, target, package, coalesce(len(list_filter(b, lambda x: NOT list_contains(names, x) AND NOT (list_contains(names, '*') AND x <> 'default'))) = 0, false) AS rewritable FROM n LEFT JOIN s USING (package, target)",
     "campaign_targets": f"{_ALL}, g AS (SELECT *, min(id) OVER (PARTITION BY first_domain, line_count) AS rep FROM j) SELECT id, line_count, round(line_count / review_units, 6) AS rate FROM g WHERE id = rep ORDER BY line_count / review_units DESC, line_count DESC, id LIMIT 15",
     "gate_commands": f"WITH {_M} SELECT DISTINCT 'project' AS tier, t || ' ' || owner AS command FROM m, (VALUES ('test'), ('lint')) v(t) UNION ALL VALUES ('package', 'build'), ('workspace', 'check')",
@@ -155,8 +155,8 @@ ORACLE: dict[str, str] = {
     "relative_resolution": f"WITH {_e()}, {_M} SELECT a.file || '.ts' AS source, '../' || lower(b.owner) || '/./' || b.path AS specifier, CASE b.path % 4 WHEN 0 THEN b.file || '.ts' WHEN 1 THEN b.file || '/index.ts' WHEN 2 THEN b.file || '.js' END AS resolved FROM e JOIN m a ON a.path = e.src JOIN m b ON b.path = e.dst",
     "triggered_artifacts": "SELECT * FROM (VALUES ('docs'), ('promo'), ('tens')) v(name)",
     "ambiguous_rewrites": "WITH p AS (SELECT url, string_split(regexp_replace(url, '^https?://', ''), '/') AS s FROM pages), i AS (SELECT url, s, unnest(range(1, len(s))) AS i FROM p) SELECT array_to_string(s[i:], '/') AS key, count(DISTINCT url) AS choices FROM i GROUP BY 1 HAVING count(DISTINCT url) > 1",
-    "rewrite_collisions": 'SELECT l_partkey AS file, l_linenumber AS "to", count(DISTINCT l_suppkey) AS donors FROM lineitem WHERE l_quantity > 40 GROUP BY 1, 2 HAVING count(DISTINCT l_suppkey) > 1',
-    "rewrite_replay": 'SELECT l_orderkey AS path, l_linenumber AS start, l_partkey AS "from", l_suppkey AS "to" FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY 1, 2, 3, 4 HAVING max(l_quantity) <= 5',
+    "rewrite_collisions": 'SELECT l_partkey AS file, l_linenumber AS "to", count(DISTINCT l_suppkey) AS donors FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_suppkey) > 1',
+    "rewrite_replay": 'SELECT l_orderkey AS path, l_linenumber AS start, l_partkey AS "from", l_suppkey AS "to" FROM lineitem GROUP BY 1, 2, 3, 4 HAVING max(l_quantity) <= 5',
     "chain_breaks": "WITH c AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS bf FROM (SELECT DISTINCT conv_id, turn FROM conversations)) SELECT conv_id AS chain, turn AS seq, conv_id || ':' || turn AS id FROM c WHERE bf IS NOT NULL AND bf <> turn - CASE WHEN (conv_id + turn) % 7 = 0 THEN 2 ELSE 1 END",
     "unclosed_selection": f"WITH {_e()}, {_M} SELECT src, dst FROM e JOIN m a ON a.path = src JOIN m b ON b.path = dst WHERE a.owner IN ('PROMO', 'SMALL') AND b.owner NOT IN ('PROMO', 'SMALL')",
     "seam_blockers": f"WITH {_e()}, {_M} SELECT 'exact' AS certainty, 'no-exports' AS code, path AS id FROM m WHERE owner = 'PROMO' AND NOT has_exports UNION SELECT 'exact', 'cycle', src FROM e WHERE EXISTS (SELECT 1 FROM e f WHERE f.src = e.dst AND f.dst = e.src) UNION SELECT 'heuristic', 'large', path FROM m WHERE owner = 'PROMO' AND line_count > 45",
@@ -164,11 +164,11 @@ ORACLE: dict[str, str] = {
     "canonical_paths": f"WITH {_M} SELECT path, file FROM m",
     "connectivity_backbone": f"""WITH RECURSIVE {_e()}, {_M}, d AS (SELECT a.domain AS a, b.domain AS b, count(*) AS n FROM e JOIN m a ON a.path = e.src JOIN m b ON b.path = e.dst WHERE a.domain <> b.domain GROUP BY 1, 2), w AS (SELECT least(a, b) AS a, greatest(a, b) AS b, sum(n)::BIGINT AS weight FROM d GROUP BY 1, 2), v AS (SELECT *, row_number() OVER (ORDER BY weight DESC, a, b) AS k FROM w), u AS (SELECT a AS x, b AS y, k FROM v UNION ALL SELECT b, a, k FROM v),
         r AS (SELECT k, a AS x FROM v UNION SELECT r.k, u.y FROM r JOIN u ON u.x = r.x AND u.k < r.k) SELECT a, b, weight FROM v WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.k = v.k AND r.x = v.b)""",
-    "cohesion_clusters": """WITH RECURSIVE u AS (SELECT DISTINCT l_suppkey AS owner, l_orderkey AS id, l_partkey AS field FROM lineitem WHERE l_quantity >= 40), n AS (SELECT owner, count(DISTINCT id) AS n FROM u GROUP BY 1), k AS (SELECT owner, field, count(*) AS k, min(id) AS first FROM u GROUP BY 1, 2), ra AS (SELECT u.owner, u.id, k.first FROM u JOIN k USING (owner, field) JOIN n USING (owner) WHERE k.k < greatest(3, ceil(n.n * 0.4)) AND u.id <> k.first),
+    "cohesion_clusters": """WITH RECURSIVE u AS (SELECT DISTINCT l_suppkey || '/' || l_linenumber AS owner, l_orderkey AS id, l_partkey AS field FROM lineitem), n AS (SELECT owner, count(DISTINCT id) AS n FROM u GROUP BY 1), k AS (SELECT owner, field, count(*) AS k, min(id) AS first FROM u GROUP BY 1, 2), ra AS (SELECT u.owner, u.id, k.first FROM u JOIN k USING (owner, field) JOIN n USING (owner) WHERE k.k < greatest(3, ceil(n.n * 0.4)) AND u.id <> k.first),
         g AS (SELECT owner, id AS a, first AS b FROM ra UNION SELECT owner, first, id FROM ra), r AS (SELECT owner, a AS id, b AS x FROM g UNION SELECT r.owner, r.id, g.b FROM r JOIN g ON g.owner = r.owner AND g.a = r.x), c AS (SELECT owner, id, min(x::VARCHAR) AS low FROM r GROUP BY 1, 2)
         SELECT DISTINCT u.owner::VARCHAR AS owner, u.id::VARCHAR AS id, least(u.id::VARCHAR, coalesce(low, u.id::VARCHAR)) AS cluster FROM u LEFT JOIN c USING (owner, id)""",
     "greedy_selection": f"""{_ALL}, ca AS (SELECT j.id, row_number() OVER (ORDER BY score DESC, j.id) AS k, (SELECT list(path) FROM f WHERE f.cand = j.id) AS files FROM j WHERE eligible), st AS (SELECT 0 AS k, []::BIGINT[] AS taken, 0 AS n, NULL::BIGINT AS id, false AS pick UNION ALL SELECT ca.k, CASE WHEN list_has_any(taken, files) THEN taken ELSE list_concat(taken, files) END, CASE WHEN list_has_any(taken, files) THEN n ELSE n + 1 END, ca.id, NOT list_has_any(taken, files) FROM st JOIN ca ON ca.k = st.k + 1) SELECT id, n::INT AS rank FROM st WHERE pick""",
-    "equivalence_groups": f"""{_ALL}, ca AS (SELECT j.id, score, row_number() OVER (ORDER BY j.id) AS k FROM j WHERE files > 2), fs AS (SELECT ca.k, path FROM f JOIN ca ON ca.id = f.cand), sz AS (SELECT k, count(*) AS n FROM fs GROUP BY 1), pa AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM fs a JOIN fs b ON a.path = b.path AND a.k < b.k GROUP BY 1, 2), si AS (SELECT a, b, c / (x.n + y.n - c) AS s FROM pa JOIN sz x ON x.k = a JOIN sz y ON y.k = b WHERE c / (x.n + y.n - c) >= 0.8),
+    "equivalence_groups": f"""{_ALL}, ca AS (SELECT j.id, score, row_number() OVER (ORDER BY j.id) AS k FROM j), fs AS (SELECT ca.k, path FROM f JOIN ca ON ca.id = f.cand), sz AS (SELECT k, count(*) AS n FROM fs GROUP BY 1), pa AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM fs a JOIN fs b ON a.path = b.path AND a.k < b.k GROUP BY 1, 2), si AS (SELECT a, b, c / (x.n + y.n - c) AS s FROM pa JOIN sz x ON x.k = a JOIN sz y ON y.k = b WHERE c / (x.n + y.n - c) >= 0.8),
         nb AS (SELECT k, coalesce(list(b), []) AS l FROM ca LEFT JOIN si ON si.a = ca.k GROUP BY 1), tot AS (SELECT count(*) AS n FROM ca), st AS (SELECT 0 AS k, list_transform(range(1, n + 1), lambda x: 0) AS own FROM tot UNION ALL SELECT nb.k, CASE WHEN own[nb.k] <> 0 THEN own ELSE list_transform(own, lambda o, i: CASE WHEN o = 0 AND (i = nb.k OR list_contains(nb.l, i)) THEN nb.k ELSE o END) END FROM st JOIN nb ON nb.k = st.k + 1),
         fin AS (SELECT unnest(own) AS seed, unnest(range(1, len(own) + 1)) AS k FROM st WHERE st.k = (SELECT n FROM tot)), g AS (SELECT x.id, y.id AS seed, x.score, fin.k, fin.seed AS sk FROM fin JOIN ca x ON x.k = fin.k JOIN ca y ON y.k = fin.seed) SELECT id, seed, first_value(id) OVER (PARTITION BY seed ORDER BY score DESC, id) AS representative, coalesce((SELECT s FROM si WHERE si.a = g.sk AND si.b = g.k), 1.0)::DOUBLE AS similarity FROM g""",
     "plan_waves": f"""WITH RECURSIVE {_M}, {_OPS}, ad AS (SELECT DISTINCT plan_id, kind, path, key FROM op WHERE kind <> 'delete-tree'), hx AS (SELECT l.plan_id AS l, r.plan_id AS r, l.path, bool_and(l.kind = 'structured' AND r.kind = 'structured' AND l.key <> r.key) AS ok FROM ad l JOIN ad r ON l.plan_id < r.plan_id AND l.path = r.path GROUP BY 1, 2, 3), hd AS (SELECT DISTINCT l, r FROM hx WHERE NOT ok), pl AS (SELECT plan_id, row_number() OVER (ORDER BY plan_id % 7 DESC, plan_id) AS k FROM (SELECT DISTINCT plan_id FROM op)),

@@ -47,7 +47,7 @@ ORACLE: dict[str, str] = {
     "candidate_details": f"WITH {_M}, c AS (SELECT domain AS cand, file || CASE WHEN path % 2 = 0 THEN '.ts' ELSE '/a.ts' END AS p, path % 10 AS k FROM m) SELECT cand, coalesce(string_agg(p, ',' ORDER BY p) FILTER (k NOT IN (3, 7)), '') AS files, coalesce(string_agg(p, ',' ORDER BY p) FILTER (k = 3), '') AS tests, coalesce(string_agg(p, ',' ORDER BY p) FILTER (k = 7), '') AS assets, count(*) AS closure FROM c GROUP BY 1",
     "claiming_candidates": f"WITH {_M}, c AS (SELECT domain AS cand, file || CASE WHEN path % 2 = 0 THEN '.ts' ELSE '/a.ts' END AS p FROM m), q AS (SELECT * FROM (VALUES ('./src/promo/', 'src/promo'), ('src/small/1', 'src/small/1'), ('src/economy/29', 'src/economy/29')) v(path, root)) SELECT DISTINCT q.path, cand FROM c JOIN q ON p = root OR starts_with(p, root || '/')",
     "evaluation_warnings": f"{_REACH}, f AS (SELECT m.* FROM m JOIN s ON s.id = m.path) SELECT count(*) AS modules, count(*) FILTER (path % 4 = 0) AS effectful, count(*) FILTER (path % 4 = 0 AND domain <> 'Brand#1') AS beyond, min(path) FILTER (path % 4 = 0) AS first, (SELECT string_agg(owner, ',' ORDER BY r, owner) FROM (SELECT owner, min(path % 4) AS r FROM f GROUP BY 1 ORDER BY 2, 1 LIMIT 3)) AS packages FROM f",
-    "conflict_report": """WITH a AS (SELECT l_orderkey AS plan, l_partkey AS path, ['consumer-source', 'lockfile-importer', 'move-target', 'generated-source', 'task-file', 'package-manifest', 'workspace-registry'][(l_partkey + CASE WHEN l_quantity > 49 THEN l_linenumber ELSE 0 END) % 7 + 1] AS role, l_suppkey * 100 + l_orderkey % 100 AS key FROM lineitem WHERE l_quantity > 40),
+    "conflict_report": """WITH a AS (SELECT l_orderkey AS plan, l_partkey AS path, ['consumer-source', 'lockfile-importer', 'move-target', 'generated-source', 'task-file', 'package-manifest', 'workspace-registry'][(l_partkey + CASE WHEN l_quantity > 49 THEN l_linenumber ELSE 0 END) % 7 + 1] AS role, l_suppkey * 100 + l_orderkey % 100 AS key FROM lineitem),
         p AS (SELECT path, count(DISTINCT plan) AS plans, list(DISTINCT role) AS roles FROM a GROUP BY 1 HAVING count(DISTINCT plan) > 1), sh AS (SELECT DISTINCT path FROM a GROUP BY path, key HAVING count(DISTINCT plan) > 1)
         SELECT path, plans, CASE WHEN list_contains(roles, 'generated-source') THEN 'generated-artifact' WHEN list_contains(roles, 'move-target') THEN 'moved-path' WHEN list_contains(roles, 'consumer-source') THEN 'consumer-source' WHEN list_contains(roles, 'lockfile-importer') THEN 'lockfile-importer' WHEN list_contains(roles, 'workspace-registry') THEN 'workspace-registry' WHEN list_contains(roles, 'package-manifest') THEN 'package-manifest' ELSE 'scaffold-output' END AS category, CASE WHEN len(roles) = 1 AND roles[1] IN ('consumer-source', 'lockfile-importer', 'workspace-registry') AND path NOT IN (SELECT path FROM sh) THEN 'mergeable' ELSE 'exclusive' END AS disposition FROM p""",
     "owners_of_orders": f"WITH {_M}, u AS (SELECT l_orderkey, domain AS x FROM lineitem JOIN m ON path = l_partkey UNION SELECT l_orderkey, owner FROM lineitem JOIN m ON path = l_partkey) SELECT l_orderkey, string_agg(x, ',' ORDER BY x) AS names FROM u GROUP BY 1",
@@ -98,7 +98,7 @@ ORACLE: dict[str, str] = {
     "test_closure": f"{_TC} SELECT * FROM th",
     "test_package": f"{_TC} SELECT 'tests' AS plan, row_number() OVER (ORDER BY file) - 1 AS idx, 'move' AS kind, file AS path, 'tests/' || file AS target FROM th JOIN m ON m.path = th.id WHERE NOT held",
     "preparation_impact": f"{_ALL}, k AS (SELECT unnest(codes) AS code FROM j), cg AS (SELECT code FROM k WHERE code IN ('composition-root', 'unsupported-module-reference')), nn AS (SELECT count(*) AS n FROM j WHERE len(codes) > 0 AND len(list_filter(codes, lambda x: x NOT IN ('composition-root', 'unsupported-module-reference'))) = 0) SELECT code, count(*) AS n, 'gone' AS change FROM cg GROUP BY 1 UNION ALL SELECT NULL, n, 'come' FROM nn WHERE n > 0",
-    "preparation_plan": f"WITH {_e(45)} SELECT src AS id, count(*) AS types, count(*) FILTER (dst IN (SELECT src FROM e WHERE NOT type_only)) AS refused FROM e WHERE type_only AND src % 40 = 0 GROUP BY 1",
+    "preparation_plan": f"WITH {_e(45)} SELECT src AS id, count(*) AS types, count(*) FILTER (dst IN (SELECT src FROM e WHERE NOT type_only)) AS refused FROM e WHERE type_only GROUP BY 1",
     "declaration_selection": "WITH a AS (SELECT DISTINCT p_brand AS file, p_name AS name FROM part), h AS (SELECT p_brand AS file, p_name AS name, count(*) AS n, bool_or(p_retailprice >= 1000) AS x FROM part WHERE p_size < 20 GROUP BY 1, 2) SELECT file, name, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' WHEN NOT x THEN 'not-exported' ELSE 'eligible' END AS verdict FROM a LEFT JOIN h USING (file, name)",
     "replayed_slices": "SELECT doc_id, substr(text, 1, 10) || chr(10) || substr(text, 21, 11) || chr(10) || substr(text, 41, 15) AS text FROM documents WHERE length(text) >= 60",
     "boundary_proofs": f"WITH {_e(45)}, {_M} SELECT e.src, b.owner AS b, CASE WHEN bool_and(type_only) THEN 'resolve' WHEN bool_and(b.zone = 'package') THEN 'existing-package' ELSE 'port' END AS boundary FROM e JOIN m a ON a.path = e.src JOIN m b ON b.path = e.dst WHERE a.owner <> b.owner GROUP BY 1, 2",
@@ -116,7 +116,7 @@ ORACLE: dict[str, str] = {
     "workspace_folders": "WITH p AS (SELECT DISTINCT lower(p_type) AS t, replace(p_name, ' ', '-') AS n FROM part) SELECT 'libs/' || t || '/' || n AS path FROM p WHERE (starts_with(n, 'small-') OR t = 'promo') AND NOT suffix(n, '-ring') AND t <> 'large'",
     "workspace_packages": "SELECT coalesce('p' || n_nationkey, 'p' || s_suppkey) AS name, coalesce('own/' || n_name, 'libs/' || s_suppkey) AS owner FROM supplier FULL JOIN nation ON s_suppkey = n_nationkey",
     "provenance_headers": "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'specs/' || p_partkey || '.json' WHEN 1 THEN 'tool-' || p_partkey % 9 END AS origin FROM part",
-    "style_changes": "SELECT '.c' || p_partkey AS selector, CASE WHEN p_partkey % 7 = 0 THEN 'added' WHEN p_partkey % 9 = 0 THEN 'missing' WHEN p_partkey % 5 = 0 THEN 'reordered' ELSE 'changed' END AS change FROM part WHERE p_partkey < 1000 AND NOT (p_partkey % 7 = 0 AND p_partkey % 9 = 0) AND (p_partkey % 7 = 0 OR p_partkey % 9 = 0 OR p_partkey % 5 = 0 OR p_partkey % 11 = 0)",
+    "style_changes": "SELECT '.c' || p_partkey AS selector, CASE WHEN p_partkey % 7 = 0 THEN 'added' WHEN p_partkey % 9 = 0 THEN 'missing' WHEN p_partkey % 5 = 0 THEN 'reordered' ELSE 'changed' END AS change FROM part WHERE NOT (p_partkey % 7 = 0 AND p_partkey % 9 = 0) AND (p_partkey % 7 = 0 OR p_partkey % 9 = 0 OR p_partkey % 5 = 0 OR p_partkey % 11 = 0)",
     "type_only_refusals": f"WITH {_M} SELECT path AS id, concat_ws(',', CASE WHEN path % 3 = 0 THEN 'value-reference' END, CASE WHEN path % 5 = 0 THEN 'not-exported' END, CASE WHEN has_exports THEN 'has-surface' END, CASE WHEN line_count > 40 THEN 'too-large' END) AS refusals FROM m",
     "proof_report": f"SELECT proof, coalesce(n, 0) AS failures, n IS NULL AS passed FROM (VALUES ('boundaries'), ('bytes'), ('consumers'), ('postconditions')) v(proof) LEFT JOIN (SELECT 'bytes' AS proof, count(*) AS n FROM ({_ENGINE['byte_fidelity']}) UNION ALL SELECT 'boundaries', count(*) FROM ({_ENGINE['boundary_breaks']}) UNION ALL SELECT 'postconditions', count(*) FROM ({_ENGINE['postconditions']})) f USING (proof)",
     "report_bytes": """WITH j AS (SELECT '[' || string_agg('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || '}', ',' ORDER BY n_nationkey) || ']' || chr(10) AS t FROM nation), w AS (SELECT max(length(n_name)) AS w FROM nation), x AS (SELECT rpad('n_nationkey', 11, ' ') || '  n_name' || chr(10) || string_agg(rpad(n_nationkey::VARCHAR, 11, ' ') || '  ' || n_name, chr(10) ORDER BY n_nationkey) || chr(10) AS t FROM nation) SELECT 'json' AS kind, sha256(t) AS sha256, octet_length(encode(t)) AS bytes FROM j UNION ALL SELECT 'table', sha256(t), octet_length(encode(t)) FROM x UNION ALL SELECT 'lost', '', 0""",

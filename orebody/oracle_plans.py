@@ -31,7 +31,7 @@ ORACLE: dict[str, str] = {
     "consumer_issues": f"WITH {_e(40)}, {_M}, {_RW}, {_CI} SELECT * FROM ci",
     "plan_issues": f"WITH {_e(40)}, {_P}, {_OI}, {_RW}, {_DS}, {_CI}, u AS (SELECT * FROM oz UNION ALL SELECT * FROM ds UNION ALL SELECT * FROM ci) SELECT plan, rule, count(*) AS n FROM u GROUP BY 1, 2",
     "target_issues": r"""WITH t AS (SELECT s_suppkey AS plan, CASE WHEN s_suppkey % 7 = 0 THEN s_name ELSE '@engine/s' || s_suppkey END AS package, CASE WHEN s_suppkey % 11 = 0 THEN 'libs/../' || s_suppkey WHEN s_suppkey % 13 = 0 THEN 'apps/' || s_suppkey ELSE 'libs/' || s_suppkey END AS root, s_suppkey % 5 = 0 AS bare FROM supplier),
-        l AS (SELECT l_suppkey AS plan, l_partkey AS source, l_linenumber AS line, max(l_quantity) AS q FROM lineitem GROUP BY 1, 2, 3 HAVING max(l_quantity) > 45),
+        l AS (SELECT l_suppkey AS plan, l_partkey AS source, l_linenumber AS line, max(l_quantity) AS q FROM lineitem GROUP BY 1, 2, 3),
         m AS (SELECT plan, source, CASE WHEN line = 1 THEN '.' WHEN line = 7 THEN source::VARCHAR ELSE './' || (source + line) % 40 END AS key, CASE WHEN q > 49 THEN 'src/x.ts' ELSE './src/x.ts' END AS target, CASE WHEN line = 6 THEN '@other/' || source ELSE '@engine/s' || plan || CASE WHEN line = 1 THEN '' ELSE '/' || source END END AS specifier FROM l),
         k AS (SELECT m.*, package, row_number() OVER (PARTITION BY plan, key ORDER BY source, key) AS a, row_number() OVER (PARTITION BY plan, source ORDER BY source, key) AS b FROM m JOIN t USING (plan)),
         i AS (SELECT plan, unnest(list_filter([CASE WHEN NOT regexp_matches(package, '^@engine/[a-z0-9][a-z0-9-]*$') THEN 'target-name' END, CASE WHEN NOT starts_with(root, 'libs/') OR contains(root, '..') THEN 'target-root' END, CASE WHEN bare THEN 'target-entrypoint' END], lambda x: x IS NOT NULL)) AS rule FROM t

@@ -299,9 +299,8 @@ def jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def equivalence_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, files, facts = _candidates(spark, sf_dir)
-    large = facts.where("files > 2").select("cand")
-    classes, sets = portfolio.equal_sets(files.join(large, "cand").select(F.col("cand").alias("id"), F.col("path").alias("item")))
-    return portfolio.equivalence_groups(_judged(facts).join(large, "cand").select("id", "score"), classes, portfolio.jaccard_pairs(cut(sets), 0.8))
+    classes, sets = portfolio.equal_sets(files.select(F.col("cand").alias("id"), F.col("path").alias("item")))
+    return portfolio.equivalence_groups(_judged(facts).select("id", "score"), classes, portfolio.jaccard_pairs(cut(sets), 0.8))
 
 
 @query
@@ -508,14 +507,14 @@ def event_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders above 480,000 as plans, their line items as operations on parts' files."""
-    big = table(spark, sf_dir, "orders").where("o_totalprice > 480000").select(F.col("o_orderkey").alias("l_orderkey"))
-    l = table(spark, sf_dir, "lineitem").join(big, "l_orderkey", "left_semi")  # noqa: E741
+    """Customers as plans, their line items as operations on a part's files, one for each supplier; a delete-tree takes the part's folder."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("plan_id"))
+    l = table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))  # noqa: E741
     p = modules(spark, sf_dir).select(F.col("path").alias("l_partkey"), "file")
-    kind = F.when(F.col("l_returnflag") == "A", "structured").when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F") & (F.col("l_quantity") > 45), "delete-tree").otherwise("write")
-    path = F.when(kind == "delete-tree", F.regexp_extract("file", "^(src/[a-z]+)", 1)).otherwise(F.col("file"))
-    keys = F.when(kind == "structured", F.array(F.col("l_suppkey").cast("string"))).otherwise(F.array().cast("array<string>"))
-    return l.join(p, "l_partkey").select(F.col("l_orderkey").alias("plan_id"), kind.alias("kind"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("target"), path.alias("path"), keys.alias("keys"), F.col("l_linenumber").alias("idx"))
+    kind = F.when(F.col("l_returnflag") == "A", "structured").when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F") & (F.col("l_quantity") > 49), "delete-tree").otherwise("write")
+    path = F.when(kind == "delete-tree", F.col("file")).otherwise(F.concat_ws("/", "file", "l_suppkey"))
+    keys = F.when(kind == "structured", F.array((F.col("l_linenumber") % 3).cast("string"))).otherwise(F.array().cast("array<string>"))
+    return l.join(p, "l_partkey").select("plan_id", kind.alias("kind"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("target"), path.alias("path"), keys.alias("keys"), F.col("l_linenumber").alias("idx"))
 
 
 @query
@@ -710,8 +709,9 @@ def weak_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cohesion_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = table(spark, sf_dir, "lineitem").where("l_quantity >= 40")  # noqa: E741
-    return evacuation.cohesion_clusters(l.select(F.col("l_suppkey").alias("owner"), F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("field")))
+    """Orders as methods of a supplier's lines, parts as the fields that they use."""
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    return evacuation.cohesion_clusters(l.select(F.concat_ws("/", "l_suppkey", "l_linenumber").alias("owner"), F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("field")))
 
 
 # Dependencies
@@ -738,7 +738,7 @@ def donor_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def missing_resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("importer"), F.col("l_partkey").alias("package"), F.col("l_suppkey").alias("version"))  # noqa: E741
-    return dependencies.missing_resolutions(l.where("importer % 10 = 0").distinct(), l.where("importer % 2 = 1"))
+    return dependencies.missing_resolutions(l.distinct(), l.where("importer % 2 = 1"))
 
 
 # Audit and assessment
@@ -870,7 +870,7 @@ def hotspot_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def target_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as candidates, suppliers as packages."""
-    l = table(spark, sf_dir, "lineitem").where("l_quantity > 40")  # noqa: E741
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
     uses = l.select(F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("package"))
     c = l.groupBy(F.col("l_orderkey").alias("id")).agg((F.min("l_suppkey") + F.max("l_linenumber")).alias("suggested"))
     return portfolio.target_options(c, table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("package")), uses)
@@ -952,13 +952,13 @@ def ambiguous_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rewrite_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = table(spark, sf_dir, "lineitem").where("l_quantity > 40")  # noqa: E741
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
     return references.collisions(l.select(F.col("l_partkey").alias("file"), F.col("l_linenumber").alias("to"), F.col("l_suppkey").alias("donor")))
 
 
 @query
 def rewrite_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("start"), F.col("l_partkey").alias("from"), F.col("l_suppkey").alias("to"), "l_quantity").where("path % 20 = 0")  # noqa: E741
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("start"), F.col("l_partkey").alias("from"), F.col("l_suppkey").alias("to"), "l_quantity")  # noqa: E741
     return references.unreplayed(l.drop("l_quantity").distinct(), l.where("l_quantity > 5"))
 
 

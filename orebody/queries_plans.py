@@ -88,7 +88,7 @@ def target_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     package = F.when(key % 7 == 0, F.col("s_name")).otherwise(F.concat(F.lit("@engine/s"), key))
     root = F.when(key % 11 == 0, F.concat(F.lit("libs/../"), key)).when(key % 13 == 0, F.concat(F.lit("apps/"), key)).otherwise(F.concat(F.lit("libs/"), key))
     targets = s.select(key.alias("plan"), package.alias("package"), root.alias("root"), F.when(key % 5 != 0, "src/index.ts").alias("entry"))
-    l = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("plan"), F.col("l_partkey").alias("source"), F.col("l_linenumber").alias("line")).agg(F.max("l_quantity").alias("q")).where("q > 45")  # noqa: E741
+    l = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("plan"), F.col("l_partkey").alias("source"), F.col("l_linenumber").alias("line")).agg(F.max("l_quantity").alias("q"))  # noqa: E741
     name = F.when(F.col("line") == 1, ".").when(F.col("line") == 7, F.col("source").cast("string")).otherwise(F.concat(F.lit("./"), (F.col("source") + F.col("line")) % 40))
     specifier = F.when(F.col("line") == 6, F.concat(F.lit("@other/"), "source")).otherwise(F.concat(F.lit("@engine/s"), "plan", F.when(F.col("line") == 1, "").otherwise(F.concat(F.lit("/"), "source"))))
     mods = l.select("plan", "source", name.alias("key"), F.when(F.col("q") > 49, "src/x.ts").otherwise("./src/x.ts").alias("target"), specifier.alias("specifier"))
