@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each one's result
 as Parquet in the shared folder and gives it to the next as docs. All but the last return the
-columns of documents.
+columns of documents. An empty table stays empty through every stage.
 """
 
 from __future__ import annotations
@@ -16,29 +16,29 @@ from orebody.llm.queries import held_out
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; those without a letter or below the calibrated threshold go."""
+    """Documents whose language is recognised; those without a letter (null and empty texts among them) or below the calibrated threshold go. Repeated rows fare alike."""
     model = lang_id.train(docs, ~held_out(4))
     return lang_id.predicted(docs, model).where(~F.col("rejected")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates (similarity 0.8 on five-word shingles): that of the least doc_id."""
+    """One document of each class of near-duplicates (similarity 0.8 on five-word shingles): that of the least doc_id (null last); of repeated rows one."""
     return neardup.representatives(docs, size=5)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage."""
+    """Documents that hold no benchmark passage; each row by itself, whatever its id. A null text or item holds nothing."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind and n_chars counted anew."""
+    """All documents, with personal data replaced by its kind and n_chars counted anew; a null text keeps its n_chars."""
     out = pii.found(docs, pii.fitted(docs), mask=True)
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, encoded: doc_id, lang, source, pieces, n_pieces, and the decoded text."""
+    """All documents, encoded: doc_id, lang, source, pieces, n_pieces, and the decoded text (nulls for a null text)."""
     out = sentpiece.encoded(docs)
     return out.select("doc_id", "lang", "source", "pieces", F.size("pieces").alias("n_pieces"), F.col("decoded").alias("text"))
 

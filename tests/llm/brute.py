@@ -28,14 +28,14 @@ def lower(t: str) -> str:
     return re.sub("[A-Z]", lambda m: m[0].lower(), t)
 
 
-def shingle_set(t: str | None) -> frozenset:
+def shingle_set(t: str | None, size: int = 2) -> frozenset:
     w = WORD.findall(lower(t or ""))
-    return frozenset(zip(w, w[1:], strict=False)) if len(w) > 1 else frozenset([tuple(w)] if w else [])
+    return frozenset(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))) if w else frozenset()
 
 
-def near(rows: Sequence[tuple[int, str | None]]) -> dict[int, tuple[int, int]]:
+def near(rows: Sequence[tuple[int, str | None]], size: int = 2) -> dict[int, tuple[int, int]]:
     """doc_id: (n_shingles, component_id); all pairs, so for small inputs."""
-    sets = [(d, shingle_set(t)) for d, t in rows]
+    sets = [(d, shingle_set(t, size)) for d, t in rows]
     root = {d: d for d, _ in rows}
 
     def find(x: int) -> int:
