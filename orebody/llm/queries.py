@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, lang_id, lm_score, neardup, pii, quality, sentpiece, shard, substring
+from . import collocation, decontam, html_extract, lang_id, lm_score, neardup, packing, pii, quality, runs, sentpiece, shard, substring
 from .common import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,39 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), held_out(7))
+
+
+@query
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 2,000 phrases of each language over all documents."""
+    return collocation.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+@query
+def op12_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2,048 ids, a row a piece."""
+    out = packing.packed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of all documents, every tenth (by checksum of its id) made periodic as the contract says."""
+    return runs.found(table(spark, sf_dir, "documents").select("doc_id", "text"), plant=True)
+
+
+ORACLE["op11_phrase_collocations"] = r"""
+WITH piece AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+sentence AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM sentence GROUP BY lang),
+place AS (SELECT lang, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i FROM sentence, (VALUES (1), (2), (3), (4)) AS s(m) WHERE len(w) >= m),
+freq AS (SELECT lang, ph, count(*) AS f FROM (SELECT lang, w[i:i + m - 1] AS ph FROM place) GROUP BY lang, ph HAVING count(*) >= 30),
+cand AS (SELECT * FROM freq WHERE len(ph) >= 2),
+cut AS (SELECT c.lang, c.ph, c.f AS a, c.k, l.f AS l, r.f AS r, (2000000::HUGEINT * c.f // (l.f + r.f))::BIGINT AS score
+    FROM (SELECT *, unnest(generate_series(1, len(ph) - 1)) AS k FROM cand) c JOIN freq l ON l.lang = c.lang AND l.ph = c.ph[1:c.k] JOIN freq r ON r.lang = c.lang AND r.ph = c.ph[c.k + 1:len(c.ph)]),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, k) = 1),
+inside AS (SELECT lang, ph[s:s + m - 1] AS ph, max(f) AS f FROM (SELECT lang, ph, f, m, unnest(generate_series(1, len(ph) - m + 1)) AS s FROM cand, (VALUES (2), (3)) AS v(m) WHERE len(ph) > m) GROUP BY ALL),
+kept AS (SELECT b.lang, array_to_string(b.ph, ' ') AS phrase, b.a, b.l, b.r, b.score FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.ph = b.ph WHERE i.f IS NULL OR 100 * i.f < 80 * b.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT k.lang, k.rank, k.phrase, k.a, k.l, k.r, t.n, k.score FROM ranked k JOIN total t ON t.lang = k.lang WHERE k.rank <= 2000
+"""

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Sequence
+from fractions import Fraction
+
+import numpy as np
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -87,3 +91,98 @@ def personal(t: str | None) -> list[tuple[str, int, int]]:
                 continue
             out.append((kind, m.start(), m.end()))
     return out
+
+
+def collocations(rows: Sequence[tuple[str | None, str | None]], least: int = 30, most: int = 2000) -> list[tuple]:
+    """(lang, rank, phrase, a, l, r, n, score) with dictionaries."""
+    f, total = defaultdict(Counter), Counter()
+    for lang, t in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\x0a-\x0d]", lower(t or "")):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            total[lang] += len(w)
+            for n in (1, 2, 3, 4):
+                f[lang].update(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+    out = []
+    for lang, counts in f.items():
+        common = {p: c for p, c in counts.items() if c >= least and len(p) > 1}
+        held = set()
+        for p, c in common.items():
+            held.update(q for m in range(2, len(p)) for s in range(len(p) - m + 1) if (q := p[s : s + m]) in common and 100 * c >= 80 * common[q])
+        best = []
+        for p, a in common.items():
+            if p not in held:
+                score, _, left, right = min((2000000 * a // (counts[p[:k]] + counts[p[k:]]), k, counts[p[:k]], counts[p[k:]]) for k in range(1, len(p)))
+                best.append((-score, -a, " ".join(p).encode(), left, right))
+        out += [(lang, i, p.decode(), -a, left, right, total[lang], -s) for i, (s, a, p, left, right) in enumerate(sorted(best)[:most], 1)]
+    return out
+
+
+def smallest_period(w: Sequence) -> int:
+    fail = [0] * (len(w) + 1)
+    k = 0
+    for i in range(1, len(w)):
+        while k and w[i] != w[k]:
+            k = fail[k]
+        k += w[i] == w[k]
+        fail[i + 1] = k
+    return len(w) - fail[len(w)]
+
+
+def runs(w: Sequence, least: int = 24, periods: int = 3) -> list[tuple[int, int, int]]:
+    """(start, length, period): stretches in which words q apart are equal, for every q."""
+    ids = {}
+    x = np.array([ids.setdefault(a, len(ids)) for a in w], np.int64)
+    out = []
+    for q in range(1, len(x) // periods + 1):
+        same = np.concatenate([[False], x[:-q] == x[q:], [False]])
+        edges = np.flatnonzero(same[1:] != same[:-1])
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            if b - a + q >= max(least, periods * q) and smallest_period(x[a : b + q].tolist()) == q:
+                out.append((a, b - a + q, q))
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def planted(doc_id: int | None, w: list[str]) -> list[str]:
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 or not w:
+        return w
+    g, n = h // 10, len(w)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+
+
+def periodic(doc_id: int | None, t: str | None) -> tuple:
+    w = planted(doc_id, WORD.findall(t or ""))
+    found = runs(w)
+    gone = {i for s, m, p in found for i in range(s + p, s + m)}
+    best = min(found, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2])) if found else None
+    lines = "".join(f"{s},{m},{p}\n" for s, m, p in found)
+    kept = " ".join(x for i, x in enumerate(w) if i not in gone)
+    return (doc_id, len(found), *(best or (None,) * 3), 1000 * best[1] // best[2] if best else None, hashlib.sha256(lines.encode()).hexdigest(), hashlib.sha256(kept.encode()).hexdigest())
+
+
+def squares(lengths: Sequence[int], size: int) -> list[list[int]]:
+    """Sum-of-squares packing by trying every place: the sequences, as numbers of pieces, in any order."""
+    bins: list[list[int]] = []
+    gaps: list[int] = []
+    for i, n in enumerate(lengths):
+        counts = Counter(g for g in gaps if 0 < g < size)
+        choices = []
+        for g in sorted({g for g in gaps if g >= n} | {size}):
+            c = counts.copy()
+            if g < size:
+                c[g] -= 1
+            if 0 < g - n:
+                c[g - n] += 1
+            choices.append((sum(x * x for x in c.values()), g == size, g))
+        g = min(choices)[2]
+        if g == size:
+            bins.append([i])
+            gaps.append(size - n)
+        else:
+            k = max(j for j, x in enumerate(gaps) if x == g)
+            bins[k].append(i)
+            gaps[k] -= n
+    return bins
