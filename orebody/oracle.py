@@ -20,7 +20,11 @@ _JUDGED = "codes AS (SELECT *, list_filter([CASE WHEN owners <> 1 THEN 'multiple
 _ALL = f"{_GM}, {_CAND}, {_JUDGED}"
 _OPS = "op AS (SELECT o_custkey AS plan_id, CASE WHEN l_returnflag = 'A' THEN 'structured' WHEN l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity > 49 THEN 'delete-tree' ELSE 'write' END AS kind, m.path AS part, CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity > 49 THEN m.file ELSE m.file || '/' || l_suppkey END AS path, CASE WHEN l_returnflag = 'A' THEN l_linenumber % 3 END AS key FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN m ON m.path = l_partkey)"
 _SETS = "cl AS (SELECT *, min(id) OVER (PARTITION BY s) AS same FROM (SELECT l_orderkey AS id, list_sort(list(DISTINCT l_suppkey)) AS s FROM lineitem GROUP BY 1))"
-_TREE = "tr AS (SELECT c_custkey, 'c/' || c_custkey AS path, c_name AS content, c_custkey % 10 AS k FROM customer), landed AS (SELECT CASE WHEN k = 1 THEN 'moved/' || c_custkey ELSE path END AS path, CASE WHEN k = 2 THEN content || '!' ELSE content END AS content FROM tr WHERE k <> 3)"
+_TREE = """steps(k, step, folder, more, gone) AS (VALUES (1, 0, NULL, '!', false), (1, 1, 'moved/', '', false), (2, 0, NULL, '!', false), (3, 0, NULL, '', true), (4, 0, 'moved/', '', false), (4, 1, NULL, '?', false), (4, 2, 'final/', '', false), (5, 0, 'moved/', '~', false), (6, 0, NULL, '', false), (6, 1, 'moved/', '', false)),
+    tr AS (SELECT c_custkey, 'c/' || c_custkey AS path, c_name AS content, c_custkey % 10 AS k FROM customer),
+    st AS (SELECT c_custkey, k, 0 AS step, path, content, false AS gone FROM tr UNION ALL SELECT st.c_custkey, st.k, st.step + 1, CASE WHEN steps.folder IS NULL THEN st.path ELSE steps.folder || st.c_custkey END, st.content || steps.more, steps.gone FROM st JOIN steps ON steps.k = st.k AND steps.step = st.step),
+    landed AS (SELECT path, content FROM st QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY step DESC) = 1 AND NOT gone UNION ALL SELECT path, 'stub ' || content FROM tr WHERE k = 5),
+    want AS (SELECT v.path, sha256(l.content) AS want FROM (SELECT DISTINCT path FROM st WHERE k BETWEEN 1 AND 6) v LEFT JOIN landed l ON l.path = v.path)"""
 
 ORACLE: dict[str, str] = {
     "scc_layers": f"{_G}, {_LY} SELECT c.id, c.comp, ly.layer FROM c JOIN ly USING (comp)",
@@ -95,11 +99,11 @@ ORACLE: dict[str, str] = {
         SELECT l, r, path, bool_and(ok) AS mergeable FROM x GROUP BY 1, 2, 3""",
     "operation_counts": f"WITH {_M}, {_OPS} SELECT v.kind, count(op.kind) AS n FROM (VALUES ('move'), ('write'), ('rewrite'), ('delete'), ('delete-tree'), ('structured'), ('generate')) v(kind) LEFT JOIN op ON op.kind = v.kind GROUP BY 1",
     "duplicate_operations": f"WITH {_M}, {_OPS} SELECT kind, path, count(*) AS n FROM op GROUP BY 1, 2 HAVING count(*) > 1",
-    "journal_tree": f"WITH {_TREE} SELECT path, content FROM landed",
-    "byte_fidelity": f"""WITH {_TREE}, la AS (SELECT path, sha256(CASE WHEN suffix(path, '7') THEN content || '?' WHEN suffix(path, '42') THEN 'other' ELSE content END) AS sha FROM landed WHERE NOT suffix(path, '51') UNION ALL SELECT path, sha256(content) FROM tr WHERE suffix(path, '93')),
-        want AS (SELECT CASE WHEN k = 1 THEN 'moved/' || c_custkey ELSE path END AS path, CASE WHEN k = 3 THEN NULL WHEN k = 2 THEN sha256(content || '!') ELSE sha256(content) END AS want FROM tr WHERE k BETWEEN 1 AND 3)
+    "journal_tree": f"WITH RECURSIVE {_TREE} SELECT path, content FROM landed",
+    "byte_fidelity": f"""WITH RECURSIVE {_TREE}, la AS (SELECT path, sha256(CASE WHEN suffix(path, '7') THEN content || '?' WHEN suffix(path, '42') THEN 'other' ELSE content END) AS sha FROM landed WHERE NOT suffix(path, '51') UNION ALL SELECT path, sha256(content) FROM tr WHERE suffix(path, '93'))
         SELECT * FROM (SELECT want.path, CASE WHEN want IS NULL AND sha IS NOT NULL THEN 'survives' WHEN want IS NOT NULL AND sha IS NULL THEN 'missing' WHEN want <> sha THEN 'differs' END AS fault FROM want LEFT JOIN la ON la.path = want.path) WHERE fault IS NOT NULL""",
-    "projected_state": f"WITH {_TREE} SELECT CASE WHEN k = 1 THEN 'moved/' || c_custkey ELSE path END AS path, CASE WHEN k = 2 THEN sha256(content || '!') WHEN k = 1 THEN sha256(content) END AS result_hash FROM tr WHERE k BETWEEN 1 AND 3",
+    "projected_state": f"WITH RECURSIVE {_TREE} SELECT path, want AS result_hash FROM want",
+    "journal_faults": f"WITH RECURSIVE {_TREE} SELECT 4 * c_custkey + st.step AS idx, CASE WHEN c_custkey % 70 = 4 THEN 'precondition' ELSE 'result-hash' END AS fault FROM st WHERE (c_custkey % 70 = 4 AND step = 0) OR (c_custkey % 70 = 12 AND step = 0)",
     "ledger_issues": """WITH l AS (SELECT DISTINCT ON (conv_id, turn, sha256(text)) conv_id AS campaign, turn AS seq, sha256(text) AS id, role, CASE WHEN turn < 6 THEN 'a' ELSE 'b' END AS baseline, length(text) % 2 = 0 AS ok FROM conversations),
         x AS (SELECT *, lag(seq) OVER (PARTITION BY campaign ORDER BY seq) AS bf, first(baseline) OVER (PARTITION BY campaign ORDER BY seq) AS base, row_number() OVER (PARTITION BY campaign, id ORDER BY seq) AS nth FROM l),
         i AS (SELECT campaign, 'sequence' AS issue FROM x WHERE seq <> bf + 1 UNION ALL SELECT campaign, 'repeated-id' FROM x WHERE nth > 1 UNION ALL SELECT campaign, 'stale-baseline' FROM x WHERE baseline <> base UNION ALL SELECT campaign, 'unaudited' FROM x WHERE role = 'assistant' AND NOT ok)

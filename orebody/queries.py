@@ -539,17 +539,37 @@ def duplicate_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return journal.duplicate_operations(_operations(spark, sf_dir))
 
 
+#: (k, step, kind, folder it moves to, what is put behind the content): journals of customers by the last digit of their key.
+STEPS = [
+    (1, 0, "rewrite", None, "!"), (1, 1, "move", "moved/", None), (2, 0, "rewrite", None, "!"), (3, 0, "delete", None, None),
+    (4, 0, "move", "moved/", None), (4, 1, "rewrite", None, "?"), (4, 2, "move", "final/", None), (5, 0, "move", "moved/", "~"),
+    (6, 0, "done", None, ""), (6, 1, "move", "moved/", None),
+]
+
+
 def _tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Customers as a file tree, and a journal over it: moves, rewrites and deletions by key."""
-    c = table(spark, sf_dir, "customer")
-    path = F.concat(F.lit("c/"), F.col("c_custkey"))
-    tree = c.select(path.alias("path"), F.col("c_name").alias("content"))
-    k = F.col("c_custkey") % 10
-    kind = F.when(k == 1, "move").when(k == 2, "rewrite").when(k == 3, "delete")
-    new = F.when(k == 2, F.concat(F.col("c_name"), F.lit("!")))
+    """Customers as a file tree, and a journal over it: chains of moves, rewrites and deletions by key, some done before, and a new file where one was moved away."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", (F.col("c_custkey") % 10).alias("k"))
+    at = lambda folder: F.concat(F.lit(folder), F.col("c_custkey"))
+    tree = c.select(at("c/").alias("path"), F.col("c_name").alias("content"))
+    ops, state = [], {k: (at("c/"), F.col("c_name")) for k in range(1, 7)}
     digest = lambda x: F.sha2(x, 256)
-    ops = c.where(k.between(1, 3)).select(F.col("c_custkey").alias("idx"), kind.alias("kind"), path.alias("path"), F.when(k == 1, F.concat(F.lit("moved/"), F.col("c_custkey"))).alias("target"), new.alias("content"), digest(F.col("c_name")).alias("pre_hash"), F.when(k != 3, digest(F.coalesce(new, F.col("c_name")))).alias("result_hash"))
-    return tree, ops
+    none = F.lit(None).cast("string")
+    for k, step, kind, folder, more in STEPS:
+        path, text = state[k]
+        target = at(folder) if folder else none
+        new = F.concat(text, F.lit(more)) if more else none
+        after = new if more else text
+        pre = digest(F.lit("older")) if kind == "done" else digest(text)
+        given = text if kind == "done" else new
+        ops.append(c.where(F.col("k") == k).select((4 * F.col("c_custkey") + step).alias("idx"), F.lit("rewrite" if kind == "done" else kind).alias("kind"), path.alias("path"), target.alias("target"), given.alias("content"), pre.alias("pre_hash"), (none if kind == "delete" else digest(after)).alias("result_hash")))
+        state[k] = (target if folder else path, after)
+    stub = F.concat(F.lit("stub "), F.col("c_name"))
+    ops.append(c.where("k = 5").select((4 * F.col("c_custkey") + 1).alias("idx"), F.lit("write").alias("kind"), at("c/").alias("path"), none.alias("target"), stub.alias("content"), none.alias("pre_hash"), digest(stub).alias("result_hash")))
+    every = ops[0]
+    for o in ops[1:]:
+        every = every.union(o)
+    return tree, every
 
 
 @query
@@ -557,6 +577,16 @@ def journal_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return journal.apply_journal(*_tree(spark, sf_dir))
 
 
+@query
+def journal_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where that journal can't land if some files were edited meanwhile and some recorded digests are wrong."""
+    tree, ops = _tree(spark, sf_dir)
+    key = F.substring_index("path", "/", -1).cast("long") % 70
+    tree = tree.withColumn("content", F.when(key == 4, F.concat("content", F.lit(" edited"))).otherwise(F.col("content")))
+    wrong = (F.floor(F.col("idx") / 4) % 70 == 12) & (F.col("idx") % 4 == 0)
+    return journal.preconditions(tree, ops.withColumn("result_hash", F.when(wrong, F.sha2(F.lit("wrong"), 256)).otherwise(F.col("result_hash")))).select("idx", "fault")
+
+
 @query
 def byte_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The audit of a landed tree in which some files were altered, lost or left."""

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
 
 import pytest
 
@@ -106,6 +107,112 @@ def test_journal_is_all_or_nothing(spark):
     assert {tuple(r) for r in journal.byte_fidelity(spark.createDataFrame(good, JOURNAL), landed).collect()} == {("b", "differs"), ("n", "missing"), ("c", "survives")}
 
 
+def fold(tree, ops):
+    """The journal one operation after another: the tree, and where it stopped (None: nowhere)."""
+    now = dict(tree)
+    state = lambda p: sha(now[p]) if p in now else ""
+    for idx, kind, path, target, content, pre, result in sorted(ops):
+        pre, result = pre or "", result or ""
+        if kind == "move":
+            if path != target and path not in now and target in now and state(target) == (result or pre):
+                continue
+            if path == target or path not in now or target in now or state(path) != pre:
+                return dict(tree), (idx, "precondition")
+            if content is not None and sha(content) != result or content is None and result not in ("", pre):
+                return dict(tree), (idx, "result-hash")
+            was = now.pop(path)
+            now[target] = was if content is None else content
+        elif kind == "delete":
+            if path not in now:
+                continue
+            if state(path) != pre:
+                return dict(tree), (idx, "precondition")
+            del now[path]
+        else:
+            if state(path) == result:
+                continue
+            if state(path) != pre:
+                return dict(tree), (idx, "precondition")
+            if content is None or sha(content) != result:
+                return dict(tree), (idx, "result-hash")
+            now[path] = content
+    return now, None
+
+
+def journal_of(rng, tree, n, spoil):
+    """n operations that mostly follow one another on a few paths; some already done, and one spoiled if asked."""
+    now, ops = dict(tree), []
+    bad = rng.randrange(n) if spoil else -1
+    for i in range(n):
+        path = rng.choice("abcdef")
+        there = path in now
+        kind = rng.choice(["move", "move", "rewrite", "delete"] if there else ["write"])
+        pre = sha(now[path]) if there else None
+        target = content = None
+        if kind == "move":
+            free = [x for x in "abcdefghijkl" if x not in now]
+            target = rng.choice(free)
+            content = rng.choice([None, None, f"moved {i}"])
+            result = sha(now[path]) if content is None else sha(content)
+            now[target] = now.pop(path) if content is None else (now.pop(path), content)[1]
+        elif kind == "delete":
+            result = None
+            del now[path]
+        else:
+            content = rng.choice([f"text {i}", now.get(path, "again")])
+            result = sha(content)
+            now[path] = content
+        if i == bad:
+            pre, result = rng.choice([(sha("x"), result), (pre, sha("y"))])
+        ops.append((i, kind, path, target, content, pre, result))
+    return ops
+
+
+@pytest.mark.parametrize("seed", range(9))
+def test_journal_equals_a_fold(spark, seed):
+    rng = random.Random(seed)
+    tree = {x: f"file {x}" for x in "abcd"}
+    ops = journal_of(rng, tree, 24, seed % 3 == 2)
+    rng.shuffle(ops)
+    want, stop = fold(tree, ops)
+    t, o = spark.createDataFrame(list(tree.items()), "path string, content string"), spark.createDataFrame(ops, JOURNAL)
+    assert dict(map(tuple, journal.apply_journal(t, o).collect())) == want
+    bad = sorted((r.idx, r.fault) for r in journal.preconditions(t, o).collect())
+    assert (bad[0] if bad else None) == stop
+
+
+def test_journal_every_pair_of_kinds_on_one_file(spark):
+    tree = {"a": "x", "z": "zz"}
+    steps = {"write": lambda p, i: ("write", p, None, f"w{i}"), "move": lambda p, i: ("move", p, f"t{i}", None), "edit": lambda p, i: ("move", p, f"t{i}", f"m{i}"), "delete": lambda p, i: ("delete", p, None, None)}
+    for first in steps.values():
+        for second in steps.values():
+            for follow in (True, False):  # the second at what the first leaves, or at the first's path
+                kind, path, target, content = first("a", 0)
+                now = "" if kind == "delete" else content or "x"
+                at = (target or path) if follow else path
+                held = now if at == (target or path) else ""
+                ops = [(0, kind, path, target, content, sha("x"), sha(now) if now else None)]
+                kind, path, target, content = second(at, 1)
+                after = "" if kind == "delete" else content or held
+                ops.append((1, kind, path, target, content, sha(held) if held else None, sha(after) if after else None))
+                want, _ = fold(tree, ops)
+                got = journal.apply_journal(spark.createDataFrame(list(tree.items()), "path string, content string"), spark.createDataFrame(ops, JOURNAL))
+                assert dict(map(tuple, got.collect())) == want, ops
+
+
+def test_journal_done_before_and_long_chains(spark):
+    n = 40
+    tree = {"p0": "x", "done": "new", "kept": "k"}
+    ops = [(i, "move", f"p{i}", f"p{i + 1}", None, sha("x"), sha("x")) for i in range(n)]
+    ops += [(n, "rewrite", "done", None, "new", sha("old"), sha("new")), (n + 1, "delete", "gone", None, None, sha("q"), None), (n + 2, "move", "was", "kept", None, sha("k"), sha("k"))]
+    want, stop = fold(tree, ops)
+    assert stop is None
+    t, o = spark.createDataFrame(list(tree.items()), "path string, content string"), spark.createDataFrame(ops, JOURNAL)
+    assert dict(map(tuple, journal.apply_journal(t, o).collect())) == want == {f"p{n}": "x", "done": "new", "kept": "k"}
+    assert dict(map(tuple, journal.apply_journal(t, o.limit(0)).collect())) == tree
+    assert journal.apply_journal(t.limit(0), o.limit(0)).count() == 0
+
+
 def test_ledger(spark):
     rows = [("c", 1, "a", "prep", "x", "planned", None), ("c", 2, "b", "extract", "x", "applied", True), ("c", 4, "a", "extract", "y", "applied", False)]
     l = spark.createDataFrame(rows, "campaign string, seq long, id string, kind string, baseline string, status string, audit_passed boolean")  # noqa: E741
