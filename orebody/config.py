@@ -15,15 +15,18 @@ class Application:
 
 @dataclass(frozen=True)
 class Weights:
-    """Terms of a candidate's score."""
+    """Terms of a candidate's score; the defaults are fixed values."""
 
     line_count: float = 1.0
-    consumer: float = 50.0
-    dependency: float = -25.0
-    domain_crossing: float = -400.0
-    runtime_crossing: float = -400.0
-    asset: float = -10.0
-    test: float = 5.0
+    file: float = 5.0
+    consumer: float = 10.0
+    test_coverage: float = 50.0
+    prerequisite: float = -12.0
+    rejection: float = -1000.0
+    rewrite_escape: float = -100.0
+    domain_crossing: float = -500.0
+    runtime_crossing: float = -300.0
+    retained_edge: float = -250.0
 
 
 @dataclass(frozen=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import selected
@@ -100,26 +100,27 @@ def promotion_cut(edges: DataFrame, comps: DataFrame, node) -> DataFrame:
     return mine.join(after, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
 
 
-def spanning_forest(spark: SparkSession, weighted: DataFrame, limit: int = graph.KERNEL_EDGES) -> DataFrame:
-    """(a, b, weight): the heaviest spanning forest of (a, b, weight), ties to the least ends; a bounded ordered fold."""
-    rows = weighted.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"a spanning forest takes at most {limit} edges")
-    root: dict = {}
-
-    def find(x):
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out = []
-    for r in sorted(rows, key=lambda r: (-r["weight"], r["a"], r["b"])):
-        a, b = find(r["a"]), find(r["b"])
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            out.append(tuple(r))
-    return spark.createDataFrame(out, weighted.schema)
+def spanning_forest(weighted: DataFrame) -> DataFrame:
+    """(a, b, weight): the heaviest spanning forest of (a, b, weight), ties to the least ends; edges from a node to itself don't count.
+
+    In rounds: every component takes its best edge to another one, what is so joined becomes one
+    component, and of the edges between two components only the best stays. The order of edges is
+    total, so there is one such forest; components at least halve, so rounds grow with the logarithm of the nodes.
+    """
+    e = cut(weighted.where("a <> b").select("a", "b", "weight", F.col("a").alias("x"), F.col("b").alias("y")))
+    out = None
+    key = F.struct((-F.col("weight")).alias("w"), F.col("a").alias("a"), F.col("b").alias("b"))
+    while not e.isEmpty():
+        both = e.select(F.col("x").alias("c"), key.alias("k"), F.col("y").alias("o")).union(e.select("y", key, "x"))
+        best = cut(both.groupBy("c").agg(F.min(F.struct("k", "o")).alias("m")).select("c", "m.k", "m.o"))
+        taken = best.select("k.a", "k.b", (-F.col("k.w")).alias("weight")).distinct()
+        out = taken if out is None else out.union(taken)
+        label = cut(clusters(best.select(F.col("c").alias("src"), F.col("o").alias("dst"))))
+        for end in ("x", "y"):
+            e = e.join(label.select(F.col("id").alias(end), F.col("cluster").alias("to")), end).drop(end).withColumnRenamed("to", end)
+        between = e.where("x <> y").groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min(key).alias("k"))
+        e = cut(between.select("k.a", "k.b", (-F.col("k.w")).alias("weight"), "x", "y"))
+    return (out if out is not None else weighted.limit(0)).select("a", "b", F.col("weight").cast(weighted.schema["weight"].dataType).alias("weight"))
 
 
 def clusters(edges: DataFrame) -> DataFrame:

@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config, Weights
-
-#: A greedy fold reads its rows in order on the driver: this many, at most; a larger one is refused rather than cut.
-FOLD_ROWS = 1_000_000
+from ..session import cut
+from .windows import below
 
 
 def containment(refs: DataFrame, files: DataFrame, builtins: DataFrame, workspace: DataFrame, installed: DataFrame) -> DataFrame:
@@ -38,13 +37,12 @@ def reasons(candidates: DataFrame, config: Config) -> DataFrame:
     """candidates with ``codes``, the rejections in rule order, from their facts.
 
     Facts: files, owners, unresolved, stale_generated (generated files whose source is gone),
-    composition, unsupported, declarations, exporting, inbound, tests, escapes, uninstalled,
-    unmovable, protected, collisions (files that would land on one target).
+    composition, unsupported, declarations, exporting, inbound (who imports the seed component), tests,
+    uninstalled, unmovable, escapes, protected, collisions (files that would land on one target).
     """
     c = F.col
     rules = [
         ("multiple-owners", c("owners") != 1),
-        ("closure-escapes-app-code", c("escapes") > 0),
         ("unresolved-imports", c("unresolved") > 0),
         ("generated-source-missing", c("stale_generated") > 0),
         ("composition-root", c("composition") > 0),
@@ -53,9 +51,10 @@ def reasons(candidates: DataFrame, config: Config) -> DataFrame:
         ("no-exports", (c("inbound") == 0) & (c("tests") == 0) & (c("exporting") == 0)),
         ("uninstalled-package", c("uninstalled") > 0),
         ("unmovable-asset", c("unmovable") > 0),
+        ("closure-escapes-app-code", c("escapes") > 0),
+        ("protected-path", c("protected") > 0),
         ("too-small", c("files") < config.min_files),
         ("too-large", c("files") > config.max_files),
-        ("protected-path", c("protected") > 0),
         ("unplannable", c("collisions") > 0),
     ]
     return candidates.withColumn("codes", F.array_compact(F.array(*[F.when(F.coalesce(rule, F.lit(False)), code) for code, rule in rules])))
@@ -124,16 +123,30 @@ def claiming(claims: DataFrame, path: str) -> DataFrame:
     return claims.where((F.col("path") == clean) | F.col("path").startswith(clean + "/")).select("cand").distinct()
 
 
+def coverage_share() -> Column:
+    """Tests for each file, one at most."""
+    return F.when(F.col("tests") == 0, 0.0).otherwise(F.least(F.lit(1.0), F.col("tests") / F.greatest(F.lit(1), F.col("files"))))
+
+
 def score(w: Weights) -> Column:
-    """Weighted sum over line_count (less shim lines), consumers, dependencies, crossings, assets and tests."""
-    lines = F.col("line_count") - F.col("shim_lines")
-    return w.line_count * lines + w.consumer * F.col("consumers") + w.dependency * F.col("dependencies") + (w.domain_crossing + w.runtime_crossing) * (F.col("domains") > 1).cast("int") + w.asset * F.col("assets") + w.test * F.col("tests")
+    """Weighted sum over ten terms.
+
+    Facts: line_count, shim_lines (of compatibility shims, not counted), files, churn (who imports or tests the seed
+    component), tests, dependencies (packages the seed component uses), rejections, rewrites
+    (escapes that can be rewritten), domains (both crossings count once, above one), retained (edges to code that stays).
+    """
+    c = F.col
+    crossing = (c("domains") > 1).cast("int")
+    return (
+        w.line_count * (c("line_count") - c("shim_lines")) + w.file * c("files") + w.consumer * c("churn") + w.test_coverage * coverage_share() + w.prerequisite * c("dependencies")
+        + w.rejection * c("rejections") + w.rewrite_escape * c("rewrites") + (w.domain_crossing + w.runtime_crossing) * crossing + w.retained_edge * c("retained")
+    )
 
 
 def review_units() -> Column:
-    """files + tests + assets + 3 churn + 2 escapes + dependencies + 2 warnings + 5 rejections + 2 reasons, 1 at least."""
+    """files + tests + assets + 3 churn + 2 rewrites + dependencies + 2 warnings + 5 rejections + 2 reasons, 1 at least."""
     c = F.col
-    return F.greatest(F.lit(1), c("files") + c("tests") + c("assets") + 3 * c("churn") + 2 * c("escapes") + c("dependencies") + 2 * c("warnings") + 5 * c("rejections") + 2 * c("reasons"))
+    return F.greatest(F.lit(1), c("files") + c("tests") + c("assets") + 3 * c("churn") + 2 * c("rewrites") + c("dependencies") + 2 * c("warnings") + 5 * c("rejections") + 2 * c("reasons"))
 
 
 def suggested_name(domain: Column, fallback: Column, scope: str | None = None) -> Column:
@@ -189,68 +202,95 @@ def jaccard_pairs(sets: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", sim.alias("similarity")).where(F.col("similarity") >= least)
 
 
-def _rows(df: DataFrame) -> list:
-    rows = df.limit(FOLD_ROWS + 1).collect()
-    if len(rows) > FOLD_ROWS:
-        raise ValueError(f"an ordered fold takes at most {FOLD_ROWS} rows")
-    return rows
-
-
-def equivalence_groups(candidates: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, seed, representative, similarity): in order of id, the least free candidate takes in the free ones similar to it.
+def first_independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The nodes (id) that a greedy pass in order of id keeps, if a kept one bars its neighbours. edges: (lo, hi), lo before hi.
 
-    candidates: (id, score); classes: (id, same), the candidates of equal sets; pairs: (a, b,
-    similarity) between different sets at the threshold or above. The representative has the
-    greatest score, then the least id.
+    In rounds: a node is kept once every lower neighbour is barred, and bars its own; what is
+    decided leaves the graph. A round is two joins; there are as many rounds as the longest chain of
+    decisions that hang on one another, in practice a few.
     """
-    spark = candidates.sparkSession
-    near: dict = {}
-    for r in _rows(pairs):
-        near.setdefault(r["a"], {})[r["b"]] = r["similarity"]
-        near.setdefault(r["b"], {})[r["a"]] = r["similarity"]
-    same = {r["id"]: r["same"] for r in _rows(classes)}
-    members: dict = {}
-    for x, c in sorted(same.items()):
-        members.setdefault(c, []).append(x)
-    rows = sorted(_rows(candidates.select("id", "score")))
-    scores, seen, out = dict(map(tuple, rows)), set(), []
-    for seed, _ in rows:
-        if seed in seen:
-            continue
-        like = {seed: 1.0}
-        for c, similarity in [(same[seed], 1.0), *near.get(same[seed], {}).items()]:
-            like |= {x: similarity for x in members[c] if x > seed and x not in seen and x in scores}
-        seen.update(like)
-        best = min(like, key=lambda x: (-scores[x], x))
-        out += [(x, seed, best, s) for x, s in like.items()]
-    kind = candidates.schema["id"].dataType.simpleString()
-    return spark.createDataFrame(out, f"id {kind}, seed {kind}, representative {kind}, similarity double")
-
-
-def greedy_selection(claims: DataFrame) -> DataFrame:
-    """(id, rank): by score, then id, each candidate none of whose files is already claimed. claims: (id, score, files)."""
-    taken, out = set(), []
-    for r in sorted(_rows(claims.select("id", "score", "files")), key=lambda r: (-r["score"], r["id"])):
-        if taken.isdisjoint(r["files"]):
-            taken.update(r["files"])
-            out.append((r["id"], len(out) + 1))
-    return claims.sparkSession.createDataFrame(out, f"id {claims.schema['id'].dataType.simpleString()}, rank int")
+    free, left, kept = cut(nodes.select("id").distinct()), cut(edges.select("lo", "hi").distinct()), None
+    while not free.isEmpty():
+        now = cut(free.join(left.select(F.col("hi").alias("id")), "id", "left_anti"))
+        barred = cut(left.join(now.select(F.col("id").alias("lo")), "lo", "left_semi").select(F.col("hi").alias("id")).distinct())
+        kept = now if kept is None else kept.union(now)
+        out = now.union(barred)
+        free = cut(free.join(out, "id", "left_anti"))
+        left = cut(left.join(out.select(F.col("id").alias("lo")), "lo", "left_anti").join(barred.select(F.col("id").alias("hi")), "hi", "left_anti"))
+    return kept if kept is not None else nodes.select("id").limit(0)
+
+
+def equivalence_groups(candidates: DataFrame, files: DataFrame, least: float) -> DataFrame:
+    """(id, seed, representative, similarity): in order of id, the least free candidate takes in the free ones of its kind whose files are similar to its own.
+
+    candidates: (id, score, kind); files: (cand, path). Candidates of one kind with the same files
+    are decided as one; between different sets the seeds are those of first_independent() over
+    the pairs at ``least`` or above, and each other set goes to its least seed. The representative has the greatest score, then the least id.
+    """
+    classes, sets = equal_sets(files.select(F.col("cand").alias("id"), F.col("path").alias("item")))
+    pairs = jaccard_pairs(cut(sets), least)
+    own = candidates.select("id", "score", "kind").join(classes, "id")
+    own = cut(own.withColumn("node", F.min("id").over(Window.partitionBy("same", "kind"))))
+    nodes = cut(own.where("id = node").select("node", "same", "kind"))
+    side = lambda n: nodes.select(F.col("same").alias(n), F.col("node").alias(f"n{n}"), "kind")
+    near = pairs.join(side("a"), "a").join(side("b"), ["b", "kind"])
+    near = cut(near.select(F.least("na", "nb").alias("lo"), F.greatest("na", "nb").alias("hi"), "similarity"))
+    seeds = cut(first_independent(nodes.select(F.col("node").alias("id")), near))
+    taken = near.join(seeds.select(F.col("id").alias("lo")), "lo", "left_semi").groupBy(F.col("hi").alias("node")).agg(F.min(F.struct("lo", "similarity")).alias("s"))
+    place = seeds.select(F.col("id").alias("node"), F.col("id").alias("seed"), F.lit(1.0).alias("similarity")).union(taken.join(seeds.select(F.col("id").alias("node")), "node", "left_anti").select("node", "s.lo", "s.similarity"))
+    joined = own.join(place, "node")
+    best = joined.groupBy("seed").agg(F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("b")).select("seed", F.col("b.id").alias("representative"))
+    return joined.join(best, "seed").select("id", "seed", "representative", "similarity")
+
+
+def group_summary(groups: DataFrame, files: DataFrame) -> DataFrame:
+    """(group, representative, candidates, shared, similarity) of equivalence_groups(): ``eg-`` and 12 digits of the ids' digest, members, files that all hold, least similarity to the seed."""
+    ids = F.array_join(F.array_sort(F.collect_list(F.col("id").cast("string"))), "\n")
+    per = groups.groupBy("seed", "representative").agg(F.concat(F.lit("eg-"), F.substring(F.sha2(ids, 256), 1, 12)).alias("group"), F.count(F.lit(1)).alias("candidates"), F.min("similarity").alias("similarity"))
+    held = files.select(F.col("cand").alias("id"), "path").distinct().join(groups.select("id", "seed"), "id").groupBy("seed", "path").agg(F.count(F.lit(1)).alias("n"))
+    shared = held.join(per.select("seed", "candidates"), "seed").where("n = candidates").groupBy("seed").agg(F.count(F.lit(1)).alias("shared"))
+    return per.join(shared, "seed", "left").select("group", "representative", "candidates", F.coalesce("shared", F.lit(0)).alias("shared"), "similarity")
+
+
+def greedy_selection(candidates: DataFrame, claims: DataFrame) -> DataFrame:
+    """(id, rank): by score, then id, each candidate none of whose paths is already claimed. candidates: (id, score); claims: (id, path) of files, tests and assets.
+
+    By election: each path keeps its best claimant that is left; who wins all its paths is selected,
+    and who meets it leaves. A candidate without a claim is selected. The order among the selected is a running count in ranges.
+    """
+    place = candidates.select("id", F.struct((-F.col("score")).alias("s"), F.col("id").alias("i")).alias("key"))
+    left = cut(claims.select("id", "path").distinct().join(place, "id"))
+    won = cut(place.join(left.select("id"), "id", "left_anti").select("id", "key"))
+    while not left.isEmpty():
+        best = left.groupBy("path").agg(F.min("key").alias("best"))
+        judged = cut(left.join(best, "path"))
+        now = cut(judged.groupBy("id", "key").agg(F.bool_and(F.col("best") == F.col("key")).alias("all")).where("all").select("id", "key"))
+        won = won.union(now)
+        met = judged.join(now.select(F.col("key").alias("best")), "best", "left_semi").select("id").distinct()
+        left = cut(left.join(met, "id", "left_anti"))
+    rank = below(won.select("id", "key", F.lit(1).alias("one")), "key", "one")
+    return rank.select("id", (F.col("below") + 1).cast("int").alias("rank"))
 
 
 def hotspots(files: DataFrame, candidates: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(path, closures, largest_lines, inbound, fan_out, cross_domain, discouraged, pressure) of the files of candidates.
+    """How much closure pressure each application file passes on: path, application, line_count, inbound, fan_out, closures, largest_lines, cross_domain, discouraged, pressure, action, candidates.
 
-    files: (cand, path); candidates: (cand, line_count, discouraged). pressure: largest_lines +
-    100 inbound + 50 fan_out + 250 cross_domain + 100 discouraged.
+    files: (cand, path); candidates: (cand, line_count, domains, status), the representatives of
+    their groups; nodes: (path, zone, application, line_count). cross_domain and discouraged count closures that hold
+    the file. pressure: largest_lines + 100 inbound + 50 fan_out + 250 cross_domain + 100 discouraged.
     """
-    per = files.join(candidates, "cand").groupBy("path").agg(F.count(F.lit(1)).alias("closures"), F.max("line_count").alias("largest_lines"), F.count_if("discouraged").alias("discouraged"))
-    e = edges.select("src", "dst").distinct().where("src <> dst")
-    d = nodes.select("path", "domain")
-    into, out = e.groupBy(F.col("dst").alias("path")).agg(F.count(F.lit(1)).alias("inbound")), e.groupBy(F.col("src").alias("path")).agg(F.count(F.lit(1)).alias("fan_out"))
-    cross = e.join(d.select(F.col("path").alias("src"), F.col("domain").alias("a")), "src").join(d.select(F.col("path").alias("dst"), F.col("domain").alias("b")), "dst").where("a <> b").groupBy(F.col("src").alias("path")).agg(F.count(F.lit(1)).alias("cross_domain"))
-    all_ = per.join(into, "path", "left").join(out, "path", "left").join(cross, "path", "left").fillna(0, ["inbound", "fan_out", "cross_domain"])
-    pressure = F.col("largest_lines") + 100 * F.col("inbound") + 50 * F.col("fan_out") + 250 * F.col("cross_domain") + 100 * F.col("discouraged")
-    return all_.withColumn("pressure", pressure)
+    own = files.join(nodes.where("zone = 'application'").select("path"), "path", "left_semi").join(candidates, "cand")
+    per = own.groupBy("path").agg(
+        F.count(F.lit(1)).alias("closures"), F.max("line_count").alias("largest_lines"), F.count_if(F.col("domains") > 1).alias("cross_domain"),
+        F.count_if(F.col("status") == "discouraged").alias("discouraged"), F.array_sort(F.collect_list("cand")).alias("candidates"),
+    )
+    e = edges.select("src", "dst").distinct()
+    into, out = (e.groupBy(F.col(side).alias("path")).agg(F.count(F.lit(1)).alias(n)) for side, n in (("dst", "inbound"), ("src", "fan_out")))
+    all_ = per.join(nodes.select("path", "application", "line_count"), "path").join(into, "path", "left").join(out, "path", "left").fillna(0, ["inbound", "fan_out"])
+    c = F.col
+    pressure = c("largest_lines") + 100 * c("inbound") + 50 * c("fan_out") + 250 * c("cross_domain") + 100 * c("discouraged")
+    action = F.when(c("inbound") >= 8, "split-capabilities").when(c("fan_out") >= 8, "extract-registry").when(c("cross_domain") > 0, "declare-boundary").otherwise("review-closure")
+    return all_.withColumns({"pressure": pressure, "action": action})
 
 
 def lazy_registry(edges: DataFrame, files: DataFrame) -> DataFrame:

@@ -15,10 +15,17 @@ _LY = "d AS (SELECT DISTINCT comp, 0 AS depth FROM c UNION SELECT ce.src, d.dept
 _G = f"WITH RECURSIVE {_e()}, {_C}"
 _GM = f"{_G}, {_M}, gm AS (SELECT m.* FROM m WHERE path IN (SELECT id FROM n))"
 _CLOSED = "dm AS (SELECT DISTINCT c.comp, gm.domain FROM gm JOIN c ON c.id = gm.path), one AS (SELECT comp, min(domain) AS domain FROM dm GROUP BY comp HAVING count(*) = 1), rc AS (SELECT DISTINCT x.comp src, y.comp dst FROM r JOIN c x ON x.id = r.src JOIN c y ON y.id = r.dst WHERE x.comp <> y.comp), broken AS (SELECT DISTINCT rc.src AS comp FROM rc JOIN one ON one.comp = rc.src JOIN dm ON dm.comp = rc.dst WHERE dm.domain <> one.domain), cf AS (SELECT c.id AS path FROM c WHERE c.comp IN (SELECT comp FROM one) AND c.comp NOT IN (SELECT comp FROM broken))"
-_CAND = "gi AS (SELECT dst AS path, count(*) AS fan_in FROM e GROUP BY 1), go AS (SELECT src AS path, count(*) AS fan_out FROM e GROUP BY 1), gd AS (SELECT gm.*, coalesce(fan_in, 0) AS fan_in, coalesce(fan_out, 0) AS fan_out FROM gm LEFT JOIN gi USING (path) LEFT JOIN go USING (path)), f AS (SELECT DISTINCT cand, id AS path FROM (SELECT comp AS cand, id FROM c UNION ALL SELECT x.comp, y.id FROM r JOIN c x ON x.id = r.src JOIN c z ON z.id = r.dst JOIN c y ON y.comp = z.comp)), con AS (SELECT f.cand, count(DISTINCT e.src) AS consumers FROM f JOIN e ON e.dst = f.path WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.cand = f.cand AND g.path = e.src) GROUP BY 1), dy AS (SELECT f.cand, count(*) AS unsupported FROM f JOIN e ON e.src = f.path WHERE e.dynamic GROUP BY 1), fa AS (SELECT f.cand, count(*) AS files, sum(line_count)::BIGINT AS line_count, count(DISTINCT owner) AS owners, count(DISTINCT domain) AS domains, count(*) FILTER (has_exports) AS exporting, count(*) FILTER (f.path % 97 = 0) AS composition, count(*) FILTER (f.path % 89 = 0) AS protected, min(domain) AS first_domain, count(*) FILTER (f.path % 71 = 0) AS escapes, count(*) FILTER (f.path % 83 = 0) AS unresolved, count(*) FILTER (f.path % 59 = 0) AS stale_generated, count(*) FILTER (f.path % 3 = 0) AS declarations, count(*) FILTER (f.path % 67 = 0) AS uninstalled, count(*) FILTER (f.path % 73 = 0) AS unmovable, count(*) FILTER (f.path % 10 = 3) AS tests, count(*) FILTER (f.path % 10 = 7) AS assets, count(*) FILTER (f.path % 61 = 0) AS warnings, count(*) FILTER (f.path % 41 = 0) AS adjacent, count(*) FILTER (f.path % 37 = 0) AS effectful, count(*) FILTER (f.path % 53 = 0 AND fan_in > 0) AS shims, coalesce(sum(line_count) FILTER (f.path % 53 = 0 AND fan_in > 0), 0)::BIGINT AS shim_lines, count(*) FILTER (fan_in >= 3) AS high_inbound, count(*) FILTER (fan_out >= 3) AS high_fan_out, count(*) - count(DISTINCT f.path % 500) AS collisions FROM f JOIN gd AS gm ON gm.path = f.path GROUP BY 1), facts AS (SELECT fa.*, coalesce(consumers, 0) AS consumers, coalesce(unsupported, 0) AS unsupported FROM fa LEFT JOIN con USING (cand) LEFT JOIN dy USING (cand))"
-_JUDGED = "codes AS (SELECT *, list_filter([CASE WHEN owners <> 1 THEN 'multiple-owners' END, CASE WHEN escapes > 0 THEN 'closure-escapes-app-code' END, CASE WHEN unresolved > 0 THEN 'unresolved-imports' END, CASE WHEN stale_generated > 0 THEN 'generated-source-missing' END, CASE WHEN composition > 0 THEN 'composition-root' END, CASE WHEN unsupported > 0 THEN 'unsupported-module-reference' END, CASE WHEN declarations = files THEN 'declaration-only' END, CASE WHEN consumers = 0 AND tests = 0 AND exporting = 0 THEN 'no-exports' END, CASE WHEN uninstalled > 0 THEN 'uninstalled-package' END, CASE WHEN unmovable > 0 THEN 'unmovable-asset' END, CASE WHEN files < 2 THEN 'too-small' END, CASE WHEN files > 20 THEN 'too-large' END, CASE WHEN protected > 0 THEN 'protected-path' END, CASE WHEN collisions > 0 THEN 'unplannable' END], lambda x: x IS NOT NULL) AS codes, list_filter([CASE WHEN regexp_replace(lower(first_domain), '[^a-z0-9]+', '-', 'g') IN ('brand-7', 'brand-11') THEN 'generic-target' END, CASE WHEN adjacent > 0 THEN 'composition-adjacent' END, CASE WHEN shims > 0 THEN 'compatibility-shim' END, CASE WHEN domains > 1 THEN 'cross-domain' END, CASE WHEN high_inbound > 0 THEN 'high-inbound' END, CASE WHEN high_fan_out > 0 THEN 'high-fan-out' END, CASE WHEN files > 12 OR line_count > 400 THEN 'large-review' END, CASE WHEN effectful > 0 THEN 'evaluation-effects' END], lambda x: x IS NOT NULL) AS advice FROM facts), js AS (SELECT *, CASE WHEN list_has_any(advice, ['generic-target', 'composition-adjacent', 'compatibility-shim', 'large-review']) THEN 'discouraged' WHEN len(advice) > 0 THEN 'review-required' ELSE 'recommended' END AS status FROM codes), j AS (SELECT *, cand AS id, len(codes) = 0 AS eligible, CASE WHEN domains <= 1 THEN 'high' WHEN domains = 2 THEN 'medium' ELSE 'low' END AS cohesion, CASE WHEN len(codes) > 0 OR status = 'discouraged' THEN 'high' WHEN warnings > 0 OR status = 'review-required' THEN 'medium' ELSE 'low' END AS risk, 1.0 * (line_count - shim_lines) + 50 * consumers - 25 * (domains - 1) - 800 * (CASE WHEN domains > 1 THEN 1 ELSE 0 END) - 10 * assets + 5 * tests AS score, greatest(1, files + tests + assets + 3 * consumers + 2 * escapes + domains - 1 + 2 * warnings + 5 * len(codes) + 2 * len(advice)) AS review_units FROM js)"
+_CAND = "gi AS (SELECT dst AS path, count(*) AS fan_in FROM e GROUP BY 1), go AS (SELECT src AS path, count(*) AS fan_out FROM e GROUP BY 1), gd AS (SELECT gm.*, coalesce(fan_in, 0) AS fan_in, coalesce(fan_out, 0) AS fan_out FROM gm LEFT JOIN gi USING (path) LEFT JOIN go USING (path)), f AS (SELECT DISTINCT cand, id AS path FROM (SELECT comp AS cand, id FROM c UNION ALL SELECT x.comp, y.id FROM r JOIN c x ON x.id = r.src JOIN c z ON z.id = r.dst JOIN c y ON y.comp = z.comp)), con AS (SELECT f.cand, count(DISTINCT e.src) AS consumers FROM f JOIN e ON e.dst = f.path WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.cand = f.cand AND g.path = e.src) GROUP BY 1), dy AS (SELECT f.cand, count(*) AS unsupported FROM f JOIN e ON e.src = f.path WHERE e.dynamic GROUP BY 1), fa AS (SELECT f.cand, count(*) AS files, sum(line_count)::BIGINT AS line_count, count(DISTINCT owner) AS owners, count(DISTINCT domain) AS domains, count(*) FILTER (has_exports) AS exporting, count(*) FILTER (f.path % 97 = 0) AS composition, count(*) FILTER (f.path % 89 = 0) AS protected, min(domain) AS first_domain, count(*) FILTER (f.path % 71 = 0) AS escapes, count(*) FILTER (f.path % 83 = 0) AS unresolved, count(*) FILTER (f.path % 59 = 0) AS stale_generated, count(*) FILTER (f.path % 3 = 0) AS declarations, count(*) FILTER (f.path % 67 = 0) AS uninstalled, count(*) FILTER (f.path % 73 = 0) AS unmovable, count(*) FILTER (f.path % 10 = 3) AS tests, count(*) FILTER (f.path % 10 = 7) AS assets, count(*) FILTER (f.path % 43 = 0) AS rewrites, count(*) FILTER (f.path % 79 = 0) AS retained, count(*) FILTER (f.path % 61 = 0) AS warnings, count(*) FILTER (f.path % 41 = 0) AS adjacent, count(*) FILTER (f.path % 37 = 0) AS effectful, count(*) FILTER (f.path % 53 = 0 AND fan_in > 0) AS shims, coalesce(sum(line_count) FILTER (f.path % 53 = 0 AND fan_in > 0), 0)::BIGINT AS shim_lines, count(*) FILTER (fan_in >= 3) AS high_inbound, count(*) FILTER (fan_out >= 3) AS high_fan_out, count(*) - count(DISTINCT f.path % 500) AS collisions FROM f JOIN gd AS gm ON gm.path = f.path GROUP BY 1), acr AS (SELECT e.src, e.dst, a.comp AS sc, b.comp AS dc FROM e JOIN c a ON a.id = e.src JOIN c b ON b.id = e.dst WHERE a.comp <> b.comp), inb AS (SELECT dc AS cand, count(DISTINCT src) AS inbound FROM acr GROUP BY 1), pk AS (SELECT sc AS cand, count(DISTINCT gm.owner) AS dependencies FROM acr JOIN gm ON gm.path = dst WHERE gm.zone = 'package' GROUP BY 1), te AS (SELECT comp AS cand, count(*) FILTER (id % 10 = 3) AS seed_tests FROM c GROUP BY 1), facts AS (SELECT fa.*, coalesce(consumers, 0) AS consumers, coalesce(unsupported, 0) AS unsupported, coalesce(inbound, 0) AS inbound, coalesce(dependencies, 0) AS dependencies, coalesce(seed_tests, 0) AS seed_tests FROM fa LEFT JOIN con USING (cand) LEFT JOIN dy USING (cand) LEFT JOIN inb USING (cand) LEFT JOIN pk USING (cand) LEFT JOIN te USING (cand))"
+_JUDGED = "codes AS (SELECT *, list_filter([CASE WHEN owners <> 1 THEN 'multiple-owners' END, CASE WHEN unresolved > 0 THEN 'unresolved-imports' END, CASE WHEN stale_generated > 0 THEN 'generated-source-missing' END, CASE WHEN composition > 0 THEN 'composition-root' END, CASE WHEN unsupported > 0 THEN 'unsupported-module-reference' END, CASE WHEN declarations = files THEN 'declaration-only' END, CASE WHEN inbound = 0 AND tests = 0 AND exporting = 0 THEN 'no-exports' END, CASE WHEN uninstalled > 0 THEN 'uninstalled-package' END, CASE WHEN unmovable > 0 THEN 'unmovable-asset' END, CASE WHEN escapes > 0 THEN 'closure-escapes-app-code' END, CASE WHEN protected > 0 THEN 'protected-path' END, CASE WHEN files < 2 THEN 'too-small' END, CASE WHEN files > 20 THEN 'too-large' END, CASE WHEN collisions > 0 THEN 'unplannable' END], lambda x: x IS NOT NULL) AS codes, list_filter([CASE WHEN regexp_replace(lower(first_domain), '[^a-z0-9]+', '-', 'g') IN ('brand-7', 'brand-11') THEN 'generic-target' END, CASE WHEN adjacent > 0 THEN 'composition-adjacent' END, CASE WHEN shims > 0 THEN 'compatibility-shim' END, CASE WHEN domains > 1 THEN 'cross-domain' END, CASE WHEN high_inbound > 0 THEN 'high-inbound' END, CASE WHEN high_fan_out > 0 THEN 'high-fan-out' END, CASE WHEN files > 12 OR line_count > 400 THEN 'large-review' END, CASE WHEN effectful > 0 THEN 'evaluation-effects' END], lambda x: x IS NOT NULL) AS advice FROM facts), js AS (SELECT *, CASE WHEN list_has_any(advice, ['generic-target', 'composition-adjacent', 'compatibility-shim', 'large-review']) THEN 'discouraged' WHEN len(advice) > 0 THEN 'review-required' ELSE 'recommended' END AS status FROM codes), j AS (SELECT *, cand AS id, len(codes) = 0 AS eligible, CASE WHEN domains <= 1 THEN 'high' WHEN domains = 2 THEN 'medium' ELSE 'low' END AS cohesion, CASE WHEN len(codes) > 0 OR status = 'discouraged' THEN 'high' WHEN warnings > 0 OR status = 'review-required' THEN 'medium' ELSE 'low' END AS risk, (1 * (line_count - shim_lines))::DOUBLE + (5 * files)::DOUBLE + (10 * (inbound + seed_tests))::DOUBLE + 50::DOUBLE * (CASE WHEN tests = 0 THEN 0::DOUBLE ELSE least(1::DOUBLE, tests::DOUBLE / files) END) + (-12 * dependencies)::DOUBLE + (-1000 * len(codes))::DOUBLE + (-100 * rewrites)::DOUBLE + (CASE WHEN domains > 1 THEN -800 ELSE 0 END)::DOUBLE + (-250 * retained)::DOUBLE AS score, CASE WHEN retained > 0 THEN 'preparation' ELSE 'extraction' END AS classification, CASE WHEN cand % 2 = 0 THEN 'web' ELSE 'api' END AS application, greatest(1, files + tests + assets + 3 * (inbound + seed_tests) + 2 * rewrites + dependencies + 2 * warnings + 5 * len(codes) + 2 * len(advice)) AS review_units FROM js)"
 _ALL = f"{_GM}, {_CAND}, {_JUDGED}"
-_OPS = "op AS (SELECT o_custkey AS plan_id, CASE WHEN l_returnflag = 'A' THEN 'structured' WHEN l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity > 49 THEN 'delete-tree' ELSE 'write' END AS kind, m.path AS part, CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity > 49 THEN m.file ELSE m.file || '/' || l_suppkey END AS path, CASE WHEN l_returnflag = 'A' THEN l_linenumber % 3 END AS key FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN m ON m.path = l_partkey)"
+#: Groups by a fold over the candidates in order: own[k] is the seed that has taken candidate k (0: free).
+_EQ = """ca AS (SELECT j.id, score, concat_ws('|', application, eligible, classification, status) AS kind, row_number() OVER (ORDER BY j.id) AS k FROM j), fs AS (SELECT ca.k, ca.kind, path FROM f JOIN ca ON ca.id = f.cand), sz AS (SELECT k, count(*) AS n FROM fs GROUP BY 1), pa AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM fs a JOIN fs b ON a.path = b.path AND a.kind = b.kind AND a.k < b.k GROUP BY 1, 2), si AS (SELECT a, b, c / (x.n + y.n - c) AS s FROM pa JOIN sz x ON x.k = a JOIN sz y ON y.k = b WHERE c / (x.n + y.n - c) >= 0.8),
+        nb AS (SELECT k, coalesce(list(b), []) AS l FROM ca LEFT JOIN si ON si.a = ca.k GROUP BY 1), tot AS (SELECT count(*) AS n FROM ca), sta AS (SELECT 0 AS k, list_transform(range(1, n + 1), lambda x: 0) AS own FROM tot UNION ALL SELECT nb.k, CASE WHEN own[nb.k] <> 0 THEN own ELSE list_transform(own, lambda o, i: CASE WHEN o = 0 AND (i = nb.k OR list_contains(nb.l, i)) THEN nb.k ELSE o END) END FROM sta JOIN nb ON nb.k = sta.k + 1),
+        fin AS (SELECT unnest(own) AS seed, unnest(range(1, len(own) + 1)) AS k FROM sta WHERE sta.k = (SELECT n FROM tot)), g AS (SELECT x.id, y.id AS seed, x.score, fin.k, fin.seed AS sk FROM fin JOIN ca x ON x.k = fin.k JOIN ca y ON y.k = fin.seed), eq AS (SELECT id, seed, first_value(id) OVER (PARTITION BY seed ORDER BY score DESC, id) AS representative, coalesce((SELECT s FROM si WHERE si.a = g.sk AND si.b = g.k), 1.0)::DOUBLE AS similarity FROM g)"""
+_HOT = """rp AS (SELECT * FROM j WHERE id IN (SELECT representative FROM eq)), hp AS (SELECT f.path, count(*) AS closures, max(rp.line_count) AS largest_lines, count(*) FILTER (rp.domains > 1) AS cross_domain, count(*) FILTER (rp.status = 'discouraged') AS discouraged, string_agg(rp.id, ',' ORDER BY rp.id) AS candidates FROM f JOIN rp ON rp.id = f.cand GROUP BY 1),
+        hq AS (SELECT hp.*, gm.application, gm.line_count, (SELECT count(*) FROM e WHERE dst = hp.path) AS inbound, (SELECT count(*) FROM e WHERE src = hp.path) AS fan_out FROM hp JOIN gm ON gm.path = hp.path AND gm.zone = 'application'),
+        hot AS (SELECT *, largest_lines + 100 * inbound + 50 * fan_out + 250 * cross_domain + 100 * discouraged AS pressure, CASE WHEN inbound >= 8 THEN 'split-capabilities' WHEN fan_out >= 8 THEN 'extract-registry' WHEN cross_domain > 0 THEN 'declare-boundary' ELSE 'review-closure' END AS action FROM hq)"""
+_OPS = "op AS (SELECT o_custkey AS plan_id, CASE WHEN l_returnflag = 'A' THEN CASE WHEN l_linenumber % 2 = 0 THEN 'consumer-manifest' ELSE 'consumer-source' END WHEN l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity > 49 THEN 'delete-tree' ELSE 'write' END AS kind, m.path AS part, CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity > 49 THEN m.file ELSE m.file || '/' || l_suppkey END AS path, CASE WHEN l_returnflag = 'A' THEN l_linenumber % 3 END AS key FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN m ON m.path = l_partkey)"
 _SETS = "cl AS (SELECT *, min(id) OVER (PARTITION BY s) AS same FROM (SELECT l_orderkey AS id, list_sort(list(DISTINCT l_suppkey)) AS s FROM lineitem GROUP BY 1))"
 _TREE = """steps(k, step, folder, more, gone) AS (VALUES (1, 0, NULL, '!', false), (1, 1, 'moved/', '', false), (2, 0, NULL, '!', false), (3, 0, NULL, '', true), (4, 0, 'moved/', '', false), (4, 1, NULL, '?', false), (4, 2, 'final/', '', false), (5, 0, 'moved/', '~', false), (6, 0, NULL, '', false), (6, 1, 'moved/', '', false)),
     tr AS (SELECT c_custkey, 'c/' || c_custkey AS path, c_name AS content, c_custkey % 10 AS k FROM customer),
@@ -56,17 +63,15 @@ ORACLE: dict[str, str] = {
     "condensed_view": f"WITH {_e()}, {_M}, k AS (SELECT src, dst, CASE WHEN dynamic THEN 'dynamic' WHEN type_only THEN 'type-only' ELSE 'static' END AS kind FROM e) SELECT a.domain AS a, b.domain AS b, count(*) AS n, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM k JOIN m a ON a.path = k.src JOIN m b ON b.path = k.dst WHERE a.domain <> b.domain GROUP BY 1, 2",
     "view_backbone": f"WITH {_e()}, {_M}, v AS (SELECT a.domain AS src, b.domain AS dst, count(*) AS weight FROM e JOIN m a ON a.path = e.src JOIN m b ON b.path = e.dst WHERE a.domain <> b.domain GROUP BY 1, 2) SELECT src, dst, weight FROM v QUALIFY row_number() OVER (PARTITION BY src ORDER BY weight DESC, src, dst) = 1 UNION SELECT src, dst, weight FROM v QUALIFY row_number() OVER (PARTITION BY dst ORDER BY weight DESC, src, dst) = 1",
     "candidate_facts": f"{_GM}, {_CAND} SELECT cand, files, line_count, owners, domains, exporting, composition, protected, consumers, unsupported FROM facts",
-    "candidate_scores": f"{_ALL} SELECT id, array_to_string(codes, ',') AS codes, eligible, score::DOUBLE AS score, review_units, round(line_count / review_units, 6) AS lines_per_unit, '@engine/' || regexp_replace(lower(first_domain), '[^a-z0-9]+', '-', 'g') AS package, status, cohesion, risk, array_to_string(advice, ',') AS advice FROM j",
+    "candidate_scores": f"{_ALL} SELECT id, array_to_string(codes, ',') AS codes, eligible, round(score, 6) AS score, classification, review_units, round(line_count / review_units, 6) AS lines_per_unit, '@engine/' || regexp_replace(lower(first_domain), '[^a-z0-9]+', '-', 'g') AS package, status, cohesion, risk, array_to_string(advice, ',') AS advice FROM j",
     "rejection_counts": f"{_ALL} SELECT code, count(*) AS n FROM (SELECT unnest(codes) AS code FROM j) GROUP BY 1",
     "closure_escapes": f"WITH {_e()}, {_M} SELECT a.owner AS cand, CASE WHEN a.owner = b.owner THEN 'internal' ELSE 'escape' END AS class, count(*) AS n FROM e JOIN m a ON a.path = e.src JOIN m b ON b.path = e.dst GROUP BY 1, 2",
     "owner_consumers": f"WITH {_e()}, {_M} SELECT b.owner AS cand, e.src AS importer, string_agg(DISTINCT './' || e.dst, ',' ORDER BY './' || e.dst) AS specifiers FROM e JOIN m a ON a.path = e.src JOIN m b ON b.path = e.dst WHERE a.owner <> b.owner GROUP BY 1, 2",
     "marginal_blockers": f"WITH {_e()}, {_M}, x AS (SELECT DISTINCT e.src, b.domain AS b, a.line_count FROM e JOIN m a ON a.path = e.src JOIN m b ON b.path = e.dst WHERE a.domain <> b.domain), k AS (SELECT *, count(*) OVER (PARTITION BY src) AS edges FROM x) SELECT 'crosses-domain' AS code, b AS edge, count(*) AS occurrences, count(*) FILTER (edges = 1) AS freed, coalesce(sum(line_count) FILTER (edges = 1), 0)::BIGINT AS freed_lines FROM k GROUP BY 2",
     "jaccard_pairs": f"WITH {_SETS}, s AS (SELECT DISTINCT same AS id, unnest(s) AS item FROM cl), n AS (SELECT id, count(*) AS n FROM s GROUP BY 1), x AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM s a JOIN s b ON a.item = b.item AND a.id < b.id GROUP BY 1, 2) SELECT a, b, round(k / (p.n + q.n - k), 9) AS similarity FROM x JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE k / (p.n + q.n - k) >= 0.8",
     "jaccard_classes": f"WITH {_SETS} SELECT id, same FROM cl",
-    "best_candidate": f"{_ALL} SELECT id, score::DOUBLE AS score FROM j WHERE eligible AND status = 'recommended' ORDER BY score DESC, id LIMIT 1",
-    "hotspots": f"""{_ALL}, p AS (SELECT f.path, count(*) AS closures, max(facts.line_count) AS largest_lines, count(*) FILTER (facts.files > 20) AS discouraged FROM f JOIN facts USING (cand) GROUP BY 1),
-        q AS (SELECT p.*, (SELECT count(*) FROM e WHERE dst = p.path) AS inbound, (SELECT count(*) FROM e WHERE src = p.path) AS fan_out, (SELECT count(*) FROM e JOIN m a ON a.path = e.src JOIN m b ON b.path = e.dst WHERE e.src = p.path AND a.domain <> b.domain) AS cross_domain FROM p)
-        SELECT *, largest_lines + 100 * inbound + 50 * fan_out + 250 * cross_domain + 100 * discouraged AS pressure FROM q""",
+    "best_candidate": f"{_ALL} SELECT id, round(score, 6) AS score FROM j WHERE eligible AND status = 'recommended' ORDER BY score DESC, id LIMIT 1",
+    "hotspots": f"{_ALL}, {_EQ}, {_HOT} SELECT * FROM hot",
     "lazy_registry": f"WITH {_e()}, {_M} SELECT e.src, e.dst, coalesce(string_agg(DISTINCT m.domain, ',' ORDER BY m.domain), '') AS candidates FROM e LEFT JOIN m ON m.path = e.dst AND m.has_exports WHERE e.dynamic GROUP BY 1, 2",
     "strategy_orders": f"""{_ALL}, o AS (SELECT 'cohesive' AS strategy, id, row_number() OVER (ORDER BY domains, score DESC, id) AS place FROM j UNION ALL SELECT 'campaign', id, row_number() OVER (ORDER BY score DESC, id) FROM j UNION ALL SELECT 'preparation', id, row_number() OVER (ORDER BY escapes, score DESC, id) FROM j UNION ALL SELECT 'low-risk', id, row_number() OVER (ORDER BY review_units, score DESC, id) FROM j UNION ALL SELECT 'max-loc', id, row_number() OVER (ORDER BY line_count DESC, id) FROM j) SELECT * FROM o WHERE place <= 20""",
     "bounded_report": f"WITH {_M} SELECT path, line_count, (SELECT count(*) FROM m) AS total, greatest((SELECT count(*) FROM m) - 25, 0) AS omitted FROM m ORDER BY line_count DESC, path LIMIT 25",
@@ -94,10 +99,10 @@ ORACLE: dict[str, str] = {
     "line_positions": "WITH d AS (SELECT doc_id, substr(text, 1, instr(text, 'the') - 1) AS head FROM documents WHERE contains(text, 'the')) SELECT doc_id, length(head) - length(replace(head, chr(10), '')) + 1 AS line, length(string_split(head, chr(10))[-1]) AS \"column\" FROM d",
     "event_keys": "SELECT json_extract(props, '$.k')::BIGINT AS k, count(*) AS n FROM events GROUP BY 1",
     "plan_conflicts": f"""WITH {_M}, {_OPS}, a AS (SELECT DISTINCT plan_id, kind, path, part, key FROM op),
-        x AS (SELECT l.plan_id AS l, r.plan_id AS r, CASE WHEN length(l.path) >= length(r.path) THEN l.path ELSE r.path END AS path, l.kind = 'structured' AND r.kind = 'structured' AND l.key <> r.key AS ok
+        x AS (SELECT l.plan_id AS l, r.plan_id AS r, CASE WHEN length(l.path) >= length(r.path) THEN l.path ELSE r.path END AS path, l.kind = r.kind AND l.kind LIKE 'consumer-%' AND l.key <> r.key AS ok
             FROM a l JOIN a r ON l.part = r.part AND l.plan_id < r.plan_id AND (l.path = r.path OR l.kind = 'delete-tree' OR r.kind = 'delete-tree'))
         SELECT l, r, path, bool_and(ok) AS mergeable FROM x GROUP BY 1, 2, 3""",
-    "operation_counts": f"WITH {_M}, {_OPS} SELECT v.kind, count(op.kind) AS n FROM (VALUES ('move'), ('write'), ('rewrite'), ('delete'), ('delete-tree'), ('structured'), ('generate')) v(kind) LEFT JOIN op ON op.kind = v.kind GROUP BY 1",
+    "operation_counts": f"WITH {_M}, {_OPS} SELECT v.kind, count(op.kind) AS n FROM (VALUES ('move'), ('write'), ('rewrite'), ('delete'), ('delete-tree'), ('consumer-source'), ('consumer-manifest'), ('generate')) v(kind) LEFT JOIN op ON op.kind = v.kind GROUP BY 1",
     "duplicate_operations": f"WITH {_M}, {_OPS} SELECT kind, path, count(*) AS n FROM op GROUP BY 1, 2 HAVING count(*) > 1",
     "journal_tree": f"WITH RECURSIVE {_TREE} SELECT path, content FROM landed",
     "byte_fidelity": f"""WITH RECURSIVE {_TREE}, la AS (SELECT path, sha256(CASE WHEN suffix(path, '7') THEN content || '?' WHEN suffix(path, '42') THEN 'other' ELSE content END) AS sha FROM landed WHERE NOT suffix(path, '51') UNION ALL SELECT path, sha256(content) FROM tr WHERE suffix(path, '93'))
@@ -147,7 +152,7 @@ ORACLE: dict[str, str] = {
     "file_metrics": "SELECT path, functions, most, total, mean, round(ln(total + 1) * 10 + most, 6) AS score FROM (SELECT l_orderkey AS path, count(*) AS functions, max(l_quantity) AS most, sum(l_quantity) AS total, round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY 1)",
     "levers": "WITH p AS (SELECT p_partkey AS id, p_type AS c, p_size AS a, floor(p_retailprice) AS b FROM part), q AS (SELECT id, count(*) OVER (PARTITION BY c) AS n, count(*) OVER () AS t, rank() OVER (PARTITION BY c ORDER BY a) - 1 + 0.5 * count(*) OVER (PARTITION BY c, a) AS xa, rank() OVER (PARTITION BY c ORDER BY b) - 1 + 0.5 * count(*) OVER (PARTITION BY c, b) AS xb, rank() OVER (ORDER BY a) - 1 + 0.5 * count(*) OVER (PARTITION BY a) AS ya, rank() OVER (ORDER BY b) - 1 + 0.5 * count(*) OVER (PARTITION BY b) AS yb FROM p), r AS (SELECT id, floor(CASE WHEN n < 8 THEN ya / t ELSE xa / n END * 100 + 0.5) AS a, floor(CASE WHEN n < 8 THEN yb / t ELSE xb / n END * 100 + 0.5) AS b FROM q) SELECT id, CASE WHEN greatest(a, b) < 75 THEN 'none' WHEN a >= b THEN 'size' ELSE 'price' END AS lever FROM r",
     "recipe_steps": f"WITH {_M} SELECT file AS path, CASE WHEN path % 7 = 0 THEN 'boundary' WHEN owner IN ('PROMO', 'SMALL') THEN 'promotion' ELSE 'unconfigured' END AS step, CASE WHEN path % 7 = 0 THEN path WHEN owner = 'PROMO' THEN 1 WHEN owner = 'SMALL' THEN 3 END AS id FROM m",
-    "hotspot_actions": f"{_ALL}, p AS (SELECT DISTINCT path FROM f), q AS (SELECT p.path, (SELECT count(*) FROM e WHERE dst = p.path) AS i, (SELECT count(*) FROM e WHERE src = p.path) AS o, (SELECT count(*) FROM e JOIN m a ON a.path = e.src JOIN m b ON b.path = e.dst WHERE e.src = p.path AND a.domain <> b.domain) AS x FROM p) SELECT path, concat_ws(',', CASE WHEN i >= 2 THEN 'stabilise-inbound' END, CASE WHEN o >= 2 THEN 'reduce-fan-out' END, CASE WHEN x > 0 THEN 'cut-cross-domain' END) AS actions FROM q",
+    "hotspot_actions": f"{_ALL}, {_EQ}, {_HOT} SELECT path, concat_ws(',', CASE WHEN inbound >= 2 THEN 'stabilise-inbound' END, CASE WHEN fan_out >= 2 THEN 'reduce-fan-out' END, CASE WHEN cross_domain > 0 THEN 'cut-cross-domain' END) AS actions FROM hot",
     "target_options": "WITH l AS (SELECT * FROM lineitem), h AS (SELECT s_suppkey AS package FROM supplier WHERE s_acctbal > 0), c AS (SELECT l_orderkey AS id, min(l_suppkey) + max(l_linenumber) AS suggested FROM l GROUP BY 1) SELECT id, suggested AS package, CASE WHEN suggested IN (SELECT package FROM h) THEN 'extend' ELSE 'create' END AS option, 'high' AS fit FROM c UNION ALL SELECT DISTINCT l_orderkey, l_suppkey, 'extend', 'medium' FROM l JOIN c ON c.id = l_orderkey WHERE l_suppkey IN (SELECT package FROM h) AND l_suppkey <> c.suggested",
     "rewritable_escapes": "WITH n AS (SELECT l_orderkey AS source, l_partkey AS target, l_suppkey AS package, list(DISTINCT CASE WHEN l_tax = 0 THEN 'default' ELSE l_returnflag END) AS b FROM lineitem WHERE l_quantity > 45 GROUP BY 1, 2, 3), s AS (SELECT l_suppkey AS package, l_partkey AS target, list(DISTINCT CASE WHEN l_discount = 0 THEN '*' ELSE l_returnflag END) AS names FROM lineitem WHERE l_quantity <= 45 GROUP BY 1, 2) SELECT source, target, package, coalesce(len(list_filter(b, lambda x: NOT list_contains(names, x) AND NOT (list_contains(names, '*') AND x <> 'default'))) = 0, false) AS rewritable FROM n LEFT JOIN s USING (package, target)",
     "campaign_targets": f"{_ALL}, g AS (SELECT *, min(id) OVER (PARTITION BY first_domain, line_count) AS rep FROM j) SELECT id, line_count, round(line_count / review_units, 6) AS rate FROM g WHERE id = rep ORDER BY line_count / review_units DESC, line_count DESC, id LIMIT 15",
@@ -164,18 +169,18 @@ ORACLE: dict[str, str] = {
     "chain_breaks": "WITH c AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS bf FROM (SELECT DISTINCT conv_id, turn FROM conversations)) SELECT conv_id AS chain, turn AS seq, conv_id || ':' || turn AS id FROM c WHERE bf IS NOT NULL AND bf <> turn - CASE WHEN (conv_id + turn) % 7 = 0 THEN 2 ELSE 1 END",
     "unclosed_selection": f"WITH {_e()}, {_M} SELECT src, dst FROM e JOIN m a ON a.path = src JOIN m b ON b.path = dst WHERE a.owner IN ('PROMO', 'SMALL') AND b.owner NOT IN ('PROMO', 'SMALL')",
     "seam_blockers": f"WITH {_e()}, {_M} SELECT 'exact' AS certainty, 'no-exports' AS code, path AS id FROM m WHERE owner = 'PROMO' AND NOT has_exports UNION SELECT 'exact', 'cycle', src FROM e WHERE EXISTS (SELECT 1 FROM e f WHERE f.src = e.dst AND f.dst = e.src) UNION SELECT 'heuristic', 'large', path FROM m WHERE owner = 'PROMO' AND line_count > 45",
-    "batch_targets": f"{_ALL}, p AS (SELECT f.path, max(facts.line_count) AS big, count(*) FILTER (facts.files > 20) AS dis FROM f JOIN facts USING (cand) GROUP BY 1), q AS (SELECT p.path, big + 100 * (SELECT count(*) FROM e WHERE dst = p.path) + 50 * (SELECT count(*) FROM e WHERE src = p.path) + 250 * (SELECT count(*) FROM e JOIN m a ON a.path = e.src JOIN m b ON b.path = e.dst WHERE e.src = p.path AND a.domain <> b.domain) + 100 * dis AS pressure FROM p) SELECT path, pressure FROM q ORDER BY pressure DESC, path LIMIT 10",
+    "batch_targets": f"{_ALL}, {_EQ}, {_HOT} SELECT path, pressure FROM hot ORDER BY pressure DESC, path LIMIT 10",
     "canonical_paths": f"WITH {_M} SELECT path, file FROM m",
     "connectivity_backbone": f"""WITH RECURSIVE {_e()}, {_M}, d AS (SELECT a.domain AS a, b.domain AS b, count(*) AS n FROM e JOIN m a ON a.path = e.src JOIN m b ON b.path = e.dst WHERE a.domain <> b.domain GROUP BY 1, 2), w AS (SELECT least(a, b) AS a, greatest(a, b) AS b, sum(n)::BIGINT AS weight FROM d GROUP BY 1, 2), v AS (SELECT *, row_number() OVER (ORDER BY weight DESC, a, b) AS k FROM w), u AS (SELECT a AS x, b AS y, k FROM v UNION ALL SELECT b, a, k FROM v),
         r AS (SELECT k, a AS x FROM v UNION SELECT r.k, u.y FROM r JOIN u ON u.x = r.x AND u.k < r.k) SELECT a, b, weight FROM v WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.k = v.k AND r.x = v.b)""",
     "cohesion_clusters": """WITH RECURSIVE u AS (SELECT DISTINCT l_suppkey || '/' || l_linenumber AS owner, l_orderkey AS id, l_partkey AS field FROM lineitem), n AS (SELECT owner, count(DISTINCT id) AS n FROM u GROUP BY 1), k AS (SELECT owner, field, count(*) AS k, min(id) AS first FROM u GROUP BY 1, 2), ra AS (SELECT u.owner, u.id, k.first FROM u JOIN k USING (owner, field) JOIN n USING (owner) WHERE k.k < greatest(3, ceil(n.n * 0.4)) AND u.id <> k.first),
         g AS (SELECT owner, id AS a, first AS b FROM ra UNION SELECT owner, first, id FROM ra), r AS (SELECT owner, a AS id, b AS x FROM g UNION SELECT r.owner, r.id, g.b FROM r JOIN g ON g.owner = r.owner AND g.a = r.x), c AS (SELECT owner, id, min(x::VARCHAR) AS low FROM r GROUP BY 1, 2)
         SELECT DISTINCT u.owner::VARCHAR AS owner, u.id::VARCHAR AS id, least(u.id::VARCHAR, coalesce(low, u.id::VARCHAR)) AS cluster FROM u LEFT JOIN c USING (owner, id)""",
-    "greedy_selection": f"""{_ALL}, ca AS (SELECT j.id, row_number() OVER (ORDER BY score DESC, j.id) AS k, (SELECT list(path) FROM f WHERE f.cand = j.id) AS files FROM j WHERE eligible), st AS (SELECT 0 AS k, []::BIGINT[] AS taken, 0 AS n, NULL::BIGINT AS id, false AS pick UNION ALL SELECT ca.k, CASE WHEN list_has_any(taken, files) THEN taken ELSE list_concat(taken, files) END, CASE WHEN list_has_any(taken, files) THEN n ELSE n + 1 END, ca.id, NOT list_has_any(taken, files) FROM st JOIN ca ON ca.k = st.k + 1) SELECT id, n::INT AS rank FROM st WHERE pick""",
-    "equivalence_groups": f"""{_ALL}, ca AS (SELECT j.id, score, row_number() OVER (ORDER BY j.id) AS k FROM j), fs AS (SELECT ca.k, path FROM f JOIN ca ON ca.id = f.cand), sz AS (SELECT k, count(*) AS n FROM fs GROUP BY 1), pa AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM fs a JOIN fs b ON a.path = b.path AND a.k < b.k GROUP BY 1, 2), si AS (SELECT a, b, c / (x.n + y.n - c) AS s FROM pa JOIN sz x ON x.k = a JOIN sz y ON y.k = b WHERE c / (x.n + y.n - c) >= 0.8),
-        nb AS (SELECT k, coalesce(list(b), []) AS l FROM ca LEFT JOIN si ON si.a = ca.k GROUP BY 1), tot AS (SELECT count(*) AS n FROM ca), st AS (SELECT 0 AS k, list_transform(range(1, n + 1), lambda x: 0) AS own FROM tot UNION ALL SELECT nb.k, CASE WHEN own[nb.k] <> 0 THEN own ELSE list_transform(own, lambda o, i: CASE WHEN o = 0 AND (i = nb.k OR list_contains(nb.l, i)) THEN nb.k ELSE o END) END FROM st JOIN nb ON nb.k = st.k + 1),
-        fin AS (SELECT unnest(own) AS seed, unnest(range(1, len(own) + 1)) AS k FROM st WHERE st.k = (SELECT n FROM tot)), g AS (SELECT x.id, y.id AS seed, x.score, fin.k, fin.seed AS sk FROM fin JOIN ca x ON x.k = fin.k JOIN ca y ON y.k = fin.seed) SELECT id, seed, first_value(id) OVER (PARTITION BY seed ORDER BY score DESC, id) AS representative, coalesce((SELECT s FROM si WHERE si.a = g.sk AND si.b = g.k), 1.0)::DOUBLE AS similarity FROM g""",
-    "plan_waves": f"""WITH RECURSIVE {_M}, {_OPS}, ad AS (SELECT DISTINCT plan_id, kind, path, key FROM op WHERE kind <> 'delete-tree'), hx AS (SELECT l.plan_id AS l, r.plan_id AS r, l.path, bool_and(l.kind = 'structured' AND r.kind = 'structured' AND l.key <> r.key) AS ok FROM ad l JOIN ad r ON l.plan_id < r.plan_id AND l.path = r.path GROUP BY 1, 2, 3), hd AS (SELECT DISTINCT l, r FROM hx WHERE NOT ok), pl AS (SELECT plan_id, row_number() OVER (ORDER BY plan_id % 7 DESC, plan_id) AS k FROM (SELECT DISTINCT plan_id FROM op)),
+    "greedy_selection": f"""{_ALL}, cp AS (SELECT cand, path::VARCHAR AS path FROM f UNION SELECT cand, 'test/' || path // 20 FROM f WHERE path % 10 = 3 UNION SELECT cand, 'asset/' || path // 20 FROM f WHERE path % 10 = 7), ca AS (SELECT j.id, row_number() OVER (ORDER BY score DESC, j.id) AS k, (SELECT list(path) FROM cp WHERE cp.cand = j.id) AS files FROM j WHERE eligible), st AS (SELECT 0 AS k, []::VARCHAR[] AS taken, 0 AS n, NULL::BIGINT AS id, false AS pick UNION ALL SELECT ca.k, CASE WHEN list_has_any(taken, files) THEN taken ELSE list_concat(taken, files) END, CASE WHEN list_has_any(taken, files) THEN n ELSE n + 1 END, ca.id, NOT list_has_any(taken, files) FROM st JOIN ca ON ca.k = st.k + 1) SELECT id, n::INT AS rank FROM st WHERE pick""",
+    "equivalence_groups": f"{_ALL}, {_EQ} SELECT * FROM eq",
+    "equivalence_summary": f"""{_ALL}, {_EQ}, gs AS (SELECT seed, any_value(representative) AS representative, 'eg-' || substr(sha256(string_agg(id::VARCHAR, chr(10) ORDER BY id::VARCHAR)), 1, 12) AS "group", count(*) AS candidates, min(similarity) AS similarity FROM eq GROUP BY seed), sh AS (SELECT seed, count(*) AS shared FROM (SELECT eq.seed, f.path, count(*) AS n FROM eq JOIN f ON f.cand = eq.id GROUP BY 1, 2) JOIN gs USING (seed) WHERE n = candidates GROUP BY seed)
+        SELECT "group", representative, candidates, coalesce(shared, 0) AS shared, similarity FROM gs LEFT JOIN sh USING (seed)""",
+    "plan_waves": f"""WITH RECURSIVE {_M}, {_OPS}, ad AS (SELECT DISTINCT plan_id, kind, path, key FROM op WHERE kind <> 'delete-tree'), hx AS (SELECT l.plan_id AS l, r.plan_id AS r, l.path, bool_and(l.kind = r.kind AND l.kind LIKE 'consumer-%' AND l.key <> r.key) AS ok FROM ad l JOIN ad r ON l.plan_id < r.plan_id AND l.path = r.path GROUP BY 1, 2, 3), hd AS (SELECT DISTINCT l, r FROM hx WHERE NOT ok), pl AS (SELECT plan_id, row_number() OVER (ORDER BY plan_id % 7 DESC, plan_id) AS k FROM (SELECT DISTINCT plan_id FROM op)),
         ed AS (SELECT x.k AS a, y.k AS b FROM hd JOIN pl x ON x.plan_id = hd.l JOIN pl y ON y.plan_id = hd.r UNION SELECT y.k, x.k FROM hd JOIN pl x ON x.plan_id = hd.l JOIN pl y ON y.plan_id = hd.r), nb AS (SELECT pl.k, plan_id, coalesce(list(b) FILTER (b IS NOT NULL), []) AS l FROM pl LEFT JOIN ed ON ed.a = pl.k AND ed.b < pl.k GROUP BY 1, 2),
         st AS (SELECT 0 AS k, []::BIGINT[] AS w UNION ALL SELECT nb.k, list_append(w, list_min(list_filter(range(0, len(nb.l) + 1), lambda x: NOT list_contains(list_transform(nb.l, lambda i: w[i]), x)))) FROM st JOIN nb ON nb.k = st.k + 1), fin AS (SELECT w FROM st WHERE k = (SELECT max(k) FROM pl)) SELECT plan_id, (SELECT w[pl.k] FROM fin)::INT AS wave FROM pl""",
 }

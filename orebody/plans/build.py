@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .conflicts import STRUCTURED
+
 # The phases of a journal, the precedence of conflict categories, and the kinds that a consolidation does first.
 PHASES = ("move", "move-asset", "rewrite-path-reference", "rewrite-import", "rewrite-fs-reference", "write-file", "prune", "migrate-path-keys")
 CATEGORIES = (
@@ -50,10 +52,9 @@ def conflict_report(acc: DataFrame) -> DataFrame:
 
     Counted by path and by key, so a path that many plans touch costs its rows, not their pairs.
     """
-    structured = ("consumer-source", "consumer-manifest", "consumer-project-references", "workspace-registry", "task-registry", "lockfile-importer")
     per = acc.groupBy("path").agg(F.countDistinct("plan").alias("plans"), F.collect_set("role").alias("roles"), F.bool_and(F.size("keys") > 0).alias("keyed")).where("plans > 1")
     shared = acc.select("path", "plan", F.explode("keys").alias("key")).distinct().groupBy("path", "key").count().where("count > 1").select("path").distinct().withColumn("shared", F.lit(True))
-    merge = (F.size("roles") == 1) & F.get("roles", 0).isin(*structured) & F.col("keyed") & F.col("shared").isNull()
+    merge = (F.size("roles") == 1) & F.get("roles", 0).isin(*STRUCTURED) & F.col("keyed") & F.col("shared").isNull()
     return per.join(shared, "path", "left").select("path", "plans", category(F.col("roles")).alias("category"), F.when(merge, "mergeable").otherwise("exclusive").alias("disposition"))
 
 

@@ -213,14 +213,21 @@ def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
         F.count(F.lit(1)).alias("files"), F.sum("line_count").alias("line_count"), F.countDistinct("owner").alias("owners"), F.countDistinct("domain").alias("domains"),
         F.count_if("has_exports").alias("exporting"), every(97, "composition"), every(89, "protected"), F.min("domain").alias("first_domain"),
         every(71, "escapes"), every(83, "unresolved"), every(59, "stale_generated"), every(3, "declarations"), every(67, "uninstalled"), every(73, "unmovable"),
-        F.count_if(F.col("path") % 10 == 3).alias("tests"), F.count_if(F.col("path") % 10 == 7).alias("assets"), every(61, "warnings"), every(41, "adjacent"), every(37, "effectful"),
+        F.count_if(F.col("path") % 10 == 3).alias("tests"), F.count_if(F.col("path") % 10 == 7).alias("assets"), every(43, "rewrites"), every(79, "retained"), every(61, "warnings"), every(41, "adjacent"), every(37, "effectful"),
         F.count_if((F.col("path") % 53 == 0) & (F.col("fan_in") > 0)).alias("shims"), F.sum(F.when((F.col("path") % 53 == 0) & (F.col("fan_in") > 0), F.col("line_count")).otherwise(0)).alias("shim_lines"),
         F.count_if(F.col("fan_in") >= CONFIG.high_inbound).alias("high_inbound"), F.count_if(F.col("fan_out") >= CONFIG.high_fan_out).alias("high_fan_out"),
         (F.count(F.lit(1)) - F.countDistinct(F.col("path") % 500)).alias("collisions"),
     )
     seen = portfolio.consumers(files, e.withColumn("specifier", F.col("dst").cast("string"))).groupBy("cand").agg(F.count(F.lit(1)).alias("consumers"))
     dyn = e.where("dynamic").join(files.select("cand", F.col("path").alias("src")), "src").groupBy("cand").agg(F.count(F.lit(1)).alias("unsupported"))
-    facts = facts.join(seen, "cand", "left").join(dyn, "cand", "left").fillna(0, ["consumers", "unsupported"])
+    at = lambda side: comps.select(F.col("id").alias(side), F.col("comp").alias(f"c{side}"))
+    across = e.join(at("src"), "src").join(at("dst"), "dst").where("csrc <> cdst")
+    inbound = across.groupBy(F.col("cdst").alias("cand")).agg(F.countDistinct("src").alias("inbound"))
+    packages = across.join(nodes.where("zone = 'package'").select(F.col("path").alias("dst"), "owner"), "dst").groupBy(F.col("csrc").alias("cand")).agg(F.countDistinct("owner").alias("dependencies"))
+    tested = comps.groupBy(F.col("comp").alias("cand")).agg(F.count_if(F.col("id") % 10 == 3).alias("seed_tests"))
+    for more in (seen, dyn, inbound, packages, tested):
+        facts = facts.join(more, "cand", "left")
+    facts = facts.fillna(0, ["consumers", "unsupported", "inbound", "dependencies", "seed_tests"])
     return e, nodes, files, facts
 
 
@@ -228,9 +235,10 @@ CONFIG = Config(min_files=2, max_files=20, generic_segments=("brand-7", "brand-1
 
 
 def _judged(facts: DataFrame) -> DataFrame:
-    """Facts with codes, advice, status, cohesion, score, effort and risk."""
-    full = facts.withColumns({"inbound": F.col("consumers"), "dependencies": F.col("domains") - 1, "churn": F.col("consumers"), "segment": portfolio.suggested_name(F.col("first_domain"), F.col("cand").cast("string"))})
+    """Facts with codes, advice, status, cohesion, score, effort, risk, application and classification. A candidate is of its seed's application."""
+    full = facts.withColumns({"churn": F.col("inbound") + F.col("seed_tests"), "segment": portfolio.suggested_name(F.col("first_domain"), F.col("cand").cast("string"))})
     judged = portfolio.recommendation_reasons(portfolio.reasons(full, CONFIG), CONFIG).withColumns({"rejections": F.size("codes"), "reasons": F.size("advice")})
+    judged = judged.withColumns({"application": F.when(F.col("cand") % 2 == 0, "web").otherwise("api"), "classification": portfolio.classification(F.col("retained"), F.col("domains"), F.col("first_domain"), "root", False)})
     return judged.withColumns({"score": portfolio.score(Weights()), "review_units": portfolio.review_units(), "risk": portfolio.risk(), "eligible": F.size("codes") == 0, "id": F.col("cand")})
 
 
@@ -243,7 +251,7 @@ def candidate_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = _judged(_candidates(spark, sf_dir)[3])
     name = portfolio.suggested_name(F.col("first_domain"), F.col("cand").cast("string"), "@engine")
-    return j.select("id", F.array_join("codes", ",").alias("codes"), "eligible", "score", F.col("review_units").cast("long").alias("review_units"), F.round(F.col("line_count") / F.col("review_units"), 6).alias("lines_per_unit"), name.alias("package"), "status", "cohesion", "risk", F.array_join("advice", ",").alias("advice"))
+    return j.select("id", F.array_join("codes", ",").alias("codes"), "eligible", F.round("score", 6).alias("score"), "classification", F.col("review_units").cast("long").alias("review_units"), F.round(F.col("line_count") / F.col("review_units"), 6).alias("lines_per_unit"), name.alias("package"), "status", "cohesion", "risk", F.array_join("advice", ",").alias("advice"))
 
 
 @query
@@ -296,31 +304,48 @@ def jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portfolio.equal_sets(_supplier_sets(spark, sf_dir))[0]
 
 
+def _grouped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(edges, nodes, files, judged candidates, their groups)."""
+    e, nodes, files, facts = _candidates(spark, sf_dir)
+    judged = cut(_judged(facts))
+    kinds = judged.select("id", "score", F.concat_ws("|", "application", "eligible", "classification", "status").alias("kind"))
+    return e, nodes, files, judged, cut(portfolio.equivalence_groups(kinds, files, CONFIG.similarity))
+
+
 @query
 def equivalence_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, files, facts = _candidates(spark, sf_dir)
-    classes, sets = portfolio.equal_sets(files.select(F.col("cand").alias("id"), F.col("path").alias("item")))
-    return portfolio.equivalence_groups(_judged(facts).select("id", "score"), classes, portfolio.jaccard_pairs(cut(sets), 0.8))
+    return _grouped(spark, sf_dir)[4]
+
+
+@query
+def equivalence_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, files, _, groups = _grouped(spark, sf_dir)
+    return portfolio.group_summary(groups, files)
 
 
 @query
 def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return portfolio.ranked(_judged(_candidates(spark, sf_dir)[3]).where("eligible and status = 'recommended'"), "campaign", 1).select("id", "score")
+    return portfolio.ranked(_judged(_candidates(spark, sf_dir)[3]).where("eligible and status = 'recommended'"), "campaign", 1).select("id", F.round("score", 6).alias("score"))
 
 
 @query
 def greedy_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eligible candidates that share no file, test or asset; a file's tests and assets are named by its key."""
     _, _, files, facts = _candidates(spark, sf_dir)
-    # An eligible candidate has at most CONFIG.max_files files, so no list is longer.
-    some = _judged(facts).where("eligible").select("id", "score")
-    claims = files.join(some.select(F.col("id").alias("cand")), "cand", "left_semi").groupBy(F.col("cand").alias("id")).agg(F.collect_list("path").alias("files"))
-    return portfolio.greedy_selection(some.join(claims, "id"))
+    some = cut(_judged(facts).where("eligible").select("id", "score"))
+    own = files.join(some.select(F.col("id").alias("cand")), "cand", "left_semi")
+    named = lambda rule, kind, by: own.where(rule).select(F.col("cand").alias("id"), F.concat(F.lit(kind), by).alias("path"))
+    claims = own.select(F.col("cand").alias("id"), F.col("path").cast("string").alias("path"))
+    claims = claims.union(named("path % 10 = 3", "test/", F.floor(F.col("path") / 20))).union(named("path % 10 = 7", "asset/", F.floor(F.col("path") / 20)))
+    return portfolio.greedy_selection(some, claims)
 
 
 @query
 def hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, nodes, files, facts = _candidates(spark, sf_dir)
-    return portfolio.hotspots(files, facts.select("cand", "line_count", (F.col("files") > 20).alias("discouraged")), e, nodes)
+    e, nodes, files, judged, groups = _grouped(spark, sf_dir)
+    some = judged.join(groups.select(F.col("representative").alias("id")).distinct(), "id", "left_semi").select("cand", "line_count", "domains", "status")
+    h = portfolio.hotspots(files, some, e, nodes)
+    return h.withColumn("candidates", F.array_join("candidates", ","))
 
 
 @query
@@ -511,9 +536,10 @@ def _operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("plan_id"))
     l = table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))  # noqa: E741
     p = modules(spark, sf_dir).select(F.col("path").alias("l_partkey"), "file")
-    kind = F.when(F.col("l_returnflag") == "A", "structured").when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F") & (F.col("l_quantity") > 49), "delete-tree").otherwise("write")
+    edit = F.when(F.col("l_linenumber") % 2 == 0, "consumer-manifest").otherwise("consumer-source")
+    kind = F.when(F.col("l_returnflag") == "A", edit).when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F") & (F.col("l_quantity") > 49), "delete-tree").otherwise("write")
     path = F.when(kind == "delete-tree", F.col("file")).otherwise(F.concat_ws("/", "file", "l_suppkey"))
-    keys = F.when(kind == "structured", F.array((F.col("l_linenumber") % 3).cast("string"))).otherwise(F.array().cast("array<string>"))
+    keys = F.when(F.col("l_returnflag") == "A", F.array((F.col("l_linenumber") % 3).cast("string"))).otherwise(F.array().cast("array<string>"))
     return l.join(p, "l_partkey").select("plan_id", kind.alias("kind"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("target"), path.alias("path"), keys.alias("keys"), F.col("l_linenumber").alias("idx"))
 
 
@@ -531,7 +557,7 @@ def plan_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def operation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return journal.operation_counts(_operations(spark, sf_dir), ("move", "write", "rewrite", "delete", "delete-tree", "structured", "generate"))
+    return journal.operation_counts(_operations(spark, sf_dir), ("move", "write", "rewrite", "delete", "delete-tree", "consumer-source", "consumer-manifest", "generate"))
 
 
 @query
@@ -729,7 +755,7 @@ def promotion_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def connectivity_backbone(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = condensed_view(spark, sf_dir)
-    return evacuation.spanning_forest(spark, v.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("n").alias("weight")))
+    return evacuation.spanning_forest(v.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("n").alias("weight")))
 
 
 @query

@@ -6,9 +6,9 @@ import random
 
 import pytest
 
-from orebody.config import Application, Config
+from orebody.config import Application, Config, Weights
 from orebody.functions import paths
-from orebody.operators import portfolio, windows
+from orebody.operators import evacuation, portfolio, windows
 from orebody.plans import conflicts, journal
 from orebody.sources import scan
 
@@ -84,15 +84,127 @@ def test_conflict_shapes(spark):
         ("a", "write", None, None, "x/f", []), ("b", "write", None, None, "x/f", []),
         ("c", "delete-tree", None, None, "y", []), ("d", "write", None, None, "y/z/f", []), ("e", "delete-tree", None, None, "y/z", []),
         ("f", "read", None, None, "r", []), ("g", "read", None, None, "r", []),
-        ("h", "structured", None, None, "s", ["1"]), ("i", "structured", None, None, "s", ["2"]), ("j", "structured", None, None, "s", ["2", "3"]),
+        ("h", "task-registry", None, None, "s", ["1"]), ("i", "task-registry", None, None, "s", ["2"]), ("j", "task-registry", None, None, "s", ["2", "3"]), ("k", "workspace-registry", None, None, "s", ["9"]),
     ])
     got = {tuple(r) for r in conflicts.conflicts(conflicts.accesses(o)).collect()}
-    assert got == {("a", "b", "x/f", False), ("c", "d", "y/z/f", False), ("c", "e", "y/z", False), ("d", "e", "y/z/f", False), ("h", "i", "s", True), ("h", "j", "s", True), ("i", "j", "s", False)}
+    assert got == {("a", "b", "x/f", False), ("c", "d", "y/z/f", False), ("c", "e", "y/z", False), ("d", "e", "y/z/f", False), ("h", "i", "s", True), ("h", "j", "s", True), ("i", "j", "s", False), ("h", "k", "s", False), ("i", "k", "s", False), ("j", "k", "s", False)}
     plans = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 0.0)], "plan_id string, priority double")
     hard = spark.createDataFrame([("a", "b")], "l string, r string")
     assert {tuple(r) for r in conflicts.waves(plans, hard).collect()} == {("b", 0), ("a", 1), ("c", 0)}
 
 
+def test_waves_in_both_forms_equal_a_fold(spark):
+    rng = random.Random(3)
+    for n, m in ((1, 0), (30, 40), (25, 200)):
+        plans = [(f"p{i}", float(rng.randrange(4))) for i in range(n)]
+        hard = [tuple(rng.sample(plans, 2)) for _ in range(m)]
+        hard = [(a[0], b[0]) for a, b in hard]
+        near = {}
+        for a, b in hard:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+        want = {}
+        for p, _ in sorted(plans, key=lambda x: (-x[1], x[0])):
+            used = {want[x] for x in near.get(p, ()) if x in want}
+            want[p] = min(set(range(n + 1)) - used)
+        frame, links = spark.createDataFrame(plans, "plan_id string, priority double"), spark.createDataFrame(hard, "l string, r string")
+        for limit in (1_000_000, 0 if m else 1):
+            assert dict(map(tuple, conflicts.waves(frame, links, limit).collect())) == want
+
+
+def test_score_terms(spark):
+    none = {"line_count": 0, "shim_lines": 0, "files": 0, "churn": 0, "tests": 0, "dependencies": 0, "rejections": 0, "rewrites": 0, "domains": 1, "retained": 0}
+    cases = [({}, 0), ({"line_count": 120, "shim_lines": 20}, 100), ({"files": 3}, 15), ({"churn": 4}, 40), ({"files": 4, "tests": 1}, 20 + 12.5), ({"files": 2, "tests": 5}, 10 + 50), ({"tests": 2}, 50), ({"dependencies": 2}, -24), ({"rejections": 2}, -2000), ({"rewrites": 3}, -300), ({"domains": 2}, -800), ({"domains": 3}, -800), ({"retained": 2}, -500)]
+    rows = [tuple((none | c).values()) + (float(want),) for c, want in cases]
+    got = spark.createDataFrame(rows, ", ".join(f"{k} long" for k in none) + ", want double").select(portfolio.score(Weights()).alias("got"), "want").collect()
+    assert all(r.got == r.want for r in got)
+
+
+def test_equivalence_groups_equal_a_fold(spark):
+    rng = random.Random(7)
+    for seed in range(3):
+        base = [rng.sample(range(30), 10) for _ in range(5)]
+        sets = {}
+        for i in range(40):
+            s = set(rng.choice(base))
+            for _ in range(rng.randrange(3)):
+                s.symmetric_difference_update({rng.randrange(30)})
+            sets[i] = s
+        kinds, scores = {i: rng.choice("xy") for i in sets}, {i: float(rng.randrange(5)) for i in sets}
+        alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+        free, want, summary = sorted(sets), set(), set()
+        while free:
+            seed = free[0]
+            members = [x for x in free if x == seed or kinds[x] == kinds[seed] and alike(x, seed) >= 0.8]
+            free = [x for x in free if x not in members]
+            best = min(members, key=lambda x: (-scores[x], x))
+            want |= {(x, seed, best, round(alike(x, seed), 9)) for x in members}
+            name = "eg-" + sha("\n".join(sorted(map(str, members))))[:12]
+            summary.add((name, best, len(members), len(set.intersection(*[sets[x] for x in members])), round(min(alike(x, seed) for x in members), 9)))
+        c = spark.createDataFrame([(i, scores[i], kinds[i]) for i in sets], "id long, score double, kind string")
+        f = spark.createDataFrame([(i, p) for i, s in sets.items() for p in s], "cand long, path long")
+        g = portfolio.equivalence_groups(c, f, 0.8)
+        assert {(r[0], r[1], r[2], round(r[3], 9)) for r in g.collect()} == want
+        assert {(r[0], r[1], r[2], r[3], round(r[4], 9)) for r in portfolio.group_summary(g, f).collect()} == summary
+
+
+def test_first_independent_on_a_chain_and_random_graphs(spark):
+    rng = random.Random(2)
+    for links in ([(i, i + 1) for i in range(12)], [tuple(sorted(rng.sample(range(20), 2))) for _ in range(30)], []):
+        kept = []
+        for x in range(20):
+            if not any((k, x) in set(links) for k in kept):
+                kept.append(x)
+        got = portfolio.first_independent(spark.range(20).select("id"), spark.createDataFrame(links, "lo long, hi long"))
+        assert sorted(r.id for r in got.collect()) == kept
+
+
+def test_greedy_selection_equals_a_fold(spark):
+    rng = random.Random(4)
+    rows = [(i, float(rng.randrange(6))) for i in range(40)]
+    claims = [(i, f"f{rng.randrange(45)}") for i in range(38) for _ in range(rng.randint(1, 3))]
+    taken, want = set(), {}
+    for i, _ in sorted(rows, key=lambda r: (-r[1], r[0])):
+        mine = {p for c, p in claims if c == i}
+        if not mine & taken:
+            taken |= mine
+            want[i] = len(want) + 1
+    got = portfolio.greedy_selection(spark.createDataFrame(rows, "id long, score double"), spark.createDataFrame(claims, "id long, path string"))
+    assert dict(map(tuple, got.collect())) == want
+
+
+def test_hotspots_by_hand(spark):
+    files = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, "lib")], "cand long, path string")
+    cands = spark.createDataFrame([(1, 40, 2, "discouraged"), (2, 90, 1, "recommended"), (3, 5, 3, "discouraged")], "cand long, line_count long, domains long, status string")
+    links = spark.createDataFrame([("x", "a"), ("y", "a"), ("a", "b"), ("a", "b")] + [(f"u{i}", "b") for i in range(8)], "src string, dst string")
+    nodes = spark.createDataFrame([("a", "application", "web", 7), ("b", "application", "web", 9), ("lib", "package", None, 1), ("c", "application", "web", 3)], "path string, zone string, application string, line_count long")
+    got = {r.path: r for r in portfolio.hotspots(files, cands, links, nodes).collect()}
+    assert set(got) == {"a", "b"}
+    a, b = got["a"], got["b"]
+    assert (a.inbound, a.fan_out, a.closures, a.largest_lines, a.cross_domain, a.discouraged, a.candidates, a.action) == (2, 1, 2, 90, 1, 1, [1, 2], "declare-boundary")
+    assert a.pressure == 90 + 200 + 50 + 250 + 100 and b.pressure == 40 + 900 + 250 + 100 and b.action == "split-capabilities"
+
+
+def test_spanning_forest_equals_sorted_edges(spark):
+    rng = random.Random(9)
+    for n, m in ((12, 40), (40, 60), (3, 0)):
+        links = [(f"n{min(a, b):02}", f"n{max(a, b):02}", rng.randrange(4)) for a, b in (rng.sample(range(n), 2) for _ in range(m))]
+        root = {}
+
+        def find(x, root=root):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        want = set()
+        for a, b, w in sorted(set(links), key=lambda r: (-r[2], r[0], r[1])):
+            if find(a) != find(b):
+                root[find(a)] = find(b)
+                want.add((a, b, w))
+        got = evacuation.spanning_forest(spark.createDataFrame(links, "a string, b string, weight long"))
+        assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+
+
 JOURNAL = "idx long, kind string, path string, target string, content string, pre_hash string, result_hash string"
 
 
@@ -240,16 +352,11 @@ def test_marginal_blockers(spark):
     assert got == {("e", "x"): (4, 2, 70), ("e", "z"): (1, 0, 0), ("f", "y"): (1, 0, 0)}
 
 
-def test_groups_and_selection_are_ordered_folds(spark):
-    c = spark.createDataFrame([("a", 1.0), ("b", 5.0), ("c", 9.0)], "id string, score double")
-    p = spark.createDataFrame([("a", "b", 0.9), ("b", "c", 0.9)], "a string, b string, similarity double")
-    alone = spark.createDataFrame([(x, x) for x in "abc"], "id string, same string")
-    assert {tuple(r)[:3] for r in portfolio.equivalence_groups(c, alone, p).collect()} == {("a", "a", "b"), ("b", "a", "b"), ("c", "c", "c")}
-    # b and c have one set: what is near to it is near to both.
-    both = spark.createDataFrame([("a", "a"), ("b", "b"), ("c", "b")], "id string, same string")
-    assert {tuple(r) for r in portfolio.equivalence_groups(c, both, p.where("a = 'a'")).collect()} == {("a", "a", "c", 1.0), ("b", "a", "c", 0.9), ("c", "a", "c", 0.9)}
-    claims = spark.createDataFrame([("a", 1.0, [1, 2]), ("b", 5.0, [2, 3]), ("c", 5.0, [3])], "id string, score double, files array<long>")
-    assert {tuple(r) for r in portfolio.greedy_selection(claims).collect()} == {("b", 1)}
+def test_groups_take_in_order_and_by_kind(spark):
+    c = spark.createDataFrame([("a", 1.0, "x"), ("b", 5.0, "x"), ("c", 9.0, "x"), ("d", 9.0, "y")], "id string, score double, kind string")
+    sets = {"a": range(1, 10), "b": range(10), "c": range(-1, 10), "d": range(10)}
+    f = spark.createDataFrame([(k, p) for k, v in sets.items() for p in v], "cand string, path long")
+    assert {tuple(r)[:3] for r in portfolio.equivalence_groups(c, f, 0.9).collect()} == {("a", "a", "b"), ("b", "a", "b"), ("c", "c", "c"), ("d", "d", "d")}
 
 
 def test_percentile_of_few_and_ties(spark):
@@ -357,7 +464,7 @@ def test_moves(spark):
         with pytest.raises(ValueError):
             evacuation.select_files(nodes, bad)
     w = spark.createDataFrame([("a", "b", 1), ("b", "c", 5), ("a", "c", 3)], "a string, b string, weight long")
-    assert {tuple(r) for r in evacuation.spanning_forest(spark, w).collect()} == {("b", "c", 5), ("a", "c", 3)}
+    assert {tuple(r) for r in evacuation.spanning_forest(w).collect()} == {("b", "c", 5), ("a", "c", 3)}
     uses = spark.createDataFrame([("o", m, f) for m, f in (("m1", "f1"), ("m2", "f1"), ("m2", "f2"), ("m3", "f2"), ("m4", "f3"))] + [("o", m, "all") for m in ("m1", "m2", "m3", "m4")], "owner string, id string, field string")
     assert {(r.id, r.cluster) for r in evacuation.cohesion_clusters(uses).collect()} == {("m1", "m1"), ("m2", "m1"), ("m3", "m1"), ("m4", "m4")}
 
