@@ -23,6 +23,10 @@ _TC = f"WITH RECURSIVE {_e(45)}, {_M}, tc AS (SELECT path AS id FROM m WHERE pat
 _SR = "sr AS (SELECT e.src, e.dst, CASE WHEN e.dst % 7 = 0 THEN (CASE WHEN e.src % 2 = 0 THEN NULL ELSE 'import x from \"@engine/' || lower(m.owner) || '''s\"; // ./' || e.dst END) ELSE 'import x from ' || q || '@engine/' || lower(m.owner) || q || '; // ./' || e.dst END AS rewritten FROM (SELECT *, CASE WHEN src % 2 = 0 THEN '''' ELSE '\"' END AS q FROM e) e JOIN m ON m.path = e.dst)"
 _DOM = "SELECT m.path, m.domain AS d, m.owner AS o, m.owner || '/' || m.domain AS od FROM m"
 
+_PREP = f"""WITH RECURSIVE {_e(45)}, bad AS (SELECT src AS id, src, dst FROM e WHERE NOT type_only), st AS (SELECT p_partkey // 2 AS key, p_partkey AS id FROM part),
+    r AS (SELECT key, id, 0 AS depth FROM st UNION SELECT r.key, e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.id AND e.type_only WHERE r.depth < 60 AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.id = r.id)),
+    rf AS (SELECT r.key, bad.src, bad.dst FROM r JOIN bad USING (id) QUALIFY row_number() OVER (PARTITION BY r.key ORDER BY r.depth, bad.src, bad.dst) = 1)"""
+
 ORACLE: dict[str, str] = {
     "path_rewrites": f"WITH {_PR} SELECT * FROM pr",
     "path_reference_warnings": rf"""WITH {_PR}, g AS (SELECT string_split(string_split(donor, '/')[1], '.')[-1] AS "group", file, donor FROM pr) SELECT "group", count(*) AS n, count(DISTINCT file) AS files, arg_min(file || ':' || donor, (file, donor)) AS first FROM g GROUP BY 1""",
@@ -98,11 +102,15 @@ ORACLE: dict[str, str] = {
     "test_closure": f"{_TC} SELECT * FROM th",
     "test_package": f"{_TC} SELECT 'tests' AS plan, row_number() OVER (ORDER BY file) - 1 AS idx, 'move' AS kind, file AS path, 'tests/' || file AS target FROM th JOIN m ON m.path = th.id WHERE NOT held",
     "preparation_impact": f"{_ALL}, k AS (SELECT unnest(codes) AS code FROM j), cg AS (SELECT code FROM k WHERE code IN ('composition-root', 'unsupported-module-reference')), nn AS (SELECT count(*) AS n FROM j WHERE len(codes) > 0 AND len(list_filter(codes, lambda x: x NOT IN ('composition-root', 'unsupported-module-reference'))) = 0) SELECT code, count(*) AS n, 'gone' AS change FROM cg GROUP BY 1 UNION ALL SELECT NULL, n, 'come' FROM nn WHERE n > 0",
-    "preparation_plan": f"WITH {_e(45)} SELECT src AS id, count(*) AS types, count(*) FILTER (dst IN (SELECT src FROM e WHERE NOT type_only)) AS refused FROM e WHERE type_only GROUP BY 1",
+    "preparation_plan": f"{_PREP} SELECT DISTINCT key, id FROM r WHERE key NOT IN (SELECT key FROM rf)",
+    "preparation_refusals": f"{_PREP} SELECT * FROM rf",
     "declaration_selection": "WITH a AS (SELECT DISTINCT p_brand AS file, p_name AS name FROM part), h AS (SELECT p_brand AS file, p_name AS name, count(*) AS n, bool_or(p_retailprice >= 1000) AS x FROM part WHERE p_size < 20 GROUP BY 1, 2) SELECT file, name, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' WHEN NOT x THEN 'not-exported' ELSE 'eligible' END AS verdict FROM a LEFT JOIN h USING (file, name)",
     "replayed_slices": "SELECT doc_id, substr(text, 1, 10) || chr(10) || substr(text, 21, 11) || chr(10) || substr(text, 41, 15) AS text FROM documents WHERE length(text) >= 60",
     "boundary_proofs": f"WITH {_e(45)}, {_M} SELECT e.src, b.owner AS b, CASE WHEN bool_and(type_only) THEN 'resolve' WHEN bool_and(b.zone = 'package') THEN 'existing-package' ELSE 'port' END AS boundary FROM e JOIN m a ON a.path = e.src JOIN m b ON b.path = e.dst WHERE a.owner <> b.owner GROUP BY 1, 2",
-    "value_splits": f"WITH {_L}, {_M} SELECT b.domain || '/' || b.owner AS \"group\", count(*) FILTER (l_returnflag <> 'A') AS values, count(*) FILTER (l_returnflag = 'A') AS types, count(*) FILTER (l_returnflag <> 'A') = 0 AS splits FROM l JOIN m a ON a.path = l_partkey JOIN m b ON b.path = nxt WHERE l_quantity >= 40 AND l_partkey <> nxt AND (a.domain <> b.domain OR a.owner <> b.owner) GROUP BY 1",
+    "value_splits": f"""WITH RECURSIVE {_e(1)}, d AS (SELECT p_brand AS file, p_partkey AS id, 'd' || p_partkey AS name, p_retailprice >= 1000 AND p_size % 5 <> 0 AS ok FROM part), i AS (SELECT e.src, e.dst FROM e JOIN d a ON a.id = e.src JOIN d b ON b.id = e.dst WHERE a.file = b.file),
+        r AS (SELECT id AS key, id FROM d WHERE ok AND id % 11 <> 0 UNION SELECT r.key, i.dst FROM r JOIN i ON i.src = r.id),
+        x AS (SELECT r.key, d.name FROM r JOIN i ON i.dst = r.id JOIN d ON d.id = i.dst WHERE NOT EXISTS (SELECT 1 FROM r q WHERE q.key = r.key AND q.id = i.src)), o AS (SELECT key, string_agg(DISTINCT name, ',' ORDER BY name) AS offenders FROM x GROUP BY 1), n AS (SELECT key, count(*) AS members FROM r GROUP BY 1)
+        SELECT d.id AS key, CASE WHEN d.id % 11 = 0 THEN 'unknown' WHEN NOT ok THEN 'not-exported-value' WHEN offenders IS NOT NULL THEN 'retained' ELSE 'splits' END AS verdict, coalesce(members, 0) AS members, coalesce(offenders, '') AS offenders FROM d LEFT JOIN n ON n.key = d.id LEFT JOIN o ON o.key = d.id""",
     "preparation_audit": f"WITH {_M}, j AS (SELECT path, path % 4 = 0 AS d, (path % 4 = 0 AND path % 20 <> 0) OR path % 50 = 1 AS l, path % 24 = 0 AND owner <> 'PROMO' AS o, path % 28 = 0 AS b FROM m) SELECT path, CASE WHEN NOT d THEN 'scope' WHEN NOT l THEN 'lost' WHEN o THEN 'owner' ELSE 'bytes' END AS fault FROM j WHERE (d OR l) AND (NOT d OR NOT l OR o OR b)",
     "ledger_source": "WITH c AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM (SELECT DISTINCT conv_id, turn FROM conversations)) SELECT conv_id AS campaign, count(*) AS entries, count(*) FILTER (turn % 5 = 0 OR turn <> b + 1) AS faults FROM c GROUP BY 1",
     "manifest_source": f"WITH {_P} SELECT plan, kind, count(*) AS n, count(target) AS targets FROM op GROUP BY 1, 2",

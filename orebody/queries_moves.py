@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import sinks
 from .bindings import edges, modules, table
 from .config import Application, Config
-from .operators import evacuation, graph, portfolio, references, rewrites, symbols, windows
+from .operators import closures, evacuation, graph, portfolio, references, rewrites, symbols, windows
 from .plans import audit, build, validation
 from .queries import CONFIG, _candidates, _judged, _references, _uses
 from .queries_plans import operations, role
@@ -594,15 +594,22 @@ def preparation_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Preparations
 
 
+def _preparations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs of neighbouring parts as preparations: members and refusals of their type-only closures."""
+    starts = modules(spark, sf_dir).select(F.floor(F.col("path") / 2).alias("key"), F.col("path").alias("id"))
+    return closures.type_only_closures(edges(spark, sf_dir, 45), starts)
+
+
 @query
 def preparation_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Type-only closures of parts: what each preparation takes along, or the value edge that refuses it."""
-    e = cut(edges(spark, sf_dir, 45))
-    t = cut(e.where("type_only").select("src", "dst"))
-    near = t.select(F.col("src").alias("id"), F.col("dst").alias("needs"))
-    value = e.where("not type_only").select(F.col("src").alias("needs"), F.lit(True).alias("value")).distinct()
-    j = near.join(value, "needs", "left")
-    return j.groupBy("id").agg(F.count(F.lit(1)).alias("types"), F.count("value").alias("refused"))
+    """What each preparation takes along."""
+    return _preparations(spark, sf_dir)[0]
+
+
+@query
+def preparation_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The value edge that refuses a preparation."""
+    return _preparations(spark, sf_dir)[1]
 
 
 @query
@@ -635,11 +642,13 @@ def boundary_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def value_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files split by values: a group can leave if nothing that stays refers to it by value."""
-    r = _references(spark, sf_dir)
-    of = modules(spark, sf_dir).select("path", F.concat_ws("/", "domain", "owner").alias("group"))
-    j = r.join(of.select(F.col("path").alias("src"), F.col("group").alias("a")), "src").join(of.select(F.col("path").alias("dst"), F.col("group").alias("b")), "dst").where("a <> b")
-    return j.groupBy(F.col("b").alias("group")).agg(F.count_if(F.expr("space = 'value'")).alias("values"), F.count_if(F.expr("space = 'type'")).alias("types")).select("group", "values", "types", (F.col("values") == 0).alias("splits"))
+    """Parts as declarations of their brand's file, each asked to leave it with all it needs; every eleventh is asked for in the next file."""
+    p = table(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias("id"), (F.col("p_retailprice") >= 1000).alias("exported"), "p_size")
+    name = F.concat(F.lit("d"), F.col("id"))
+    d = p.select(F.col("p_brand").alias("file"), "id", name.alias("name"), "exported", F.when(F.col("p_size") % 5 == 0, "type").when(F.col("p_size") % 5 == 1, "both").otherwise("value").alias("space"))
+    asked = d.select(F.col("id").alias("key"), F.when(F.col("id") % 11 == 0, "Brand#00").otherwise(F.col("file")).alias("file"), "name")
+    out = closures.value_splits(d, edges(spark, sf_dir, 1), asked)[0]
+    return out.withColumn("offenders", F.array_join("offenders", ","))
 
 
 @query
