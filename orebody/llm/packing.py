@@ -10,7 +10,7 @@ to be packed together in the same way, until one group is left; so no task ever
 open sequences, and no row but those passes a shuffle.
 
 Ids are made word by word: the tokenizer drops white space and no token crosses it, so a text's ids are
-those of its words in a row (words are cut at ASCII white space). A task keeps the ids of the words
+those of its words in a row (words are cut at ASCII white space). A worker keeps the ids of the words
 it has seen in a bounded memo.
 """
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,15 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
+from .sentpiece import groups
 
 SIZE = 2048
 END = 0
 #: Open sequences that a task hands on at most, and tasks whose open sequences are packed together.
 OPEN = 4096
 FAN = 16
-#: Pieces packed before closed sequences are handed out, and words whose ids a task keeps.
+#: Pieces packed before closed sequences are handed out, and words whose ids a worker keeps.
 BLOCK = 50_000
-MEMO = 400_000
+MEMO = 1_200_000
 
 
 def vocabulary(path: str | None = None) -> str:
@@ -48,26 +50,57 @@ def vocabulary(path: str | None = None) -> str:
         return f.read()
 
 
+_ENDS = b".,;:!?"
+_OPEN = b"<|"
+
+
 class _Words:
+    """Ids of words, kept from task to task of a worker.
+
+    The tokenizer lowers case and takes runs of letters, single digits and runs of the rest apart, so A-Z may be lowered
+    first, and marks behind an ASCII letter or digit make a run of their own. Words that could hold a special token stay as they are.
+    """
+
     def __init__(self, source: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memo = Tokenizer.from_str(source), {}
 
-    def ids(self, text: str) -> bytes:
-        """Little-endian uint32 ids."""
-        words = text.encode().split()
-        try:
-            return b"".join(map(self.memo.__getitem__, words))
-        except KeyError:
-            pass
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        new = [w for w in set(words) if w not in self.memo]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.memo[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.memo.__getitem__, words))
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian uint32 ids of each text; null has none."""
+        raw = [(t or "").encode() for t in texts]
+        split = [(x if _OPEN in x else x.lower()).split() for x in raw]
+        memo = self.memo
+        new = set().union(*split).difference(memo)
+        parts, plain = [], set()
+        for w in new:
+            base = w.rstrip(_ENDS)
+            if len(base) < len(w) and base[-1:].isalnum() and _OPEN not in w:
+                parts.append((w, base, w[len(base) :]))
+                plain.update((base, w[len(base) :]))
+            else:
+                plain.add(w)
+        known = len(memo)
+        words = list(plain.difference(memo))
+        memo.update(zip(words, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)), strict=True))
+        memo.update([(w, memo[base] + memo[tail]) for w, base, tail in parts])
+        out = [b"".join([memo[w] for w in s]) for s in split]
+        if len(memo) > MEMO and known > MEMO // 2:  # full: the words that came first stay, rare ones are made again
+            for w in [*words, *(w for w, _, _ in parts)]:
+                memo.pop(w, None)
+        return out
+
+
+#: The tokenizers of a worker, by the digest of their file.
+_KNOWN: dict[int, _Words] = {}
+
+
+def _words(source: str) -> _Words:
+    key = zlib.crc32(source.encode())
+    if key not in _KNOWN:
+        _KNOWN[key] = _Words(source)
+    return _KNOWN[key]
 
 
 def pieces(docs: DataFrame, text: str = "text", size: int = SIZE, path: str | None = None, keep_ids: bool = False) -> DataFrame:
@@ -81,23 +114,21 @@ def pieces(docs: DataFrame, text: str = "text", size: int = SIZE, path: str | No
     schema = rows.select("doc_id", *[F.lit(None).cast(t).alias(c) for c, (t, _) in new.items()]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = _Words(source.value), np.array([END], "<u4").tobytes()
+        words, end = _words(source.value), np.array([END], "<u4").tobytes()
         for batch in batches:
-            row, at = 0, 0
-            while row < batch.num_rows:
+            row = 0
+            for some in groups(batch.column(1).to_pylist(), 1 << 22):
                 out: list[tuple] = []
-                which, held = [], 0
-                while row < batch.num_rows and held < 1 << 23:
-                    raw = words.ids(batch.column(1)[row].as_py() or "") + end
+                which = []
+                for raw in words.ids(some):
+                    raw += end
                     for k, a in enumerate(range(0, len(raw), 4 * size)):
                         part = raw[a : a + 4 * size]
                         out.append((k, k * size, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, "<i4")] if keep_ids else [])))
                         which.append(row)
-                    held += len(raw)
                     row += 1
                 arrays = [pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), new.values(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which)), *arrays], schema=pa.schema([batch.schema.field(0), *[pa.field(c, t) for c, (_, t) in new.items()]]))
-                at = row
 
     return rows.mapInArrow(run, schema)
 
