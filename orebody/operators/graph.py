@@ -245,7 +245,7 @@ def hubs(edges: DataFrame, threshold: int) -> DataFrame:
     return simple(edges).where("src <> dst").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("fan_in")).where(F.col("fan_in") >= threshold)
 
 
-def local_move(pairs: list[tuple], passes: int = 100) -> dict:
+def local_move(pairs: list[tuple], passes: int = 100, m: int | None = None) -> dict:
     """The local-move phase of modularity clustering on undirected pairs: node -> community (its least member).
 
     Nodes are visited in order. Each is taken out of its community and put at once into the
@@ -256,7 +256,7 @@ def local_move(pairs: list[tuple], passes: int = 100) -> dict:
     for a, b in pairs:
         near.setdefault(a, set()).add(b)
         near.setdefault(b, set()).add(a)
-    m = len(pairs)
+    m = m or len(pairs)
     label = {v: v for v in near}
     total = {v: len(x) for v, x in near.items()}
     for _ in range(passes):
@@ -287,7 +287,9 @@ def local_move(pairs: list[tuple], passes: int = 100) -> dict:
 def communities(edges: DataFrame, by: DataFrame, threshold: int = 12) -> DataFrame:
     """(app, id, community): modularity clusters inside each app, without the edges of hubs. by: (id, app).
 
-    The moves of one app depend on each other in order, so an app is one task; apps run side by side.
+    A move hangs on a node's neighbours and their communities, which lie in its connected
+    component, and on the app only by its number of pairs; so components are treated side by side,
+    each with that number, and give what the whole app would. One component's moves are in order, so it is one task.
     """
     kind = edges.schema["src"].dataType.simpleString()
     a, b = by.select(F.col("id").alias("src"), "app"), by.select(F.col("id").alias("dst"), F.col("app").alias("app2"))
@@ -296,8 +298,14 @@ def communities(edges: DataFrame, by: DataFrame, threshold: int = 12) -> DataFra
     kept = inner.join(heavy.select("app", F.col("hub").alias("src")), ["app", "src"], "left_anti").join(heavy.select("app", F.col("hub").alias("dst")), ["app", "dst"], "left_anti")
     pairs = kept.select("app", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
 
+    pairs = cut(pairs)
+    ways = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    comps = strong_components(ways.union(ways.select("dst", "src")))
+    sizes = pairs.groupBy("app").agg(F.count(F.lit(1)).alias("m"))
+    parts = pairs.join(comps.select(F.col("id").alias("a"), "comp"), "a").join(sizes, "app")
+
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        label = local_move(sorted(zip(frame["a"], frame["b"], strict=True)))
+        label = local_move(sorted(zip(frame["a"], frame["b"], strict=True)), m=int(frame["m"].iloc[0]))
         return pd.DataFrame({"app": frame["app"].iloc[0], "id": list(label), "community": list(label.values())})
 
-    return pairs.groupBy("app").applyInPandas(run, f"app string, id {kind}, community {kind}")
+    return parts.groupBy("app", "comp").applyInPandas(run, f"app string, id {kind}, community {kind}")

@@ -39,6 +39,18 @@ ORACLE: dict[str, str] = {
     "graph_edges": f"WITH {_e()} SELECT *, CASE WHEN dynamic THEN 'dynamic' WHEN type_only THEN 'type-only' ELSE 'static' END AS kind FROM e",
     "module_nodes": f"WITH {_M} SELECT * FROM m",
     "condensation_edges": f"{_G} SELECT src, dst FROM ce",
+    "communities": f"""WITH RECURSIVE {_e(48)}, {_M}, en AS (SELECT e.src, e.dst, a.application AS app FROM e JOIN m a ON a.path = e.src JOIN m b ON b.path = e.dst WHERE a.application = b.application), hub AS (SELECT app, dst FROM en GROUP BY 1, 2 HAVING count(*) >= 12),
+        pr AS (SELECT DISTINCT app, least(src, dst) AS a, greatest(src, dst) AS b FROM en WHERE (app, src) NOT IN (SELECT (app, dst) FROM hub) AND (app, dst) NOT IN (SELECT (app, dst) FROM hub)), sz AS (SELECT app, count(*) AS m FROM pr GROUP BY 1),
+        bo AS (SELECT app, a AS v, b AS w FROM pr UNION ALL SELECT app, b, a FROM pr), no AS (SELECT app, v, row_number() OVER (PARTITION BY app ORDER BY v) AS k FROM (SELECT DISTINCT app, v FROM bo)),
+        nb AS (SELECT x.app, x.k, list(y.k ORDER BY y.k) AS l FROM bo JOIN no x ON x.app = bo.app AND x.v = bo.v JOIN no y ON y.app = bo.app AND y.v = bo.w GROUP BY 1, 2), al AS (SELECT app, list(l ORDER BY k) AS near, count(*) AS n, list(len(l) ORDER BY k) AS deg FROM nb GROUP BY 1),
+        st AS (SELECT al.app, 0::BIGINT AS i, range(1, n + 1) AS label, deg AS total, false AS moved, false AS stop FROM al UNION ALL
+            SELECT app, i + 1, list_transform(label, lambda x, j: CASE WHEN j = v THEN pick ELSE x END), list_transform(total, lambda x, j: x - (CASE WHEN j = own THEN d ELSE 0 END) + (CASE WHEN j = pick THEN d ELSE 0 END)), CASE WHEN v = 1 THEN pick <> own ELSE moved OR pick <> own END, v = n AND NOT (moved OR pick <> own)
+            FROM (SELECT *, CASE WHEN len(gains) > 0 AND list_max(gains) > 0 THEN cand[list_position(gains, list_max(gains))] ELSE own END AS pick FROM
+                (SELECT *, list_transform(cand, lambda c: len(list_filter(near[v], lambda w: label[w] = c))::DOUBLE / m - ((total[c] - (CASE WHEN c = own THEN d ELSE 0 END)) * d)::DOUBLE / (2 * m * m)) AS gains FROM
+                    (SELECT *, list_sort(list_distinct(list_transform(near[v], lambda w: label[w]))) AS cand FROM
+                        (SELECT st.*, al.near, al.n, sz.m, st.i % al.n + 1 AS v, st.label[st.i % al.n + 1] AS own, al.deg[st.i % al.n + 1] AS d FROM st JOIN al USING (app) JOIN sz USING (app) WHERE NOT st.stop AND st.i < 100 * al.n))))),
+        fin AS (SELECT app, unnest(label) AS c, unnest(range(1, len(label) + 1)) AS k FROM st QUALIFY i = max(i) OVER (PARTITION BY app))
+        SELECT fin.app, no.v AS id, min(no.v) OVER (PARTITION BY fin.app, fin.c) AS community FROM fin JOIN no ON no.app = fin.app AND no.k = fin.k""",
     "component_ids": f"WITH RECURSIVE {_e(48)}, {_C} SELECT comp, count(*) AS size, sha256(string_agg(printf('%09d', id), chr(10) ORDER BY id)) AS stable_id FROM c GROUP BY 1",
     "closure_sizes": f"{_G} SELECT src, count(*) AS reached FROM r WHERE src <> dst GROUP BY 1",
     "component_report": f"""{_GM}, x AS (SELECT a.comp a, b.comp b, e.* FROM e JOIN c a ON a.id = e.src JOIN c b ON b.id = e.dst)
