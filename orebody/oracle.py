@@ -25,6 +25,10 @@ _EQ = """ca AS (SELECT j.id, score, concat_ws('|', application, eligible, classi
 _HOT = """rp AS (SELECT * FROM j WHERE id IN (SELECT representative FROM eq)), hp AS (SELECT f.path, count(*) AS closures, max(rp.line_count) AS largest_lines, count(*) FILTER (rp.domains > 1) AS cross_domain, count(*) FILTER (rp.status = 'discouraged') AS discouraged, string_agg(rp.id, ',' ORDER BY rp.id) AS candidates FROM f JOIN rp ON rp.id = f.cand GROUP BY 1),
         hq AS (SELECT hp.*, gm.application, gm.line_count, (SELECT count(*) FROM e WHERE dst = hp.path) AS inbound, (SELECT count(*) FROM e WHERE src = hp.path) AS fan_out FROM hp JOIN gm ON gm.path = hp.path AND gm.zone = 'application'),
         hot AS (SELECT *, largest_lines + 100 * inbound + 50 * fan_out + 250 * cross_domain + 100 * discouraged AS pressure, CASE WHEN inbound >= 8 THEN 'split-capabilities' WHEN fan_out >= 8 THEN 'extract-registry' WHEN cross_domain > 0 THEN 'declare-boundary' ELSE 'review-closure' END AS action FROM hq)"""
+_FM = """fl AS (SELECT l_orderkey AS path, count(*) AS functions, max(l_quantity::BIGINT) AS max_cognitive, avg(l_quantity::BIGINT) AS avg_cognitive, max(l_suppkey % 6) AS max_nest, max(floor(l_extendedprice / 1000)::BIGINT) AS max_loc, avg(l_linenumber) AS avg_cyclo, count(DISTINCT l_suppkey) AS fan_out, count(DISTINCT l_returnflag) AS responsibilities, count(*) FILTER (l_quantity > 20) AS ctor_params, count(DISTINCT l_partkey) + count(DISTINCT l_quantity) AS vocabulary, sum(l_linenumber)::BIGINT + 1 AS cyclomatic, sum(floor(l_extendedprice / 1000))::BIGINT AS lines FROM lineitem GROUP BY 1),
+    fc AS (SELECT o_orderkey AS path, CASE o_orderpriority WHEN '1-URGENT' THEN 'react-component' WHEN '2-HIGH' THEN 'react-hook' ELSE 'module' END AS archetype, coalesce(functions, 0) AS functions, coalesce(max_cognitive, 0) AS max_cognitive, coalesce(avg_cognitive, 0) AS avg_cognitive, coalesce(max_nest, 0) AS max_nest, coalesce(max_loc, 0) AS max_loc, coalesce(avg_cyclo, 0) AS avg_cyclo, coalesce(fan_out, 0) AS fan_out, coalesce(responsibilities, 0) AS responsibilities, coalesce(ctor_params, 0) AS ctor_params, coalesce(vocabulary, 0) AS vocabulary, coalesce(cyclomatic, 0) AS cyclomatic, coalesce(lines, 0) AS lines FROM orders LEFT JOIN fl ON fl.path = o_orderkey),
+    fx AS (SELECT *, CASE WHEN cyclomatic <= 0 OR ln(cyclomatic::DOUBLE) < 1 THEN 1::DOUBLE ELSE lines / ln(cyclomatic::DOUBLE) END AS factor FROM fc),
+    fm AS (SELECT *, round(2::DOUBLE * max_cognitive + 4::DOUBLE * avg_cognitive + 4::DOUBLE * max_nest + 2.5::DOUBLE * fan_out + 9::DOUBLE * greatest(0, responsibilities - 1) + 0.1::DOUBLE * max_loc, 6) AS structural, CASE WHEN factor <= 0 THEN 0::DOUBLE ELSE round(greatest(0::DOUBLE, 100 - (171 - 5.2::DOUBLE * ln(greatest(vocabulary, 1)::DOUBLE) - 0.23::DOUBLE * cyclomatic - 16.2::DOUBLE * ln(factor)) * 100 / 171), 6) END AS volume FROM fx)"""
 _OPS = "op AS (SELECT o_custkey AS plan_id, CASE WHEN l_returnflag = 'A' THEN CASE WHEN l_linenumber % 2 = 0 THEN 'consumer-manifest' ELSE 'consumer-source' END WHEN l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity > 49 THEN 'delete-tree' ELSE 'write' END AS kind, m.path AS part, CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity > 49 THEN m.file ELSE m.file || '/' || l_suppkey END AS path, CASE WHEN l_returnflag = 'A' THEN l_linenumber % 3 END AS key FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN m ON m.path = l_partkey)"
 _SETS = "cl AS (SELECT *, min(id) OVER (PARTITION BY s) AS same FROM (SELECT l_orderkey AS id, list_sort(list(DISTINCT l_suppkey)) AS s FROM lineitem GROUP BY 1))"
 _TREE = """steps(k, step, folder, more, gone) AS (VALUES (1, 0, NULL, '!', false), (1, 1, 'moved/', '', false), (2, 0, NULL, '!', false), (3, 0, NULL, '', true), (4, 0, 'moved/', '', false), (4, 1, NULL, '?', false), (4, 2, 'final/', '', false), (5, 0, 'moved/', '~', false), (6, 0, NULL, '', false), (6, 1, 'moved/', '', false)),
@@ -161,8 +165,12 @@ ORACLE: dict[str, str] = {
     "graph_digests": f"WITH {_e()}, {_M}, p AS (SELECT owner, src, string_agg(dst::VARCHAR, ';' ORDER BY dst) AS o FROM e JOIN m ON m.path = e.src GROUP BY 1, 2), b AS (SELECT owner, src // 1000 AS k, sha256(string_agg(src || ':' || o, chr(10) ORDER BY src)) AS h FROM p GROUP BY 1, 2) SELECT owner, sha256(string_agg(h, chr(10) ORDER BY k)) AS digest FROM b GROUP BY 1",
     "canonical_props": "SELECT event_id, '{\"a\":{\"k\":' || json_extract(props, '$.k')::VARCHAR || '},\"z\":[1,2]}' AS json FROM events",
     "spliced_texts": "SELECT doc_id, sha256('<a>' || substr(text, 2, 1) || '<b>' || substr(text, 4, 1) || substr(text, 6)) AS sha256 FROM documents WHERE length(text) >= 6",
-    "file_metrics": "SELECT path, functions, most, total, mean, round(ln(total + 1) * 10 + most, 6) AS score FROM (SELECT l_orderkey AS path, count(*) AS functions, max(l_quantity) AS most, sum(l_quantity) AS total, round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY 1)",
-    "levers": "WITH p AS (SELECT p_partkey AS id, p_type AS c, p_size AS a, floor(p_retailprice) AS b FROM part), q AS (SELECT id, count(*) OVER (PARTITION BY c) AS n, count(*) OVER () AS t, rank() OVER (PARTITION BY c ORDER BY a) - 1 + 0.5 * count(*) OVER (PARTITION BY c, a) AS xa, rank() OVER (PARTITION BY c ORDER BY b) - 1 + 0.5 * count(*) OVER (PARTITION BY c, b) AS xb, rank() OVER (ORDER BY a) - 1 + 0.5 * count(*) OVER (PARTITION BY a) AS ya, rank() OVER (ORDER BY b) - 1 + 0.5 * count(*) OVER (PARTITION BY b) AS yb FROM p), r AS (SELECT id, floor(CASE WHEN n < 8 THEN ya / t ELSE xa / n END * 100 + 0.5) AS a, floor(CASE WHEN n < 8 THEN yb / t ELSE xb / n END * 100 + 0.5) AS b FROM q) SELECT id, CASE WHEN greatest(a, b) < 75 THEN 'none' WHEN a >= b THEN 'size' ELSE 'price' END AS lever FROM r",
+    "file_metrics": f"WITH {_FM} SELECT path, functions, max_cognitive, max_nest, max_loc, fan_out, responsibilities, round(avg_cyclo, 6) AS avg_cyclo, structural, volume FROM fm",
+    "levers": f"""WITH {_FM}, lo AS (SELECT path, archetype, unnest([structural, responsibilities, max_cognitive, max_nest, fan_out]) AS v, unnest(range(0, 5)) AS k FROM fm),
+        pc AS (SELECT path, k, floor(CASE WHEN count(*) OVER own < 8 THEN (rank() OVER (PARTITION BY k ORDER BY v) - 1 + 0.5 * count(*) OVER (PARTITION BY k, v)) / count(*) OVER (PARTITION BY k) ELSE (rank() OVER (PARTITION BY k, archetype ORDER BY v) - 1 + 0.5 * count(*) OVER (PARTITION BY k, archetype, v)) / count(*) OVER own END * 100 + 0.5)::BIGINT AS p FROM lo WINDOW own AS (PARTITION BY k, archetype)),
+        w AS (SELECT path, max(p) FILTER (k = 0) AS p_structural, max(p) FILTER (k = 1) AS p_responsibilities, max(p) FILTER (k = 2) AS p_max_cognitive, max(p) FILTER (k = 3) AS p_max_nest, max(p) FILTER (k = 4) AS p_fan_out FROM pc GROUP BY 1), x AS (SELECT *, greatest(p_responsibilities, p_max_cognitive, p_max_nest, p_fan_out) AS hi FROM w JOIN fm USING (path)),
+        y AS (SELECT *, CASE hi WHEN p_responsibilities THEN 'responsibilities' WHEN p_max_cognitive THEN 'max_cognitive' WHEN p_max_nest THEN 'max_nest' ELSE 'fan_out' END AS driver FROM x)
+        SELECT path, CASE WHEN responsibilities >= 2 AND p_responsibilities > 60 THEN 'split-service' WHEN driver = 'max_cognitive' AND p_max_cognitive > 75 THEN 'extract-method' WHEN driver = 'max_nest' AND p_max_nest > 60 THEN 'flatten-nesting' WHEN driver = 'fan_out' AND p_fan_out > 60 THEN 'reduce-coupling' WHEN ctor_params > 5 THEN 'deps-bag' WHEN archetype = 'react-component' AND p_structural > 60 THEN 'decompose-component' WHEN archetype = 'react-hook' AND p_structural > 60 THEN 'extract-hook' ELSE 'none' END AS lever, driver, p_structural, p_responsibilities, p_max_cognitive, p_max_nest, p_fan_out FROM y""",
     "recipe_steps": f"WITH {_M} SELECT file AS path, CASE WHEN path % 7 = 0 THEN 'boundary' WHEN owner IN ('PROMO', 'SMALL') THEN 'promotion' ELSE 'unconfigured' END AS step, CASE WHEN path % 7 = 0 THEN path WHEN owner = 'PROMO' THEN 1 WHEN owner = 'SMALL' THEN 3 END AS id FROM m",
     "hotspot_actions": f"{_ALL}, {_EQ}, {_HOT} SELECT path, concat_ws(',', CASE WHEN inbound >= 2 THEN 'stabilise-inbound' END, CASE WHEN fan_out >= 2 THEN 'reduce-fan-out' END, CASE WHEN cross_domain > 0 THEN 'cut-cross-domain' END) AS actions FROM hot",
     "target_options": "WITH l AS (SELECT * FROM lineitem), h AS (SELECT s_suppkey AS package FROM supplier WHERE s_acctbal > 0), c AS (SELECT l_orderkey AS id, min(l_suppkey) + max(l_linenumber) AS suggested FROM l GROUP BY 1) SELECT id, suggested AS package, CASE WHEN suggested IN (SELECT package FROM h) THEN 'extend' ELSE 'create' END AS option, 'high' AS fit FROM c UNION ALL SELECT DISTINCT l_orderkey, l_suppkey, 'extend', 'medium' FROM l JOIN c ON c.id = l_orderkey WHERE l_suppkey IN (SELECT package FROM h) AND l_suppkey <> c.suggested",

@@ -11,10 +11,10 @@ _P = f"""{_M}, o0 AS (SELECT owner AS plan, path AS idx, CASE WHEN path % 8 < 2
     op AS (SELECT *, kind IN ('move', 'move-with-rewrite') AS mv, kind IN ('rewrite-import', 'rewrite-fs-reference', 'rewrite-path-reference') AS ed, CASE WHEN kind = 'delete-file' THEN CASE WHEN idx % 10 = 5 THEN own ELSE 'missing' END WHEN kind = 'move' THEN CASE WHEN idx % 13 = 0 THEN other ELSE own END WHEN idx % 17 = 0 THEN pre ELSE done END AS post FROM o0),
     dc AS (SELECT DISTINCT owner AS plan, 'src/' || lower(owner) || '/' || path % 150 AS file FROM m WHERE path % 6 <> 0),
     mvd AS (SELECT DISTINCT plan, unnest([source, target]) AS file FROM op WHERE mv)"""
-_OI = f"""oi AS (SELECT *, row_number() OVER (PARTITION BY plan, kind || ':' || CASE WHEN mv THEN source || ':' || target ELSE file END ORDER BY idx) AS nth, row_number() OVER (PARTITION BY plan, file ORDER BY idx) AS touched, count(*) OVER (PARTITION BY plan, mv, target) AS landed, (plan, file) IN (SELECT plan, file FROM mvd) AS hit, (plan, file) IN (SELECT plan, file FROM dc) AS con, (pre = 'missing' OR regexp_matches(pre, {_SHA})) AS pre_ok, regexp_matches(post, {_SHA}) AS post_ok FROM op),
+_OI = f"""oi AS (SELECT *, row_number() OVER (PARTITION BY plan, kind || ':' || CASE WHEN mv THEN source || ':' || target ELSE file END ORDER BY idx) AS nth, row_number() OVER (PARTITION BY plan, file ORDER BY idx) AS touched, count(*) OVER (PARTITION BY plan, mv, target) AS landed, (plan, file) IN (SELECT plan, file FROM mvd) AS hit, (plan, file) IN (SELECT plan, file FROM dc) AS con, kind = 'rewrite-import' AND idx % 3 = 0 AND (plan, file) IN (SELECT plan, file FROM mvd) AND file <> (SELECT min(q.source) FROM op q WHERE q.mv AND q.plan = op.plan) AS crs, (pre = 'missing' OR regexp_matches(pre, {_SHA})) AS pre_ok, regexp_matches(post, {_SHA}) AS post_ok FROM op),
     oz AS (SELECT plan, idx::VARCHAR AS subject, unnest(list_filter([CASE WHEN kind = 'copy' THEN 'unknown-operation' END, CASE WHEN nth > 1 THEN 'duplicate-operation' END, CASE WHEN mv AND source = target THEN 'duplicate-move' END, CASE WHEN mv AND (NOT pre_ok OR NOT post_ok) THEN 'move-hash' END, CASE WHEN mv AND pre IS DISTINCT FROM blob THEN 'move-precondition' END, CASE WHEN kind = 'move' AND post IS DISTINCT FROM blob THEN 'move-not-byte-identical' END,
     CASE WHEN mv AND landed > 1 THEN 'move-targets' END, CASE WHEN mv AND NOT starts_with(target, 'libs/') THEN 'target-containment' END, CASE WHEN kind = 'move-with-rewrite' AND role = 'asset' THEN 'asset-move' END, CASE WHEN (kind = 'move-with-rewrite' OR ed) AND pre = post THEN 'rewrite-identity' END, CASE WHEN ed AND (NOT pre_ok OR NOT post_ok) THEN 'rewrite-hash' END, CASE WHEN kind = 'rewrite-import' AND NOT con THEN 'rewrite-consumer' END,
-    CASE WHEN NOT mv AND (hit OR ed AND touched > 1) THEN 'multiple-mutations' END, CASE WHEN kind = 'delete-file' AND pre = 'missing' THEN 'invalid-precondition' END, CASE WHEN kind = 'delete-file' AND (NOT pre_ok OR post <> 'missing') THEN 'delete-hash' END], lambda x: x IS NOT NULL)) AS rule FROM oi)"""
+    CASE WHEN NOT mv AND (hit AND NOT coalesce(crs, false) OR ed AND touched > 1) THEN 'multiple-mutations' END, CASE WHEN kind = 'delete-file' AND pre = 'missing' THEN 'invalid-precondition' END, CASE WHEN kind = 'delete-file' AND (NOT pre_ok OR post <> 'missing') THEN 'delete-hash' END], lambda x: x IS NOT NULL)) AS rule FROM oi)"""
 _RW = "rw AS (SELECT b.owner AS plan, e.src AS file, CASE WHEN e.dst % 6 <> 0 THEN e.dst END AS donor, e.dst, '@engine/' || lower(b.owner) || CASE WHEN e.dst % 4 = 0 THEN '/' || e.dst ELSE '' END AS \"to\", '@engine/' || lower(b.owner) AS package FROM e JOIN m a ON a.path = e.src JOIN m b ON b.path = e.dst WHERE a.owner <> b.owner)"
 _DS = """ds AS (SELECT plan, file::VARCHAR AS subject, unnest(list_filter([CASE WHEN donor IS NULL AND "to" <> package THEN 'donor-unnamed' END, CASE WHEN donor % 5 <> 0 AND donor % 9 = 0 THEN 'donor-unselected' END, CASE WHEN donor % 5 <> 0 AND donor % 9 <> 0 AND "to" <> package THEN 'donor-root' END, CASE WHEN donor % 5 = 0 AND "to" <> package || '/' || donor THEN 'donor-surface' END], lambda x: x IS NOT NULL)) AS rule FROM rw)"""
 _CI = """cs AS (SELECT plan, file, count(*) FILTER (dst % 7 <> 0) AS k, bool_or(dst % 7 <> 0 AND dst % 31 = 0) AS noop FROM rw GROUP BY 1, 2),

@@ -39,10 +39,11 @@ def summary(found: DataFrame) -> DataFrame:
     return found.groupBy("plan", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
-def operation_issues(ops: DataFrame, consumers: DataFrame, root: str) -> DataFrame:
+def operation_issues(ops: DataFrame, consumers: DataFrame, root: str, donors: DataFrame | None = None) -> DataFrame:
     """Issues of operations (plan, idx, kind, source, target, file, pre, post, blob, role) by themselves and among each other.
 
-    blob is the hash of the source at the baseline; consumers (plan, file) are the declared ones.
+    blob is the hash of the source at the baseline; consumers (plan, file) are the declared ones;
+    donors (plan, idx, donor) are the files an import rewrite is about. A moved file may have its imports rewritten if another donor moves too.
     """
     c = F.col
     move, edit = c("kind").isin(*MOVES), c("kind").isin(*EDITS)
@@ -54,6 +55,12 @@ def operation_issues(ops: DataFrame, consumers: DataFrame, root: str) -> DataFra
     known = consumers.select("plan", "file").distinct().withColumn("is_consumer", F.lit(True))
     landed = F.count(F.lit(1)).over(Window.partitionBy("plan", F.when(move, F.lit(True)), "target"))
     rows = rows.withColumn("landed", landed).join(moved, ["plan", "file"], "left").join(known, ["plan", "file"], "left")
+    if donors is None:
+        rows = rows.withColumn("__cross", F.lit(False))
+    else:
+        about = ops.where("kind = 'rewrite-import'").select("plan", "idx", F.col("file").alias("__own")).join(donors.select("plan", "idx", F.col("donor").alias("file")), ["plan", "idx"]).where("file <> __own")
+        crossing = about.join(moved, ["plan", "file"], "left_semi").select("plan", "idx").distinct().withColumn("__cross", F.lit(True))
+        rows = rows.join(crossing, ["plan", "idx"], "left").withColumn("__cross", F.coalesce("__cross", F.lit(False)) & c("is_moved").isNotNull())
     differs = lambda a, b: ~c(a).eqNullSafe(c(b))
     return issues(rows, c("idx"), [
         ("unknown-operation", ~c("kind").isin(*KINDS)),
@@ -68,7 +75,7 @@ def operation_issues(ops: DataFrame, consumers: DataFrame, root: str) -> DataFra
         ("rewrite-identity", ((c("kind") == "move-with-rewrite") | edit) & (c("pre") == c("post"))),
         ("rewrite-hash", edit & (~file_state(c("pre")) | ~sha256(c("post")))),
         ("rewrite-consumer", (c("kind") == "rewrite-import") & c("is_consumer").isNull()),
-        ("multiple-mutations", ~move & (c("is_moved").isNotNull() | edit & (c("touched") > 1))),
+        ("multiple-mutations", ~move & (c("is_moved").isNotNull() & ~c("__cross") | edit & (c("touched") > 1))),
         ("invalid-precondition", (c("kind") == "delete-file") & (c("pre") == "missing")),
         ("delete-hash", (c("kind") == "delete-file") & (~file_state(c("pre")) | ~c("post").eqNullSafe(F.lit("missing")))),
     ])

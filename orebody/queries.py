@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .bindings import edges, graph_modules, modules, occurrences, table
 from .config import Config, Weights
 from .functions import documents, paths
-from .operators import dependencies, evacuation, graph, portfolio, references, reports, symbols, windows
+from .operators import dependencies, evacuation, graph, metrics, portfolio, references, reports, symbols, windows
 from .plans import audit, conflicts, journal
 from .session import cut
 from .sources import records
@@ -889,22 +889,27 @@ def spliced_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.sha2(documents.splice(F.col("text"), put), 256).alias("sha256"))
 
 
+def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as files, their line items as functions, suppliers as collaborators."""
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path"), F.when(F.col("o_orderpriority") == "1-URGENT", "react-component").when(F.col("o_orderpriority") == "2-HIGH", "react-hook").otherwise("module").alias("archetype"))
+    loc = F.floor(F.col("l_extendedprice") / 1000)
+    functions = l.select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").cast("long").alias("cyclo"), F.col("l_quantity").cast("long").alias("cognitive"), (F.col("l_suppkey") % 6).alias("nest"), loc.alias("loc"))
+    facts = l.groupBy(F.col("l_orderkey").alias("path")).agg(F.countDistinct("l_suppkey").alias("fan_out"), F.countDistinct("l_returnflag").alias("responsibilities"), F.count_if(F.col("l_quantity") > 20).alias("ctor_params"), (F.countDistinct("l_partkey") + F.countDistinct("l_quantity")).alias("vocabulary"), (F.sum("l_linenumber") + 1).alias("cyclomatic"), F.sum(loc).alias("lines"))
+    files = o.join(facts, "path", "left").fillna(0, facts.columns[1:])
+    return metrics.file_metrics(files, functions)
+
+
 @query
 def file_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole-file metrics over line items as functions of an order."""
-    l = table(spark, sf_dir, "lineitem")  # noqa: E741
-    g = l.groupBy(F.col("l_orderkey").alias("path")).agg(F.count(F.lit(1)).alias("functions"), F.max("l_quantity").alias("most"), F.sum("l_quantity").alias("total"), F.round(F.avg("l_quantity"), 6).alias("mean"))
-    return g.withColumn("score", F.round(F.log(F.col("total") + 1) * 10 + F.col("most"), 6))
+    f = _measured(spark, sf_dir)
+    return f.select("path", "functions", "max_cognitive", "max_nest", "max_loc", "fan_out", "responsibilities", F.round("avg_cyclo", 6).alias("avg_cyclo"), F.round("structural", 6).alias("structural"), F.round("volume", 6).alias("volume"))
 
 
 @query
 def levers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which of two percentiles of each part stands out: the higher, size before price on a tie."""
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("cohort"), F.col("p_size").cast("long").alias("size"), F.floor("p_retailprice").alias("price"))
-    one = windows.percentile(p.select("id", "cohort", "size"), "cohort", "size").select("id", F.col("percentile").alias("by_size"))
-    two = windows.percentile(p.select("id", "cohort", "price"), "cohort", "price").select("id", F.col("percentile").alias("by_price"))
-    j = one.join(two, "id")
-    return j.select("id", F.when(F.greatest("by_size", "by_price") < 75, "none").when(F.col("by_size") >= F.col("by_price"), "size").otherwise("price").alias("lever"))
+    f = cut(_measured(spark, sf_dir).withColumn("structural", F.round("structural", 6)))
+    return metrics.levers(f.join(metrics.percentiles(f), "path")).select("path", "lever", "driver", *[f"p_{m}" for m in metrics.RANKED])
 
 
 # More of candidates and assessment

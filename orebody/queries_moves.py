@@ -15,7 +15,7 @@ from .config import Application, Config
 from .operators import closures, evacuation, graph, portfolio, references, rewrites, symbols, windows
 from .plans import audit, build, validation
 from .queries import CONFIG, _candidates, _judged, _references, _uses
-from .queries_plans import operations, role
+from .queries_plans import operations, rewrite_donors, role
 from .session import cut, shared_dir
 from .sources import records, scan, workspace
 
@@ -327,7 +327,7 @@ def journal_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def plan_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A plan compiled end to end for each owner: its journal's length, first and last operation, moves, and what breaks a rule."""
-    j, bad = journal_order(spark, sf_dir), validation.operation_issues(operations(spark, sf_dir), modules(spark, sf_dir).select(F.col("owner").alias("plan"), "file"), "libs")
+    j, bad = journal_order(spark, sf_dir), validation.operation_issues(operations(spark, sf_dir), modules(spark, sf_dir).select(F.col("owner").alias("plan"), "file"), "libs", rewrite_donors(operations(spark, sf_dir)))
     a = j.groupBy("plan").agg(F.count(F.lit(1)).alias("operations"), F.count_if(F.expr("kind like 'move%'")).alias("moves"), F.min_by("path", "idx").alias("first"), F.max_by("path", "idx").alias("last"))
     return a.join(bad.groupBy("plan").agg(F.countDistinct("subject").alias("faulty")), "plan", "left")
 
@@ -478,7 +478,7 @@ def derived_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def findings_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings as lines of a list, one for each rule and plan."""
-    i = validation.summary(validation.operation_issues(operations(spark, sf_dir), modules(spark, sf_dir).select(F.col("owner").alias("plan"), "file"), "libs"))
+    i = validation.summary(validation.operation_issues(operations(spark, sf_dir), modules(spark, sf_dir).select(F.col("owner").alias("plan"), "file"), "libs", rewrite_donors(operations(spark, sf_dir))))
     return i.groupBy("plan").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rule", "n"))), lambda x: F.concat(F.lit("- "), x["rule"], F.lit(": "), x["n"])), "\n").alias("text"))
 
 

@@ -39,9 +39,16 @@ def declared_consumers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modules(spark, sf_dir).where("path % 6 <> 0").select(F.col("owner").alias("plan"), F.concat(F.lit("src/"), F.lower("owner"), F.lit("/"), F.col("path") % 150).alias("file")).distinct()
 
 
+def rewrite_donors(ops: DataFrame) -> DataFrame:
+    """Import rewrites of every third key are about the first file that their plan moves."""
+    first = ops.where("kind IN ('move', 'move-with-rewrite')").groupBy("plan").agg(F.min("source").alias("donor"))
+    return ops.where("kind = 'rewrite-import' AND idx % 3 = 0").select("plan", "idx").join(first, "plan")
+
+
 @query
 def operation_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validation.operation_issues(operations(spark, sf_dir), declared_consumers(spark, sf_dir), "libs")
+    ops = operations(spark, sf_dir)
+    return validation.operation_issues(ops, declared_consumers(spark, sf_dir), "libs", rewrite_donors(ops))
 
 
 @query

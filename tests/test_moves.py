@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from orebody.operators import graph, portfolio, references, rewrites, windows
+from orebody.operators import closures, graph, metrics, portfolio, references, rewrites, windows
 from orebody.plans import build, validation
 from orebody.sources import records
 
@@ -104,6 +105,11 @@ def test_valid_plans_have_no_issue(spark):
     ops = spark.createDataFrame([("p", 0, "move", "s/a", "libs/p/a", None, h, h, h, "file"), ("p", 1, "rewrite-import", None, None, "s/c", h, "b" * 64, None, "file"), ("p", 2, "delete-file", None, None, "s/d", h, "missing", None, "file")], "plan string, idx int, kind string, source string, target string, file string, pre string, post string, blob string, role string")
     consumers = spark.createDataFrame([("p", "s/c")], "plan string, file string")
     assert rows(validation.operation_issues(ops, consumers, "libs")) == []
+    moved = ops.union(spark.createDataFrame([("p", 3, "rewrite-import", None, None, "s/a", h, "c" * 64, None, "file")], ops.schema))
+    both = consumers.union(spark.createDataFrame([("p", "s/a")], consumers.schema))
+    donors = lambda *d: spark.createDataFrame([("p", 3, x) for x in d], "plan string, idx int, donor string")
+    assert rows(validation.operation_issues(moved, both, "libs")) == rows(validation.operation_issues(moved, both, "libs", donors("s/a", "s/c"))) == [("p", "3", "multiple-mutations")]
+    assert rows(validation.operation_issues(moved, both, "libs", donors("s/a", "libs/p/a"))) == []
     one = lambda *x: spark.createDataFrame([("p", y) for y in x], "plan string, path string")
     assert rows(validation.coverage_issues(ops, one("s/a"), consumers, one("s/a", "libs/p/a", "s/c", "s/d"), one().limit(0))) == []
     bad = validation.coverage_issues(ops, one("s/a", "s/b"), consumers.union(spark.createDataFrame([("p", "s/e")], consumers.schema)), one("s/a", "libs/p/a", "s/c", "s/x"), one("s/c"))
@@ -130,3 +136,50 @@ def test_paths_outside_the_workspace_are_refused(spark):
     for bad in ("../src", "", "src//a"):
         with pytest.raises(ValueError):
             portfolio.claiming(claims, bad)
+
+
+def test_metrics_and_levers_by_hand(spark):
+    functions = spark.createDataFrame([("a", 3, 10, 2, 40), ("a", 5, 20, 4, 60), ("b", 1, 0, 0, 5)], "path string, cyclo long, cognitive long, nest long, loc long")
+    files = spark.createDataFrame([("a", 4, 3, 2, 50, 20, 200, "module"), ("b", 0, 1, 6, 3, 1, 10, "module"), ("c", 0, 0, 0, 0, 0, 0, "module")], "path string, fan_out long, responsibilities long, ctor_params long, vocabulary long, cyclomatic long, lines long, archetype string")
+    m = metrics.file_metrics(files, functions)
+    got = {r.path: r for r in m.collect()}
+    assert got["a"].structural == 2 * 20 + 4 * 15 + 4 * 4 + 2.5 * 4 + 9 * 2 + 0.1 * 60 and got["b"].structural == 0.5 and got["c"].structural == 0
+    index = 171 - 5.2 * math.log(50) - 0.23 * 20 - 16.2 * math.log(200 / math.log(20))
+    assert abs(got["a"].volume - max(0, 100 - index * 100 / 171)) < 1e-9 and got["c"].functions == 0
+    assert {r.path: tuple(r)[1:] for r in metrics.percentiles(m).collect()}["a"] == (83, 83, 83, 83, 83)
+    rows_ = [("x", 2, 61, 0, 90, 0, 0, "module"), ("y", 1, 50, 76, 76, 76, 0, "module"), ("z", 1, 0, 60, 61, 61, 0, "module"), ("t", 1, 0, 0, 0, 75, 9, "module"), ("u", 1, 0, 76, 0, 80, 0, "react-hook"), ("v", 1, 0, 70, 0, 0, 6, "module"), ("w", 1, 0, 0, 0, 0, 0, "react-component")]
+    p = spark.createDataFrame([(*r, 61) for r in rows_], "path string, responsibilities long, p_responsibilities long, p_max_cognitive long, p_max_nest long, p_fan_out long, ctor_params long, archetype string, p_structural long")
+    assert {r.path: r.lever for r in metrics.levers(p).collect()} == {"x": "split-service", "y": "extract-method", "z": "flatten-nesting", "t": "reduce-coupling", "u": "reduce-coupling", "v": "deps-bag", "w": "decompose-component"}
+
+
+def test_closures_of_many_keys_at_once(spark):
+    rng = random.Random(8)
+    for _ in range(2):
+        links = {(rng.randrange(25), rng.randrange(25)): rng.random() < 0.85 for _ in range(40)}
+        starts = [(k, rng.randrange(25)) for k in range(12) for _ in range(2)]
+        members, refused = set(), {}
+        for key in range(12):
+            seen = front = {i for k, i in starts if k == key}
+            while front and key not in refused:
+                bad = [e for e, ok in links.items() if e[0] in front and not ok]
+                if bad:
+                    refused[key] = min(bad)
+                front = {b for (a, b), ok in links.items() if a in front and ok} - seen
+                seen = seen | front
+            if key not in refused:
+                members |= {(key, i) for i in seen}
+        e = spark.createDataFrame([(a, b, ok) for (a, b), ok in links.items()], "src long, dst long, type_only boolean")
+        s = spark.createDataFrame(starts, "key long, id long")
+        got, no = closures.type_only_closures(e, s)
+        assert {tuple(r) for r in got.collect()} == members and {r.key: (r.src, r.dst) for r in no.collect()} == refused
+    chain = spark.createDataFrame([(i, i + 1, True) for i in range(20)], "src long, dst long, type_only boolean")
+    assert closures.type_only_closures(chain, spark.createDataFrame([(0, 0), (1, 5)], "key long, id long"))[0].count() == 21 + 16
+    assert closures.keyed_reach(chain.limit(0), spark.createDataFrame([(0, 0)], "key long, id long")).count() == 1
+
+
+def test_value_splits_name_what_stays(spark):
+    d = spark.createDataFrame([("f", 1, "a", True, "value"), ("f", 2, "b", False, "value"), ("f", 3, "c", False, "type"), ("f", 4, "d", True, "value"), ("f", 5, "e", True, "type"), ("g", 6, "a", True, "both"), ("g", 7, "z", False, "value")], "file string, id long, name string, exported boolean, space string")
+    e = spark.createDataFrame([(1, 2), (2, 3), (4, 3), (4, 2), (6, 7), (1, 7), (7, 7)], "src long, dst long")
+    asked = spark.createDataFrame([(10, "f", "a"), (11, "f", "d"), (12, "f", "e"), (13, "f", "b"), (14, "g", "a"), (15, "g", "q")], "key long, file string, name string")
+    got = {r.key: (r.verdict, r.members, r.offenders) for r in closures.value_splits(d, e, asked)[0].collect()}
+    assert got == {10: ("retained", 3, ["b", "c"]), 11: ("retained", 3, ["b"]), 12: ("not-exported-value", 0, []), 13: ("not-exported-value", 0, []), 14: ("splits", 2, []), 15: ("unknown", 0, [])}
