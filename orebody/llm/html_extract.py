@@ -4,9 +4,10 @@ A page becomes a tree of block elements. Each block of text passes points for it
 commas to its ancestors, halved at every step up; a container's points are discounted by its
 link density. The best container and those of its siblings that hold text of the same kind are
 kept, without what is not the article: menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and reader comments. Elements, roles and hidden styles say so for sure.
+forms, scripts, styles and reader comments. Elements, roles and hidden styles say so for sure, but
+a form, and what is only invisible, counts as a doubtful name does (a page may be wrapped in it); its controls go.
 A class or id says so too, but is not believed of an element that holds an article or main
-element, nor of the largest one where next to nothing would be left; and one that only has a doubtful word among others
+element (an article named so itself only goes if there is another), nor of the largest one where next to nothing would be left; and one that only has a doubtful word among others
 (post-header, text-search) is not believed either if it holds a heading of the first level, more
 than half of the text, or the best container.
 
@@ -35,7 +36,7 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 # that are never part of an article, and the words in class, id and role that say the same.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul noscript head iframe object svg canvas template".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
-NEVER = frozenset("nav header footer aside form head script style noscript template iframe object svg canvas dialog menu button select option search fieldset".split())
+NEVER = frozenset("nav header footer aside head script style noscript template iframe object svg canvas dialog menu button select option search fieldset".split())
 NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup share sharing social related recommended sidebar sidenav aside widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager paging footer footers header masthead topbar comment comments disqus replies respond login search toolbar skip copyright disclaimer alert outbrain taboola".split())
 # Those that mean the same among other words.
 ALWAYS = frozenset("comment comments disqus replies respond sidebar sidenav nav navbar navigation breadcrumb breadcrumbs pagination cookie cookies consent gdpr newsletter advert adverts advertisement advertising sponsored footer footers masthead outbrain taboola".split())
@@ -43,7 +44,7 @@ HIDDEN = frozenset("hidden is-hidden visually-hidden sr-only screen-reader-text
 BEFORE = frozenset("no has with without below above after before".split())
 AFTER = frozenset("free less off none".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-WHOLE = frozenset("html body article main".split())
+WHOLE = frozenset("html body main".split())
 VOID = frozenset("hr".split())
 #: An open element of the set is closed by a start tag of the key.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "body": {"head"}}
@@ -53,6 +54,8 @@ STOPS = frozenset("ul ol dl table body html".split())
 #: Elements whose own text gives its points to what contains them.
 TEXTUAL = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 li td".split())
 LISTS = frozenset("ul ol div section table".split())
+#: Containers that can't hold their own heading.
+LISTED = frozenset("ul ol dl table tbody".split())
 #: Share of the text above which an element isn't dropped for a doubtful name; and share below which too little is left without the largest named one.
 MOST, LITTLE = 0.5, 0.05
 
@@ -73,9 +76,9 @@ class Node:
 
 def _named(tag: str, attrs: str) -> int:
     """What the attributes say: 3, surely no part of an article; 2, by a plain name; 1, by a word among others; 0, nothing."""
+    said = 1 if tag == "form" else 0
     if not attrs or tag in WHOLE:
-        return 0
-    said = 0
+        return said
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
@@ -89,8 +92,10 @@ def _named(tag: str, attrs: str) -> int:
                         said = max(said, 2 if len(words) == 1 or w in ALWAYS else 1)
         elif name == "hidden" or name == "role" and value.lower() in ROLES or name == "aria-hidden" and value.lower() == "true":
             return 3
-        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+        elif name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return 3
+        elif name == "style" and re.search(r"visibility\s*:\s*hidden", value, re.I):
+            said = max(said, 1)
     return said
 
 
@@ -191,6 +196,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
                     break
         if tag not in VOID:
             named = _named(tag, page[m.end() : at - 1])
+            named = min(named, 2) if tag == "article" else named
             node = Node(tag, stack[-1], stack[-1].never or tag in NEVER or named == 3, named)
             stack.append(node)
             nodes.append(node)
@@ -230,6 +236,7 @@ def _without_named(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> li
         if node.tag in TEXTUAL:
             own[id(node)] += len(text)
     share = lambda n: (n.chars + own[id(n)]) / whole
+    plain = any(n.tag == "article" and not n.named for n in nodes)
     gone: set[int] = set()
     tops: list[Node] = []
 
@@ -239,7 +246,7 @@ def _without_named(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> li
         for n in nodes:
             if n.parent and id(n.parent) in gone:
                 gone.add(id(n))
-            elif n.named and not n.article and n is not spared:
+            elif n.named and n is not spared and (not n.article or n.tag == "article" and n.named == 2 and plain):
                 if not (n.named == 1 and (n.heading or share(n) > MOST or id(n) in around)):
                     gone.add(id(n))
                     tops.append(n)
@@ -268,9 +275,11 @@ def main_text(page: str | None) -> str:
             break
         up = up.parent
     floor, chosen = 0.2 * best.score, {id(best)}
-    if best.tag not in ("article", "main", "body"):
+    if best.tag not in ("main", "body"):
         for n in nodes:
-            if n.parent is best.parent and n is not best and n.tag not in ("html", "body") and n.score >= max(floor, 3) and n.link_chars < 0.3 * n.chars:
+            # Beside an article only other articles count, not those whose name says that they are something else.
+            kind = n.tag == "article" and not n.named if best.tag == "article" else n.tag not in ("html", "body")
+            if n.parent is best.parent and n is not best and kind and n.score >= max(floor, 3) and n.link_chars < 0.3 * n.chars:
                 chosen.add(id(n))
     # What is within a chosen element, with no list of links between.
     within: set[int] = set()
@@ -281,7 +290,7 @@ def main_text(page: str | None) -> str:
     beside = best.tag not in ("html", "body", "article", "main")
     out = []
     for node, text, link in blocks:
-        lone = beside and node.tag == "p" and node.parent is best.parent and len(text) > 80 and link < 0.25 * len(text)
+        lone = beside and node.parent is best.parent and link < 0.25 * len(text) and (node.tag == "p" and len(text) > 80 or node.tag == "h1" and best.tag in LISTED)
         if id(node) in chosen or node.parent and id(node.parent) in within or lone:
             out.append(text)
     return "\n".join(out)

@@ -13,7 +13,7 @@ import pytest
 from test_operators import AWKWARD, SF, awkward, docs, empty, key  # noqa: F401
 from tokenizers import Tokenizer
 
-from orebody.llm import collocation, packing, runs
+from orebody.llm import collocation, html_extract, packing, runs
 from orebody.llm.queries import QUERIES
 
 
@@ -185,3 +185,20 @@ def test_op13_all_runs_of_fibonacci_words_and_long_texts():
     long = np.tile(np.arange(1, 998), 300)
     assert runs.maximal(long, np.full(len(long), len(long))).tolist() == [[0, len(long), 997]]
     assert runs.maximal(np.ones(100_000, np.int64), np.full(100_000, 100_000)).tolist() == [[0, 100_000, 1]]
+
+
+BODY = "".join(f"<p>Sentence number {i}, with some words, and more words that make a paragraph of length.</p>" for i in range(6))
+TEXT = "\n".join(f"Sentence number {i}, with some words, and more words that make a paragraph of length." for i in range(6))
+
+
+def test_op6_wrappers_siblings_and_lists():
+    of = lambda inner: html_extract.main_text(f"<html><body><div class=menu><a href=x>Home</a></div>{inner}<div id=footer>Imprint</div></body></html>")
+    assert of(f"<form runat=server><input name=q><button>Go</button><select><option>de</option></select><div id=content><h1>T</h1>{BODY}</div></form>") == "T\n" + TEXT
+    assert of(f"<div style='visibility: hidden'><h1>T</h1>{BODY}</div>") == "T\n" + TEXT
+    assert of(f"<div><article><h2>A</h2>{BODY}</article><article><h2>B</h2>{BODY}</article><article class=comment>{BODY}</article></div>") == f"A\n{TEXT}\nB\n{TEXT}"
+    items = [f"Item {i}, with some words, and more words that make a list entry of length." for i in range(8)]
+    assert of("<div><h1>Head</h1><ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul></div>") == "\n".join(["Head", *items])
+    # Forms beside the article still go, whatever they say; so does what is not displayed.
+    for other in ("<form><p>Sign up for our letter, please, with your address, it is free, and long enough to count.</p><input></form>", "<div style='visibility:hidden'><p>Only for machines, not for you.</p></div>", "<div style='display:none'>" + BODY + "</div>"):
+        assert of(f"<article><h1>T</h1>{BODY}</article>{other}") == of(f"<div><h1>T</h1>{BODY}</div>{other}") == "T\n" + TEXT
+    assert of(f"<article class=comment>{BODY}</article>") == TEXT
