@@ -30,12 +30,22 @@ class Vocabulary:
         return id(self)
 
 
-@lru_cache(maxsize=4)
+def read(path: str) -> bytes:
+    """A model file, read where the driver is; tasks get its bytes by broadcast, so executors need no such file."""
+    with open(path, "rb") as f:
+        return f.read()
+
+
 def load(path: str) -> Vocabulary:
-    """Vocabulary of a SentencePiece model file (any model type; its scores are taken as they stand)."""
+    return parsed(read(path))
+
+
+@lru_cache(maxsize=4)
+def parsed(model: bytes) -> Vocabulary:
+    """Vocabulary of a SentencePiece model (any model type; its scores are taken as they stand)."""
     import sentencepiece
 
-    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    sp = sentencepiece.SentencePieceProcessor(model_proto=model)
     n = sp.get_piece_size()
     pieces = tuple(sp.id_to_piece(i).encode() for i in range(n))
     usable = np.array([not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)) for i in range(n)])

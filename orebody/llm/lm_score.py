@@ -3,14 +3,13 @@
 A text is its words in order (A-Z lower-cased) and one end. Its probability is the sum over all
 its segmentations into pieces of an existing vocabulary, found by a forward recursion in log
 space: each piece, and the end, by its weight. No piece crosses a word's start, so it is the
-product over the words, times that of the end. Piece weights start from the vocabulary's own
-scores (the file at hand is a BPE model whose scores are merge ranks: see lattice.log_scores) and
-are fitted to all training words by ROUNDS of expectation maximisation over all segmentations,
-with the starting weights as a prior. A character without a piece is spelled in bytes, which
-share a fixed BYTES of the mass. That is ``score``. ``prior_score`` is the same sum with the
-vocabulary's scores as they stand. Beside both, ``word_score`` gives each training word one more
-edge over the whole word, which weighs its count less a discount (from the counts of counts, as
-in modified Kneser-Ney) over all tokens; what the discounts save goes to the segmentations.
+product over the words, times that of the end. The weights of pieces are the existing scores of the vocabulary
+(the file at hand is a BPE model whose scores are merge ranks: see lattice.log_scores); the end has its
+share of the training tokens, the pieces share the rest, and a character without a piece is spelled in bytes, which
+share a fixed BYTES of the mass. That is ``score``. Beside it, ``fitted_score`` is the same sum with weights
+fitted to all training words by ROUNDS of expectation maximisation over all segmentations, the existing ones as prior, and
+``word_score`` gives each training word one more edge over the whole word, which weighs its count less a discount (from the
+counts of counts, as in modified Kneser-Ney) over all tokens; what the discounts save goes to the fitted segmentations.
 
 At scale: words are counted in each task, then by a shuffle on the word; the lattice runs once
 for each distinct word. The most frequent words, at most FREQUENT of them, are broadcast as
@@ -102,15 +101,15 @@ def discounts(of_counts: dict[int, int]) -> np.ndarray:
 
 def fit(words: DataFrame, ends: int, model: str = MODEL, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
     """(probability of each piece, that of the end) from (word, n), over all rows; they and BYTES add up to 1."""
-    vocabulary = lattice.load(model)
-    start = prior(vocabulary)
+    source = words.sparkSession.sparkContext.broadcast(lattice.read(model))
+    start = prior(lattice.parsed(source.value))
     p, end = start * (1 - BYTES) / 2, 0.5
     size, spark = len(start), words.sparkSession
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(p)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            v, total = lattice.load(model), np.zeros(size)
+            v, total = lattice.parsed(source.value), np.zeros(size)
             logs = _logs(shared.value)
             for batch in batches:
                 if len(batch):
@@ -149,14 +148,14 @@ SUMS = ("__known", "__base", "__lp", "__pp", "__wp")
 
 
 def scored(docs: DataFrame, held_out: Column, text: str = "text", model: str = MODEL, rounds: int = ROUNDS, frequent: int = FREQUENT) -> DataFrame:
-    """docs (without the text) with held_out, n_tokens, n_known, train_tokens, base_score, score, prior_score, word_score.
+    """docs (without the text) with held_out, n_tokens, n_known, train_tokens, base_score, score, fitted_score, word_score.
 
     A null text is empty: one token, the end. Each row is scored, repeated rows alike and each
     counted in training. With nothing to learn from, counts are 0 and the base and the model
     keep their priors. An empty table stays empty. Columns with the new names are replaced.
     """
     spark = docs.sparkSession
-    new = ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "prior_score", "word_score"]
+    new = ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "fitted_score", "word_score"]
     names = [c for c in docs.columns if c != text and c not in new]
     rows = docs.select(*[F.col(f"`{c}`") for c in names], held_out.alias("__held"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     words = written(count_words(rows.withColumn("__learn", ~F.col("__held")), "__learn", "__text"), "words")
@@ -170,12 +169,14 @@ def scored(docs: DataFrame, held_out: Column, text: str = "text", model: str = M
     tokens = train_tokens + 1.0
     gamma = (saved + 0.5) / tokens
     p, end = fit(words, ends, model, rounds)
+    closing = (ends + 0.5) / tokens * (1 - BYTES)
+    source = spark.sparkContext.broadcast(lattice.read(model))
     weights = spark.sparkContext.broadcast(p)
     norm = float(np.log10(train_tokens + distinct + 1))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, hasher = lattice.load(model), Hasher(_SEED)
-        first = prior(v) * (1 - BYTES) / 2
+        v, hasher = lattice.parsed(source.value), Hasher(_SEED)
+        first = prior(v) * (1 - BYTES - closing)
         for batch in batches:
             if len(batch):
                 raw, offsets = texts(batch.column(0))
@@ -232,7 +233,7 @@ def scored(docs: DataFrame, held_out: Column, text: str = "text", model: str = M
         (plus("__known") + int(ends > 0)).alias("n_known"),
         F.lit(train_tokens).cast("long").alias("train_tokens"),
         (plus("__base") - F.col("__size") * F.lit(norm) + log(ends + 1)).alias("base_score"),
-        (plus("__lp") + log(end)).alias("score"),
-        (plus("__pp") + log(0.5)).alias("prior_score"),
+        (plus("__pp") + log(closing)).alias("score"),
+        (plus("__lp") + log(end)).alias("fitted_score"),
         (plus("__wp") + log((ends + 0.5) / tokens)).alias("word_score"),
     )

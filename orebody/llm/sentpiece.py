@@ -30,8 +30,8 @@ MEMO = 400_000
 
 
 class Codec:
-    def __init__(self, model: str):
-        self.vocabulary = v = lattice.load(model)
+    def __init__(self, vocabulary: lattice.Vocabulary):
+        self.vocabulary = v = vocabulary
         usable = [v.pieces[i] for i in np.flatnonzero(v.usable)]
         if any(b"\n" in p or b" " in p.replace(_MARK, b" ").lstrip(b" ") for p in usable):
             raise ValueError("a piece crosses a word start or a newline; runs can't be cut there")
@@ -107,10 +107,10 @@ def encoded(docs: DataFrame, text: str = "text", model: str = MODEL, pieces: str
     keep = [c for c in docs.columns if c not in (pieces, decoded)]
     base = docs.select(*[F.col(f"`{c}`") for c in keep])
     schema = base.select("*", F.lit(None).cast("array<int>").alias(pieces), F.lit(None).cast("string").alias(decoded)).schema
-    at = keep.index(text)
+    at, source = keep.index(text), docs.sparkSession.sparkContext.broadcast(lattice.read(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model)
+        codec = Codec(lattice.parsed(source.value))
         for batch in batches:
             row = 0
             for some in groups(batch.column(at).to_pylist()):
@@ -144,11 +144,12 @@ def digests(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFram
     rows = docs.select("doc_id", F.col(text).alias("text"))
     new = {"n_pieces": "long", "n_byte_pieces": "long", "ids_sha256": "string", "decoded_sha256": "string", "exact": "boolean"}
     schema = rows.select("doc_id", *[F.lit(None).cast(t).alias(c) for c, t in new.items()]).schema
+    source = docs.sparkSession.sparkContext.broadcast(lattice.read(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import sha256
 
-        codec = Codec(model)
+        codec = Codec(lattice.parsed(source.value))
         for batch in batches:
             out: list[tuple] = []
             for some in groups(batch.column(1).to_pylist()):

@@ -142,10 +142,13 @@ def test_op1_scores_match_a_plain_model(spark, docs, awkward):
             mass = uses.sum() + ends + 0.5
             p, end = uses / mass * (1 - lm_score.BYTES), (ends + 0.5) / mass * (1 - lm_score.BYTES)
         assert math.isclose(p.sum() + end + lm_score.BYTES, 1, rel_tol=1e-9)
-        log = {w: (math.log10(total(w, p)[-1]), math.log10(total(w, start * (1 - lm_score.BYTES) / 2)[-1])) for w in some}
-        want = key((d, round(sum(log[w][0] for w in ws) + math.log10(end), 3), round(sum(log[w][1] for w in ws) + math.log10(0.5), 3)) for d, ws in texts)
+        closing = (ends + 0.5) / (sum(counts.values()) + ends + 1) * (1 - lm_score.BYTES)
+        as_they_stand = start * (1 - lm_score.BYTES - closing)
+        assert math.isclose(as_they_stand.sum() + closing + lm_score.BYTES, 1, rel_tol=1e-9)
+        log = {w: (math.log10(total(w, as_they_stand)[-1]), math.log10(total(w, p)[-1])) for w in some}
+        want = key((d, round(sum(log[w][0] for w in ws) + math.log10(closing), 3), round(sum(log[w][1] for w in ws) + math.log10(end), 3)) for d, ws in texts)
         got = lm_score.scored(df.select("doc_id", "text"), held_out(7), frequent=30).collect()
-        assert key((r.doc_id, round(r.score, 3), round(r.prior_score, 3)) for r in got) == want
+        assert key((r.doc_id, round(r.score, 3), round(r.fitted_score, 3)) for r in got) == want
         assert all(r.word_score < 0 for r in got)
 
 
@@ -307,7 +310,9 @@ def test_op5_round_trip_and_best_path(spark, docs, awkward, empty):
         for r in sentpiece.encoded(df).collect():
             assert r.decoded == r.text and (r.pieces is None) == (r.text is None)
     assert sentpiece.encoded(empty).count() == 0
-    codec = sentpiece.Codec(sentpiece.MODEL)
+    from orebody.llm import lattice
+
+    codec = sentpiece.Codec(lattice.load(sentpiece.MODEL))
     v, s = codec.vocabulary, codec.scores
     known = {v.pieces[i].decode(): i for i in range(len(s)) if v.usable[i]}
 

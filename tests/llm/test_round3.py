@@ -13,7 +13,7 @@ import pytest
 from test_operators import AWKWARD, SF, awkward, docs, empty, key  # noqa: F401
 from tokenizers import Tokenizer
 
-from orebody.llm import collocation, html_extract, packing, runs
+from orebody.llm import collocation, html_extract, lattice, lm_score, packing, runs, sentpiece
 from orebody.llm.queries import QUERIES
 
 
@@ -202,3 +202,20 @@ def test_op6_wrappers_siblings_and_lists():
     for other in ("<form><p>Sign up for our letter, please, with your address, it is free, and long enough to count.</p><input></form>", "<div style='visibility:hidden'><p>Only for machines, not for you.</p></div>", "<div style='display:none'>" + BODY + "</div>"):
         assert of(f"<article><h1>T</h1>{BODY}</article>{other}") == of(f"<div><h1>T</h1>{BODY}</div>{other}") == "T\n" + TEXT
     assert of(f"<article class=comment>{BODY}</article>") == TEXT
+
+
+def test_op1_and_op5_need_no_model_file_on_executors(spark, tmp_path):
+    """The file is gone before any task runs: only the driver has read it."""
+    from orebody.llm.queries import held_out
+
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["one two", "two three", None, "four"])], "doc_id long, text string").repartition(2)
+    for make in (lambda m: sentpiece.digests(rows, model=m), lambda m: sentpiece.encoded(rows, model=m)):
+        copy = tmp_path / "a.model"
+        copy.write_bytes(lattice.read(sentpiece.MODEL))
+        out = make(str(copy))
+        copy.unlink()
+        assert out.count() == 4 and len(out.collect()) == 4
+    (tmp_path / "b.model").write_bytes(lattice.read(sentpiece.MODEL))
+    out = lm_score.scored(rows, held_out(7), model=str(tmp_path / "b.model"))
+    (tmp_path / "b.model").unlink()
+    assert len(out.collect()) == 4
