@@ -27,6 +27,7 @@ _PREP = f"""WITH RECURSIVE {_e(45)}, bad AS (SELECT src AS id, src, dst FROM e W
     r AS (SELECT key, id, 0 AS depth FROM st UNION SELECT r.key, e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.id AND e.type_only WHERE r.depth < 60 AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.id = r.id)),
     rf AS (SELECT r.key, bad.src, bad.dst FROM r JOIN bad USING (id) QUALIFY row_number() OVER (PARTITION BY r.key ORDER BY r.depth, bad.src, bad.dst) = 1)"""
 
+_LK = """ld AS (SELECT o_custkey AS lock, 'packages/p' || o_orderkey AS root, CASE l_returnflag WHEN 'A' THEN 'dependencies' WHEN 'R' THEN 'devDependencies' ELSE 'optionalDependencies' END AS section, CASE WHEN l_partkey % 2 = 0 THEN '@s' || l_suppkey || '/p' || l_partkey ELSE 'p' || l_partkey END AS name, any_value(o_orderkey) AS r, any_value(l_partkey) AS d, max(l_quantity)::BIGINT AS q, min(l_linenumber) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2, 3, 4)"""
 ORACLE: dict[str, str] = {
     "path_rewrites": f"WITH {_PR} SELECT * FROM pr",
     "path_reference_warnings": rf"""WITH {_PR}, g AS (SELECT string_split(string_split(donor, '/')[1], '.')[-1] AS "group", file, donor FROM pr) SELECT "group", count(*) AS n, count(DISTINCT file) AS files, arg_min(file || ':' || donor, (file, donor)) AS first FROM g GROUP BY 1""",
@@ -128,4 +129,7 @@ ORACLE: dict[str, str] = {
     "type_only_refusals": f"WITH {_M} SELECT path AS id, concat_ws(',', CASE WHEN path % 3 = 0 THEN 'value-reference' END, CASE WHEN path % 5 = 0 THEN 'not-exported' END, CASE WHEN has_exports THEN 'has-surface' END, CASE WHEN line_count > 40 THEN 'too-large' END) AS refusals FROM m",
     "proof_report": f"SELECT proof, coalesce(n, 0) AS failures, n IS NULL AS passed FROM (VALUES ('boundaries'), ('bytes'), ('consumers'), ('postconditions')) v(proof) LEFT JOIN (SELECT 'bytes' AS proof, count(*) AS n FROM ({_ENGINE['byte_fidelity']}) UNION ALL SELECT 'boundaries', count(*) FROM ({_ENGINE['boundary_breaks']}) UNION ALL SELECT 'postconditions', count(*) FROM ({_ENGINE['postconditions']})) f USING (proof)",
     "report_bytes": """WITH j AS (SELECT '[' || string_agg('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || '}', ',' ORDER BY n_nationkey) || ']' || chr(10) AS t FROM nation), w AS (SELECT max(length(n_name)) AS w FROM nation), x AS (SELECT rpad('n_nationkey', 11, ' ') || '  n_name' || chr(10) || string_agg(rpad(n_nationkey::VARCHAR, 11, ' ') || '  ' || n_name, chr(10) ORDER BY n_nationkey) || chr(10) AS t FROM nation) SELECT 'json' AS kind, sha256(t) AS sha256, octet_length(encode(t)) AS bytes FROM j UNION ALL SELECT 'table', sha256(t), octet_length(encode(t)) FROM x UNION ALL SELECT 'lost', '', 0""",
+    "lockfile_dependencies": f"WITH {_LK} SELECT lock, root, section, name, '^' || q || '.0.0' AS specifier, CASE WHEN n = 1 THEN 'link:../p' || q || ':' ELSE q || '.0.' || n END AS version FROM ld",
+    "lockfile_importers": f"WITH {_LK}, k AS (SELECT lock, root, count(*) AS n, count(DISTINCT section) AS s FROM ld GROUP BY 1, 2) SELECT o_custkey AS lock, 'packages/p' || o_orderkey AS root, 2 + coalesce(3 * n + s, 0) AS lines FROM orders LEFT JOIN k ON lock = o_custkey AND root = 'packages/p' || o_orderkey",
+    "projected_importers": f"WITH {_LK} SELECT lock, root, section, name, CASE WHEN d % 17 <> 0 AND d % 7 = 0 THEN 'missing' WHEN d % 17 = 0 AND d % 7 <> 0 THEN 'undeclared' WHEN d % 17 <> 0 AND d % 7 <> 0 AND d % 11 = 0 THEN 'differs' END AS fault FROM ld WHERE r % 13 <> 0 AND (d % 17 <> 0 AND (d % 7 = 0 OR d % 11 = 0) OR d % 17 = 0 AND d % 7 <> 0) UNION ALL SELECT o_custkey, 'packages/p' || o_orderkey, NULL, NULL, 'no-importer' FROM orders WHERE o_orderkey % 13 = 0",
 }

@@ -17,7 +17,7 @@ from .plans import audit, build, validation
 from .queries import CONFIG, _candidates, _judged, _references, _uses
 from .queries_plans import operations, rewrite_donors, role
 from .session import cut, shared_dir
-from .sources import records, scan, workspace
+from .sources import lockfiles, records, scan, workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -829,3 +829,39 @@ def report_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = spark.read.parquet(path).exceptAll(n).count() + n.exceptAll(spark.read.parquet(path)).count()
     rows = [(kind, hashlib.sha256(text.encode()).hexdigest(), len(text.encode())) for kind, text in (("json", sinks.json_report(n, ["n_nationkey"])), ("table", sinks.text_table(n, ["n_nationkey"])))]
     return spark.createDataFrame([*rows, ("lost", "", kept)], "kind string, sha256 string, bytes long")
+
+
+# Lockfiles
+
+
+def _locked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers as workspaces, their orders as packages (lock, root), line items as dependencies."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("lock"), F.concat(F.lit("packages/p"), "o_orderkey").alias("root"))
+    l = table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))  # noqa: E741
+    section = F.when(F.col("l_returnflag") == "A", "dependencies").when(F.col("l_returnflag") == "R", "devDependencies").otherwise("optionalDependencies")
+    name = F.when(F.col("l_partkey") % 2 == 0, F.concat(F.lit("@s"), F.col("l_suppkey"), F.lit("/p"), F.col("l_partkey"))).otherwise(F.concat(F.lit("p"), F.col("l_partkey")))
+    d = l.groupBy("lock", "root", section.alias("section"), name.alias("name")).agg(F.max("l_quantity").cast("long").alias("q"), F.min("l_linenumber").alias("n"))
+    return o.select("lock", "root"), d.select("lock", "root", "section", "name", F.concat(F.lit("^"), "q", F.lit(".0.0")).alias("specifier"), F.when(F.col("n") == 1, F.concat(F.lit("link:../p"), "q", F.lit(":"))).otherwise(F.concat("q", F.lit(".0."), "n")).alias("version"))
+
+
+@query
+def lockfile_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lockfiles written from line items and read back."""
+    roots, declared = _locked(spark, sf_dir)
+    return lockfiles.dependencies(cut(lockfiles.rendered(roots, declared)))
+
+
+@query
+def lockfile_importers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roots, declared = _locked(spark, sf_dir)
+    return lockfiles.importers(cut(lockfiles.rendered(roots, declared))).select("lock", "root", "lines")
+
+
+@query
+def projected_importers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages against lockfiles that lack every 13th package, every 7th dependency's name, and have other versions of some."""
+    roots, declared = _locked(spark, sf_dir)
+    number = lambda c: F.regexp_extract(c, "p([0-9]+)$", 1).cast("long")
+    stale = declared.where(number("root") % 13 != 0).where(number("name") % 7 != 0).withColumn("version", F.when(number("name") % 11 == 0, "0.0.1").otherwise(F.col("version")))
+    locks = cut(lockfiles.rendered(roots.where(number("root") % 13 != 0), stale))
+    return lockfiles.compared(roots, declared.where(number("name") % 17 != 0), locks)
