@@ -132,4 +132,8 @@ ORACLE: dict[str, str] = {
     "lockfile_dependencies": f"WITH {_LK} SELECT lock, root, section, name, '^' || q || '.0.0' AS specifier, CASE WHEN n = 1 THEN 'link:../p' || q || ':' ELSE q || '.0.' || n END AS version FROM ld",
     "lockfile_importers": f"WITH {_LK}, k AS (SELECT lock, root, count(*) AS n, count(DISTINCT section) AS s FROM ld GROUP BY 1, 2) SELECT o_custkey AS lock, 'packages/p' || o_orderkey AS root, 2 + coalesce(3 * n + s, 0) AS lines FROM orders LEFT JOIN k ON lock = o_custkey AND root = 'packages/p' || o_orderkey",
     "projected_importers": f"WITH {_LK} SELECT lock, root, section, name, CASE WHEN d % 17 <> 0 AND d % 7 = 0 THEN 'missing' WHEN d % 17 = 0 AND d % 7 <> 0 THEN 'undeclared' WHEN d % 17 <> 0 AND d % 7 <> 0 AND d % 11 = 0 THEN 'differs' END AS fault FROM ld WHERE r % 13 <> 0 AND (d % 17 <> 0 AND (d % 7 = 0 OR d % 11 = 0) OR d % 17 = 0 AND d % 7 <> 0) UNION ALL SELECT o_custkey, 'packages/p' || o_orderkey, NULL, NULL, 'no-importer' FROM orders WHERE o_orderkey % 13 = 0",
+    "streamed_ledger": """WITH c AS (SELECT conv_id, turn + 1 AS seq, length(text) AS n FROM conversations), b AS (SELECT *, CASE WHEN seq % 2 = 1 AND seq > 1 AND n % 7 = 0 THEN 'stale baseline' WHEN seq % 2 = 0 AND n % 11 = 0 THEN 'audit of another kind' WHEN seq % 2 = 0 AND n % 5 = 0 THEN 'audit failed' END AS bad FROM c),
+        f AS (SELECT *, coalesce(min(seq) FILTER (bad IS NOT NULL) OVER (PARTITION BY conv_id), 99) AS stop, max(seq) OVER () AS top FROM b)
+        SELECT conv_id::VARCHAR AS campaign, seq, 'c' || ((seq + 1) // 2) AS id, seq < stop AS accepted, CASE WHEN seq = stop THEN bad WHEN seq > stop THEN 'gap' END AS reason FROM f
+        UNION ALL SELECT conv_id::VARCHAR, max(seq), NULL, NULL, 'expired' FROM f WHERE seq < stop GROUP BY conv_id, top HAVING max(seq) + 3.5 < top""",
 }

@@ -18,6 +18,7 @@ from .queries import CONFIG, _candidates, _judged, _references, _uses
 from .queries_plans import operations, rewrite_donors, role
 from .session import cut, shared_dir
 from .sources import lockfiles, records, scan, workspace
+from .streaming import ledger
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -865,3 +866,26 @@ def projected_importers(spark: SparkSession, sf_dir: str) -> DataFrame:
     stale = declared.where(number("root") % 13 != 0).where(number("name") % 7 != 0).withColumn("version", F.when(number("name") % 11 == 0, "0.0.1").otherwise(F.col("version")))
     locks = cut(lockfiles.rendered(roots.where(number("root") % 13 != 0), stale))
     return lockfiles.compared(roots, declared.where(number("name") % 17 != 0), locks)
+
+
+# Streams
+
+
+@query
+def streamed_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as campaigns, their turns as events (plan and record in turn), some stale or badly audited, read as a stream of files."""
+    turns = spark.readStream.schema("conv_id long, turn long, role string, text string").parquet(f"{sf_dir}/conversations.parquet*")  # a pattern, as a stream of one file needs
+    seq, n = F.col("turn") + 1, F.length("text")
+    child = F.floor((F.col("turn") + 2) / 2)
+    role, other = (F.when(child % 2 == odd, "preparation").otherwise("extraction") for odd in (1, 0))
+    plan = seq % 2 == 1
+    numbered = lambda prefix, x: F.concat(F.lit(prefix), x)
+    events = turns.select(
+        F.col("conv_id").cast("string").alias("campaign"), seq.alias("seq"), F.timestamp_seconds(86_400 + F.col("turn") * 60).alias("at"), F.when(plan, "plan").otherwise("record").alias("kind"),
+        numbered("c", child).alias("id"), numbered("plan", child).alias("plan_id"), numbered("p", F.floor((child + 1) / 2)).alias("pair_id"), role.alias("role"),
+        F.when(n % 7 == 0, "old").otherwise(numbered("k", child - 1)).alias("baseline"), numbered("k", child).alias("result"), numbered("g", child - 1).alias("graph_before"), numbered("g", child).alias("graph_after"),
+        F.when(n % 11 == 0, other).otherwise(role).alias("audit_role"), (n % 5 != 0).alias("audit_passed"),
+    )
+    at = f"{shared_dir(spark)}/orebody-ledger-{uuid.uuid4().hex}"
+    ledger.written(ledger.checked(events, ttl_ms=210_000), f"{at}/out", f"{at}/checkpoint")
+    return spark.read.schema(ledger.OUT).parquet(f"{at}/out").select("campaign", "seq", "id", "accepted", "reason")

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime
 import hashlib
 import json
 import random
@@ -10,7 +11,8 @@ from orebody.config import Application, Config, Weights
 from orebody.functions import paths
 from orebody.operators import evacuation, portfolio, windows
 from orebody.plans import conflicts, journal
-from orebody.sources import scan
+from orebody.sources import lockfiles, scan
+from orebody.streaming import ledger
 
 
 def sha(x):
@@ -331,18 +333,53 @@ def test_ledger(spark):
     assert {tuple(r)[1:] for r in journal.ledger_issues(l).collect()} == {(4, "sequence"), (4, "repeated-id"), (4, "stale-baseline"), (4, "unaudited")}
 
 
-def test_streaming_ledger(spark, tmp_path):
-    from orebody.streaming import ledger
-
-    events = [("c", 1, "a", None, "r1"), ("c", 2, "b", "r1", "r2"), ("c", 2, "b", "r1", "r2"), ("c", 3, "x", "old", "r3"), ("c", 5, "y", "r2", "r5"), ("c", 3, "z", "r2", "r3")]
-    schema = "campaign string, seq long, id string, baseline string, result string"
-    for i, part in enumerate((events[:3], events[3:])):
-        spark.createDataFrame(part, schema).coalesce(1).write.json(f"file://{tmp_path}/in/{i}")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 10).option("recursiveFileLookup", True).json(f"file://{tmp_path}/in")
-    q = ledger.checked(stream).writeStream.format("memory").queryName("ledger_out").option("checkpointLocation", f"file://{tmp_path}/check").trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = {(r.seq, r.id, r.accepted) for r in spark.table("ledger_out").collect()}
-    assert {(1, "a", True), (2, "b", True)} <= got and sum(1 for g in got if g[2]) == 3
+def ledger_event(seq, kind, child=None, at=0, **more):
+    base = {"campaign": "c", "seq": seq, "at": datetime.datetime.fromtimestamp(86_400 + at, datetime.UTC).replace(tzinfo=None), "kind": kind, "id": None, "plan_id": None, "pair_id": None, "role": None, "baseline": None, "result": None, "graph_before": None, "graph_after": None, "audit_role": None, "audit_passed": None}
+    if child:
+        role = "preparation" if child % 2 else "extraction"
+        base |= {"id": f"i{child}", "plan_id": f"n{child}", "pair_id": f"p{(child + 1) // 2}", "role": role, "baseline": f"k{child - 1}", "result": f"k{child}", "graph_before": f"g{child - 1}", "graph_after": f"g{child}", "audit_role": role, "audit_passed": True}
+    return base | more
+
+
+def test_ledger_rules():
+    def run(*events, most=None):
+        state, used, out = {"seq": 0, "status": "active", "commit": None, "graph": None, "pending": None, "last": None, "applied": 0}, {"ids": [], "plans": [], "pairs": []}, []
+        for e in events:
+            out.append(ledger.refusal(state, e, used))
+            if out[-1] is None:
+                ledger.advanced(state, e, used, most)
+        return out, state
+
+    e = ledger_event
+    whole = [e(1, "plan", 1), e(2, "record", 1), e(3, "plan", 2), e(4, "record", 2), e(5, "complete")]
+    out, state = run(*whole)
+    assert out == [None] * 5 and state["status"] == "completed" and state["commit"] == "k2" and state["applied"] == 2
+    assert run(*whole, e(6, "plan", 3))[0][-1] == "campaign is completed" and run(*whole[:3], e(4, "stop"), e(5, "record", 2))[0][-1] == "campaign is stopped"
+    for event, why in [
+        (e(3, "plan", 2, baseline="old"), "stale baseline"), (e(3, "plan", 2, id="i1"), "duplicate child"), (e(3, "plan", 2, plan_id="n1"), "duplicate plan"), (e(3, "plan", 2, role="preparation"), "must extract after a preparation"),
+        (e(3, "plan", 2, pair_id="other"), "must share the pair of the preparation"), (e(3, "record", 2), "no child awaits application"), (e(2, "plan", 2), "already recorded"), (e(4, "plan", 2), "gap"), (e(3, "else"), "unknown kind"),
+    ]:
+        assert run(*whole[:2], event)[0][-1] == why
+    for event, why in [
+        (e(4, "plan", 3), "another child awaits application"), (e(4, "record", 2, id="i9"), "can't skip the planned child"), (e(4, "record", 2, graph_before="g0"), "graph doesn't follow"),
+        (e(4, "record", 2, audit_role="preparation"), "audit of another kind"), (e(4, "record", 2, audit_passed=False), "audit failed"), (e(4, "complete"), "a child awaits application"),
+    ]:
+        assert run(*whole[:3], event)[0][-1] == why
+    assert run(e(1, "plan", 2))[0] == ["must prepare first"] and run(*whole[:4], e(5, "plan", 3, pair_id="p1"))[0][-1] == "pair is completed"
+    assert run(*whole[:4], most=2)[1]["status"] == "stopped"
+
+
+def test_streaming_ledger_keeps_state_expires_and_repeats_no_batch(spark, tmp_path):
+    e = ledger_event
+    parts = [[e(1, "plan", 1), e(2, "record", 1, at=10)], [e(2, "record", 1, at=20), e(3, "plan", 2, at=30, baseline="old")], [e(3, "plan", 2, at=40), e(1, "plan", 1, at=9000, campaign="other")], [e(4, "record", 2, at=9100)]]
+    schema, at = ledger.EVENT, f"file://{tmp_path}"
+    for i, part in enumerate(parts):
+        spark.createDataFrame([tuple(x.values()) for x in part], ", ".join(f"{k} {v}" for k, v in (c.split(" ") for c in schema.split(", ")))).coalesce(1).write.json(f"{at}/in/{i}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).json(f"{at}/in")
+        ledger.written(ledger.checked(stream, ttl_ms=60_000), f"{at}/out", f"{at}/check")
+    got = sorted(map(tuple, spark.read.schema(ledger.OUT).parquet(f"{at}/out").select("campaign", "seq", "id", "accepted", "reason").collect()), key=repr)
+    want = [("c", 1, "i1", True, None), ("c", 2, "i1", True, None), ("c", 2, "i1", False, "already recorded"), ("c", 3, "i2", False, "stale baseline"), ("c", 3, "i2", True, None), ("other", 1, "i1", True, None), ("c", 3, None, None, "expired"), ("c", 4, "i2", False, "gap"), ("other", 1, None, None, "expired")]
+    assert got == sorted(want, key=repr)
 
 
 def test_marginal_blockers(spark):
@@ -485,3 +522,20 @@ def test_relative_resolution_order(spark):
     refs = spark.createDataFrame([("a/x.ts", "./b"), ("a/x.ts", "../c"), ("a/x.ts", "./d.js"), ("a/x.ts", "./none"), ("c.ts", "../../c")], "source string, specifier string")
     got = {r.specifier: r.resolved for r in references.resolve_relative(refs, tree).collect()}
     assert got == {"./b": "a/b.ts", "../c": "c.ts", "./d.js": "a/d.ts", "./none": None, "../../c": "c.ts"}
+
+
+def test_lockfiles_by_hand(spark):
+    text = "lockfileVersion: '9.0'\n\nimporters:\n\n  .:\n    dependencies:\n      left:\n        specifier: ^1.0.0\n        version: 1.0.0\n    devDependencies:\n      '@a/b':\n        specifier: 'workspace:*'\n        version: 'link:../b:'\n\n  pkg/x: {}\n\n  pkg/y:\n    dependenciesMeta:\n      left:\n        injected: true\n\npackages:\n\n  left@1.0.0:\n    dependencies:\n      not: mine\n"
+    locks = spark.createDataFrame([("l", text), ("none", "packages:\n  a: b\n"), ("empty", "")], "lock string, text string")
+    assert {tuple(r) for r in lockfiles.dependencies(locks).collect()} == {("l", ".", "dependencies", "left", "^1.0.0", "1.0.0"), ("l", ".", "devDependencies", "@a/b", "workspace:*", "link:../b:")}
+    found = {r.root: (r.start, r.lines, r.block_hash) for r in lockfiles.importers(locks).collect()}
+    assert found["pkg/x"] == (14, 2, sha("  pkg/x: {}\n\n")) and found["."][:2] == (4, 10) and found["pkg/y"][:2] == (16, 5)
+    assert {tuple(r) for r in lockfiles.faults(locks).collect()} == {("none", "no-importers", None), ("empty", "no-importers", None), ("l", "unfamiliar-mapping", "dependenciesMeta:")}
+    roots = spark.createDataFrame([("l", "."), ("l", "pkg/x"), ("l", "gone")], "lock string, root string")
+    declared = spark.createDataFrame([("l", ".", "dependencies", "left", "^1.0.0", "1.0.1"), ("l", "pkg/x", "dependencies", "n", "1", "1"), ("l", "gone", "dependencies", "n", "1", "1")], "lock string, root string, section string, name string, specifier string, version string")
+    assert {tuple(r)[1:] for r in lockfiles.compared(roots, declared, locks).collect()} == {(".", "dependencies", "left", "differs"), (".", "devDependencies", "@a/b", "undeclared"), ("pkg/x", "dependencies", "n", "missing"), ("gone", None, None, "no-importer")}
+    again = lockfiles.rendered(roots, declared)
+    assert {tuple(r) for r in lockfiles.dependencies(again).collect()} == {tuple(r) for r in declared.collect()}
+    bun = '{\n  "lockfileVersion": 1,\n  "workspaces": {\n    "": {\n      "name": "root",\n    },\n    "pkg/a": {\n      "dependencies": {\n        "x": "1",\n      },\n    },\n  },\n  "packages": {\n    "x": ["x@1.0.0", ""],\n\n    "a/x": ["x@2"],\n  }\n}\n'
+    got = {tuple(r)[1:] for r in lockfiles.json_entries(spark.createDataFrame([("b", bun)], "lock string, text string")).collect()}
+    assert got == {("workspaces", "", 3, 3), ("workspaces", "pkg/a", 6, 5), ("packages", "x", 13, 1), ("packages", "a/x", 15, 1)}
