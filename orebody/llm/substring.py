@@ -10,7 +10,7 @@
 2. Exact grouping. Only windows whose key is estimated at two or more are grouped, by a 128-bit
    hash, each task adding up its own first. The groups of one are the sketch's false alarms;
    they keep their row and position.
-3. Removal. Each text joins its false alarms; its other estimated windows are repeated.
+3. Removal. Each text joins its false alarms (broadcast while they are few); its other estimated windows are repeated.
 
 Windows are judged on the input. Results depend on texts alone, so repeated rows are copies of
 each other and lose their windows like any copies.
@@ -27,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hasher, Powers, chunks, mixed, parts, texts
+from .common import Hasher, Powers, chunks, mixed, parts, texts, written
 
 GRAM = 16
 ROWS = 2
 MOST_BITS = 28
 SLICE_BITS = 18
+#: False alarms (20 bytes each) that are broadcast to the texts; with more, the texts are shuffled to theirs.
+FEW = 300_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
@@ -203,9 +205,10 @@ def removals(docs: DataFrame, text: str = "text", length: int = 35, keep_text: b
         return pa.RecordBatch.from_arrays([pa.array(h1[heads].view(np.int64)), pa.array(h2[heads].view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int8)), pa.array(uid[order][heads]), pa.array(pos[order][heads].astype(np.int32))], names=["h1", "h2", "n", "uid", "pos"])
 
     windows = rows.select("__uid", "__text").mapInArrow(group, "h1 long, h2 long, n byte, uid long, pos int")
-    single = windows.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("uid").alias("__uid"), F.min("pos").alias("pos")).where("n = 1")
+    single = written(windows.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("uid").alias("__uid"), F.min("pos").alias("pos")).where("n = 1").select("__uid", "pos", "h1"), "alarms")
     alarms = single.groupBy("__uid").agg(F.collect_list(F.struct("pos", "h1")).alias("__false"))
-    joined = rows.join(alarms, "__uid", "left").select(*[F.col(f"`{c}`") for c in names], "__text", "__false")
+    few = single.limit(FEW + 1).count() <= FEW
+    joined = rows.join(F.broadcast(alarms) if few else alarms, "__uid", "left").select(*[F.col(f"`{c}`") for c in names], "__text", "__false")
     schema = joined.drop("__text", "__false").withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "kept_sha256": F.lit("")} | ({"kept_text": F.lit("")} if keep_text else {})).schema
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

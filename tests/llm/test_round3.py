@@ -13,7 +13,7 @@ import pytest
 from test_operators import AWKWARD, SF, awkward, docs, empty, key  # noqa: F401
 from tokenizers import Tokenizer
 
-from orebody.llm import collocation, html_extract, lattice, lm_score, packing, runs, sentpiece
+from orebody.llm import collocation, html_extract, lattice, lm_score, packing, runs, sentpiece, substring
 from orebody.llm.queries import QUERIES
 
 
@@ -219,3 +219,12 @@ def test_op1_and_op5_need_no_model_file_on_executors(spark, tmp_path):
     out = lm_score.scored(rows, held_out(7), model=str(tmp_path / "b.model"))
     (tmp_path / "b.model").unlink()
     assert len(out.collect()) == 4
+
+
+def test_op10_alarms_broadcast_or_joined(docs, monkeypatch):  # noqa: F811
+    """With a full sketch there are many false alarms; both ways of bringing them to their texts give the same."""
+    monkeypatch.setattr(substring, "MOST_BITS", 12)
+    want = key((d, *x) for (d, _), x in zip(rows_of(docs, "doc_id", "text"), brute.substring([t for _, t in rows_of(docs, "doc_id", "text")]), strict=True))
+    for few in (0, 1_000_000):
+        monkeypatch.setattr(substring, "FEW", few)
+        assert key(tuple(r) for r in substring.removals(docs.select("doc_id", "text")).collect()) == want
