@@ -67,7 +67,8 @@ ORACLE: dict[str, str] = {
         base AS (SELECT domain, count(*) AS files, sum(line_count)::BIGINT AS lines, count(*) FILTER (path IN (SELECT path FROM cf)) AS closed_files, coalesce(sum(line_count) FILTER (path IN (SELECT path FROM cf)), 0)::BIGINT AS closed_lines FROM gm GROUP BY 1)
         SELECT *, CASE WHEN lines > 0 THEN floor(closed_lines * 1000 / lines + 0.5) / 10 ELSE 0.0 END AS closed_percent, (SELECT count(DISTINCT b) FROM x WHERE a = domain) AS needs, (SELECT count(DISTINCT a) FROM x WHERE b = domain) AS needed_by, (SELECT count(*) FROM x WHERE a = domain) AS cross_edges, files - closed_files AS blocked_files FROM base""",
     "domain_components": f"WITH RECURSIVE {_L}, {_M}, e0 AS (SELECT DISTINCT l_partkey src, nxt dst FROM l WHERE l_quantity >= 49 AND nxt IS NOT NULL), e AS (SELECT DISTINCT a.domain src, b.domain dst FROM e0 JOIN m a ON a.path = e0.src JOIN m b ON b.path = e0.dst WHERE a.domain <> b.domain), {_C}, {_LY} SELECT c.id, c.comp, ly.layer FROM c JOIN ly USING (comp)",
-    "key_layers": "SELECT * FROM (VALUES ('region', 0), ('nation', 1), ('customer', 2), ('supplier', 2), ('orders', 3), ('lineitem', 4), ('part', 0)) v(comp, layer)",
+    "key_layers": "SELECT DISTINCT * FROM (SELECT 'line/' || l_orderkey AS comp, 4 AS layer FROM lineitem UNION ALL SELECT 'part/' || l_partkey, 0 FROM lineitem UNION ALL SELECT 'order/' || o_orderkey, 3 FROM orders UNION ALL SELECT 'customer/' || c_custkey, 2 FROM customer UNION ALL SELECT 'supplier/' || s_suppkey, 2 FROM supplier UNION ALL SELECT 'nation/' || n_nationkey, 1 FROM nation UNION ALL SELECT 'region/' || n_regionkey, 0 FROM nation)",
+    "scc_all_edges": f"WITH RECURSIVE {_e(1)}, {_C}, {_LY} SELECT c.id, c.comp, ly.layer FROM c JOIN ly USING (comp)",
     "ownership": f"WITH {_M} SELECT owner, count(*) AS files, sum(line_count)::BIGINT AS lines FROM m GROUP BY 1",
     "external_packages": "SELECT l_suppkey AS package, count(*) AS uses FROM lineitem GROUP BY 1",
     "adjacency": f"WITH {_e()} SELECT src AS id, string_agg(dst::VARCHAR, ',' ORDER BY dst) AS targets FROM e GROUP BY 1",

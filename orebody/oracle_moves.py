@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import fields
+
+from .config import Config
 from .oracle import _ALL, _C, _L, _M, _e
 from .oracle import ORACLE as _ENGINE
 from .oracle_plans import _OI, _P
@@ -136,4 +139,6 @@ ORACLE: dict[str, str] = {
         f AS (SELECT *, coalesce(min(seq) FILTER (bad IS NOT NULL) OVER (PARTITION BY conv_id), 99) AS stop, max(seq) OVER () AS top FROM b)
         SELECT conv_id::VARCHAR AS campaign, seq, 'c' || ((seq + 1) // 2) AS id, seq < stop AS accepted, CASE WHEN seq = stop THEN bad WHEN seq > stop THEN 'gap' END AS reason FROM f
         UNION ALL SELECT conv_id::VARCHAR, max(seq), NULL, NULL, 'expired' FROM f WHERE seq < stop GROUP BY conv_id, top HAVING max(seq) + 3.5 < top""",
+    "config_doctor": f"""WITH df(setting, dv) AS (VALUES {", ".join("('" + f.name + "', '" + str(getattr(Config(), f.name)).replace("'", "''") + "')" for f in fields(Config))}), gv AS (SELECT c_custkey AS owner, 'scope' AS setting, '@' || lower(c_mktsegment) AS value FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 'min_files', (c_custkey % 4)::VARCHAR FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT c_custkey, 'min_size', c_custkey::VARCHAR FROM customer WHERE c_custkey % 11 = 0)
+        SELECT c_custkey AS owner, df.setting, coalesce(value, dv) AS value, coalesce(value <> dv, false) AS given FROM customer CROSS JOIN df LEFT JOIN gv ON gv.owner = c_custkey AND gv.setting = df.setting UNION ALL SELECT owner, setting, 'unknown', true FROM gv WHERE setting = 'min_size'""",
 }

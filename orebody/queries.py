@@ -12,7 +12,7 @@ from .config import Config, Weights
 from .functions import documents, paths
 from .operators import dependencies, evacuation, graph, metrics, portfolio, references, reports, symbols, windows
 from .plans import audit, conflicts, journal
-from .session import cut
+from .session import cut, fingerprint, reused
 from .sources import records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,10 +115,25 @@ def domain_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def key_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Layers of the tables' foreign keys, an acyclic control."""
-    fk = [("lineitem", "orders"), ("orders", "customer"), ("customer", "nation"), ("nation", "region"), ("supplier", "nation"), ("lineitem", "supplier"), ("lineitem", "part")]
-    e = spark.createDataFrame(fk, "src string, dst string")
-    return graph.layers(graph.nodes(e).select(F.col("id").alias("comp")), e)
+    """Layers of all rows by their foreign keys, an acyclic graph of known depth, in the form for graphs of any size."""
+
+    def links(name: str, prefix: str, key: str, *to: tuple[str, str]) -> DataFrame:
+        t = table(spark, sf_dir, name)
+        node = lambda p, c: F.concat(F.lit(p), F.col(c))
+        return t.select(node(prefix, key).alias("src"), F.explode(F.array(*[node(p, c) for p, c in to])).alias("dst"))
+
+    line = links("lineitem", "line/", "l_orderkey", ("order/", "l_orderkey"), ("supplier/", "l_suppkey"), ("part/", "l_partkey"))
+    e = line.union(links("orders", "order/", "o_orderkey", ("customer/", "o_custkey"))).union(links("customer", "customer/", "c_custkey", ("nation/", "c_nationkey"))).union(links("supplier", "supplier/", "s_suppkey", ("nation/", "s_nationkey"))).union(links("nation", "nation/", "n_nationkey", ("region/", "n_regionkey")))
+    e = cut(e.distinct())
+    return graph.layers(graph.nodes(e).select(F.col("id").alias("comp")), e, limit=0)
+
+
+@query
+def scc_all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components and layers of the graph of all line items, in the form for graphs of any size."""
+    e = cut(edges(spark, sf_dir, 1))
+    comps = cut(graph.strong_components(e, limit=0))
+    return comps.join(graph.layers(comps.select("comp"), graph.condensed(e, comps), limit=0), "comp").select("id", "comp", "layer")
 
 
 @query
@@ -198,14 +213,33 @@ def view_backbone(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Candidates
 
 
+CONFIG = Config(min_files=2, max_files=20, generic_segments=("brand-7", "brand-11"), max_recommended_files=12, max_recommended_lines=400, high_inbound=3, high_fan_out=3)
+
+
+def _keeper(spark: SparkSession, sf_dir: str) -> Callable[[str, Callable[[], DataFrame]], DataFrame]:
+    """Relations of line items and parts, kept by name for the queries that share them."""
+    seen = fingerprint(spark, [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "part")])
+    return lambda name, build: reused(spark, name, seen, {"config": CONFIG}, build)
+
+
 def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(edges, nodes, files (cand, path) of each component and all it reaches, facts of each candidate)."""
-    e = cut(edges(spark, sf_dir))
-    comps = cut(graph.strong_components(e))
+    keep = _keeper(spark, sf_dir)
+    e = keep("edges", lambda: edges(spark, sf_dir))
+    comps = keep("components", lambda: graph.strong_components(e))
     nodes = graph_modules(spark, sf_dir, e)
-    reach = graph.closure(graph.condensed(e, comps))
-    whole = comps.select(F.col("comp").alias("cand"), F.col("comp")).distinct().union(reach.select(F.col("src").alias("cand"), F.col("dst").alias("comp")))
-    files = cut(whole.join(comps, "comp").select("cand", F.col("id").alias("path")))
+
+    def closures() -> DataFrame:
+        reach = graph.closure(graph.condensed(e, comps))
+        whole = comps.select(F.col("comp").alias("cand"), F.col("comp")).distinct().union(reach.select(F.col("src").alias("cand"), F.col("dst").alias("comp")))
+        return whole.join(comps, "comp").select("cand", F.col("id").alias("path"))
+
+    files = keep("closures", closures)
+    return e, nodes, files, keep("facts", lambda: _facts(e, nodes, comps, files))
+
+
+def _facts(e: DataFrame, nodes: DataFrame, comps: DataFrame, files: DataFrame) -> DataFrame:
+    """(cand, ...): the facts of each candidate that its rules and scores read."""
     into, out = (e.groupBy(F.col(side).alias("path")).agg(F.count(F.lit(1)).alias(n)) for side, n in (("dst", "fan_in"), ("src", "fan_out")))
     some = nodes.join(into, "path", "left").join(out, "path", "left").fillna(0, ["fan_in", "fan_out"])
     every = lambda k, n: F.count_if(F.col("path") % k == 0).alias(n)
@@ -227,11 +261,9 @@ def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     tested = comps.groupBy(F.col("comp").alias("cand")).agg(F.count_if(F.col("id") % 10 == 3).alias("seed_tests"))
     for more in (seen, dyn, inbound, packages, tested):
         facts = facts.join(more, "cand", "left")
-    facts = facts.fillna(0, ["consumers", "unsupported", "inbound", "dependencies", "seed_tests"])
-    return e, nodes, files, facts
+    return facts.fillna(0, ["consumers", "unsupported", "inbound", "dependencies", "seed_tests"])
 
 
-CONFIG = Config(min_files=2, max_files=20, generic_segments=("brand-7", "brand-11"), max_recommended_files=12, max_recommended_lines=400, high_inbound=3, high_fan_out=3)
 
 
 def _judged(facts: DataFrame) -> DataFrame:
@@ -307,9 +339,10 @@ def jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _grouped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     """(edges, nodes, files, judged candidates, their groups)."""
     e, nodes, files, facts = _candidates(spark, sf_dir)
-    judged = cut(_judged(facts))
+    keep = _keeper(spark, sf_dir)
+    judged = keep("judged", lambda: _judged(facts))
     kinds = judged.select("id", "score", F.concat_ws("|", "application", "eligible", "classification", "status").alias("kind"))
-    return e, nodes, files, judged, cut(portfolio.equivalence_groups(kinds, files, CONFIG.similarity))
+    return e, nodes, files, judged, keep("groups", lambda: portfolio.equivalence_groups(kinds, files, CONFIG.similarity))
 
 
 @query

@@ -585,8 +585,9 @@ def test_package(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def preparation_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates before and after an application's dynamic edges are prepared away: rejections that go and that come."""
-    before = _judged(_candidates(spark, sf_dir)[3]).select("id", F.explode_outer("codes").alias("code"))
-    facts = _candidates(spark, sf_dir)[3].withColumns({"unsupported": F.lit(0), "composition": F.lit(0)})
+    facts = _candidates(spark, sf_dir)[3]
+    before = _judged(facts).select("id", F.explode_outer("codes").alias("code"))
+    facts = facts.withColumns({"unsupported": F.lit(0), "composition": F.lit(0)})
     after = _judged(facts).select("id", F.explode_outer("codes").alias("code"))
     gone = before.exceptAll(after).groupBy("code").agg(F.count(F.lit(1)).alias("n")).withColumn("change", F.lit("gone"))
     return gone.union(after.exceptAll(before).groupBy("code").agg(F.count(F.lit(1)).alias("n")).withColumn("change", F.lit("come")))
@@ -693,8 +694,11 @@ def baseline_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def config_doctor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Effective settings: value, and whether it is given or a default."""
-    return records.effective(spark, CONFIG)
+    """Customers' settings as they are in force: some set a scope, a smallest size (at times the default one) or a name that doesn't exist."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("owner"), "c_mktsegment")
+    some = lambda rule, name, value: c.where(rule).select("owner", F.lit(name).alias("setting"), value.cast("string").alias("value"))
+    given = some("owner % 2 = 0", "scope", F.concat(F.lit("@"), F.lower("c_mktsegment"))).union(some("owner % 5 = 0", "min_files", F.col("owner") % 4)).union(some("owner % 11 = 0", "min_size", F.col("owner")))
+    return records.effective_by_owner(given, c)
 
 
 @query

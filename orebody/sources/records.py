@@ -38,6 +38,15 @@ def effective(spark: SparkSession, config: Config) -> DataFrame:
     return spark.createDataFrame([(f.name, str(getattr(config, f.name)), getattr(config, f.name) != getattr(plain, f.name)) for f in fields(Config)], "setting string, value string, given boolean")
 
 
+def effective_by_owner(given: DataFrame, owners: DataFrame) -> DataFrame:
+    """(owner, setting, value, given): every setting of each owner, as it gives it (owner, setting, value) or by default; a given setting that doesn't exist has no default and is listed as ``unknown``."""
+    plain = owners.sparkSession.createDataFrame([(f.name, str(getattr(Config(), f.name))) for f in fields(Config)], "setting string, default string")
+    every = owners.select("owner").distinct().crossJoin(F.broadcast(plain)).withColumn("known", F.lit(True))
+    j = every.join(given.select("owner", "setting", "value"), ["owner", "setting"], "full_outer")
+    value = F.when(F.col("known").isNull(), "unknown").otherwise(F.coalesce("value", "default"))
+    return j.select("owner", "setting", value.alias("value"), F.coalesce(F.col("value") != F.col("default"), F.col("known").isNull()).alias("given"))
+
+
 def canonical_settings(settings: Column, local: tuple[str, ...]) -> Column:
     """A map of settings as JSON with sorted keys, without those that belong to the machine."""
     kept = F.map_filter(settings, lambda k, _: ~k.isin(*local))
