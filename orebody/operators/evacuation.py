@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,17 +13,17 @@ from . import graph
 
 
 def select_files(nodes: DataFrame, selectors: list[str]) -> DataFrame:
-    """nodes that a selector picks; one that picks nothing, and picks from two applications, are errors."""
-    out = None
-    for s in selectors:
-        hit = nodes.where(selected(F.col("path"), s))
-        if not hit.limit(1).collect():
+    """nodes that a selector picks, repeated rows once; one that picks nothing, and picks from two applications, are errors. The counts of all selectors take one pass."""
+    if not selectors:
+        return nodes.limit(0)
+    hits = [selected(F.col("path"), s) for s in selectors]
+    found = nodes.agg(*[F.count_if(h).alias(f"n{i}") for i, h in enumerate(hits)], F.countDistinct(F.when(reduce(Column.__or__, hits), F.coalesce(F.col("application").cast("string"), F.lit("")))).alias("applications")).first()
+    for i, s in enumerate(selectors):
+        if not found[f"n{i}"]:
             raise ValueError(f"selector {s} matches nothing")
-        out = hit if out is None else out.union(hit)
-    out = out.distinct()
-    if out.select("application").distinct().limit(2).count() > 1:
+    if found["applications"] > 1:
         raise ValueError("selectors cross applications")
-    return out
+    return nodes.where(reduce(Column.__or__, hits)).dropDuplicates()
 
 
 def bounded_union(comps: DataFrame, edges: DataFrame, chosen: DataFrame, composition: DataFrame) -> DataFrame:

@@ -71,6 +71,8 @@ ORACLE: dict[str, str] = {
     "plan_pipeline": f"WITH {_OWN}, {_OI}, {_JO}, a AS (SELECT plan, count(*) AS operations, count(*) FILTER (kind LIKE 'move%') AS moves, arg_min(path, idx) AS first, arg_max(path, idx) AS last FROM jo GROUP BY 1) SELECT a.*, (SELECT count(DISTINCT subject) FROM oz WHERE oz.plan = a.plan) AS faulty FROM a",
     "consolidation_order": f"WITH {_P} SELECT plan, idx, kind, row_number() OVER (PARTITION BY plan ORDER BY CASE WHEN kind = 'rewrite-import' THEN 0 WHEN mv THEN 1 ELSE 2 END, idx) AS place FROM op",
     "inferred_dependencies": f"WITH {_IN} SELECT * FROM inf",
+    "jsx_dependencies": f"""WITH {_IN}, so AS (SELECT p_partkey % 40 AS plan, p_partkey % 120 AS owner, p_partkey % 3 = 0 AS tsx FROM part), du AS (SELECT plan FROM so WHERE plan % 4 <> 0 GROUP BY 1 HAVING bool_or(tsx)), vs AS (SELECT so.plan, count(DISTINCT s_nationkey % 2) AS k, min('18.' || s_nationkey % 2) AS v FROM (SELECT DISTINCT plan, owner FROM so) so JOIN supplier ON s_suppkey % 120 = so.owner WHERE s_nationkey < 8 GROUP BY 1)
+        SELECT plan, name::VARCHAR AS name, section, version::VARCHAR AS version, fault FROM inf UNION ALL SELECT du.plan, 'react', 'runtime', CASE WHEN k IS NULL THEN '17.0' WHEN k = 1 THEN v END, CASE WHEN k > 1 THEN 'ambiguous' END FROM du LEFT JOIN vs USING (plan)""",
     "dependency_decisions": f"WITH {_IN}, w AS (SELECT plan, name, string_agg(DISTINCT CASE WHEN test THEN 'test-import' WHEN ty THEN 'type-only-import' ELSE 'production-import' END, ',' ORDER BY CASE WHEN test THEN 'test-import' WHEN ty THEN 'type-only-import' ELSE 'production-import' END) AS reasons, count(DISTINCT file) AS sources FROM nd GROUP BY 1, 2) SELECT plan, name, 'target-' || section AS decision, reasons, sources FROM inf JOIN w USING (plan, name) UNION ALL SELECT s_suppkey % 40, s_suppkey, 'donor-remove', 'no-retained-consumer', 0 FROM supplier WHERE s_acctbal < 0",
     "effect_inventory": f"{_REACH}, u AS (SELECT 'moved' AS origin, path FROM m WHERE domain = 'Brand#1' UNION ALL SELECT 'generated', path FROM m WHERE path % 20 = 0 UNION ALL SELECT 'reached', id FROM s WHERE id NOT IN (SELECT path FROM m WHERE domain = 'Brand#1') UNION ALL SELECT 'package', path FROM m WHERE zone = 'package') SELECT origin, ['call', 'assignment', 'import', 'decorator'][path % 4 + 1] AS kind, count(*) AS n, min(path::VARCHAR) AS first FROM u WHERE path % 3 = 0 GROUP BY 1, 2",
     "asset_reachability": f"WITH {_e(45)}, li AS (SELECT * FROM e WHERE src % 10 <> 3), us AS (SELECT src, dst FROM e WHERE src % 2 = 0 AND dst % 10 = 7), kp AS (SELECT DISTINCT src FROM us WHERE dst IN (SELECT dst FROM li WHERE src % 2 = 1)) SELECT src AS importer, dst AS asset FROM us WHERE src NOT IN (SELECT dst FROM li) AND src NOT IN (SELECT src FROM kp)",

@@ -67,6 +67,21 @@ def inferred(uses: DataFrame, versions: DataFrame, own: DataFrame) -> DataFrame:
     return j.select("plan", "name", F.when(F.col("value"), "runtime").otherwise("dev").alias("section"), F.when(F.col("k") == 1, F.col("v")).alias("version"), F.when(F.col("k").isNull(), "undeclared").when(F.col("k") > 1, "ambiguous").alias("fault"))
 
 
+def with_jsx_runtime(found: DataFrame, sources: DataFrame, profiles: DataFrame, declared: DataFrame, root_version: str | None, runtime: str = "react") -> DataFrame:
+    """inferred() with the runtime that compiled JSX imports by itself: a runtime dependency of each plan whose profile (plan, jsx) compiles JSX and which moves a .tsx source (plan, file, owner).
+
+    Its version is the one that the donating owners declare (owner, version), else the workspace root's; none is the
+    fault ``undeclared``, several are ``ambiguous``. It replaces an entry that was inferred for the same name.
+    """
+    due = sources.where(F.col("file").endswith(".tsx")).select("plan").distinct().join(profiles.where("jsx").select("plan"), "plan", "left_semi")
+    versions = sources.select("plan", "owner").distinct().join(declared.where("version IS NOT NULL"), "owner").groupBy("plan").agg(F.countDistinct("version").alias("k"), F.min("version").alias("v"))
+    j = due.join(versions, "plan", "left").withColumn("k", F.coalesce("k", F.lit(0)))
+    version = F.when(F.col("k") == 1, F.col("v")).when(F.col("k") == 0, F.lit(root_version))
+    mine = j.select("plan", F.lit(runtime).alias("name"), F.lit("runtime").alias("section"), version.alias("version"), F.when(F.col("k") > 1, "ambiguous").when(version.isNull(), "undeclared").alias("fault"))
+    others = found.join(mine.select("plan", "name"), ["plan", "name"], "left_anti").select("plan", "name", "section", "version", "fault")
+    return others.union(mine)
+
+
 def decisions(found: DataFrame, uses: DataFrame, pruned: DataFrame, apply: bool) -> DataFrame:
     """(plan, name, decision, reasons, sources): each inferred dependency with why, and each donor's dependency that nothing needs any more (plan, name)."""
     why = F.when(F.col("test"), "test-import").when(F.col("type_only"), "type-only-import").otherwise("production-import")

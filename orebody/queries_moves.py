@@ -355,6 +355,16 @@ def inferred_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _inferred(spark, sf_dir)
 
 
+@query
+def jsx_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same dependencies with the JSX runtime: parts as sources of plans, suppliers' nations as what owners declare."""
+    found = _inferred(spark, sf_dir).select("plan", F.col("name").cast("string").alias("name"), "section", F.col("version").cast("string").alias("version"), "fault")
+    p = table(spark, sf_dir, "part").select((F.col("p_partkey") % 40).cast("long").alias("plan"), F.concat(F.lit("src/"), F.col("p_partkey"), F.when(F.col("p_partkey") % 3 == 0, ".tsx").otherwise(".ts")).alias("file"), (F.col("p_partkey") % 120).alias("owner"))
+    profiles = p.select("plan", (F.col("plan") % 4 != 0).alias("jsx")).distinct()
+    declared = table(spark, sf_dir, "supplier").where("s_nationkey < 8").select((F.col("s_suppkey") % 120).alias("owner"), F.concat(F.lit("18."), F.col("s_nationkey") % 2).alias("version"))
+    return build.with_jsx_runtime(found, p, profiles, declared, "17.0")
+
+
 @query
 def dependency_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = table(spark, sf_dir, "supplier").where("s_acctbal < 0").select((F.col("s_suppkey") % 40).alias("plan"), F.col("s_suppkey").alias("name"))

@@ -183,3 +183,13 @@ def test_value_splits_name_what_stays(spark):
     asked = spark.createDataFrame([(10, "f", "a"), (11, "f", "d"), (12, "f", "e"), (13, "f", "b"), (14, "g", "a"), (15, "g", "q")], "key long, file string, name string")
     got = {r.key: (r.verdict, r.members, r.offenders) for r in closures.value_splits(d, e, asked)[0].collect()}
     assert got == {10: ("retained", 3, ["b", "c"]), 11: ("retained", 3, ["b"]), 12: ("not-exported-value", 0, []), 13: ("not-exported-value", 0, []), 14: ("splits", 2, []), 15: ("unknown", 0, [])}
+
+
+def test_jsx_runtime_by_hand(spark):
+    found = spark.createDataFrame([("a", "react", "dev", "1", None), ("a", "left", "dev", "1", None), ("d", "react", "dev", "1", None)], "plan string, name string, section string, version string, fault string")
+    sources = spark.createDataFrame([("a", "x.tsx", "o1"), ("a", "y.ts", "o2"), ("b", "x.tsx", "o1"), ("b", "y.tsx", "o3"), ("c", "x.tsx", "o4"), ("d", "x.ts", "o1"), ("e", "x.tsx", "o1")], "plan string, file string, owner string")
+    profiles = spark.createDataFrame([(x, x != "e") for x in "abcde"], "plan string, jsx boolean")
+    declared = spark.createDataFrame([("o1", "18"), ("o2", "18"), ("o3", "19"), ("o4", None)], "owner string, version string")
+    want = [("a", "left", "dev", "1", None), ("d", "react", "dev", "1", None), ("a", "react", "runtime", "18", None), ("b", "react", "runtime", None, "ambiguous")]
+    assert set(rows(build.with_jsx_runtime(found, sources, profiles, declared, "17"))) == {*want, ("c", "react", "runtime", "17", None)}
+    assert set(rows(build.with_jsx_runtime(found, sources, profiles, declared, None))) == {*want, ("c", "react", "runtime", None, "undeclared")}
