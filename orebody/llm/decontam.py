@@ -16,11 +16,12 @@ enumerates all 728), so with ``least`` of 12 or more no stretch that alignment a
 without a key; a shorter item, taken whole, has one of the plain mask. A mask needs no more words
 than it spans.
 
-At scale: documents are never shuffled. Up to BROADCAST_ROWS keys of the benchmark are broadcast, each mask's to
+At scale: documents without a hit are never shuffled. Up to BROADCAST_ROWS keys of the benchmark are broadcast, each mask's to
 its own join. Beyond, bits of the keys in BITMAP_ROWS words at most are broadcast, and the
 document's keys that they let through (all that match, and a share of the others that the bits'
-load sets) are shuffled alone, without text, to the benchmark's. Only documents with a hit are
-then read again and aligned.
+load sets) are shuffled alone, without text, to the benchmark's. Hits are deduplicated by
+document, item and diagonal, again without text; only the words' hashes of documents with a hit (found by a broadcast of
+their keys, or by bits of these) are then shuffled to them, once each, and aligned.
 """
 
 from __future__ import annotations
@@ -71,32 +72,31 @@ def _stretches(docs: DataFrame, tests: DataFrame, doc_id: str, item_id: str, tex
     seeds = written(seeds, "seeds")
     words = docs.select(F.col(doc_id).alias("doc_id"), *text_keys(F.col(text)), _hashes(text).alias("__dh"))
     at = words.select(*row, "__dh", F.posexplode_outer("__dh").alias("__dp", "__w")).where("__dp is not null")
-    if seeds.count() <= BROADCAST_ROWS:
+    small = seeds.count() <= BROADCAST_ROWS
+    if small:
         keyed = at.withColumns({f"__k{m}": k for m, k in enumerate(_keys(F.col("__dh"), F.col("__dp")))})
         for m in range(len(MASKS)):
             keys = seeds.where(F.col("__mask") == m).select(F.col("__key").alias(f"__m{m}")).distinct()
             keyed = keyed.join(F.broadcast(keys), F.col(f"__k{m}") == F.col(f"__m{m}"), "left")
         kept = [F.col(f"__m{m}") for m in range(len(MASKS))]
-        keyed = keyed.where(F.coalesce(*kept).isNotNull())
-        # A slice of the text around the hit is all that an item of some length can be laid on.
-        longest = items.agg(F.max(F.size("__ih"))).first()[0] or SHORTEST
-        low = F.greatest(F.col("__dp") - longest, F.lit(0))
-        around = keyed.select(*row, "__dp", low.alias("__low"), F.slice("__dh", low + 1, 2 * longest).alias("__part"), F.explode(F.array(*kept)).alias("__key")).where("__key is not null")
-        hits = around.join(F.broadcast(seeds.select("item_id", "__ip", "__key")), "__key").withColumn("__start", F.col("__dp") - F.col("__ip"))
-        hits = hits.dropDuplicates([*row, "item_id", "__start"]).join(F.broadcast(items), "item_id")
+        asked = keyed.where(F.coalesce(*kept).isNotNull()).select(*row, "__dp", F.explode(F.array(*kept)).alias("__key")).where("__key is not null")
+        hits = asked.join(F.broadcast(seeds.select("item_id", "__ip", "__key")), "__key")
     else:
-        bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(k, F.lit(64)).cast("int"))
-        place = lambda k: F.pmod(F.shiftright(k, 6), F.lit(BITMAP_ROWS)).cast("int")
-        bits = seeds.groupBy(place(F.col("__key")).alias("__place")).agg(F.bit_or(bit(F.col("__key"))).alias("__bits"))
+        bits = _bits(seeds.select("__key"))
         asked = at.select(*row, "__dp", F.explode(F.array(*_keys(F.col("__dh"), F.col("__dp")))).alias("__key")).where("__key is not null")
-        asked = asked.withColumn("__place", place(F.col("__key"))).join(F.broadcast(bits), "__place").where(F.col("__bits").bitwiseAND(bit(F.col("__key"))) != 0)
-        hits = asked.select(*row, "__dp", "__key").join(seeds.select("item_id", "__ip", "__key"), "__key")
-        # One row for each document, item and diagonal; then only what hit anything is read again.
-        hits = written(hits.select(*row, "item_id", (F.col("__dp") - F.col("__ip")).alias("__start")).distinct(), "hits")
-        texts = words.select(*row, "__dh").join(hits.select(*[F.col(c).alias(f"__{c}") for c in row]).distinct(), _same(row, "__"), "left_semi")
-        texts = texts.dropDuplicates(row).select(*[F.col(c).alias(f"__{c}") for c in row], F.col("__dh").alias("__part"), F.lit(0).alias("__low"))
-        hits = hits.join(texts, _same(row, "__")).join(items, "item_id")
-    laid = F.transform("__ih", lambda w, i: F.when(F.coalesce(F.get("__part", F.col("__start") - F.col("__low") + i) == w, F.lit(False)), F.lit(EQUAL)).otherwise(F.lit(UNEQUAL)))
+        hits = _let_through(asked, F.col("__key"), bits).join(seeds.select("item_id", "__ip", "__key"), "__key")
+    # One row for each document, item and diagonal, without text; then only what hit anything is read again.
+    hits = written(hits.select(*row, "item_id", (F.col("__dp") - F.col("__ip")).alias("__start")).distinct(), "hits")
+    found = written(hits.select(*row).distinct().select(*[F.col(c).alias(f"__{c}") for c in row]), "hit-rows")
+    texts = words.select(*row, "__dh")
+    if found.count() <= BROADCAST_ROWS:
+        texts = texts.join(F.broadcast(found), _same(row, "__"), "left_semi")
+    else:
+        texts = _let_through(texts, F.xxhash64(*row), _bits(found.select(F.xxhash64(*[f"__{c}" for c in row]).alias("__key"))))
+        texts = texts.select(*row, "__dh").join(found, _same(row, "__"), "left_semi")
+    texts = texts.dropDuplicates(row).select(*[F.col(c).alias(f"__{c}") for c in row], F.col("__dh").alias("__part"))
+    hits = hits.join(texts, _same(row, "__")).join(F.broadcast(items) if small else items, "item_id")
+    laid = F.transform("__ih", lambda w, i: F.when(F.coalesce(F.get("__part", F.col("__start") + i) == w, F.lit(False)), F.lit(EQUAL)).otherwise(F.lit(UNEQUAL)))
     stretch = F.aggregate(
         laid,
         F.struct(*[F.lit(0).alias(c) for c in ("run", "equal", "from", "i", "best", "best_equal", "best_from", "best_to")]),
@@ -106,6 +106,25 @@ def _stretches(docs: DataFrame, tests: DataFrame, doc_id: str, item_id: str, tex
     return found.where(F.col("s.best_equal") >= F.least(F.lit(least), F.col("item_words")))
 
 
+def _place(key: Column) -> Column:
+    return F.pmod(F.shiftright(key, 6), F.lit(BITMAP_ROWS)).cast("int")
+
+
+def _bit(key: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(key, F.lit(64)).cast("int"))
+
+
+def _bits(keys: DataFrame) -> DataFrame:
+    """(__place, __bits) of keys (__key): at most BITMAP_ROWS words of 64 bits."""
+    return keys.groupBy(_place(F.col("__key")).alias("__place")).agg(F.bit_or(_bit(F.col("__key"))).alias("__bits"))
+
+
+def _let_through(rows: DataFrame, key: Column, bits: DataFrame) -> DataFrame:
+    """The rows whose key may be among those of the bits, and with it all that are."""
+    asked = rows.withColumn("__asked", key)
+    return asked.withColumn("__place", _place(F.col("__asked"))).join(F.broadcast(bits), "__place").where(F.col("__bits").bitwiseAND(_bit(F.col("__asked"))) != 0).drop("__asked", "__place", "__bits")
+
+
 def _same(row: list[str], mark: str) -> Column:
     """Equal keys of rows; null ids are equal to each other."""
     out = F.lit(True)
