@@ -260,11 +260,11 @@ def journal_of(rng, tree, n, spoil):
     for i in range(n):
         path = rng.choice("abcdef")
         there = path in now
-        kind = rng.choice(["move", "move", "rewrite", "delete"] if there else ["write"])
+        free = [x for x in "abcdefghijkl" if x not in now]
+        kind = rng.choice((["move", "move"] if free else []) + ["rewrite", "delete"] if there else ["write"])
         pre = sha(now[path]) if there else None
         target = content = None
         if kind == "move":
-            free = [x for x in "abcdefghijkl" if x not in now]
             target = rng.choice(free)
             content = rng.choice([None, None, f"moved {i}"])
             result = sha(now[path]) if content is None else sha(content)
