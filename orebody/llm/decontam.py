@@ -55,7 +55,8 @@ def overlaps(docs: DataFrame, tests: DataFrame, doc_id: str = "doc_id", item_id:
     """One row for each document and item that overlap: doc_id, item_id, matched (equal words), item_words, start (word of the text where the best stretch begins), span (its words).
 
     Null texts and items, and those of fewer than SHORTEST (7) words, overlap with nothing. Rows with a null id give a row with a null id. Documents with one id are
-    taken together (best stretch), but each is verified by itself. An empty benchmark gives no row.
+    taken together (best stretch), but each is verified by itself. Of equally good stretches the one that starts first counts. Texts are read whole, whatever their
+    length; columns but the id and the text are not read, so their names can't clash. An empty benchmark gives no row.
     """
     found = _stretches(docs, tests, doc_id, item_id, text, least)
     best = F.max(F.struct(F.col("s.best_equal").alias("matched"), (-F.col("__start") - F.col("s.best_from")).alias("neg"), (F.col("s.best_to") - F.col("s.best_from") + 1).alias("span"), "item_words"))
@@ -148,7 +149,10 @@ def _step(a: Column, score: Column) -> Column:
 
 
 def clean(docs: DataFrame, tests: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 12) -> DataFrame:
-    """docs without those that overlap with a benchmark item; each row by itself, whatever ids it shares with others."""
+    """docs without those that overlap with a benchmark item; each row by itself, whatever ids it shares with others.
+
+    A null or empty text holds nothing and stays; repeated rows fare alike; all columns stay as they are. An empty table stays empty.
+    """
     found = _stretches(docs, tests, doc_id, "item_id", text, least)
     bad = found.select(F.col("doc_id").alias("__bad"), F.col("tk1").alias("__tk1"), F.col("tk2").alias("__tk2")).distinct()
     k1, k2 = text_keys(F.col(text))

@@ -221,8 +221,8 @@ def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with lang_pred, score (calibrated probability, 0 to 1) and rejected.
 
     A null text and one without a letter get ``und``, score 0, rejected; so does every text when
-    nothing was learned. Empty tables stay empty; columns of those names are replaced. Long texts
-    are read whole.
+    nothing was learned. Equally probable languages: the first of the learned ones in order. Repeated rows fare alike. Empty tables stay empty;
+    columns of those names are replaced. Long texts are read whole.
     """
     new = ["lang_pred", "score", "rejected"]
     names = [c for c in docs.columns if c not in new]

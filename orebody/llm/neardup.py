@@ -328,7 +328,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     component_id is the least doc_id of the class; rows whose doc_id is null take part but give
     no id (a class of such rows alone has a null one). Rows without words (null or empty text)
     are classes of their own. kept: doc_id is the component_id (null counts as equal to null),
-    so repeated rows of the least doc_id are all kept. An empty table gives an empty table.
+    so repeated rows of the least doc_id are all kept. Ties among neighbours don't matter: every
+    group is compared on full sets. Only doc_id and text are read, so other columns can't clash. An empty table gives an empty table.
     """
     rows, named = _named(docs, doc_id, text, percent, most, size)
     out = rows.join(named, "sid", "left").withColumn("component_id", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))

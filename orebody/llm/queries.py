@@ -21,17 +21,20 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 @query
 def op9_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of nearly equal bytes, equal texts together."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return shard.assign(docs, keep_text=False).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 @query
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the pieces of all documents and of what they decode to."""
     return sentpiece.digests(table(spark, sf_dir, "documents"))
 
 
 @query
 def op7_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their counts and verdicts; cutoffs are proven on labelled ones."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     rows = written(quality.features(docs), "features")
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -42,11 +45,13 @@ def op7_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All overlaps of documents with the benchmark."""
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 @query
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to repeated windows of 35 words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring.removals(docs)
 
@@ -58,6 +63,7 @@ def held_out(modulus: int) -> Column:
 
 @query
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that aren't held out."""
     docs = table(spark, sf_dir, "documents")
     model = lang_id.train(docs, ~held_out(4))
     rows = docs.select("doc_id", held_out(4).alias("held_out"), "text")
@@ -66,22 +72,26 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of near-duplicates on two-word shingles."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=neardup.PAIRS)
 
 
 @query
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return html_extract.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
 @query
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base spans counted, all spans listed."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.found(docs, pii.fitted(docs))
 
 
 @query
 def op1_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by the lattice and by the base, held-out ones not learned from."""
     return lm_score.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), held_out(7))
 
 

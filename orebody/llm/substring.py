@@ -164,8 +164,8 @@ def removals(docs: DataFrame, text: str = "text", length: int = 35, keep_text: b
     """docs (without the text) with n_words, n_removed, kept_sha256 and, if keep_text, ``kept_text``.
 
     kept_text is the kept words joined by one blank. Null and empty texts have no words, and the
-    digest of no bytes. Texts of fewer than ``length`` words have no window and stay whole. New
-    columns replace columns of those names.
+    digest of no bytes. Texts of fewer than ``length`` words have no window and stay whole; longer ones are
+    treated whole, whatever their length. Repeated rows are copies of each other. New columns replace columns of those names.
     """
     spark = docs.sparkSession
     new = ["n_words", "n_removed", "kept_sha256", "kept_text"]
