@@ -32,13 +32,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind and n_chars counted anew; a null text keeps its n_chars."""
+    """All documents, with personal data replaced by its kind and n_chars counted anew; a null text keeps its n_chars. Repeated rows fare alike."""
     out = pii.found(docs, pii.fitted(docs), mask=True)
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, encoded: doc_id, lang, source, pieces, n_pieces, and the decoded text (nulls for a null text)."""
+    """All documents, encoded: doc_id, lang, source, pieces, n_pieces, and the decoded text (nulls for a null text). Each row by itself, repeated ones alike."""
     out = sentpiece.encoded(docs)
     return out.select("doc_id", "lang", "source", "pieces", F.size("pieces").alias("n_pieces"), F.col("decoded").alias("text"))
 

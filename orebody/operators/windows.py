@@ -8,13 +8,19 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 
-def below(counts: DataFrame, key: str, amount: str) -> DataFrame:
+#: Keys that one window sums up; more are summed in ranges.
+ONE_WINDOW = 100_000
+
+
+def below(counts: DataFrame, key: str, amount: str, few: int = ONE_WINDOW) -> DataFrame:
     """counts (key, amount; one row a key) with ``below``: the sum of amount over all lesser keys.
 
-    A running sum in ranges: each range is one task, and only the ranges' totals, as many as
-    there are partitions, are added up on the driver.
+    Up to ``few`` keys take one window. More are a running sum in ranges: each range is one task, and only the
+    ranges' totals, as many as there are partitions, are added up on the driver.
     """
     spark = counts.sparkSession
+    if counts.limit(few + 1).count() <= few:
+        return counts.withColumn("below", F.sum(amount).over(Window.orderBy(key)) - F.col(amount))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = cut(counts.repartitionByRange(n, key).withColumn("__range", F.spark_partition_id()))
     start, starts = 0, []

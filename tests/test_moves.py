@@ -193,3 +193,12 @@ def test_jsx_runtime_by_hand(spark):
     want = [("a", "left", "dev", "1", None), ("d", "react", "dev", "1", None), ("a", "react", "runtime", "18", None), ("b", "react", "runtime", None, "ambiguous")]
     assert set(rows(build.with_jsx_runtime(found, sources, profiles, declared, "17"))) == {*want, ("c", "react", "runtime", "17", None)}
     assert set(rows(build.with_jsx_runtime(found, sources, profiles, declared, None))) == {*want, ("c", "react", "runtime", None, "undeclared")}
+
+
+def test_sums_below_in_one_window_and_in_ranges(spark):
+    r = random.Random(5)
+    counts = {k: r.randrange(1, 9) for k in r.sample(range(500), 120)}
+    frame = spark.createDataFrame(list(counts.items()), "k long, n long").repartition(4)
+    want = {k: sum(n for j, n in counts.items() if j < k) for k in counts}
+    for few in (1000, 10):
+        assert {x.k: x.below for x in windows.below(frame, "k", "n", few).collect()} == want
