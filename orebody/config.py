@@ -47,10 +47,12 @@ class Config:
     max_files: int = 120
     hub_threshold: int = 12
     similarity: float = 0.8
-    generic_segments: tuple[str, ...] = ()
+    generic_segments: tuple[str, ...] = ("root", "components", "src", "shared", "common", "utils")
+    framework_packages: tuple[str, ...] = ()
+    compatibility_shim_min_inbound: int = 5
     max_recommended_files: int | None = None
     max_recommended_lines: int | None = None
-    high_inbound: int = 8
+    high_inbound: int = 12
     high_fan_out: int = 8
     fan_in_action: int = 8
     fan_out_action: int = 8

@@ -18,9 +18,30 @@ def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return zones.join(counted, "zone", "left").select("zone", F.coalesce("nodes", F.lit(0)).alias("nodes")).crossJoin(F.broadcast(total))
 
 
-def archetype(names: Column, contract: str, composition: Column, runtime: Column, policy: Column) -> Column:
-    """contract (all base names match) before composition, runtime-adapter-or-ui, policy-candidate, module-candidate."""
-    return F.when(F.forall(names, lambda n: n.rlike(contract)), "contract").when(composition, "composition").when(runtime, "runtime-adapter-or-ui").when(policy, "policy-candidate").otherwise("module-candidate")
+# Base names that make a contract, and parts of names that make a policy.
+CONTRACT = r"^(?:schemas?|models?|types?|contracts?|protocol)$"
+POLICY = r"(?i)(?:helper|rule|policy|validation|normalize|format|transform|calculate|compute)"
+
+
+def component_kinds(files: DataFrame, comps: DataFrame, composition: DataFrame, externals: DataFrame, framework: list[str], unsourced: DataFrame) -> DataFrame:
+    """(comp, archetype, flags) of each component, by the names of its files and what they use.
+
+    files: (path, file); composition: (path) of files that compose the application; externals: (path, package); framework: the packages that couple code
+    to a framework; unsourced: (path) of generated files whose source is gone. Counts per component, so no list of its files is made.
+    """
+    mark = lambda d, n: d.select("path").distinct().withColumn(n, F.lit(True))
+    base = F.substring_index("file", "/", -1)
+    rows = comps.select(F.col("id").alias("path"), "comp").join(files.select("path", base.alias("base")), "path")
+    for d, n in ((composition, "composes"), (externals.where(F.col("package").isin(*framework)), "coupled"), (unsourced, "gone")):
+        rows = rows.join(mark(d, n), "path", "left")
+    name = F.regexp_replace("base", r"\.[^.]+$", "")
+    per = rows.groupBy("comp").agg(
+        F.bool_and(name.rlike(CONTRACT)).alias("contract"), F.bool_or(name.rlike(POLICY)).alias("policy"), F.bool_or(F.col("base").startswith("index.")).alias("barrel"),
+        *[(F.count(n) > 0).alias(n) for n in ("composes", "coupled", "gone")],
+    )
+    kind = F.when(F.col("contract"), "contract").when(F.col("composes"), "composition").when(F.col("coupled"), "runtime-adapter-or-ui").when(F.col("policy"), "policy-candidate").otherwise("module-candidate")
+    flags = [("composition-or-route", F.col("composes")), ("barrel", F.col("barrel")), ("framework-coupled", F.col("coupled")), ("composition-root", kind == "composition"), ("generated-source-missing", F.col("gone"))]
+    return per.select("comp", kind.alias("archetype"), F.array_compact(F.array(*[F.when(rule, n) for n, rule in flags])).alias("flags"))
 
 
 def component_report(nodes: DataFrame, edges: DataFrame, comps: DataFrame) -> DataFrame:

@@ -55,6 +55,9 @@ ORACLE: dict[str, str] = {
                         (SELECT st.*, al.near, al.n, sz.m, st.i % al.n + 1 AS v, st.label[st.i % al.n + 1] AS own, al.deg[st.i % al.n + 1] AS d FROM st JOIN al USING (app) JOIN sz USING (app) WHERE NOT st.stop AND st.i < 100 * al.n))))),
         fin AS (SELECT app, unnest(label) AS c, unnest(range(1, len(label) + 1)) AS k FROM st QUALIFY i = max(i) OVER (PARTITION BY app))
         SELECT fin.app, no.v AS id, min(no.v) OVER (PARTITION BY fin.app, fin.c) AS community FROM fin JOIN no ON no.app = fin.app AND no.k = fin.k""",
+    "component_kinds": f"""{_G}, fw AS (SELECT DISTINCT l_partkey AS id FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_linenumber = 7 AND s_nationkey IN (3, 4)), k AS (SELECT comp, bool_and(id % 7 = 0) AS contract, bool_or(id % 7 = 2) AS policy, bool_or(id % 7 = 1) AS barrel, bool_or(id % 97 = 0) AS composes, bool_or(id IN (SELECT id FROM fw)) AS coupled, bool_or(id % 59 = 0) AS gone FROM c GROUP BY 1),
+        q AS (SELECT *, CASE WHEN contract THEN 'contract' WHEN composes THEN 'composition' WHEN coupled THEN 'runtime-adapter-or-ui' WHEN policy THEN 'policy-candidate' ELSE 'module-candidate' END AS archetype FROM k)
+        SELECT comp, archetype, concat_ws(',', CASE WHEN composes THEN 'composition-or-route' END, CASE WHEN barrel THEN 'barrel' END, CASE WHEN coupled THEN 'framework-coupled' END, CASE WHEN archetype = 'composition' THEN 'composition-root' END, CASE WHEN gone THEN 'generated-source-missing' END) AS flags FROM q""",
     "component_ids": f"WITH RECURSIVE {_e(48)}, {_C} SELECT comp, count(*) AS size, sha256(string_agg(printf('%09d', id), chr(10) ORDER BY id)) AS stable_id FROM c GROUP BY 1",
     "closure_sizes": f"{_G} SELECT src, count(*) AS reached FROM r WHERE src <> dst GROUP BY 1",
     "component_report": f"""{_GM}, x AS (SELECT a.comp a, b.comp b, e.* FROM e JOIN c a ON a.id = e.src JOIN c b ON b.id = e.dst)

@@ -136,6 +136,19 @@ def scc_all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comps.join(graph.layers(comps.select("comp"), graph.condensed(e, comps), limit=0), "comp").select("id", "comp", "layer")
 
 
+@query
+def component_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archetypes and flags of components: names by the last digits of a part's key, suppliers' nations as packages."""
+    e = edges(spark, sf_dir)
+    m = modules(spark, sf_dir).select("path")
+    base = F.when(F.col("path") % 7 == 0, "types.ts").when(F.col("path") % 7 == 1, "index.ts").when(F.col("path") % 7 == 2, F.concat(F.lit("PriceRule"), F.col("path"), F.lit(".tsx"))).otherwise(F.concat(F.lit("part.v"), F.col("path"), F.lit(".ts")))
+    files = m.select("path", F.concat(F.lit("src/parts/"), base).alias("file"))
+    nations = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.concat(F.lit("pkg-"), F.col("s_nationkey")).alias("package"))
+    externals = table(spark, sf_dir, "lineitem").where("l_linenumber = 7").join(nations, "l_suppkey").select(F.col("l_partkey").alias("path"), "package")
+    out = reports.component_kinds(files, graph.strong_components(e), m.where("path % 97 = 0"), externals, ["pkg-3", "pkg-4"], m.where("path % 59 = 0"))
+    return out.withColumn("flags", F.array_join("flags", ","))
+
+
 @query
 def ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.owners(modules(spark, sf_dir))

@@ -9,7 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from orebody.operators import closures, graph, metrics, portfolio, references, rewrites, windows
+from orebody.operators import closures, graph, metrics, portfolio, references, reports, rewrites, windows
 from orebody.plans import build, validation
 from orebody.sources import records
 
@@ -202,3 +202,13 @@ def test_sums_below_in_one_window_and_in_ranges(spark):
     want = {k: sum(n for j, n in counts.items() if j < k) for k in counts}
     for few in (1000, 10):
         assert {x.k: x.below for x in windows.below(frame, "k", "n", few).collect()} == want
+
+
+def test_component_kinds_by_hand(spark):
+    files = spark.createDataFrame([(1, "a/types.ts"), (2, "a/model.v2.ts"), (3, "a/schemas.ts"), (4, "b/index.ts"), (5, "c/FormatDate.ts"), (6, "d/x.ts"), (7, "e/main.ts")], "path long, file string")
+    comps = spark.createDataFrame([(1, 1), (3, 1), (2, 2), (4, 4), (5, 4), (6, 6), (7, 7)], "id long, comp long")
+    one = lambda *x: spark.createDataFrame([(i,) for i in x], "path long")
+    externals = spark.createDataFrame([(6, "react"), (4, "left"), (7, "react")], "path long, package string")
+    got = {r.comp: (r.archetype, r.flags) for r in reports.component_kinds(files, comps, one(7), externals, ["react"], one(1, 6)).collect()}
+    assert got == {1: ("contract", ["generated-source-missing"]), 2: ("module-candidate", []), 4: ("policy-candidate", ["barrel"]), 6: ("runtime-adapter-or-ui", ["framework-coupled", "generated-source-missing"]), 7: ("composition", ["composition-or-route", "framework-coupled", "composition-root"])}
+    assert reports.component_kinds(files, comps.limit(0), one(7), externals, ["react"], one(1)).count() == 0
