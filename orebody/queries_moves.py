@@ -13,7 +13,7 @@ from . import sinks
 from .bindings import edges, modules, table
 from .config import Application, Config
 from .operators import closures, evacuation, graph, portfolio, references, rewrites, symbols, windows
-from .plans import audit, build, validation
+from .plans import audit, build, preparations, validation
 from .queries import CONFIG, _candidates, _judged, _references, _uses
 from .queries_plans import operations, rewrite_donors, role
 from .session import cut, shared_dir
@@ -577,12 +577,9 @@ def promotion_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def test_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Helpers that integration tests reach among tests, and those that something else imports as well, which can't move."""
-    m, e = modules(spark, sf_dir), edges(spark, sf_dir, 45)
-    tests = m.where("path % 3 = 0").select(F.col("path").alias("id"))
-    inner = e.join(tests.select(F.col("id").alias("src")), "src", "left_semi").join(tests.select(F.col("id").alias("dst")), "dst", "left_semi")
-    closure = cut(evacuation.reach(inner.select("src", "dst"), m.where("path % 30 = 0").select(F.col("path").alias("id"))))
-    held = e.join(closure.select(F.col("id").alias("src")), "src", "left_anti").select(F.col("dst").alias("id")).distinct().withColumn("held", F.lit(True))
-    return closure.join(held, "id", "left").select("id", F.coalesce("held", F.lit(False)).alias("held"))
+    m = modules(spark, sf_dir)
+    ids = lambda rule: m.where(rule).select(F.col("path").alias("id"))
+    return preparations.test_closure(edges(spark, sf_dir, 45), ids("path % 3 = 0"), ids("path % 30 = 0"))
 
 
 @query
@@ -627,11 +624,8 @@ def preparation_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def declaration_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Declarations asked for by name in files: found once, missing, or ambiguous; only exported ones are eligible."""
-    p = table(spark, sf_dir, "part")
-    asked = p.select(F.col("p_brand").alias("file"), F.col("p_name").alias("name")).distinct()
-    had = p.where("p_size < 20").groupBy(F.col("p_brand").alias("file"), F.col("p_name").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.expr("p_retailprice >= 1000")).alias("exported"))
-    j = asked.join(had, ["file", "name"], "left")
-    return j.select("file", "name", F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "ambiguous").when(~F.col("exported"), "not-exported").otherwise("eligible").alias("verdict"))
+    named = table(spark, sf_dir, "part").select(F.col("p_brand").alias("file"), F.col("p_name").alias("name"), (F.col("p_retailprice") >= 1000).alias("exported"), "p_size")
+    return preparations.declaration_selection(named, named.where("p_size < 20"))
 
 
 @query
@@ -646,10 +640,7 @@ def replayed_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def boundary_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boundaries between owners: resolved if only types cross, served by a package if all targets are one's, else a port is due."""
-    of = modules(spark, sf_dir).select("path", "owner", "zone")
-    e = edges(spark, sf_dir, 45).join(of.select(F.col("path").alias("src"), F.col("owner").alias("a")), "src").join(of.select(F.col("path").alias("dst"), F.col("owner").alias("b"), "zone"), "dst").where("a <> b")
-    g = e.groupBy("src", "b").agg(F.bool_and("type_only").alias("types"), F.bool_and(F.col("zone") == "package").alias("served"))
-    return g.select("src", "b", F.when(F.col("types"), "resolve").when(F.col("served"), "existing-package").otherwise("port").alias("boundary"))
+    return preparations.boundary_proofs(edges(spark, sf_dir, 45), modules(spark, sf_dir)).withColumnRenamed("owner", "b")
 
 
 @query
@@ -667,11 +658,9 @@ def value_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def preparation_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prepared files against what was declared: out of scope, of another owner, lost, or not the replayed bytes."""
     m = modules(spark, sf_dir)
-    declared = m.where("path % 4 = 0").select("path", "owner", F.sha2("file", 256).alias("sha"))
-    landed = m.where("path % 4 = 0 and path % 20 <> 0 or path % 50 = 1").select("path", F.when(F.col("path") % 24 == 0, "PROMO").otherwise(F.col("owner")).alias("is"), F.sha2(F.when(F.col("path") % 28 == 0, F.concat("file", F.lit("?"))).otherwise(F.col("file")), 256).alias("bytes"))
-    j = declared.join(landed, "path", "full_outer")
-    fault = F.when(F.col("sha").isNull(), "scope").when(F.col("bytes").isNull(), "lost").when(F.col("is") != F.col("owner"), "owner").when(F.col("bytes") != F.col("sha"), "bytes")
-    return j.select("path", fault.alias("fault")).where("fault is not null")
+    declared = m.where("path % 4 = 0").select("path", "owner", F.sha2("file", 256).alias("sha256"))
+    landed = m.where("path % 4 = 0 and path % 20 <> 0 or path % 50 = 1").select("path", F.when(F.col("path") % 24 == 0, "PROMO").otherwise(F.col("owner")).alias("owner"), F.sha2(F.when(F.col("path") % 28 == 0, F.concat("file", F.lit("?"))).otherwise(F.col("file")), 256).alias("sha256"))
+    return preparations.audit(declared, landed)
 
 
 # Sources of records and settings

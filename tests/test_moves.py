@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orebody.operators import closures, graph, metrics, portfolio, references, reports, rewrites, windows
-from orebody.plans import build, validation
+from orebody.plans import build, preparations, validation
 from orebody.sources import records
 
 
@@ -212,3 +212,18 @@ def test_component_kinds_by_hand(spark):
     got = {r.comp: (r.archetype, r.flags) for r in reports.component_kinds(files, comps, one(7), externals, ["react"], one(1, 6)).collect()}
     assert got == {1: ("contract", ["generated-source-missing"]), 2: ("module-candidate", []), 4: ("policy-candidate", ["barrel"]), 6: ("runtime-adapter-or-ui", ["framework-coupled", "generated-source-missing"]), 7: ("composition", ["composition-or-route", "framework-coupled", "composition-root"])}
     assert reports.component_kinds(files, comps.limit(0), one(7), externals, ["react"], one(1)).count() == 0
+
+
+def test_preparations_by_hand(spark):
+    named = lambda *x: spark.createDataFrame(list(x), "file string, name string, exported boolean")
+    asked = named(("f", "a", None), ("f", "b", None), ("f", "c", None), ("g", "a", None), ("f", "a", None))
+    had = named(("f", "a", True), ("f", "b", True), ("f", "b", False), ("f", "c", False))
+    assert set(rows(preparations.declaration_selection(asked, had))) == {("f", "a", "eligible"), ("f", "b", "ambiguous"), ("f", "c", "not-exported"), ("g", "a", "missing")}
+    places = spark.createDataFrame([(1, "web", "application"), (2, "api", "application"), (3, "lib", "package"), (4, "web", "application")], "path long, owner string, zone string")
+    links = spark.createDataFrame([(1, 2, True), (1, 3, False), (4, 2, False), (4, 2, True), (1, 4, False), (2, 3, True)], "src long, dst long, type_only boolean")
+    assert set(rows(preparations.boundary_proofs(links, places))) == {(1, "api", "resolve"), (1, "lib", "existing-package"), (4, "api", "port"), (2, "lib", "resolve")}
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id long")
+    e = spark.createDataFrame([(1, 2), (2, 3), (9, 3), (3, 8), (1, 4)], "src long, dst long")
+    assert set(rows(preparations.test_closure(e, ids(1, 2, 3, 4), ids(1)))) == {(1, False), (2, False), (3, True), (4, False)}
+    files = lambda *x: spark.createDataFrame(list(x), "path string, owner string, sha256 string")
+    assert set(rows(preparations.audit(files(("a", "o", "1"), ("b", "o", "1"), ("c", "o", "1"), ("d", "o", "1")), files(("a", "o", "1"), ("b", "x", "2"), ("c", "o", "2"), ("e", "o", "1"))))) == {("b", "owner"), ("c", "bytes"), ("d", "lost"), ("e", "scope")}
