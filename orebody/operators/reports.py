@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import js_round
+from ..session import cut, grows
 
 ZONES = ("application", "package", "repo", "external")
 
@@ -68,19 +69,32 @@ def component_id(members: Column) -> Column:
 
 
 def closed_files(nodes: DataFrame, comps: DataFrame, reach: DataFrame) -> DataFrame:
-    """(path): files whose component and all it reaches lie in one domain. reach: (src, dst) of components."""
-    domains = nodes.join(comps.withColumnRenamed("id", "path"), "path").select("comp", "domain").distinct()
-    single = domains.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.min("domain").alias("domain")).where("n = 1").drop("n")
-    broken = reach.join(single.withColumnRenamed("comp", "src"), "src").join(domains.select(F.col("comp").alias("dst"), F.col("domain").alias("other")), "dst").where("domain <> other").select(F.col("src").alias("comp")).distinct()
-    return comps.join(single, "comp", "left_semi").join(broken, "comp", "left_anti").select(F.col("id").alias("path"))
+    """(path): files whose component and all it reaches lie in one domain. reach: (src, dst), the edges between components, or their closure.
+
+    No pairs of the closure are made: a component keeps the least and the greatest domain that it reaches, and tells those that point to it when it turns from none
+    to one or from one to several. That happens twice at most, so all rounds together send each edge twice at most.
+    """
+    domains = nodes.join(grows(comps.withColumnRenamed("id", "path")), "path").select("comp", "domain").distinct()
+    own = domains.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.min("domain").alias("lo"), F.max("domain").alias("hi"))
+    state = cut(comps.select("comp").distinct().join(grows(own), "comp", "left").select("comp", "n", F.col("lo").alias("own"), "lo", "hi"))
+    ways, told = cut(reach.select("src", "dst").distinct()), state.where("lo IS NOT NULL")
+    while True:
+        sent = ways.join(grows(told.select(F.col("comp").alias("dst"), F.col("lo").alias("a"), F.col("hi").alias("b"))), "dst").groupBy(F.col("src").alias("comp")).agg(F.min("a").alias("a"), F.max("b").alias("b"))
+        told = state.where("lo IS NULL OR lo = hi").join(grows(sent), "comp").where("lo IS NULL OR a < lo OR b > hi").select("comp", "n", "own", F.least("lo", "a").alias("lo"), F.greatest("hi", "b").alias("hi"))
+        told = cut(told)
+        if told.isEmpty():
+            break
+        state = cut(state.join(grows(told.select("comp")), "comp", "left_anti").union(told))
+    closed = state.where("n = 1 AND (own IS NULL OR lo = hi)")
+    return comps.join(grows(closed), "comp", "left_semi").select(F.col("id").alias("path"))
 
 
 def domain_report(nodes: DataFrame, edges: DataFrame, closed: DataFrame) -> DataFrame:
     """A row for each domain: files, lines, closed files, lines and percent (one decimal, half up), domains it needs and that need it, edges out, blocked files."""
-    marked = nodes.join(closed.select("path", F.lit(True).alias("closed")), "path", "left")
+    marked = nodes.join(grows(closed.select("path", F.lit(True).alias("closed"))), "path", "left")
     base = marked.groupBy("domain").agg(F.count(F.lit(1)).alias("files"), F.sum("line_count").alias("lines"), F.count_if("closed").alias("closed_files"), F.coalesce(F.sum(F.when(F.col("closed"), F.col("line_count"))), F.lit(0)).alias("closed_lines"))
     of = nodes.select("path", "domain")
-    cross = edges.join(of.select(F.col("path").alias("src"), F.col("domain").alias("a")), "src").join(of.select(F.col("path").alias("dst"), F.col("domain").alias("b")), "dst").where("a <> b")
+    cross = edges.join(grows(of.select(F.col("path").alias("src"), F.col("domain").alias("a"))), "src").join(grows(of.select(F.col("path").alias("dst"), F.col("domain").alias("b"))), "dst").where("a <> b")
     out = cross.groupBy(F.col("a").alias("domain")).agg(F.countDistinct("b").alias("needs"), F.count(F.lit(1)).alias("cross_edges"))
     into = cross.groupBy(F.col("b").alias("domain")).agg(F.countDistinct("a").alias("needed_by"))
     share = F.when(F.col("lines") > 0, js_round(F.col("closed_lines") * 1000 / F.col("lines")) / 10).otherwise(F.lit(0.0))
