@@ -91,8 +91,12 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op1_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document scored by the lattice and by the base, held-out ones not learned from."""
-    return lm_score.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), held_out(7))
+    """Every document scored by the lattice and by the base, held-out ones not learned from.
+
+    ``score`` is the lattice with an edge over each training word (the operator's ``word_score``), ``piece_score`` that of the vocabulary's pieces alone.
+    """
+    out = lm_score.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), held_out(7))
+    return out.select(*out.columns[: out.columns.index("score")], F.col("word_score").alias("score"), "fitted_score", F.col("score").alias("piece_score"))
 
 
 @query

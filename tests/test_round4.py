@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
@@ -34,3 +35,12 @@ def test_closed_files_need_no_closure(spark, monkeypatch):
     for name in ("closed_files", "domain_report"):
         out = QUERIES[name](spark, SF)
         assert out.count() > 0 and "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_op1_scores_held_out_rows_near_the_base(spark):
+    """On sf0.01, with a tenth of the words of held-out texts unseen, the score is within a fifth of the base's logarithm, finite on every row."""
+    from orebody.llm.queries import QUERIES
+
+    got = [r for r in QUERIES["op1_lattice_likelihood"](spark, "/root/testdata/sf0.01").collect() if r.held_out]
+    assert len(got) == 146 and all(math.isfinite(r.score) and r.score < 0 for r in got)
+    assert sum(r.score for r in got) > 1.2 * sum(r.base_score for r in got) and sum(r.piece_score for r in got) < 2 * sum(r.base_score for r in got)
