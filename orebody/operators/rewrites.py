@@ -119,8 +119,9 @@ def excerpt(text: Column, head: int, tail: int) -> Column:
 
 
 def common_ends(a: Column, b: Column) -> tuple[Column, Column]:
-    """Lengths of the common prefix of two arrays of lines, and of the common suffix of what is left."""
+    """Lengths of the common prefix of two arrays of lines, and of the common suffix of what is left. The arrays are walked once, side by side."""
     n = F.least(F.size(a), F.size(b))
-    run = lambda x, y, most: F.aggregate(F.sequence(F.lit(0), F.greatest(most - 1, F.lit(0))), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, i: F.struct((s["n"] + F.when(s["on"] & (i < most) & (F.get(x, i) == F.get(y, i)), 1).otherwise(0)).alias("n"), (s["on"] & (i < most) & F.coalesce(F.get(x, i) == F.get(y, i), F.lit(False))).alias("on")), lambda s: s["n"])
+    unlike = lambda x, y: F.array_position(F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False))), False).cast("int")
+    run = lambda x, y, most: F.least(most, F.coalesce(F.nullif(unlike(x, y), F.lit(0)) - 1, most))
     front = run(a, b, n)
     return front, run(F.reverse(a), F.reverse(b), n - front)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 
 import pytest
 
@@ -44,3 +45,62 @@ def test_op1_scores_held_out_rows_near_the_base(spark):
     got = [r for r in QUERIES["op1_lattice_likelihood"](spark, "/root/testdata/sf0.01").collect() if r.held_out]
     assert len(got) == 146 and all(math.isfinite(r.score) and r.score < 0 for r in got)
     assert sum(r.score for r in got) > 1.2 * sum(r.base_score for r in got) and sum(r.piece_score for r in got) < 2 * sum(r.base_score for r in got)
+
+
+def test_common_ends_walk_lines_once(spark):
+    from pyspark.sql import functions as F
+
+    from orebody.operators import rewrites
+
+    r = random.Random(5)
+    line = lambda: r.choice(["a", "b", None])
+    rows = [([line() for _ in range(r.randrange(6))], [line() for _ in range(r.randrange(6))]) for _ in range(200)]
+
+    def run(a, b, most):
+        return next((i for i in range(most) if a[i] is None or a[i] != b[i]), most)
+
+    want = []
+    for a, b in rows:
+        n = min(len(a), len(b))
+        front = run(a, b, n)
+        want.append((front, run(a[::-1], b[::-1], n - front)))
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "i int, a array<string>, b array<string>")
+    ends = [c.alias(n) for c, n in zip(rewrites.common_ends(F.col("a"), F.col("b")), "fk", strict=True)]
+    assert [(x.f, x.k) for x in df.select("i", *ends).orderBy("i").collect()] == want
+    a = F.transform(F.sequence(F.lit(1), F.lit(40_000)), lambda i: F.concat(F.lit("line "), i))
+    both = spark.range(1).select(a.alias("a")).select("a", F.transform("a", lambda x, i: F.when(i == 20_000, F.concat(x, F.lit("!"))).otherwise(x)).alias("b"))
+    began = time.monotonic()
+    assert [tuple(x) for x in both.select(*[c.alias(n) for c, n in zip(rewrites.common_ends(F.col("a"), F.col("b")), "fk", strict=True)]).collect()] == [(20_000, 19_999)]
+    assert time.monotonic() - began < 60
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rollup_counts_keep_no_sketch_for_each_key(spark):
+    from orebody.catalog import QUERIES
+
+    for node in QUERIES["rollup_counts"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().split("\n"):
+        assert not ("approx_count_distinct" in node and "count(distinct" in node)
+
+
+def test_file_metrics_shuffle_each_line_once_for_its_facts(spark):
+    from orebody.catalog import QUERIES
+
+    assert "Expand" not in plan_of(QUERIES["file_metrics"](spark, SF))
+
+
+def test_clusters_by_stars(spark):
+    from orebody.operators import evacuation
+
+    for seed, n, m in ((1, 40, 30), (2, 200, 150), (3, 5, 0)):
+        r = random.Random(seed)
+        pairs = [(r.randrange(n), r.randrange(n)) for _ in range(m)] + [(3, 3), (900, 901)] + [(1000 + i, 1001 + i) for i in range(40)]
+        df = spark.createDataFrame(pairs, "src long, dst long")
+        label = {x: x for p in pairs for x in p}
+        for _ in label:
+            for a, b in pairs:
+                label[a] = label[b] = min(label[a], label[b])
+        for limit in (0, 10_000):
+            assert {x.id: x.cluster for x in evacuation.clusters(df, limit).collect()} == label
