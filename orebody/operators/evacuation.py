@@ -125,10 +125,30 @@ def spanning_forest(weighted: DataFrame) -> DataFrame:
     return (out if out is not None else weighted.limit(0)).select("a", "b", F.col("weight").cast(weighted.schema["weight"].dataType).alias("weight"))
 
 
-def clusters(edges: DataFrame) -> DataFrame:
-    """(id, cluster): connected components of undirected edges (src, dst), by the least id."""
-    both = graph.simple(edges)
-    return graph.strong_components(both.union(both.select("dst", "src"))).select("id", F.col("comp").alias("cluster"))
+def clusters(edges: DataFrame, limit: int = graph.KERNEL_EDGES) -> DataFrame:
+    """(id, cluster): connected components of undirected edges (src, dst), by the least id. Up to ``limit`` edges a kernel takes, beyond it in rounds of stars."""
+    both = cut(graph.simple(edges))
+    if 2 * both.count() <= limit:
+        return graph.strong_components(both.union(both.select("dst", "src")), limit).select("id", F.col("comp").alias("cluster"))
+    return graph.nodes(both).join(_stars(both), "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """(id, cluster) of all nodes but the least of each connected component.
+
+    Each round hangs a node's greater neighbours, then its lesser ones and itself, on the least of all of them; edges never
+    become more, and every component ends as a star around its least node, after rounds in the logarithm of its size.
+    """
+    e = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    while True:
+        both = e.union(e.select("v", "u"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), "u").alias("m"))
+        large = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        new = cut(large.join(least, "u").where("v <> m").select("v", "m").union(least).toDF("u", "v").distinct())
+        if new.count() == e.count() and new.join(e, ["u", "v"], "left_anti").isEmpty():
+            return new.select(F.col("u").alias("id"), F.col("v").alias("cluster"))
+        e = new
 
 
 def cohesion_clusters(uses: DataFrame) -> DataFrame:
