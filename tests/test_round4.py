@@ -104,3 +104,13 @@ def test_clusters_by_stars(spark):
                 label[a] = label[b] = min(label[a], label[b])
         for limit in (0, 10_000):
             assert {x.id: x.cluster for x in evacuation.clusters(df, limit).collect()} == label
+
+
+def test_conflicts_ask_only_for_folders_as_deep_as_a_tree(spark):
+    from orebody.plans import conflicts
+
+    rows = [(1, "a/b/c/d/e", "exact", "write", "content"), (2, "a/b", "tree", "write", "removal"), (3, "a/b/c", "tree", "write", "removal"), (4, "a", "exact", "write", "content"), (5, "x/y", "exact", "read", "reference")]
+    acc = spark.createDataFrame([(*x, []) for x in rows], "plan_id long, path string, scope string, mode string, role string, keys array<string>")
+    out = conflicts.conflicts(acc)
+    assert {(x.l, x.r, x.path) for x in out.collect()} == {(1, 2, "a/b/c/d/e"), (1, 3, "a/b/c/d/e"), (2, 3, "a/b/c")}
+    assert "array_contains(depths" in out._jdf.queryExecution().optimizedPlan().toString()
