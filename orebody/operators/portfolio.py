@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config, Weights
-from ..session import cut
+from ..session import cut, grows
 from .windows import below
 
 
@@ -179,26 +179,51 @@ def equal_sets(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sets.select("id", "k").join(distinct.select("k", "same"), "k").select("id", "same"), distinct.select(F.col("same").alias("id"), "s")
 
 
-def jaccard_pairs(sets: DataFrame, least: float) -> DataFrame:
-    """(a, b, similarity) of different sets (id, s) whose Jaccard similarity is ``least`` or more.
+#: Sets up to this size meet by two items, larger ones by one.
+SMALL_SET = 16
+
+
+def near_pairs(sets: DataFrame, least: float) -> DataFrame:
+    """(a, b) once each: pairs of sets (id, s) among which are all different ones whose Jaccard similarity is ``least`` or more.
 
-    Prefix filtering: items are ordered by how rare they are, and two similar sets must share one
-    of the first n - ceil(least * n) + 1 of each. Sets meet by such an item and by size: a set is
-    only asked for sizes at which a different set can be as similar, so small sets ask for none,
-    and an item that many sets begin with is split by size.
+    Prefix filtering: items are ordered by how rare they are. Sets of n and m items that share q or more have their
+    first l shared ones among the first n - q + l and m - q + l. Up to SMALL_SET items they meet by
+    sizes and two such items (one, if q is 1), so an item that many sets hold makes no square of them. Where the larger set has more, they meet
+    by one item and a band of sizes, and are kept if the item's places leave room for q. A set is only asked
+    for sizes at which a different set can be as similar.
     """
-    m = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("item"))
-    weighed = m.join(m.groupBy("item").agg(F.count(F.lit(1)).alias("df")), "item")
-    sized = weighed.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("df", "item")))
-    first = sized.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("id", "item", "n")
-    # Equal sizes differ in an item each way; a size m above n is the least set's share of the union at best.
-    alike = (F.col("n") - 1) >= (F.col("n") + 1) * least
-    sizes = F.filter(F.sequence(F.col("n"), F.floor(F.col("n") / least + 1e-9).cast("int")), lambda x: (x > F.col("n")) | alike)
-    a = first.select(F.col("id").alias("x"), "item", F.col("n").alias("na"), F.explode(sizes).alias("n"))
-    b = first.select(F.col("id").alias("y"), "item", "n")
-    pairs = a.join(b, ["item", "n"]).where((F.col("na") < F.col("n")) | (F.col("x") < F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    sim = F.size(F.array_intersect("sa", "sb")) / F.size(F.array_union("sa", "sb"))
+    n, m = F.col("n"), F.col("m")
+    # A little less than the bounds: what is let in by rounding is compared in full.
+    share = lambda x, y: F.ceil((x + y) * (least / (1 + least)) - 1e-6).cast("int")
+    lowest, highest = F.greatest(F.lit(1), F.ceil(n * least - 1e-6).cast("int")), F.floor(n / least + 1e-6).cast("int")
+    band = lambda x: F.floor(F.log(x) / F.log(F.lit(1.25)) + 1e-6).cast("int")
+    item = sets.select("id", F.explode("s").alias("item"))
+    ordered = item.join(grows(item.groupBy("item").agg(F.count(F.lit(1)).alias("df"))), "item").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "item"))), lambda x: x["item"]).alias("o"))
+    ordered = cut(ordered.withColumn("n", F.size("o")))
+
+    sized = ordered.where(n <= SMALL_SET).select("id", "o", "n", F.explode(F.sequence(lowest, F.least(highest, F.lit(SMALL_SET)))).alias("m"))
+    sized = sized.withColumn("q", share(n, m)).where((n != m) | (F.col("q") < n))
+    head = sized.select("id", "n", "m", "q", F.slice("o", F.lit(1), n - F.col("q") + F.least(F.col("q"), F.lit(2))).alias("p"))
+    two = F.flatten(F.transform("p", lambda x, i: F.transform(F.slice("p", i + 2, F.size("p")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    keyed = head.select("id", "n", "m", F.explode(F.when(F.col("q") > 1, two).otherwise(F.transform("p", lambda x: F.struct(x.alias("x"), x.alias("y"))))).alias("k"))
+    side = lambda c: keyed.where(n <= m if c == "u" else n >= m).select(F.col("id").alias(c), F.least("n", "m").alias("lo"), F.greatest("n", "m").alias("hi"), "k.x", "k.y")
+    small = side("u").join(grows(side("v")), ["lo", "hi", "x", "y"]).where((F.col("lo") < F.col("hi")) | (F.col("u") < F.col("v"))).select("u", "v")
+
+    first = ordered.where(highest > SMALL_SET).select("id", "n", highest.alias("most"), F.posexplode(F.slice("o", F.lit(1), n - lowest + 1)).alias("r", "item"))
+    u = first.select(F.col("id").alias("u"), "item", F.col("n").alias("nu"), F.col("r").alias("ru"), "most", F.explode(F.sequence(band(n), band(F.col("most")))).alias("band"))
+    v = first.where(n > SMALL_SET).select(F.col("id").alias("v"), "item", F.col("n").alias("nv"), F.col("r").alias("rv"), band(n).alias("band"))
+    nu, nv = F.col("nu"), F.col("nv")
+    room = lambda k, r: F.col(r) <= k - share(nu, nv)
+    large = u.join(grows(v), ["item", "band"]).where((nv <= F.col("most")) & ((nu < nv) | ((nu == nv) & (F.col("u") < F.col("v")))) & room(nu, "ru") & room(nv, "rv")).select("u", "v")
+    return small.union(large).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+
+
+def jaccard_pairs(sets: DataFrame, least: float) -> DataFrame:
+    """(a, b, similarity) of different sets (id, s) whose Jaccard similarity is ``least`` or more: near_pairs(), compared in full."""
+    of = lambda x: grows(sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}")))
+    both = near_pairs(sets, least).join(of("a"), "a").join(of("b"), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    sim = shared / (F.size("sa") + F.size("sb") - shared)
     return both.select("a", "b", sim.alias("similarity")).where(F.col("similarity") >= least)
 
 
