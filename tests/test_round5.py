@@ -7,7 +7,7 @@ import random
 
 import pytest
 
-from orebody.operators import portfolio
+from orebody.operators import graph, portfolio
 
 
 def similar(sets: dict, least: float) -> list[tuple]:
@@ -41,3 +41,16 @@ def test_items_of_many_small_sets_make_no_square(spark):
     near = portfolio.near_pairs(table_of(spark, sets), 0.8)
     assert sorted((x.a, x.b) for x in portfolio.jaccard_pairs(table_of(spark, sets), 0.8).collect()) == similar(sets, 0.8)
     assert near.count() < 50_000
+
+
+@pytest.mark.parametrize("walked", [1, 50, 100_000])
+def test_a_closure_comes_in_batches(spark, monkeypatch, walked):
+    """Sources share batches of pairs: one for each source took longer than the walk."""
+    r = random.Random(7)
+    pairs = sorted({(r.randrange(300), r.randrange(300)) for _ in range(260)})
+    want = set(pairs)
+    while len(more := want | {(a, d) for a, b in want for c, d in pairs if b == c}) > len(want):
+        want = more
+    monkeypatch.setattr(graph, "WALKED", walked)
+    got = graph.closure(spark.createDataFrame(pairs, "src long, dst long"))
+    assert sorted(map(tuple, got.collect())) == sorted((a, b) for a, b in want if a != b)
