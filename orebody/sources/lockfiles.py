@@ -1,11 +1,13 @@
 """Importers of lockfiles: rendered from dependencies, read back line by line, and compared with what packages declare.
 
-A lockfile is a row (lock, text). Its lines are rows, numbered; what a line belongs to (section, importer, dependency)
-is the last such line before it, a running window over the lines of one file. No YAML is reformatted.
+A lockfile is a row (lock, text). Importers, their sections and dependencies are pieces of the array of its lines, cut where a line
+begins one, so reading shuffles nothing. Entries of indented JSON go by running windows over numbered lines. No YAML is reformatted.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,41 +29,62 @@ def _last(when: Column, value: Column) -> Column:
     return F.last(F.when(when, value), ignorenulls=True).over(Window.partitionBy("lock").orderBy("line"))
 
 
+def _pieces(lines: Column, begins: Callable[[Column], Column]) -> Column:
+    """Array of (at, lines): the lines from each that begins a piece, ``at`` its index, up to the next one; lines before the first are left out."""
+    at = F.filter(F.transform(lines, lambda x, i: F.when(begins(x), i)), lambda i: i.isNotNull())
+    cut_up = lambda a: F.transform(a, lambda i, j: F.struct(i.alias("at"), F.slice(lines, i + 1, F.coalesce(F.get(a, j + 1), F.size(lines)) - i).alias("lines")))
+    return F.transform(F.array(at), cut_up)[0]  # an array of one binds ``at``, which would be made again for each piece
+
+
+def _importer(x: Column) -> Column:
+    return x.rlike(_IMPORTER)
+
+
+def _deeper(x: Column) -> Column:
+    return x.rlike(r"^ {4}\S")
+
+
 def _read(locks: DataFrame) -> DataFrame:
-    """Lines of the first ``importers`` part: (lock, line, text, root, start of its importer, section, name of the dependency)."""
-    t = F.col("text")
-    top = t.rlike(r"^\S")
-    heads = _lines(locks).withColumn("n", F.count(F.when(top & (t == "importers:"), 1)).over(Window.partitionBy("lock").orderBy("line")))
-    inside = heads.withColumn("part", _last(top, t)).where((F.col("part") == "importers:") & (F.col("n") == 1) & ~top)
-    is_root = t.rlike(_IMPORTER)
-    rows = inside.withColumn("start", _last(is_root, F.col("line"))).where("start IS NOT NULL")
-    rows = rows.withColumn("root", _last(is_root, F.regexp_extract(t, _IMPORTER, 1)))
-    in_root = Window.partitionBy("lock", "start").orderBy("line")
-    deeper = t.rlike(r"^ {4}\S")
-    rows = rows.withColumn("section", F.last(F.when(is_root | deeper, F.regexp_extract(t, _SECTION, 1)), ignorenulls=True).over(in_root))
-    key = F.coalesce(F.nullif(F.regexp_extract(t, _NAME, 1), F.lit("")), F.regexp_extract(t, _NAME, 2))
-    return rows.withColumn("name", F.last(F.when(is_root | deeper, "").when(t.rlike(r"^ {6}\S"), key), ignorenulls=True).over(in_root))
+    """Importers of the first ``importers`` part: (lock, root, start, lines)."""
+    all_ = F.split("text", "\n")
+    top = locks.select("lock", all_.alias("all"), F.array_position(all_, "importers:").alias("top")).where("top > 0")
+    after = top.select("lock", "top", F.slice("all", F.col("top").cast("int") + 1, F.size("all")).alias("after"))
+    end = F.array_position(F.transform("after", lambda x: x.rlike(r"^\S")), True)
+    part = after.select("lock", "top", F.when(end > 0, F.slice("after", F.lit(1), end.cast("int") - 1)).otherwise(F.col("after")).alias("part"))
+    each = part.select("lock", "top", F.explode(_pieces(F.col("part"), _importer)).alias("x"))
+    return each.select("lock", F.regexp_extract(F.col("x.lines")[0], _IMPORTER, 1).alias("root"), (F.col("top") + F.col("x.at")).cast("int").alias("start"), F.col("x.lines").alias("lines"))
 
 
 def importers(locks: DataFrame) -> DataFrame:
     """(lock, root, start, lines, block_hash): the importers of each lockfile, where they start, how many lines they own, and the digest of these."""
-    rows = _read(locks)
-    block = F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n"), F.lit("\n"))
-    return rows.groupBy("lock", "root", "start").agg(F.count(F.lit(1)).alias("lines"), F.sha2(block, 256).alias("block_hash"))
+    block = F.concat(F.array_join("lines", "\n"), F.lit("\n"))
+    return _read(locks).select("lock", "root", "start", F.size("lines").cast("long").alias("lines"), F.sha2(block, 256).alias("block_hash"))
 
 
 def dependencies(locks: DataFrame) -> DataFrame:
-    """(lock, root, section, name, specifier, version) of every importer; values without the quotes around them."""
-    rows = _read(locks).where((F.col("section") != "") & (F.col("name") != ""))
-    kind, value = F.regexp_extract("text", _VALUE, 1), F.regexp_replace(F.regexp_extract("text", _VALUE, 2), "^['\"]|['\"]$", "")
-    pick = lambda k: F.max(F.when(kind == k, value)).alias(k)
-    return rows.groupBy("lock", "root", "start", "section", "name").agg(pick("specifier"), pick("version")).drop("start")
+    """(lock, root, section, name, specifier, version) of every importer; values without the quotes around them. A name that a section of an importer has again is one row, with the greatest values."""
+    value = lambda x: F.regexp_replace(F.regexp_extract(x, _VALUE, 2), "^['\"]|['\"]$", "")
+    pick = lambda lines, k: F.array_max(F.transform(F.filter(lines, lambda x: F.regexp_extract(x, _VALUE, 1) == k), value)).alias(k)
+    name = lambda x: F.coalesce(F.nullif(F.regexp_extract(x, _NAME, 1), F.lit("")), F.regexp_extract(x, _NAME, 2))
+
+    def entries(section: Column) -> Column:
+        found = _pieces(section["lines"], lambda x: x.rlike(r"^ {6}\S"))
+        return F.transform(found, lambda e: F.struct(F.regexp_extract(section["lines"][0], _SECTION, 1).alias("section"), name(e["lines"][0]).alias("name"), pick(e["lines"], "specifier"), pick(e["lines"], "version")))
+
+    sections = _pieces(F.col("lines"), lambda x: _importer(x) | _deeper(x))
+    rows = _read(locks).select("lock", "root", F.filter(F.flatten(F.transform(sections, entries)), lambda e: (e["section"] != "") & (e["name"] != "")).alias("found"))
+    rows = rows.withColumn("keys", F.array_distinct(F.transform("found", lambda e: F.concat(e["section"], F.lit("\n"), e["name"]))))
+    of = lambda k: F.filter("found", lambda e: F.concat(e["section"], F.lit("\n"), e["name"]) == k)
+    most = lambda k, c: F.array_max(F.transform(of(k), lambda e: e[c])).alias(c)
+    merged = F.transform("keys", lambda k: F.struct(F.substring_index(k, "\n", 1).alias("section"), F.substring_index(k, "\n", -1).alias("name"), most(k, "specifier"), most(k, "version")))
+    once = F.when(F.size("keys") == F.size("found"), F.col("found")).otherwise(merged)
+    return rows.select("lock", "root", F.explode(once).alias("e")).select("lock", "root", "e.*")
 
 
 def faults(locks: DataFrame) -> DataFrame:
     """(lock, fault, subject): lockfiles without importers, and mappings in an importer that are none of SECTIONS (edits of such are refused)."""
     none = locks.join(_lines(locks).where("text = 'importers:'").select("lock"), "lock", "left_anti").select("lock", F.lit("no-importers").alias("fault"), F.lit(None).cast("string").alias("subject"))
-    odd = _read(locks).where(F.col("text").rlike(r"^ {4}\S") & ~F.col("text").rlike(_SECTION))
+    odd = _read(locks).select("lock", F.explode("lines").alias("text")).where(_deeper(F.col("text")) & ~F.col("text").rlike(_SECTION))
     return none.union(odd.select("lock", F.lit("unfamiliar-mapping"), F.trim("text")))
 
 
@@ -71,12 +94,15 @@ def rendered(roots: DataFrame, declared: DataFrame) -> DataFrame:
     scalar = lambda c: F.when(F.col(c).endswith(":"), F.concat(F.lit("'"), c, F.lit("'"))).otherwise(F.col(c))
     entry = F.concat(F.lit("      "), quoted, F.lit(":\n        specifier: "), scalar("specifier"), F.lit("\n        version: "), scalar("version"))
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct(*c))), lambda x: x["text"])
-    part = declared.withColumn("text", entry).groupBy("lock", "root", "section").agg(F.array_join(ordered(["name", "text"]), "\n").alias("text"))
-    place = F.array_position(F.array(*map(F.lit, SECTIONS)), F.col("section")).alias("at")
-    part = part.select("lock", "root", place, F.concat(F.lit("    "), "section", F.lit(":\n"), "text").alias("text"))
-    body = part.groupBy("lock", "root").agg(F.array_join(ordered(["at", "text"]), "\n").alias("text"))
-    block = F.concat(F.lit("  "), "root", F.when(F.col("text").isNull(), ": {}\n").otherwise(F.concat(F.lit(":\n"), "text", F.lit("\n"))))
-    whole = roots.select("lock", "root").distinct().join(body, ["lock", "root"], "left").select("lock", "root", block.alias("text"))
+    place = F.array_position(F.array(*map(F.lit, SECTIONS)), F.col("section"))
+    # One shuffle, by lockfile: sections, importers and files are then grouped where they lie.
+    own = declared.where("lock IS NOT NULL AND root IS NOT NULL").select("lock", "root", place.alias("at"), "section", "name", entry.alias("text"), F.lit(False).alias("given"))
+    no = lambda kind: F.lit(None).cast(kind)
+    given = roots.select("lock", "root", no("long").alias("at"), no("string").alias("section"), no("string").alias("name"), no("string").alias("text"), F.lit(True).alias("given"))
+    part = own.union(given).repartition("lock").groupBy("lock", "root", "given", "at", "section").agg(F.array_join(ordered(["name", "text"]), "\n").alias("text"))
+    part = part.select("lock", "root", "given", "at", F.when(~F.col("given"), F.concat(F.lit("    "), "section", F.lit(":\n"), "text")).alias("text"))
+    body = part.groupBy("lock", "root").agg(F.bool_or("given").alias("given"), F.count_if(~F.col("given")).alias("n"), F.array_join(ordered(["at", "text"]), "\n").alias("text")).where("given")
+    whole = body.select("lock", "root", F.concat(F.lit("  "), "root", F.when(F.col("n") == 0, ": {}\n").otherwise(F.concat(F.lit(":\n"), "text", F.lit("\n")))).alias("text"))
     return whole.groupBy("lock").agg(F.concat(F.lit("lockfileVersion: '9.0'\n\nimporters:\n\n"), F.array_join(ordered(["root", "text"]), "\n"), F.lit("\npackages:\n\n  end:\n    resolution: {}\n")).alias("text"))
 
 

@@ -7,7 +7,9 @@ import random
 
 import pytest
 
+from orebody import queries
 from orebody.operators import graph, portfolio
+from orebody.sources import lockfiles
 
 
 def similar(sets: dict, least: float) -> list[tuple]:
@@ -54,3 +56,30 @@ def test_a_closure_comes_in_batches(spark, monkeypatch, walked):
     monkeypatch.setattr(graph, "WALKED", walked)
     got = graph.closure(spark.createDataFrame(pairs, "src long, dst long"))
     assert sorted(map(tuple, got.collect())) == sorted((a, b) for a, b in want if a != b)
+
+
+def test_lockfiles_are_read_without_a_shuffle(spark):
+    """A name again in a section, one without values, lines before the first importer, a second part; rendered in one shuffle by lockfile."""
+    text = "a: 1\nimporters:\n    odd:\n  r1:\n    dependencies:\n      x:\n        specifier: ^1\n      x:\n        specifier: ^2\n        version: '9'\n      y:\n    dependencies:\n      z:\n        version: 3\n  r2: {}\nend:\n  r3: {}\nimporters:\n  r4: {}"
+    locks = spark.createDataFrame([("l", text), ("none", "x"), ("bare", "importers:")], "lock string, text string")
+    got, found = lockfiles.dependencies(locks), lockfiles.importers(locks)
+    assert sorted(map(tuple, got.collect())) == [("l", "r1", "dependencies", "x", "^2", "9"), ("l", "r1", "dependencies", "y", None, None), ("l", "r1", "dependencies", "z", None, "3")]
+    assert sorted((x.root, x.start, x.lines) for x in found.collect()) == [("r1", 3, 11), ("r2", 14, 1)]
+    assert not any("Exchange" in d._jdf.queryExecution().executedPlan().toString() for d in (got, found))
+    roots = spark.createDataFrame([("l", "b"), ("l", "a"), ("l", "a"), ("m", "c")], "lock string, root string")
+    declared = spark.createDataFrame([("l", "a", "devDependencies", "k", "^1", "1"), ("l", "a", "dependencies", "@s/n", "^2", "link:../p:"), ("l", "gone", "dependencies", "q", "1", "1")], "lock string, root string, section string, name string, specifier string, version string")
+    again = lockfiles.rendered(roots, declared)
+    assert again._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange ") == 1
+    texts = {x.lock: x.text for x in again.collect()}
+    assert texts["m"] == "lockfileVersion: '9.0'\n\nimporters:\n\n  c: {}\n\npackages:\n\n  end:\n    resolution: {}\n"
+    assert "\n  a:\n    dependencies:\n      '@s/n':\n        specifier: ^2\n        version: 'link:../p:'\n    devDependencies:\n      k:\n        specifier: ^1\n        version: 1\n\n  b: {}\n" in texts["l"] and "gone" not in texts["l"]
+
+
+def test_facts_of_candidates_repeat_no_rows(spark, monkeypatch):
+    """Several distinct counts would put each row of each closure down once for each of them."""
+    facts = []
+    real = queries._facts
+    monkeypatch.setattr(queries, "_facts", lambda *a: facts.append(real(*a)) or facts[0])
+    monkeypatch.setattr(queries, "reused", lambda spark, name, inputs, settings, build: build())
+    queries._candidates(spark, "/root/testdata/sf0.001")
+    assert "Expand" not in facts[0]._jdf.queryExecution().executedPlan().toString()
