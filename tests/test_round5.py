@@ -6,6 +6,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from orebody import queries
 from orebody.operators import graph, portfolio
@@ -83,3 +84,24 @@ def test_facts_of_candidates_repeat_no_rows(spark, monkeypatch):
     monkeypatch.setattr(queries, "reused", lambda spark, name, inputs, settings, build: build())
     queries._candidates(spark, "/root/testdata/sf0.001")
     assert "Expand" not in facts[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_layers_write_each_node_once(spark, monkeypatch):
+    """Two hundred nodes over a chain: those that wait aren't written in every round. A ring is refused."""
+    pairs = [(i, i - 1) for i in range(1, 5)] + [(100 + i, 4 - i % 2) for i in range(200)]
+    written = []
+    real = graph.cut
+
+    def cut(df):
+        out = real(df)
+        if out.columns == ["id"]:
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "cut", cut)
+    e = spark.createDataFrame(pairs, "src long, dst long")
+    got = graph.layers(graph.nodes(e).select(F.col("id").alias("comp")), e, limit=0)
+    assert sorted(map(tuple, got.collect())) == [(i, i) for i in range(5)] + [(100 + i, 5 - i % 2) for i in range(200)]
+    assert sum(written) == 205
+    with pytest.raises(ValueError):
+        graph.layers(graph.nodes(e).select(F.col("id").alias("comp")), spark.createDataFrame([(1, 0), (2, 3), (3, 2)], "src long, dst long"), limit=0)
