@@ -152,11 +152,18 @@ def artifact_issues(projected: DataFrame, derived: DataFrame) -> DataFrame:
 
 def decision_issues(decisions: DataFrame, due: DataFrame) -> DataFrame:
     """Issues of dependency decisions (plan, name, decision, reasons): repeated, without a reason, missing or beyond those due (plan, name, decision)."""
-    key = ["plan", "name", "decision"]
-    said = lambda d, rule: d.select("plan", F.concat_ws(":", "name", "decision").alias("subject"), F.lit(rule).alias("rule"))
-    per = decisions.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("reasons").alias("reasons"))
-    wanted = due.select(*key).distinct()
-    return all_of(said(per.where("n > 1"), "repeated-decision"), said(per.where("reasons = 0"), "no-reason"), said(wanted.join(per, key, "left_anti"), "missing-decision"), said(per.join(wanted, key, "left_anti"), "undeclared-decision"))
+    c, key = F.col, ["plan", "name", "decision"]
+    # One aggregation of both, so no task holds two of them and what their joins sort.
+    rows = decisions.select(*key, F.lit(True).alias("said"), "reasons").union(due.select(*key, F.lit(False), F.lit(None)))
+    per = rows.groupBy(*key).agg(F.count_if("said").alias("n"), F.min("reasons").alias("reasons"), F.bool_or(~c("said")).alias("due"))
+    # A key with a null is equal to none.
+    met = (c("n") > 0) & c("due") & c("plan").isNotNull() & c("name").isNotNull() & c("decision").isNotNull()
+    return issues(per, F.concat_ws(":", "name", "decision"), [
+        ("repeated-decision", c("n") > 1),
+        ("no-reason", c("reasons") == 0),
+        ("missing-decision", c("due") & ~met),
+        ("undeclared-decision", (c("n") > 0) & ~met),
+    ])
 
 
 def record_issues(generated: DataFrame, commits: DataFrame, gates: DataFrame) -> DataFrame:
