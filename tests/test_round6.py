@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
+from orebody.operators import graph
 from orebody.plans import validation
 
 
@@ -27,3 +30,23 @@ def test_decisions_are_judged_in_one_aggregation(spark):
         want += [(k[0], ":".join(x for x in k[1:] if x is not None), rule) for rule, holds in rules if holds]
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
     assert "Join" not in plan_of(got) and plan_of(got).count("HashAggregate") == 2
+
+
+@pytest.fixture
+def plans(monkeypatch):
+    """The plans of all that the graph operators write in rounds."""
+    seen, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: seen.append(plan_of(df)) or cut(df))
+    return seen
+
+
+def test_rounds_of_components_and_layers_broadcast_nothing(spark, plans):
+    """Each round's broadcasts went through the driver, up to 10 MB of files each, and rounds add up."""
+    r = random.Random(9)
+    pairs = [(r.randrange(24), r.randrange(24)) for _ in range(30)]
+    e = spark.createDataFrame(pairs, "src long, dst long")
+    comps = graph.cut(graph.strong_components(e, limit=0))
+    layer = graph.layers(comps.select("comp"), graph.condensed(e, comps), limit=0)
+    assert sorted(comps.collect()) == sorted(graph.strong_components(e).collect())
+    assert sorted(layer.collect()) == sorted(graph.layers(comps.select("comp"), graph.condensed(e, comps)).collect())
+    assert len(plans) > 10 and not [p for p in [*plans, plan_of(layer)] if "Broadcast" in p]
