@@ -108,9 +108,17 @@ def operation_counts(ops: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     return every.join(ops.groupBy("kind").agg(F.count(F.lit(1)).alias("n")), "kind", "left").select("kind", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def duplicate_operations(ops: DataFrame) -> DataFrame:
-    """(kind, path, n) of operations that occur more than once."""
-    return ops.groupBy("kind", "path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+#: Operations that a task counts, more or less.
+COUNTED = 500_000
+
+
+def duplicate_operations(ops: DataFrame, rows: int) -> DataFrame:
+    """(kind, path, n) of operations that occur more than once. rows: about how many there are, for the number of tasks.
+
+    Nearly all differ, so counting before the shuffle holds a task's operations beside what its joins sort and saves nothing.
+    """
+    parts = ops.select("kind", "path").repartition(-(-rows // COUNTED) or 1, "kind", "path")
+    return parts.groupBy("kind", "path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 def ledger_issues(ledger: DataFrame) -> DataFrame:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 
 from orebody.operators import graph
-from orebody.plans import validation
+from orebody.plans import journal, validation
 
 
 def plan_of(df) -> str:
@@ -50,3 +51,16 @@ def test_rounds_of_components_and_layers_broadcast_nothing(spark, plans):
     assert sorted(comps.collect()) == sorted(graph.strong_components(e).collect())
     assert sorted(layer.collect()) == sorted(graph.layers(comps.select("comp"), graph.condensed(e, comps)).collect())
     assert len(plans) > 10 and not [p for p in [*plans, plan_of(layer)] if "Broadcast" in p]
+
+
+def test_operations_are_counted_in_tasks_by_their_number(spark, monkeypatch):
+    """No count before the shuffle, beside the sorts of joins; as many tasks as there are thousands of operations."""
+    r = random.Random(10)
+    rows = [(r.choice(["write", "delete", None]), r.choice([None, *(f"src/{i}" for i in range(2000))])) for _ in range(6500)]
+    monkeypatch.setattr(journal, "COUNTED", 1000)
+    got = journal.duplicate_operations(spark.createDataFrame(rows, "kind string, path string"), len(rows))
+    assert Counter({(x.kind, x.path): x.n for x in got.collect()}) == Counter({k: n for k, n in Counter(rows).items() if n > 1})
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange") == 1 and ", 7)" in plan and plan.rindex("HashAggregate") < plan.index("Exchange")
+    assert journal.duplicate_operations(spark.createDataFrame([], "kind string, path string"), 0).count() == 0
