@@ -64,3 +64,12 @@ def test_operations_are_counted_in_tasks_by_their_number(spark, monkeypatch):
     plan = plan.split("== Initial Plan ==")[-1]
     assert plan.count("Exchange") == 1 and ", 7)" in plan and plan.rindex("HashAggregate") < plan.index("Exchange")
     assert journal.duplicate_operations(spark.createDataFrame([], "kind string, path string"), 0).count() == 0
+
+
+def test_rounds_of_a_closure_read_written_edges(spark, plans):
+    """A round made the edges again from their inputs, components and condensation included; a path of 20 edges takes 20 rounds."""
+    pairs = [(i, i + 1) for i in range(20)] + [(3, 0), (7, 30), (30, 9)]
+    e = spark.createDataFrame(pairs, "src long, dst long")
+    got = graph.closure(e, limit=0)
+    assert sorted(got.collect()) == sorted(graph.closure(e).collect())
+    assert "ExistingRDD" in plans[0] and not [p for p in plans[1:] if "ExistingRDD" in p or "Broadcast" in p]
