@@ -59,3 +59,27 @@ def test_key_layers_refuse_a_cycle_of_kinds(spark):
     a = spark.createDataFrame([(1, 2)], "key long, b long")
     with pytest.raises(ValueError):
         graph.key_layers({"a": (a, {"b": "b"}), "b": (a, {"b": "a"})})
+
+
+@pytest.mark.parametrize("limit", [0, 30])
+@pytest.mark.parametrize("seed", range(2))
+def test_closures_and_components_of_trimmed_graphs_are_the_kernels(spark, seed, limit):
+    """Sparse graphs that trimming eats up, with cycles that it leaves to the kernel or to the rounds."""
+    r = random.Random(seed)
+    pairs = [(r.randrange(80), r.randrange(80)) for _ in range(70 + 40 * seed)] + [(90, 91), (91, 90), (3, 90), (91, 4), (5, 5)]
+    e = spark.createDataFrame(pairs, "src long, dst long")
+    for f in (graph.closure, graph.strong_components):
+        assert sorted(map(tuple, f(e, limit).collect())) == sorted(map(tuple, f(e).collect()))
+
+
+def test_a_long_path_takes_no_round_for_each_step(spark, plans):
+    """A path of 60 edges beneath and above 300 loose ends, beyond the kernel's bound as a whole, within it as a rest: a fixpoint took 60 rounds."""
+    pairs = [(i, i + 1) for i in range(60)] + [(1000 + i, i % 60) for i in range(150)] + [(i % 60, 2000 + i) for i in range(150)]
+    e = spark.createDataFrame(pairs, "src long, dst long")
+    got = graph.closure(e, limit=100)
+    assert len(plans) <= 5 and not [p for p in plans if "Broadcast" in p]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, graph.closure(e).collect()))
+    plans.clear()
+    e = e.union(spark.createDataFrame([(60, 0)], "src long, dst long"))
+    assert len({x.comp for x in graph.strong_components(e, limit=100).collect()}) == 301
+    assert len(plans) <= 5
