@@ -174,7 +174,15 @@ def marginal_blockers(candidates: DataFrame) -> DataFrame:
 
 def equal_sets(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, same) and (id, s): the least id with the same set of items (id, item) as each id, and the distinct sets by that id."""
-    sets = members.groupBy("id").agg(F.array_sort(F.collect_set("item")).alias("s")).withColumn("k", F.sha2(F.to_json(F.struct("s")), 256))
+    return _by_set(_sets(members))
+
+
+def _sets(members: DataFrame) -> DataFrame:
+    """(id, s, k): the set of items of each id, and its digest."""
+    return members.groupBy("id").agg(F.array_sort(F.collect_set("item")).alias("s")).withColumn("k", F.sha2(F.to_json(F.struct("s")), 256))
+
+
+def _by_set(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     distinct = sets.groupBy("k").agg(F.min("id").alias("same"), F.first("s").alias("s"))
     return sets.select("id", "k").join(distinct.select("k", "same"), "k").select("id", "same"), distinct.select(F.col("same").alias("id"), "s")
 
@@ -252,7 +260,8 @@ def equivalence_groups(candidates: DataFrame, files: DataFrame, least: float) ->
     are decided as one; between different sets the seeds are those of first_independent() over
     the pairs at ``least`` or above, and each other set goes to its least seed. The representative has the greatest score, then the least id.
     """
-    classes, sets = equal_sets(files.select(F.col("cand").alias("id"), F.col("path").alias("item")))
+    # Both results read the sets: they are made once.
+    classes, sets = _by_set(cut(_sets(files.select(F.col("cand").alias("id"), F.col("path").alias("item")))))
     pairs = jaccard_pairs(cut(sets), least)
     own = candidates.select("id", "score", "kind").join(classes, "id")
     own = cut(own.withColumn("node", F.min("id").over(Window.partitionBy("same", "kind"))))

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from orebody.operators import graph
+from orebody.operators import graph, portfolio
 
 
 def plan_of(df) -> str:
@@ -83,3 +83,14 @@ def test_a_long_path_takes_no_round_for_each_step(spark, plans):
     e = e.union(spark.createDataFrame([(60, 0)], "src long, dst long"))
     assert len({x.comp for x in graph.strong_components(e, limit=100).collect()}) == 301
     assert len(plans) <= 5
+
+
+def test_sets_of_candidates_are_made_once_for_their_groups(spark, monkeypatch):
+    """Classes and distinct sets each made all sets and digests again."""
+    seen, cut = [], portfolio.cut
+    monkeypatch.setattr(portfolio, "cut", lambda df: seen.append(plan_of(df)) or cut(df))
+    files = spark.createDataFrame([(c, p) for c in range(6) for p in range(c // 2, c // 2 + 5)], "cand long, path long")
+    candidates = spark.createDataFrame([(c, float(c), "k") for c in range(6)], "id long, score double, kind string")
+    got = portfolio.equivalence_groups(candidates, files, 0.6)
+    assert sorted((x.id, x.seed, x.representative) for x in got.collect()) == [(0, 0, 3), (1, 0, 3), (2, 0, 3), (3, 0, 3), (4, 4, 5), (5, 4, 5)]
+    assert len([p for p in seen if "sha2" in p]) == 1
